@@ -246,19 +246,19 @@ def crystal_ledger(transactions: DataFrame, pulls: DataFrame) -> DataFrame:
     """
     credits = transactions.where(F.col("payment_status") == "success").select(
         "player_id",
-        F.col("transacted_at").alias("at"),
+        F.col("transacted_at").alias("entry_at"),
         F.lit(0).alias("kind"),
         F.col("transaction_id").alias("entry_id"),
         F.col("crystals_added").cast("long").alias("delta"),
     )
     debits = pulls.select(
         "player_id",
-        F.col("pulled_at").alias("at"),
+        F.col("pulled_at").alias("entry_at"),
         F.lit(1).alias("kind"),
         F.col("pull_id").alias("entry_id"),
         (-F.col("crystals_spent")).cast("long").alias("delta"),
     )
-    w = Window.partitionBy("player_id").orderBy("at", "kind", "entry_id").rowsBetween(_PRE, 0)
+    w = Window.partitionBy("player_id").orderBy("entry_at", "kind", "entry_id").rowsBetween(_PRE, 0)
     return (
         credits.unionByName(debits)
         .withColumn("balance", F.sum("delta").over(w))

@@ -415,3 +415,7 @@ def q_reconcile_summary(spark, sf_dir):
     return quality.reconcile_summary(p, w.table("stg_pulls"), ["id"], "pulls").unionByName(
         quality.reconcile_summary(pity, w.table("stg_player_pity"), ["player_id", "banner_type"], "player_pity")
     )
+
+
+# Section modules register themselves on import.
+from cdcmart.plans import q_rules  # noqa: E402,F401
