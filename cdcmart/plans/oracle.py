@@ -236,3 +236,135 @@ def sql(final: str) -> str:
     """``WITH`` all CTEs, then ``final``."""
     body = ",\n".join(f"{name} AS ({text}\n)" for name, text in CTES)
     return f"WITH {body}\n{final}"
+
+
+_STATUSES = "['applied', 'sourced', 'shortlisted', 'interviewed', 'offered', 'hired', 'rejected', 'withdrawn']"
+_STATUSES9 = _STATUSES[:-1] + ", 'archived']"
+VALID_IN = "('applied', 'sourced', 'shortlisted', 'interviewed', 'offered', 'hired', 'rejected', 'withdrawn')"
+
+CTES += [
+    (
+        "g_apps",
+        f"""
+        SELECT 'app-' || c_custkey AS id, CAST(c_nationkey AS BIGINT) AS company_id,
+               lower(c_mktsegment) AS first_name, substr(c_name, 10, 100) AS last_name,
+               ({_STATUSES})[c_custkey % 8 + 1] AS status,
+               CASE WHEN c_acctbal >= 0 THEN c_acctbal / 100.0 END AS role_fit_score,
+               CASE c_custkey % 3 WHEN 1 THEN true WHEN 2 THEN false END AS has_passed_screening
+        FROM customer""",
+    ),
+    (
+        "g_users",
+        """
+        SELECT 'user-' || n_nationkey AS user_id, CAST(n_nationkey AS BIGINT) AS company_id,
+               CASE WHEN n_nationkey % 4 <> 3 THEN 'HR Manager' ELSE 'Recruiter (read-only)' END AS role,
+               n_nationkey % 4 <> 3 AS can_move_status, 5 AS mutation_cap,
+               CAST(CASE WHEN n_nationkey % 2 = 0 THEN 0.01 ELSE 0.1 END AS DOUBLE) AS cost_limit_usd
+        FROM nation""",
+    ),
+    (
+        "g_grants",
+        """
+        SELECT 'user-' || n_nationkey AS user_id, 'sales' AS dataset FROM nation
+        UNION ALL SELECT 'user-' || n_nationkey, 'marketing' FROM nation WHERE n_regionkey % 2 = 0
+        UNION ALL SELECT 'user-' || n_nationkey, 'hr' FROM nation WHERE n_nationkey % 5 = 0""",
+    ),
+    (
+        "g_status_requests",
+        f"""
+        SELECT o_orderkey AS request_id, u || ':' || CAST(year(o_orderdate) AS VARCHAR) AS run_id, u AS user_id,
+               'app-' || o_custkey AS application_id, ({_STATUSES9})[o_orderkey % 9 + 1] AS new_status,
+               o_orderpriority <> '5-LOW' AS approved
+        FROM (SELECT o.*, 'user-' || CAST(CASE WHEN o.o_orderkey % 10 = 0 THEN (c.c_nationkey + 1) % 25
+                                            ELSE c.c_nationkey END AS VARCHAR) AS u
+              FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey)""",
+    ),
+    (
+        "g_list_requests",
+        f"""
+        SELECT CAST(n_nationkey AS BIGINT) AS request_id, 'user-' || n_nationkey AS user_id,
+               CASE WHEN n_nationkey % 10 < 8 THEN ({_STATUSES})[n_nationkey % 10 + 1]
+                    WHEN n_nationkey % 10 = 8 THEN 'archived' END AS status_filter
+        FROM nation""",
+    ),
+    (
+        "g_name_lookups",
+        """
+        SELECT s_suppkey AS request_id, 'user-' || s_nationkey AS user_id,
+               CASE WHEN s_suppkey % 4 = 0 THEN ' House ' ELSE ' ' || substr(s_name, 15, 4) || ' ' END AS term
+        FROM supplier""",
+    ),
+    (
+        "g_access_requests",
+        """
+        SELECT s_suppkey AS request_id, 'user-' || s_nationkey AS user_id,
+               (['sales', 'marketing', 'hr'])[s_suppkey % 3 + 1] AS dataset
+        FROM supplier""",
+    ),
+    (
+        "g_catalog",
+        """
+        SELECT * FROM (VALUES ('sales', 'orders'), ('sales', 'products'), ('marketing', 'campaigns'),
+                              ('hr', 'employees')) AS c(dataset, table_name)""",
+    ),
+    (
+        "g_query_log",
+        """
+        SELECT o_orderkey AS query_id, 'user-' || (o_custkey % 25) AS user_id,
+               (['SELECT * FROM hr.employees', 'SELECT name, budget FROM Marketing.campaigns',
+                 'SELECT count(*) FROM sales.orders'])[o_orderkey % 3 + 1] AS sql
+        FROM orders""",
+    ),
+    (
+        "g_dept_metrics",
+        """
+        SELECT lower(c_mktsegment) AS department, count(*) AS headcount,
+               count(*) FILTER (WHERE c_acctbal > 0) AS active_today
+        FROM customer GROUP BY lower(c_mktsegment)""",
+    ),
+    (
+        "g_dept_requests",
+        """
+        SELECT CAST(n_nationkey AS BIGINT) AS request_id,
+               CASE WHEN n_nationkey % 2 = 0 THEN upper(d) ELSE d END AS department
+        FROM (SELECT *, (['automobile', 'building', 'furniture', 'household', 'machinery', 'support'])
+                        [n_nationkey % 6 + 1] AS d FROM nation)""",
+    ),
+    (
+        "g_changes",
+        f"""
+        SELECT o.*, CASE WHEN outcome = 'OK' THEN CAST(before + 1 AS INTEGER) END AS mutation_no,
+               okr.old_status
+        FROM (SELECT *, CASE WHEN NOT can THEN 'DENIED' WHEN before >= 5 THEN 'STOPPED'
+                             WHEN NOT valid THEN 'ERROR' WHEN NOT in_tenant THEN 'DENIED'
+                             WHEN op_denied THEN 'DENIED_BY_OPERATOR' ELSE 'OK' END AS outcome
+              FROM (SELECT *, coalesce(sum(CASE WHEN can AND valid AND in_tenant AND NOT op_denied THEN 1 ELSE 0 END)
+                                 OVER (PARTITION BY run_id ORDER BY request_id
+                                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+                    FROM (SELECT r.*, u.role, coalesce(u.can_move_status, false) AS can,
+                                 r.new_status IN {VALID_IN} AS valid,
+                                 coalesce(a.company_id = u.company_id, false) AS in_tenant,
+                                 r.new_status IN ('hired', 'rejected') AND NOT coalesce(r.approved, true) AS op_denied,
+                                 a.first_name, a.last_name, a.status AS current_status
+                          FROM g_status_requests r LEFT JOIN g_users u ON r.user_id = u.user_id
+                          LEFT JOIN g_apps a ON r.application_id = a.id))) o
+        LEFT JOIN (SELECT request_id, coalesce(lag(new_status) OVER (PARTITION BY application_id ORDER BY request_id),
+                                              current_status) AS old_status
+                   FROM (SELECT *, CASE WHEN NOT can THEN 'DENIED' WHEN before >= 5 THEN 'STOPPED'
+                                        WHEN NOT valid THEN 'ERROR' WHEN NOT in_tenant THEN 'DENIED'
+                                        WHEN op_denied THEN 'DENIED_BY_OPERATOR' ELSE 'OK' END AS outcome
+                         FROM (SELECT *, coalesce(sum(CASE WHEN can AND valid AND in_tenant AND NOT op_denied
+                                                           THEN 1 ELSE 0 END)
+                                            OVER (PARTITION BY run_id ORDER BY request_id
+                                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+                               FROM (SELECT r.*, coalesce(u.can_move_status, false) AS can,
+                                            r.new_status IN {VALID_IN} AS valid,
+                                            coalesce(a.company_id = u.company_id, false) AS in_tenant,
+                                            r.new_status IN ('hired', 'rejected')
+                                                AND NOT coalesce(r.approved, true) AS op_denied,
+                                            a.status AS current_status
+                                     FROM g_status_requests r LEFT JOIN g_users u ON r.user_id = u.user_id
+                                     LEFT JOIN g_apps a ON r.application_id = a.id)))
+                   WHERE outcome = 'OK') okr ON o.request_id = okr.request_id""",
+    ),
+]

@@ -419,3 +419,5 @@ def q_reconcile_summary(spark, sf_dir):
 
 # Section modules register themselves on import.
 from cdcmart.plans import q_rules  # noqa: E402,F401
+
+from cdcmart.plans import q_governed  # noqa: E402,F401
