@@ -133,23 +133,7 @@ def normalise(df: DataFrame) -> DataFrame:
     source_schema.
     """
     df = extract(df)
-    m = F.col("msg")
-    op = v_str(F.col("_op"), "$")
-    op_map = F.create_map(*[x for k, v in OP_EVENTS.items() for x in (F.lit(k), F.lit(v))])
-    idv = v_get(F.col("_data"), "$.id")
-    key = (
-        F.when(idv.isNull(), F.col("_data_json"))
-        .when(F.schema_of_variant(idv) == "VOID", F.lit("None"))
-        .otherwise(v_str(F.col("_data"), "$.id"))
-    )
-    return df.select(
-        key.alias("id"),
-        F.col("_data_json").alias("data"),
-        F.coalesce(F.element_at(op_map, op), F.lit("insert")).alias("event"),
-        F.timestamp_millis(F.try_variant_get(F.col("_ts"), "$", "bigint")).alias("event_timestamp"),
-        v_str(m, "$.payload.source.table").alias("source_table"),
-        v_str(m, "$.payload.source.schema").alias("source_schema"),
-    )
+    return df.select(*[c.alias(name) for name, c in _normal_cols()])
 
 
 def segregate(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -162,14 +146,68 @@ def by_table(df: DataFrame, table: str) -> DataFrame:
     return df.where(F.col("source_table") == table)
 
 
+BRONZE_COLS = ("id", "data", "event", "event_timestamp", "source_table", "source_schema", "ingested_at")
+
+
+def route(messages: DataFrame, value: str = "value", ingested_at: Column | None = None) -> DataFrame:
+    """B1-B4 as ONE projection with a ``route`` column, no filter.
+
+    route = 'bronze' (valid, normalised), 'dlq' (failed validation; carries
+    ``reason`` and ``raw``) or 'undecodable' (bad UTF-8 or JSON; the
+    reference drops these, we keep them apart for audit). Writing the result
+    partitioned by ``route`` lands every message once: a filter before the
+    write would make Catalyst evaluate the parse and checks twice (the
+    predicate is pushed below the projection and inlined).
+    """
+    vtype = dict(messages.dtypes)[value]
+    if vtype == "binary":
+        ok = F.is_valid_utf8(F.col(value))
+        text = F.when(ok, F.col(value).cast("string"))
+    else:
+        text = F.col(value)
+    d = messages.select(F.try_parse_json(text).alias("msg"))
+    e = extract(d)
+    reason = _reason()
+    stamp = ingested_at if ingested_at is not None else F.current_timestamp()
+    norm = _normal_cols()
+    r = F.when(F.col("msg").isNull(), F.lit("undecodable")).when(reason.isNull(), F.lit("bronze")).otherwise(F.lit("dlq"))
+    out = e.select(
+        r.alias("route"),
+        *[c.alias(name) for name, c in norm],
+        reason.alias("reason"),
+        F.when(reason.isNotNull(), F.to_json("msg")).alias("raw"),
+    )
+    return out.withColumn("ingested_at", F.when(F.col("route") == "bronze", stamp))
+
+
+def _normal_cols() -> list[tuple[str, Column]]:
+    m = F.col("msg")
+    op = v_str(F.col("_op"), "$")
+    op_map = F.create_map(*[x for k, v in OP_EVENTS.items() for x in (F.lit(k), F.lit(v))])
+    idv = v_get(F.col("_data"), "$.id")
+    key = (
+        F.when(idv.isNull(), F.col("_data_json"))
+        .when(F.schema_of_variant(idv) == "VOID", F.lit("None"))
+        .otherwise(v_str(F.col("_data"), "$.id"))
+    )
+    return [
+        ("id", key),
+        ("data", F.col("_data_json")),
+        ("event", F.coalesce(F.element_at(op_map, op), F.lit("insert"))),
+        ("event_timestamp", F.timestamp_millis(F.try_variant_get(F.col("_ts"), "$", "bigint"))),
+        ("source_table", v_str(m, "$.payload.source.table")),
+        ("source_schema", v_str(m, "$.payload.source.schema")),
+    ]
+
+
 def to_bronze(messages: DataFrame, ingested_at: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """B1-B4 in one narrow stage: (bronze rows, dead letters).
+    """(bronze rows, dead letters) as two lazy views of :func:`route`.
 
+    For writing both, prefer ``route()`` + one partitioned write (one pass).
     ``ingested_at`` defaults to the processing time; batch replays pass a
     deterministic column (e.g. ``event_timestamp``) instead.
     """
-    valid, failed = split_valid(validate(decode(messages)))
-    bronze = normalise(valid)
-    stamp = ingested_at if ingested_at is not None else F.current_timestamp()
-    bronze = bronze.withColumn("ingested_at", stamp)
-    return bronze, failed
+    r = route(messages, ingested_at=ingested_at)
+    bronze = r.where(F.col("route") == "bronze").select(*BRONZE_COLS)
+    dlq = r.where(F.col("route") == "dlq").select("reason", "raw")
+    return bronze, dlq

@@ -40,7 +40,7 @@ GOLD_MODELS = [
 ]
 MODEL_ORDER = ["bronze", "dlq", *SILVER_MODELS, *GOLD_MODELS]
 
-BUILD_VERSION = "v1"
+BUILD_VERSION = "v2"
 
 
 def gold_from(t) -> dict[str, DataFrame]:
@@ -79,6 +79,12 @@ class Warehouse:
         return f"{self.root}/{name}"
 
     def table(self, name: str) -> DataFrame:
+        if name == "bronze":
+            return self.spark.read.option("basePath", self.path("cdc/route=bronze")).parquet(
+                self.path("cdc/route=bronze")
+            ).select(*cdc.BRONZE_COLS)
+        if name == "dlq":
+            return self.spark.read.parquet(self.path("cdc/route=dlq")).select("reason", "raw")
         return self.spark.read.parquet(self.path(name))
 
     __call__ = table
@@ -105,9 +111,10 @@ def run_models(
     wh = Warehouse(spark, root)
     src = adapter.source_tables(spark, sf_dir)
     msgs = adapter.cdc_messages(src)
-    bronze, dlq = cdc.to_bronze(msgs, ingested_at=F.col("event_timestamp"))
-    bronze.write.mode("overwrite").partitionBy("source_table").parquet(wh.path("bronze"))
-    dlq.write.mode("overwrite").parquet(wh.path("dlq"))
+    routed = cdc.route(msgs, ingested_at=F.col("event_timestamp"))
+    # One pass over the messages: Bronze (by table), dead letters and
+    # undecodable messages land in sibling folders of one write.
+    routed.write.mode("overwrite").partitionBy("route", "source_table").parquet(wh.path("cdc"))
     b = wh.table("bronze")
     stg = silver.build_all(b, honor_deletes)
     for name in SILVER_MODELS:

@@ -32,6 +32,7 @@ def get_spark(master: str | None = None, partitions: int | None = None) -> Spark
         SparkSession.builder.master(master or f"local[{cpus}]")
         .appName("cdcmart")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.shuffle.partitions", str(partitions or cpus))
     )
