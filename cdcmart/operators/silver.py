@@ -47,8 +47,15 @@ def latest_per_key(df: DataFrame, keys: list[str], order=DEFAULT_ORDER) -> DataF
     return df.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_best.{c}").alias(c) for c in other])
 
 
-def build_silver(bronze: DataFrame, spec: SilverSpec | str, honor_deletes: bool = False) -> DataFrame:
-    """The Silver table of ``spec.table`` from the Bronze log."""
+def build_silver(
+    bronze: DataFrame, spec: SilverSpec | str, honor_deletes: bool = False, keep_order: bool = False
+) -> DataFrame:
+    """The Silver table of ``spec.table`` from the Bronze log.
+
+    ``keep_order`` keeps the winning row's ordering struct (``_order``) and
+    event (``_event``), and with ``honor_deletes`` keeps delete tombstones,
+    so an incremental merge can compare versions (streaming merge).
+    """
     if isinstance(spec, str):
         spec = SILVER_SPECS[spec]
     src = bronze.where(F.col("source_table") == spec.table)
@@ -63,13 +70,16 @@ def build_silver(bronze: DataFrame, spec: SilverSpec | str, honor_deletes: bool
     parsed = parsed.select(*key_cols, "*")
     knames = [f"_k{i}" for i in range(len(spec.keys))]
     latest = latest_per_key(parsed, knames)
-    if honor_deletes:
+    if honor_deletes and not keep_order:
         latest = latest.where(F.col("event") != "delete")
     cols: list[Column] = []
     if spec.synthetic_id:
         cols.append(composite_key(*[F.col(f"_j.{k}") for k in spec.keys]).alias("id"))
     for name, kind in spec.columns:
         cols.append(typed(F.col(f"_j.{name}"), kind).alias(name))
+    if keep_order:
+        cols.append(F.struct(*[F.col(c) for c in DEFAULT_ORDER]).alias("_order"))
+        cols.append(F.col("event").alias("_event"))
     return latest.select(*cols)
 
 

@@ -423,3 +423,5 @@ from cdcmart.plans import q_rules  # noqa: E402,F401
 from cdcmart.plans import q_governed  # noqa: E402,F401
 
 from cdcmart.plans import q_misc  # noqa: E402,F401
+
+from cdcmart.plans import q_stream  # noqa: E402,F401
