@@ -316,3 +316,41 @@ def q_prep(spark, sf_dir):
 def q_bayes(spark, sf_dir):
     """Sequential conjugate update per ship year (checked against numpy in pytest)."""
     return stats.bayes_update(spark, _reg(spark, sf_dir), "y", ["x1", "x2", "x3"])
+
+
+# --- files ------------------------------------------------------------------------
+
+
+@register(
+    "csv_roundtrip",
+    "SELECT CAST(floor(year(l_shipdate)) AS BIGINT) AS year, count(*) AS rows FROM lineitem WHERE l_quantity < 100 GROUP BY 1",
+)
+def q_csv_roundtrip(spark, sf_dir):
+    """Lineitem written as CSV and read back with an explicit schema."""
+    from cdcmart.sources import files
+    from cdcmart.streaming.cdc_stream import scratch
+
+    li = load(spark, sf_dir, "lineitem").select("l_quantity", "l_shipdate")
+    path = scratch(spark, "csv")
+    files.write_csv(li, path)
+    back = files.read_table(spark, path, schema="l_quantity double, l_shipdate timestamp", fmt="csv")
+    return stats.prep_value_counts(back)
+
+
+@register(
+    "query_sql",
+    """
+    SELECT payment_status, count(*) AS transactions FROM fact_transactions
+    WHERE amount_usd >= 10.0 GROUP BY payment_status""",
+)
+def q_query_sql(spark, sf_dir):
+    """Parameterised SQL over a Gold table."""
+    from cdcmart.plans.registry import wh
+    from cdcmart.sources import files
+
+    return files.query(
+        spark,
+        "SELECT payment_status, count(*) AS transactions FROM ft WHERE amount_usd >= :lo GROUP BY payment_status",
+        args={"lo": 10.0},
+        ft=wh(spark, sf_dir).table("fact_transactions"),
+    )
