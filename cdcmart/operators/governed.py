@@ -303,10 +303,14 @@ def status_changes(requests: DataFrame, apps: DataFrame, users: DataFrame, cap:
         .otherwise("OK")
     )
     j = j.withColumn("outcome", outcome)
-    # Old status: the previous successful move of the same application, else current.
-    wa = Window.partitionBy("application_id").orderBy("request_id")
-    prev = F.lag("new_status").over(wa)
-    oks = j.where(F.col("outcome") == "OK").withColumn("old_status", F.coalesce(prev, F.col("current_status")))
+    # Old status: the previous successful move of the same application, else
+    # current (a last-value scan over the successes; skew-safe per application).
+    from cdcmart.operators.scan import segmented_scan
+
+    oks = segmented_scan(
+        j.where(F.col("outcome") == "OK"), ["application_id"], ["request_id"],
+        {"_prev": ("last", F.col("new_status"), False)},
+    ).withColumn("old_status", F.coalesce(F.col("_prev"), F.col("current_status"))).drop("_prev")
     rest = j.where(F.col("outcome") != "OK").withColumn("old_status", F.lit(None).cast("string"))
     res = oks.unionByName(rest)
     name = F.concat(F.col("first_name"), F.lit(" "), F.col("last_name"))

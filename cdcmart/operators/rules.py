@@ -34,15 +34,26 @@ def pity_replay(
     order_cols=("pulled_at", "pull_id"),
     keys=("player_id", "banner_type"),
     rarity: str = "rarity",
+    method: str = "scan",
 ) -> DataFrame:
     """G1: counter = pulls since the last SSR, counting this one.
 
-    One window pass: position in the (player, banner type) sequence minus the
-    position of the previous SSR (0 when there is none).
+    ``scan`` (default): island = number of earlier SSRs of the key, then the
+    counter is the running count inside (key, island) — two segmented scans
+    (operators/scan.py), so a hot player is split across tasks. ``window``:
+    one window pass (position minus the previous SSR's position).
     """
-    w = Window.partitionBy(*keys).orderBy(*_cols(order_cols))
-    pos = F.row_number().over(w)
-    out = pulls.withColumn("_pos", pos)
+    keys, order = list(keys), list(order_cols)
+    if method == "scan":
+        from cdcmart.operators.scan import segmented_scan
+
+        ssr = (F.col(rarity) == "SSR").cast("long")
+        a = segmented_scan(pulls, keys, order, {"_island": ("sum", ssr, False)})
+        a = a.withColumn("_island", F.coalesce(F.col("_island"), F.lit(0)))
+        b = segmented_scan(a, keys + ["_island"], order, {"replayed_pity": ("count", None, True)})
+        return b.withColumn("replayed_pity", F.col("replayed_pity").cast("int")).drop("_island")
+    w = Window.partitionBy(*keys).orderBy(*_cols(order))
+    out = pulls.withColumn("_pos", F.row_number().over(w))
     prev_ssr = F.max(F.when(F.col(rarity) == "SSR", F.col("_pos"))).over(w.rowsBetween(_PRE, -1))
     return out.withColumn("replayed_pity", (F.col("_pos") - F.coalesce(prev_ssr, F.lit(0))).cast("int")).drop(
         "_pos"
@@ -87,23 +98,34 @@ def guarantee_replay(
     pulls: DataFrame,
     order_cols=("pulled_at", "pull_id"),
     player: str = "player_id",
+    method: str = "scan",
 ) -> DataFrame:
     """50/50 guarantee replay. Needs ``banner_type`` and ``rate_up_ssr_id``.
 
     guaranteed_before = the previous limited SSR of this player was not the
     rate-up of its banner. Permanent SSR -> flagged guaranteed; non-SSR false.
+    The "previous limited SSR" is a last-non-null scan (skew-safe by default).
     """
-    w = Window.partitionBy(player, "banner_type").orderBy(*_cols(order_cols))
     lim_ssr = (F.col("rarity") == "SSR") & (F.col("banner_type") == "limited")
     lost = F.when(lim_ssr, F.coalesce(F.col("character_id") != F.col("rate_up_ssr_id"), F.lit(True)))
-    prev_lost = F.last(lost, ignorenulls=True).over(w.rowsBetween(_PRE, -1))
-    guaranteed_before = F.coalesce(prev_lost, F.lit(False))
+    if method == "scan":
+        from cdcmart.operators.scan import segmented_scan
+
+        out = segmented_scan(pulls, [player, "banner_type"], list(order_cols), {"_prev_lost": ("last", lost, False)})
+    else:
+        w = Window.partitionBy(player, "banner_type").orderBy(*_cols(order_cols))
+        out = pulls.withColumn("_prev_lost", F.last(lost, ignorenulls=True).over(w.rowsBetween(_PRE, -1)))
+    guaranteed_before = F.coalesce(F.col("_prev_lost"), F.lit(False))
     expected = (
         F.when(F.col("rarity") != "SSR", F.lit(False))
         .when(F.col("banner_type") == "permanent", F.lit(True))
         .otherwise(guaranteed_before)
     )
-    return pulls.withColumn("guaranteed_before", guaranteed_before).withColumn("expected_guaranteed", expected)
+    return (
+        out.withColumn("guaranteed_before", guaranteed_before)
+        .withColumn("expected_guaranteed", expected)
+        .drop("_prev_lost")
+    )
 
 
 def guarantee_state(pulls: DataFrame, order_cols=("pulled_at", "pull_id"), player: str = "player_id") -> DataFrame:
@@ -193,20 +215,30 @@ def build_inventory(pulls: DataFrame, time_col: str = "pulled_at", cap: int = MA
     )
 
 
-def first_buy(transactions: DataFrame, order_cols=("transacted_at", "transaction_id"), mode: str = "first") -> DataFrame:
+def first_buy(
+    transactions: DataFrame, order_cols=("transacted_at", "transaction_id"), mode: str = "first", method: str = "scan"
+) -> DataFrame:
     """First-buy flag per (player, package).
 
     mode="first":   the first transaction in order (generation order).
     mode="success": no earlier *successful* transaction for the pair.
     """
-    w = Window.partitionBy("player_id", "package_id").orderBy(*_cols(order_cols))
+    if mode not in ("first", "success"):
+        raise ValueError("mode must be 'first' or 'success'")
+    keys = ["player_id", "package_id"]
+    ok = (F.col("payment_status") == "success").cast("int")
+    if method == "scan":
+        from cdcmart.operators.scan import segmented_scan
+
+        spec = {"_s": ("count", None, False)} if mode == "first" else {"_s": ("max", ok, False)}
+        out = segmented_scan(transactions, keys, list(order_cols), spec)
+        flag = (F.col("_s") == 0) if mode == "first" else (F.coalesce(F.col("_s"), F.lit(0)) == 0)
+        return out.withColumn("first_buy", flag).drop("_s")
+    w = Window.partitionBy(*keys).orderBy(*_cols(order_cols))
     if mode == "first":
         flag = F.row_number().over(w) == 1
-    elif mode == "success":
-        earlier = F.max((F.col("payment_status") == "success").cast("int")).over(w.rowsBetween(_PRE, -1))
-        flag = F.coalesce(earlier, F.lit(0)) == 0
     else:
-        raise ValueError("mode must be 'first' or 'success'")
+        flag = F.coalesce(F.max(ok).over(w.rowsBetween(_PRE, -1)), F.lit(0)) == 0
     return transactions.withColumn("first_buy", flag)
 
 
@@ -239,7 +271,8 @@ def crystals_awarded(transactions: DataFrame, packages: DataFrame, first_col: st
 
 
 def crystal_ledger(transactions: DataFrame, pulls: DataFrame) -> DataFrame:
-    """Signed crystal movements per player with a running balance.
+    """Signed crystal movements per player with a running balance
+    (a skew-safe running sum, operators/scan.py).
 
     Rows: +crystals_added for successful top-ups, -crystals_spent per pull.
     Order: time, credits before debits at the same instant, then entry id.
@@ -258,12 +291,11 @@ def crystal_ledger(transactions: DataFrame, pulls: DataFrame) -> DataFrame:
         F.col("pull_id").alias("entry_id"),
         (-F.col("crystals_spent")).cast("long").alias("delta"),
     )
-    w = Window.partitionBy("player_id").orderBy("entry_at", "kind", "entry_id").rowsBetween(_PRE, 0)
-    return (
-        credits.unionByName(debits)
-        .withColumn("balance", F.sum("delta").over(w))
-        .withColumn("overdrawn", F.col("balance") < 0)
-    )
+    from cdcmart.operators.scan import segmented_scan
+
+    moves = credits.unionByName(debits)
+    out = segmented_scan(moves, ["player_id"], ["entry_at", "kind", "entry_id"], {"balance": ("sum", F.col("delta"), True)})
+    return out.withColumn("overdrawn", F.col("balance") < 0)
 
 
 def rate_calibration(transactions: DataFrame, players: DataFrame) -> dict[str, DataFrame]:

@@ -116,16 +116,7 @@ def q_split_escalation(spark, sf_dir):
 )
 def q_history_summary(spark, sf_dir):
     """Per-turn display parts with the session's turn count."""
-    s = history.history_summary(load(spark, sf_dir, "conversations"))
-    m = s.select("session_id", "turn_count", F.posexplode("messages").alias("_i", "_m"))
-    c = load(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), "turn")
-    # Positions map back to turns in sorted order.
-    from pyspark.sql import Window
-
-    c = c.withColumn("_i", F.row_number().over(Window.partitionBy("session_id").orderBy("turn")) - 1)
-    return m.join(c, ["session_id", "_i"]).select(
-        "session_id", "turn", "turn_count", F.col("_m.type").alias("type"), F.col("_m.part").alias("part")
-    )
+    return history.history_parts(load(spark, sf_dir, "conversations"))
 
 
 # --- ticker ----------------------------------------------------------------------

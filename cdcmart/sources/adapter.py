@@ -117,8 +117,6 @@ def pulls(events: DataFrame) -> DataFrame:
 
 
 def transactions(orders: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
     ok = F.col("o_orderkey")
     pkg = F.concat(F.lit("pkg-0"), F.substring("o_orderpriority", 1, 1))
     status = (
@@ -128,9 +126,13 @@ def transactions(orders: DataFrame) -> DataFrame:
     )
     methods = F.array(*[F.lit(m) for m in PAYMENT_METHODS])
     crystals = F.create_map(*[x for p in TOPUP_PACKAGES for x in (F.lit(p[0]), F.lit(p[2]))])
-    first = F.row_number().over(Window.partitionBy("o_custkey", "_pkg").orderBy(ok)) == 1
+    # First purchase of a package by a customer: an aggregate joined back
+    # (partial aggregation; no per-customer sort).
+    o = orders.withColumn("_pkg", pkg)
+    firsts = o.groupBy("o_custkey", "_pkg").agg(F.min("o_orderkey").alias("_first"))
+    first = F.col("o_orderkey") == F.col("_first")
     return (
-        orders.withColumn("_pkg", pkg)
+        o.join(firsts, ["o_custkey", "_pkg"], "inner")
         .withColumn("_status", status)
         .select(
             ok.cast("string").alias("id"),
