@@ -40,7 +40,21 @@ GOLD_MODELS = [
 ]
 MODEL_ORDER = ["bronze", "dlq", *SILVER_MODELS, *GOLD_MODELS]
 
-BUILD_VERSION = "v2"
+def _code_version() -> str:
+    """Hash of the modules that shape the built tables: a code change
+    invalidates earlier builds in the shared folder."""
+    import cdcmart
+
+    base = os.path.dirname(cdcmart.__file__)
+    h = hashlib.sha1()
+    for rel in ("schemas.py", "sources/adapter.py", "sources/tables.py", "operators/cdc.py", "operators/silver.py",
+                "operators/gold.py", "operators/rules.py", "functions/columns.py", "plans/models.py"):
+        with open(os.path.join(base, rel), "rb") as fh:
+            h.update(fh.read())
+    return h.hexdigest()[:12]
+
+
+BUILD_VERSION = _code_version()
 
 
 def gold_from(t) -> dict[str, DataFrame]:
@@ -133,18 +147,23 @@ _LOCK = threading.Lock()
 _BUILT: dict[tuple, Warehouse] = {}
 
 
-def warehouse(spark: SparkSession, sf_dir: str, honor_deletes: bool = False) -> Warehouse:
+def warehouse(spark: SparkSession, sf_dir: str, honor_deletes: bool = False, fresh: bool = False) -> Warehouse:
     """The built warehouse for ``sf_dir`` in this session's shared folder.
 
-    Built once per (folder, options); later calls read the written tables.
+    Built once per (folder, options, code version); later calls read the
+    written tables. ``fresh`` forces a new build into a new folder.
     """
     real = os.path.realpath(sf_dir)
     key = (real, honor_deletes, work_dir(spark))
     with _LOCK:
         wh = _BUILT.get(key)
-        if wh is not None and wh.complete():
+        if wh is not None and wh.complete() and not fresh:
             return wh
         tag = hashlib.sha1(f"{real}|{honor_deletes}|{BUILD_VERSION}".encode()).hexdigest()[:12]
+        if fresh:
+            import uuid
+
+            tag = f"{tag}-{uuid.uuid4().hex[:8]}"
         root = f"{work_dir(spark)}/cdcmart-wh-{tag}"
         wh = Warehouse(spark, root)
         if not wh.complete():

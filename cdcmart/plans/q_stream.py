@@ -21,17 +21,35 @@ ROUTED_SCHEMA = (
 )
 
 
+_INGESTED: dict[tuple, str] = {}
+
+
 def _ingest(spark, sf_dir, files_per_batch: int = 8):
-    """Message log -> files -> streaming Bronze sink. Returns the base folder."""
+    """Message log -> files -> streaming Bronze sink. Returns the base folder.
+
+    The ingested Bronze folder is shared by the downstream streaming queries
+    of this session (each still runs its own streaming query over it)."""
+    import os
+
+    key = (os.path.realpath(sf_dir), cs.work_dir(spark))
+    if key in _INGESTED:
+        return _INGESTED[key]
     base = cs.scratch(spark, "stream")
     msgs = adapter.cdc_messages(adapter.source_tables(spark, sf_dir))
     msgs.write.mode("overwrite").parquet(f"{base}/in")
     s = cs.read_cdc(spark, f"{base}/in", fmt="binary", max_files=files_per_batch)
     q = cs.bronze_sink(s, f"{base}/out", f"{base}/ckpt_bronze", ingested_at=F.col("event_timestamp"))
     q.awaitTermination()
+    _INGESTED[key] = base
     return base
 
 
+def _fresh(base: str, name: str) -> str:
+    import uuid
+
+    return f"{base}/{name}-{uuid.uuid4().hex[:8]}"
+
+
 def _bronze_stream(spark, base, files_per_batch: int = 8):
     return (
         spark.readStream.schema(ROUTED_SCHEMA)
@@ -47,6 +65,7 @@ def _bronze_stream(spark, base, files_per_batch: int = 8):
 )
 def q_stream_bronze(spark, sf_dir):
     """Streaming ingest of the CDC message files into Bronze."""
+    _INGESTED.pop((__import__("os").path.realpath(sf_dir), cs.work_dir(spark)), None)  # always a new ingest
     base = _ingest(spark, sf_dir)
     out = spark.read.parquet(f"{base}/out")  # committed files only (sink log)
     return out.where(F.col("route") == "bronze").select("id", "event", "event_timestamp", "source_table", "source_schema")
@@ -56,11 +75,12 @@ def q_stream_bronze(spark, sf_dir):
 def q_stream_merge(spark, sf_dir):
     """Micro-batch Silver merge of the Bronze stream equals the batch build."""
     base = _ingest(spark, sf_dir)
-    merger = cs.SilverMerger(spark, f"{base}/silver", tables=["pulls"])
+    run = _fresh(base, "merge")
+    merger = cs.SilverMerger(spark, f"{run}/silver", tables=["pulls"])
     q = (
         _bronze_stream(spark, base, 4)
         .writeStream.foreachBatch(merger)
-        .option("checkpointLocation", f"{base}/ckpt_merge")
+        .option("checkpointLocation", f"{run}/ckpt")
         .trigger(availableNow=True)
         .start()
     )
@@ -75,11 +95,12 @@ def q_stream_merge(spark, sf_dir):
 def q_stream_merge_deletes(spark, sf_dir):
     """B9 in streaming: deletes kept as tombstones, hidden from the view."""
     base = _ingest(spark, sf_dir)
-    merger = cs.SilverMerger(spark, f"{base}/silver", tables=["pulls"], honor_deletes=True)
+    run = _fresh(base, "merge-deletes")
+    merger = cs.SilverMerger(spark, f"{run}/silver", tables=["pulls"], honor_deletes=True)
     q = (
         _bronze_stream(spark, base, 4)
         .writeStream.foreachBatch(merger)
-        .option("checkpointLocation", f"{base}/ckpt_merge")
+        .option("checkpointLocation", f"{run}/ckpt")
         .trigger(availableNow=True)
         .start()
     )
@@ -98,7 +119,8 @@ def q_stream_merge_deletes(spark, sf_dir):
 def q_stream_volume(spark, sf_dir):
     """Hourly event volume per table and kind from the Bronze stream."""
     base = _ingest(spark, sf_dir)
-    out = f"{base}/volume"
+    run = _fresh(base, "volume")
+    out = f"{run}/out"
 
     def write(batch, _bid):
         batch.write.mode("overwrite").parquet(out)
@@ -113,7 +135,7 @@ def q_stream_volume(spark, sf_dir):
     q = (
         agg.writeStream.outputMode("complete")
         .foreachBatch(write)
-        .option("checkpointLocation", f"{base}/ckpt_volume")
+        .option("checkpointLocation", f"{run}/ckpt")
         .trigger(availableNow=True)
         .start()
     )
