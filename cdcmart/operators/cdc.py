@@ -149,7 +149,9 @@ def by_table(df: DataFrame, table: str) -> DataFrame:
 BRONZE_COLS = ("id", "data", "event", "event_timestamp", "source_table", "source_schema", "ingested_at")
 
 
-def route(messages: DataFrame, value: str = "value", ingested_at: Column | None = None) -> DataFrame:
+def route(
+    messages: DataFrame, value: str = "value", ingested_at: Column | None = None, stable_keys: dict | None = None
+) -> DataFrame:
     """B1-B4 as ONE projection with a ``route`` column, no filter.
 
     route = 'bronze' (valid, normalised), 'dlq' (failed validation; carries
@@ -169,7 +171,7 @@ def route(messages: DataFrame, value: str = "value", ingested_at: Column | None
     e = extract(d)
     reason = _reason()
     stamp = ingested_at if ingested_at is not None else F.current_timestamp()
-    norm = _normal_cols()
+    norm = _normal_cols(stable_keys)
     r = F.when(F.col("msg").isNull(), F.lit("undecodable")).when(reason.isNull(), F.lit("bronze")).otherwise(F.lit("dlq"))
     out = e.select(
         r.alias("route"),
@@ -180,13 +182,21 @@ def route(messages: DataFrame, value: str = "value", ingested_at: Column | None
     return out.withColumn("ingested_at", F.when(F.col("route") == "bronze", stamp))
 
 
-def _normal_cols() -> list[tuple[str, Column]]:
+def _normal_cols(stable_keys: dict | None = None) -> list[tuple[str, Column]]:
+    """Normalised columns. ``stable_keys`` ({table: [key fields]}) gives
+    composite-key tables a Bronze id 'a:b' that does not change with every
+    update (the default, as in the source, is the row's sorted JSON dump)."""
     m = F.col("msg")
     op = v_str(F.col("_op"), "$")
     op_map = F.create_map(*[x for k, v in OP_EVENTS.items() for x in (F.lit(k), F.lit(v))])
     idv = v_get(F.col("_data"), "$.id")
+    table = v_str(m, "$.payload.source.table")
+    dump = F.col("_data_json")
+    for t, fields in (stable_keys or {}).items():
+        parts = [v_str(F.col("_data"), f"$.{f}") for f in fields]
+        dump = F.when(table == t, F.concat_ws(":", *parts)).otherwise(dump)
     key = (
-        F.when(idv.isNull(), F.col("_data_json"))
+        F.when(idv.isNull(), dump)
         .when(F.schema_of_variant(idv) == "VOID", F.lit("None"))
         .otherwise(v_str(F.col("_data"), "$.id"))
     )

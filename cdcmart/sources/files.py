@@ -61,3 +61,9 @@ def query(spark: SparkSession, sql: str, args: dict | None = None, **views: Data
     for name, df in views.items():
         df.createOrReplaceTempView(name)
     return spark.sql(sql, args=args or {})
+
+
+def write_dlq_json(dead_letters: DataFrame, path: str) -> None:
+    """A4: dead letters as JSON lines ``{"reason": ..., "raw": ...}``.
+    Pass materialised rows (e.g. the written ``route=dlq`` folder)."""
+    dead_letters.select(F.to_json(F.struct("reason", "raw")).alias("value")).write.mode("overwrite").text(path)

@@ -175,3 +175,21 @@ def merge_sink(bronze_stream: DataFrame, root: str, checkpoint: str, every: str
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder."""
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex[:10]}"
+
+
+def sessions(events: DataFrame, gap: str = "24 hours", key: str = "user_id", ts: str = "ts",
+             watermark: str | None = None) -> DataFrame:
+    """H7 on a stream: sliding-expiry sessions per key with ``session_window``
+    (a session closes ``gap`` after its last event). With ``watermark`` the
+    closed sessions can be emitted in append mode; without it (complete
+    mode) sessions merge across micro-batches however late events arrive."""
+    t = F.col(ts).cast("timestamp")
+    ev = events.withColumn("_t", t)
+    if watermark:
+        ev = ev.withWatermark("_t", watermark)
+    return (
+        ev
+        .groupBy(F.col(key).alias("session_key"), F.session_window("_t", gap).alias("s"))
+        .agg(F.count(F.lit(1)).alias("writes"))
+        .select("session_key", F.col("s.start").alias("session_start"), F.col("s.end").alias("expires_at"), "writes")
+    )
