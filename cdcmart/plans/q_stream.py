@@ -24,7 +24,7 @@ ROUTED_SCHEMA = (
 _INGESTED: dict[tuple, str] = {}
 
 
-def _ingest(spark, sf_dir, files_per_batch: int = 8):
+def _ingest(spark, sf_dir, files_per_batch: int = 16):
     """Message log -> files -> streaming Bronze sink. Returns the base folder.
 
     The ingested Bronze folder is shared by the downstream streaming queries
@@ -50,7 +50,7 @@ def _fresh(base: str, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:8]}"
 
 
-def _bronze_stream(spark, base, files_per_batch: int = 8):
+def _bronze_stream(spark, base, files_per_batch: int = 16):
     return (
         spark.readStream.schema(ROUTED_SCHEMA)
         .option("maxFilesPerTrigger", str(files_per_batch))
@@ -78,7 +78,7 @@ def q_stream_merge(spark, sf_dir):
     run = _fresh(base, "merge")
     merger = cs.SilverMerger(spark, f"{run}/silver", tables=["pulls"])
     q = (
-        _bronze_stream(spark, base, 4)
+        _bronze_stream(spark, base, 12)
         .writeStream.foreachBatch(merger)
         .option("checkpointLocation", f"{run}/ckpt")
         .trigger(availableNow=True)
@@ -98,7 +98,7 @@ def q_stream_merge_deletes(spark, sf_dir):
     run = _fresh(base, "merge-deletes")
     merger = cs.SilverMerger(spark, f"{run}/silver", tables=["pulls"], honor_deletes=True)
     q = (
-        _bronze_stream(spark, base, 4)
+        _bronze_stream(spark, base, 12)
         .writeStream.foreachBatch(merger)
         .option("checkpointLocation", f"{run}/ckpt")
         .trigger(availableNow=True)

@@ -193,3 +193,35 @@ def sessions(events: DataFrame, gap: str = "24 hours", key: str = "user_id", ts:
         .agg(F.count(F.lit(1)).alias("writes"))
         .select("session_key", F.col("s.start").alias("session_start"), F.col("s.end").alias("expires_at"), "writes")
     )
+
+
+class ProgressListener:
+    """Collects the ``cdc_progress`` metrics of every micro-batch.
+
+    Register with ``spark.streams.addListener(ProgressListener.create())``;
+    ``batches`` holds (batch id, metrics dict) in arrival order.
+    """
+
+    @staticmethod
+    def create():
+        from pyspark.sql.streaming import StreamingQueryListener
+
+        class _L(StreamingQueryListener):
+            def __init__(self):
+                self.batches = []
+
+            def onQueryStarted(self, event):
+                pass
+
+            def onQueryProgress(self, event):
+                m = event.progress.observedMetrics.get("cdc_progress")
+                if m is not None:
+                    self.batches.append((event.progress.batchId, m.asDict()))
+
+            def onQueryIdle(self, event):
+                pass
+
+            def onQueryTerminated(self, event):
+                pass
+
+        return _L()
