@@ -104,6 +104,9 @@ def global_rank(df: DataFrame, order: str, by: str, partitions: int | None = Non
         .sortWithinPartitions(by, order)
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_mid", F.monotonically_increasing_id())
+        # Range bounds are sampled per execution: checkpoint so that the counts
+        # and the rows below see one partition layout.
+        .checkpoint(eager=True)
     )
     # Inside a partition the rows of one group are contiguous and sorted.
     counts = ranged.groupBy(by, "_pid").agg(F.count(F.lit(1)).alias("_c"), F.min("_mid").alias("_first"))
