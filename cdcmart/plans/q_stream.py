@@ -145,20 +145,20 @@ def q_stream_volume(spark, sf_dir):
 
 @register("stream_watchlist", f"SELECT * FROM {W_STATE}")
 def q_stream_watchlist(spark, sf_dir):
-    """Stateful watchlist (applyInPandasWithState) over the command log."""
+    """Watchlist state over the command stream (update-mode streaming
+    aggregation; the pandas stateful variant is ``watchlist_updates``)."""
     base = cs.scratch(spark, "watch")
     ticker.watch_commands(load(spark, sf_dir, "events")).repartition(16).write.parquet(f"{base}/in")
     cmds = (
         spark.readStream.schema("seq long, client_id long, repo string, op string")
-        .option("maxFilesPerTrigger", "4")
+        .option("maxFilesPerTrigger", "6")
         .parquet(f"{base}/in")
     )
     q = (
-        wl.watchlist_updates(cmds)
-        .writeStream.format("parquet")
-        .option("path", f"{base}/updates")
+        wl.watchlist_changes(cmds)
+        .writeStream.outputMode("update")
+        .foreachBatch(wl.append_batches(f"{base}/updates"))
         .option("checkpointLocation", f"{base}/ckpt")
-        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )

@@ -47,6 +47,25 @@ def watchlist_updates(commands: DataFrame) -> DataFrame:
     )
 
 
+def watchlist_changes(commands: DataFrame) -> DataFrame:
+    """H11, JVM-side: the last command per (client, repo) as a streaming
+    aggregation (state store, no Python); run in update mode so each
+    micro-batch emits only the pairs it changed."""
+    return commands.groupBy("client_id", "repo").agg(
+        (F.max_by("op", "seq") == "subscribe").alias("subscribed"), F.max("seq").alias("seq")
+    )
+
+
+def append_batches(path: str):
+    """foreachBatch writer: one folder per batch id, so a replayed batch
+    overwrites its own output (idempotent)."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return write
+
+
 def current_state(updates: DataFrame) -> DataFrame:
     """Watch pairs from the collected update rows (latest per pair)."""
     last = updates.groupBy("client_id", "repo").agg(F.max_by("subscribed", "seq").alias("_s"))

@@ -62,3 +62,20 @@ def test_stream_helpers(spark):
     q.awaitTermination()
     got = {r["window_start"].hour: r["events"] for r in spark.table("vol_t").collect()}
     assert got == {0: 7, 1: 6}
+
+
+def test_pandas_stateful_watchlist(spark):
+    from cdcmart.streaming import watchlist as wl
+
+    base = tempfile.mkdtemp(prefix="cdcmart-watch-")
+    rows = [(1, 0, "r1", "subscribe"), (2, 0, "r2", "subscribe"), (3, 0, "r2", "unsubscribe"), (4, 1, "r1", "subscribe"),
+            (5, 0, "r2", "subscribe"), (6, 1, "r1", "unsubscribe"), (2, 0, "r2", "subscribe")]
+    for i, r in enumerate(rows):
+        spark.createDataFrame([r], "seq long, client_id long, repo string, op string").write.parquet(f"{base}/in/{i}")
+    cmds = spark.readStream.schema("seq long, client_id long, repo string, op string").option(
+        "maxFilesPerTrigger", "2").option("recursiveFileLookup", "true").parquet(f"{base}/in")
+    q = (wl.watchlist_updates(cmds).writeStream.format("parquet").option("path", f"{base}/out")
+         .option("checkpointLocation", f"{base}/ck").outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    st = {(r["client_id"], r["repo"]) for r in wl.current_state(spark.read.parquet(f"{base}/out")).collect()}
+    assert st == {(0, "r1"), (0, "r2")}
