@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -115,31 +115,28 @@ def agg_player_spending(fact: DataFrame, fact_tx: DataFrame) -> DataFrame:
 def dim_players_scd2(bronze: DataFrame) -> DataFrame:
     """SCD2 player history on region from the Bronze log.
 
-    A version starts where the region differs from the previous version of
-    the same player (``lag``); it ends at the next version's start (``lead``).
-    Windows are per player: a player has few versions, and only the rows
-    that change the region survive the first filter... after the lag.
+    A version starts where the region differs from the previous change of
+    the same player (``lag``) and ends at the next version's start (``lead``).
+    The windows are per player over that player's change events only.
     """
-    from cdcmart.operators.silver import json_fields  # noqa: F401  (kept for symmetry)
+    from cdcmart.operators.scan import segmented_scan
 
     j = F.from_json("data", "id string, region string, username string")
     rows = (
         bronze.where((F.col("source_table") == "players") & F.col("event").isin("insert", "update"))
-        .select(j.alias("_j"), "event_timestamp", "ingested_at")
+        .select(j.alias("_j"), "event_timestamp", "ingested_at", "data")
         .select(F.col("_j.id").alias("player_id"), F.col("_j.region").alias("region"),
-                F.col("_j.username").alias("username"), "event_timestamp", "ingested_at")
+                F.col("_j.username").alias("username"), "event_timestamp", "ingested_at", "data")
     )
-    w = Window.partitionBy("player_id").orderBy("event_timestamp", "ingested_at")
-    changed = rows.withColumn("_prev", F.lag("region").over(w)).where(
-        F.col("_prev").isNull() | (F.col("_prev") != F.col("region"))
+    order = ["event_timestamp", "ingested_at", "data"]
+    # Skew-safe lag / lead: segmented scans forward and backward in time.
+    prev = segmented_scan(rows, ["player_id"], order, {"_prev": ("last", F.col("region"), False)})
+    changed = prev.where(F.col("_prev").isNull() | (F.col("_prev") != F.col("region"))).drop("_prev")
+    nxt = segmented_scan(
+        changed, ["player_id"], [F.desc(c) for c in order], {"valid_to": ("last", F.col("event_timestamp"), False)}
     )
-    w2 = Window.partitionBy("player_id").orderBy("event_timestamp", "ingested_at")
-    return changed.select(
-        "player_id",
-        "username",
-        "region",
-        F.col("event_timestamp").alias("valid_from"),
-        F.lead("event_timestamp").over(w2).alias("valid_to"),
+    return nxt.select(
+        "player_id", "username", "region", F.col("event_timestamp").alias("valid_from"), "valid_to"
     ).withColumn("is_current", F.col("valid_to").isNull())
 
 

@@ -47,7 +47,8 @@ def segmented_scan(
     Results equal ``agg(value) OVER (PARTITION BY keys ORDER BY order ROWS
     BETWEEN UNBOUNDED PRECEDING AND {CURRENT ROW | 1 PRECEDING})``, with
     ``count`` of an empty frame = 0 (``sum``/``max``/``last`` give null).
-    ``order`` must make rows unique within a key.
+    ``order`` (names or sort Columns, e.g. ``F.desc(c)``) must make rows
+    unique within a key.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -41,3 +41,20 @@ def test_scan_matches_window(spark):
         g = got[r["t"]]
         for c in specs:
             assert g[c] == r[c], (r["t"], c, g[c], r[c])
+
+
+def test_scd2_versions(spark):
+    import datetime as dt
+    import json
+
+    from cdcmart.operators.gold import dim_players_scd2
+
+    t0 = dt.datetime(2024, 1, 1)
+    ev = [("1", "EU"), ("1", "EU"), ("1", "NA"), ("2", "ASIA"), ("1", "EU")]
+    rows = [(p, json.dumps({"id": p, "region": r, "username": "u" + p}), "update", t0 + dt.timedelta(hours=i), "players",
+             "public", t0 + dt.timedelta(hours=i)) for i, (p, r) in enumerate(ev)]
+    b = spark.createDataFrame(rows, "id string, data string, event string, event_timestamp timestamp, "
+                                    "source_table string, source_schema string, ingested_at timestamp")
+    got = sorted((r["player_id"], r["region"], r["valid_from"].hour, r["valid_to"].hour if r["valid_to"] else None)
+                 for r in dim_players_scd2(b).collect())
+    assert got == [("1", "EU", 0, 2), ("1", "EU", 4, None), ("1", "NA", 2, 4), ("2", "ASIA", 3, None)]
