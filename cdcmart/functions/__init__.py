@@ -3,6 +3,7 @@ from cdcmart.functions.columns import (
     epoch_day,
     json_bool,
     pct,
+    template,
     typed,
     v_falsy,
     v_get,
@@ -16,6 +17,7 @@ __all__ = [
     "epoch_day",
     "json_bool",
     "pct",
+    "template",
     "typed",
     "v_falsy",
     "v_get",

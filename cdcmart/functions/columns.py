@@ -94,3 +94,24 @@ def composite_key(*cols: Column | str, sep: str = ":") -> Column:
 def pct(part: Column, whole: Column, digits: int = 2) -> Column:
     """round(part * 100.0 / whole, digits) as DOUBLE."""
     return F.round(part.cast("double") * 100.0 / whole, digits)
+
+
+def template(text: str, **cols) -> Column:
+    """Fill ``{name}`` placeholders of a fixed text with columns (or values).
+
+    Braces that do not wrap a name (e.g. ``{}``) are kept as text. The result
+    is null when a filled column is null, like SQL ``concat``.
+    """
+    import re
+
+    parts: list[Column] = []
+    pos = 0
+    for m in re.finditer(r"\{(\w+)\}", text):
+        if m.start() > pos:
+            parts.append(F.lit(text[pos : m.start()]))
+        c = cols[m.group(1)]
+        parts.append(c if isinstance(c, Column) else F.lit(str(c)))
+        pos = m.end()
+    if pos < len(text):
+        parts.append(F.lit(text[pos:]))
+    return F.concat(*parts) if len(parts) > 1 else parts[0]

@@ -10,9 +10,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cdcmart.functions.columns import v_falsy, v_get, v_present, v_str
+from cdcmart.functions.columns import template, v_falsy, v_get, v_present, v_str
 from cdcmart.schemas import OP_EVENTS, REQUIRED_PAYLOAD_KEYS
 
+# ---------------------------------------------------------------------------
+# FIXED VALUES: dead-letter reasons, in rule order ({name} = filled in)
+# ---------------------------------------------------------------------------
+REASONS = {
+    "no_payload": "missing payload",
+    "no_key": "missing payload.{key}",
+    "source_not_object": "payload.source is not an object",
+    "no_table": "missing payload.source.table",
+    "no_schema": "missing payload.source.schema",
+    "no_before": "delete event missing payload.before",
+    "no_after": "op={op} missing payload.after",
+}
+
 
 def decode(df: DataFrame, value: str = "value") -> DataFrame:
     """B1: UTF-8 decode + JSON parse; undecodable messages are dropped.
@@ -90,16 +103,16 @@ def _reason() -> Column:
     data_falsy = _json_falsy(F.col("_data"), F.col("_data_json"))
     # A truthy payload that is not an object has none of the keys; a root
     # that is not an object has no payload.
-    chain = F.when(payload_falsy, F.lit("missing payload"))
+    chain = F.when(payload_falsy, F.lit(REASONS["no_payload"]))
     for key, c in zip(REQUIRED_PAYLOAD_KEYS, (op_v, source, F.col("_ts"))):
-        chain = chain.when(c.isNull(), F.lit(f"missing payload.{key}"))
+        chain = chain.when(c.isNull(), F.lit(REASONS["no_key"].format(key=key)))
     src_obj = F.col("_tbl") | F.col("_sch") | F.schema_of_variant(source).startswith("OBJECT")
     return (
-        chain.when(~src_obj, F.lit("payload.source is not an object"))
-        .when(~F.col("_tbl"), F.lit("missing payload.source.table"))
-        .when(~F.col("_sch"), F.lit("missing payload.source.schema"))
-        .when(is_del & data_falsy, F.lit("delete event missing payload.before"))
-        .when(~is_del & data_falsy, F.concat(F.lit("op="), op_repr, F.lit(" missing payload.after")))
+        chain.when(~src_obj, F.lit(REASONS["source_not_object"]))
+        .when(~F.col("_tbl"), F.lit(REASONS["no_table"]))
+        .when(~F.col("_sch"), F.lit(REASONS["no_schema"]))
+        .when(is_del & data_falsy, F.lit(REASONS["no_before"]))
+        .when(~is_del & data_falsy, template(REASONS["no_after"], op=op_repr))
     )
 
 

@@ -9,10 +9,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cdcmart.functions.columns import template
 from cdcmart.sources.governed_inputs import TERMINAL_STATUSES, VALID_STATUSES
 
 _VALID_SORTED = ", ".join(sorted(VALID_STATUSES))
 
+# ---------------------------------------------------------------------------
+# FIXED VALUES: response texts of the governed tools ({name} = filled in)
+# ---------------------------------------------------------------------------
+TEXTS = {
+    "status_filter_invalid": "[ERROR] '{status}' is not valid. Choose from: {valid}",
+    "moved": "[OK] {name} moved '{old}' → '{new}' (mutation #{n} this run)",
+    "no_permission": "[DENIED] {user} ({role}) does not have permission to change applicant status.",
+    "cap_reached": "[STOPPED] Mutation cap of {cap} reached. No further changes allowed this run.",
+    "status_invalid": "[ERROR] '{new}' is not a valid status.",
+    "not_in_tenant": "[DENIED] Application '{app}' not found or belongs to another company.",
+    "operator_denied": "[DENIED by operator] '{new}' transition for {name} was rejected.",
+    "tables": "Tables in {dataset}: {tables}",
+    "access_denied": "Access denied: no permission for `{dataset}`",
+    "unknown_key": "Unknown department: {key}. Valid: {valid}",
+}
+
 
 def _valid(c: Column) -> Column:
     return c.isin(*VALID_STATUSES)
@@ -37,9 +54,7 @@ def tenant_applicants(requests: DataFrame, users: DataFrame, apps: DataFrame) ->
         F.lit(None).cast("string").alias("name"),
         F.lit(None).cast("string").alias("status"),
         F.lit(None).cast("double").alias("role_fit_score"),
-        F.concat(F.lit("[ERROR] '"), F.col("status_filter"), F.lit(f"' is not valid. Choose from: {_VALID_SORTED}")).alias(
-            "error"
-        ),
+        template(TEXTS["status_filter_invalid"], status=F.col("status_filter"), valid=_VALID_SORTED).alias("error"),
     )
     good = r.where(F.col("status_filter").isNull() | _valid(F.col("status_filter")))
     a = apps.select(
@@ -140,8 +155,8 @@ def access_check(requests: DataFrame, grants: DataFrame, catalog: DataFrame) ->
     tables = catalog.groupBy("dataset").agg(F.array_join(F.array_sort(F.collect_list("table_name")), ", ").alias("_t"))
     r = requests.join(g, ["user_id", "dataset"], "left").join(F.broadcast(tables), "dataset", "left")
     allowed = F.coalesce(F.col("_ok"), F.lit(False))
-    msg = F.when(allowed, F.concat(F.lit("Tables in "), F.col("dataset"), F.lit(": "), F.coalesce(F.col("_t"), F.lit(""))))
-    msg = msg.otherwise(F.concat(F.lit("Access denied: no permission for `"), F.col("dataset"), F.lit("`")))
+    msg = F.when(allowed, template(TEXTS["tables"], dataset=F.col("dataset"), tables=F.coalesce(F.col("_t"), F.lit(""))))
+    msg = msg.otherwise(template(TEXTS["access_denied"], dataset=F.col("dataset")))
     return r.select("request_id", "user_id", "dataset", allowed.alias("allowed"), msg.alias("message"))
 
 
@@ -239,7 +254,7 @@ def entity_metrics(requests: DataFrame, metrics: DataFrame) -> DataFrame:
             F.col("headcount").cast("string"), F.lit(" active ("), pct.cast("string"), F.lit("%), "),
             (F.col("headcount") - F.col("active_today")).cast("string"), F.lit(" inactive"),
         ),
-    ).otherwise(F.concat(F.lit("Unknown department: "), F.col("_key"), F.lit(". Valid: "), valid))
+    ).otherwise(template(TEXTS["unknown_key"], key=F.col("_key"), valid=valid))
     return j.select(
         "request_id",
         F.col("_key").alias("department"),
@@ -314,19 +329,16 @@ def status_changes(requests: DataFrame, apps: DataFrame, users: DataFrame, cap:
     rest = j.where(F.col("outcome") != "OK").withColumn("old_status", F.lit(None).cast("string"))
     res = oks.unionByName(rest)
     name = F.concat(F.col("first_name"), F.lit(" "), F.col("last_name"))
+    new = F.col("new_status")
     msg = (
-        F.when(F.col("outcome") == "OK", F.concat(
-            F.lit("[OK] "), name, F.lit(" moved '"), F.col("old_status"), F.lit("' → '"), F.col("new_status"),
-            F.lit("' (mutation #"), F.col("mutation_no").cast("string"), F.lit(" this run)")))
-        .when((F.col("outcome") == "DENIED") & ~can, F.concat(
-            F.lit("[DENIED] "), F.col("user_id"), F.lit(" ("), F.coalesce(F.col("role"), F.lit("unknown")),
-            F.lit(") does not have permission to change applicant status.")))
-        .when(F.col("outcome") == "STOPPED", F.lit(f"[STOPPED] Mutation cap of {cap} reached. No further changes allowed this run."))
-        .when(F.col("outcome") == "ERROR", F.concat(F.lit("[ERROR] '"), F.col("new_status"), F.lit("' is not a valid status.")))
-        .when(F.col("outcome") == "DENIED", F.concat(
-            F.lit("[DENIED] Application '"), F.col("application_id"), F.lit("' not found or belongs to another company.")))
-        .otherwise(F.concat(F.lit("[DENIED by operator] '"), F.col("new_status"), F.lit("' transition for "), name,
-                            F.lit(" was rejected.")))
+        F.when(F.col("outcome") == "OK", template(
+            TEXTS["moved"], name=name, old=F.col("old_status"), new=new, n=F.col("mutation_no").cast("string")))
+        .when((F.col("outcome") == "DENIED") & ~can, template(
+            TEXTS["no_permission"], user=F.col("user_id"), role=F.coalesce(F.col("role"), F.lit("unknown"))))
+        .when(F.col("outcome") == "STOPPED", template(TEXTS["cap_reached"], cap=cap))
+        .when(F.col("outcome") == "ERROR", template(TEXTS["status_invalid"], new=new))
+        .when(F.col("outcome") == "DENIED", template(TEXTS["not_in_tenant"], app=F.col("application_id")))
+        .otherwise(template(TEXTS["operator_denied"], new=new, name=name))
     )
     return res.select(
         "request_id", "run_id", "user_id", "application_id", "new_status", "outcome",

@@ -11,9 +11,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# FIXED VALUES: tools used by assistant steps (by turn).
+from cdcmart.functions.columns import template
+
+# Tools used by assistant steps (by turn) in the history built from chats.
 TOOLS = ["query_department", "calculate", "search"]
 
+# ---------------------------------------------------------------------------
+# FIXED VALUES: compaction phrases and trace labels per action
+# ({name} = filled in; "*" = any other action)
+# ---------------------------------------------------------------------------
+PHRASES = {
+    "USE_TOOL": "Used {tool}",
+    "ASK_USER": "Asked user, got: {result}",
+    "USER_CORRECTION": "User corrected: {result}",
+    "FINAL_ANSWER": "Gave answer",
+    "COMPACTED_SUMMARY": "{summary}",
+    "*": "{action}: {result}",
+}
+SUMMARY = "Previously: {parts}."
+LABELS = {
+    "USE_TOOL": "USE_TOOL: {tool}({})",
+    "ASK_USER": 'ASK_USER: "{result}"',
+    "USER_CORRECTION": 'USER_CORRECTION: "{result}"',
+    "FINAL_ANSWER": "FINAL_ANSWER",
+    "*": "{action}",
+}
+STEP_LINE = "  Step {n}: {label}"
+ARROW = "\n    ↓\n"
+TOTAL_LINE = "\n\nTotal steps: {n}"
+
+
+def _by_action(table: dict, action: Column, tool: Column, result: Column) -> Column:
+    fill = {
+        "tool": F.coalesce(tool, F.lit("?")),
+        "result": F.coalesce(result, F.lit("?")),
+        "summary": F.coalesce(result, F.lit("")),
+        "action": action,
+    }
+    expr = None
+    for act, text in table.items():
+        if act == "*":
+            continue
+        names = [k for k in fill if "{" + k + "}" in text]
+        val = template(text, **{k: fill[k] for k in names})
+        expr = F.when(action == act, val) if expr is None else expr.when(action == act, val)
+    other = table["*"]
+    return expr.otherwise(template(other, **{k: fill[k] for k in fill if "{" + k + "}" in other}))
+
 
 def history_from_conversations(conversations: DataFrame) -> DataFrame:
     """Steps from chat turns: user -> ASK_USER, assistant -> USE_TOOL, system -> USER_CORRECTION."""
@@ -32,14 +76,7 @@ def history_from_conversations(conversations: DataFrame) -> DataFrame:
 
 def step_phrase(action: Column, tool: Column, result: Column) -> Column:
     """Summary phrase of one step (compaction wording)."""
-    return (
-        F.when(action == "USE_TOOL", F.concat(F.lit("Used "), F.coalesce(tool, F.lit("?"))))
-        .when(action == "ASK_USER", F.concat(F.lit("Asked user, got: "), F.coalesce(result, F.lit("?"))))
-        .when(action == "USER_CORRECTION", F.concat(F.lit("User corrected: "), F.coalesce(result, F.lit("?"))))
-        .when(action == "FINAL_ANSWER", F.lit("Gave answer"))
-        .when(action == "COMPACTED_SUMMARY", F.coalesce(result, F.lit("")))
-        .otherwise(F.concat(action, F.lit(": "), F.coalesce(result, F.lit("?"))))
-    )
+    return _by_action(PHRASES, action, tool, result)
 
 
 def compact_history(history: DataFrame, threshold: int = 5, keep: int = 3) -> DataFrame:
@@ -76,7 +113,7 @@ def compact_history(history: DataFrame, threshold: int = 5, keep: int = 3) -> Da
             "seq",
             F.lit("COMPACTED_SUMMARY").alias("action"),
             F.lit(None).cast("string").alias("tool"),
-            F.concat(F.lit("Previously: "), F.array_join(F.transform("_l", lambda x: x["p"]), ". "), F.lit(".")).alias("result"),
+            template(SUMMARY, parts=F.array_join(F.transform("_l", lambda x: x["p"]), ". ")).alias("result"),
             "compacted_count",
         )
     )
@@ -84,13 +121,7 @@ def compact_history(history: DataFrame, threshold: int = 5, keep: int = 3) -> Da
 
 
 def step_label(action: Column, tool: Column, result: Column) -> Column:
-    return (
-        F.when(action == "USE_TOOL", F.concat(F.lit("USE_TOOL: "), F.coalesce(tool, F.lit("?")), F.lit("({})")))
-        .when(action == "ASK_USER", F.concat(F.lit('ASK_USER: "'), F.coalesce(result, F.lit("?")), F.lit('"')))
-        .when(action == "USER_CORRECTION", F.concat(F.lit('USER_CORRECTION: "'), F.coalesce(result, F.lit("?")), F.lit('"')))
-        .when(action == "FINAL_ANSWER", F.lit("FINAL_ANSWER"))
-        .otherwise(action)
-    )
+    return _by_action(LABELS, action, tool, result)
 
 
 def execution_trace(history: DataFrame) -> DataFrame:
@@ -99,11 +130,11 @@ def execution_trace(history: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_steps"),
         F.array_sort(F.collect_list(F.struct("seq", step_label(F.col("action"), F.col("tool"), F.col("result")).alias("l")))).alias("_l"),
     )
-    lines = F.transform("_l", lambda x, i: F.concat(F.lit("  Step "), (i + 1).cast("string"), F.lit(": "), x["l"]))
+    lines = F.transform("_l", lambda x, i: template(STEP_LINE, n=(i + 1).cast("string"), label=x["l"]))
     return g.select(
         "session_id",
         "total_steps",
-        F.concat(F.array_join(lines, "\n    ↓\n"), F.lit("\n\nTotal steps: "), F.col("total_steps").cast("string")).alias("trace"),
+        F.concat(F.array_join(lines, ARROW), template(TOTAL_LINE, n=F.col("total_steps").cast("string"))).alias("trace"),
     )
 
 

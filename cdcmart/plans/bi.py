@@ -53,7 +53,7 @@ def rarity_dist(t: Tables) -> DataFrame:
         t("fact_pulls")
         .groupBy("rarity")
         .agg(F.count(F.lit(1)).alias("pulls"))
-        .orderBy(_rank(F.col("rarity"), ["SSR", "SR", "R"]).asc_nulls_last())
+        .orderBy(_rank(F.col("rarity"), RARITY_ORDER).asc_nulls_last())
     )
 
 
@@ -112,6 +112,11 @@ def unluckiest(t: Tables, n: int = 20) -> DataFrame:
     return _luck(t, False, n)
 
 
+# ---------------------------------------------------------------------------
+# FIXED VALUES: dashboard labels and bucket bounds
+# ---------------------------------------------------------------------------
+RARITY_ORDER = ["SSR", "SR", "R"]
+FIFTY_FIFTY = {True: "Won 50/50", False: "Lost 50/50 (guaranteed)"}
 PITY_BUCKETS = [
     (1, 10, "1-10 (early)"),
     (11, 30, "11-30"),
@@ -119,6 +124,11 @@ PITY_BUCKETS = [
     (51, 73, "51-73"),
     (74, 89, "74-89 (soft pity)"),
 ]
+HARD_PITY_BUCKET = (90, "90 (hard pity)")
+TIERS = ["F2P", "Minnow (<$50)", "Dolphin ($50-200)", "Whale ($200+)"]
+TIER_BOUNDS = [0, 50, 200]  # = 0, < 50, < 200, else
+COLLECTION = ["1-4", "5-9", "10-14", "15-20", "Complete (21/21)"]
+COLLECTION_BOUNDS = [5, 10, 15, 21]  # >= bound moves to the next range
 
 
 def pity_bucket(c) -> F.Column:
@@ -126,7 +136,7 @@ def pity_bucket(c) -> F.Column:
     for lo, hi, label in PITY_BUCKETS:
         cond = c.between(lo, hi)
         expr = F.when(cond, label) if expr is None else expr.when(cond, label)
-    return expr.when(c >= 90, "90 (hard pity)")
+    return expr.when(c >= HARD_PITY_BUCKET[0], HARD_PITY_BUCKET[1])
 
 
 def pity_histogram(t: Tables) -> DataFrame:
@@ -157,7 +167,7 @@ def high_pity_players(t: Tables, min_pity: int = 75, n: int = 20) -> DataFrame:
 
 def fifty_fifty(t: Tables) -> DataFrame:
     """Label kept as in the dashboards (the flag means guaranteed or permanent)."""
-    label = F.when(F.col("is_guaranteed"), "Won 50/50").otherwise("Lost 50/50 (guaranteed)")
+    label = F.when(F.col("is_guaranteed"), FIFTY_FIFTY[True]).otherwise(FIFTY_FIFTY[False])
     return t("fact_pulls").where(_ssr()).groupBy(label.alias("outcome")).agg(F.count(F.lit(1)).alias("ssr_pulls"))
 
 
@@ -181,13 +191,11 @@ def whales(t: Tables, n: int = 20) -> DataFrame:
     )
 
 
-TIERS = ["F2P", "Minnow (<$50)", "Dolphin ($50-200)", "Whale ($200+)"]
-
-
 def spender_tiers(t: Tables) -> DataFrame:
     """E12"""
     s = F.col("total_usd_spent")
-    tier = F.when(s == 0, TIERS[0]).when(s < 50, TIERS[1]).when(s < 200, TIERS[2]).otherwise(TIERS[3])
+    lo, mid, hi = TIER_BOUNDS
+    tier = F.when(s == lo, TIERS[0]).when(s < mid, TIERS[1]).when(s < hi, TIERS[2]).otherwise(TIERS[3])
     return (
         t("agg_player_spending")
         .groupBy(tier.alias("tier"))
@@ -270,19 +278,14 @@ def ssr_characters(t: Tables) -> DataFrame:
     )
 
 
-COLLECTION = ["1-4", "5-9", "10-14", "15-20", "Complete (21/21)"]
-
-
 def collection(t: Tables) -> DataFrame:
     """E18"""
     u = F.col("unique_characters")
-    rng = (
-        F.when(u >= 21, COLLECTION[4])
-        .when(u >= 15, COLLECTION[3])
-        .when(u >= 10, COLLECTION[2])
-        .when(u >= 5, COLLECTION[1])
-        .otherwise(COLLECTION[0])
-    )
+    rng = None
+    for i in range(len(COLLECTION_BOUNDS) - 1, -1, -1):
+        cond = u >= COLLECTION_BOUNDS[i]
+        rng = F.when(cond, COLLECTION[i + 1]) if rng is None else rng.when(cond, COLLECTION[i + 1])
+    rng = rng.otherwise(COLLECTION[0])
     return (
         t("agg_player_spending")
         .groupBy(rng.alias("collection_range"))
