@@ -93,12 +93,15 @@ def name_lookup(lookups: DataFrame, users: DataFrame, apps: DataFrame, gram: int
         F.lower(F.concat(F.col("first_name"), F.lit(" "), F.col("last_name"))).alias("_name"),
     )
     # Index: (tenant, length, substring) for every start position and length 1..gram.
+    min_glen = probe.where(F.col("_len") > 0).select(F.coalesce(F.min("_glen"), F.lit(gram))).scalar()
     starts = F.sequence(F.lit(1), F.greatest(F.length("_name"), F.lit(1)))
     lens = F.sequence(F.lit(1), F.lit(gram))
     idx = (
         a.select("application_id", "tenant", "_name", F.explode(starts).alias("_p"))
         .select("application_id", "tenant", "_name", "_p", F.explode(lens).alias("_glen"))
         .where(F.col("_p") + F.col("_glen") - 1 <= F.length("_name"))
+        # only the probe lengths some term uses (usually just ``gram``)
+        .where(F.col("_glen") >= min_glen)
         .select("application_id", "tenant", "_name", "_glen", F.substring("_name", F.col("_p"), F.col("_glen")).alias("_g"))
         .dropDuplicates(["application_id", "_glen", "_g"])
     )

@@ -64,11 +64,16 @@ def work_dir(spark: SparkSession) -> str:
     Read from ``spark.checkpoint.dir``; only when the session has none (local
     tests) is a fresh folder under the system temp dir chosen and recorded.
     """
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a remote (Connect) session has no local context
+        sc = None
+    path = (sc.getConf().get("spark.checkpoint.dir", None) if sc is not None else None) or spark.conf.get(
+        "spark.checkpoint.dir", None
+    )
     if not path:
         path = tempfile.mkdtemp(prefix="cdcmart-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
+    if sc is not None and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(path)
     return path.rstrip("/")
