@@ -39,11 +39,11 @@ def overview(t: Tables) -> DataFrame:
 
 
 def total_spent(t: Tables) -> DataFrame:
-    """E2"""
+    """E2 (currency, rounded to cents as displayed)."""
     return (
         t("fact_transactions")
         .where(F.col("payment_status") == "success")
-        .agg(F.coalesce(F.sum("amount_usd"), F.lit(0.0)).alias("total_revenue_usd"))
+        .agg(F.round(F.coalesce(F.sum("amount_usd"), F.lit(0.0)), 2).alias("total_revenue_usd"))
     )
 
 

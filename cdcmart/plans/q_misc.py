@@ -214,7 +214,7 @@ def _sig(x):
     return SIG.format(x=f"({x})")
 
 
-REG = """(SELECT year(l_shipdate) AS period, l_extendedprice AS y, l_quantity AS x1, l_discount AS x2, l_tax AS x3
+REG = """(SELECT CAST(year(l_shipdate) AS INTEGER) AS period, l_extendedprice AS y, l_quantity AS x1, l_discount AS x2, l_tax AS x3
           FROM lineitem)"""
 
 

@@ -171,8 +171,9 @@ def q_gold_banner_perf(spark, sf_dir):
 @register(
     "gold_dim_date",
     """
-    SELECT d AS date_day, year(d) AS year, quarter(d) AS quarter, month(d) AS month,
-           day(d) AS day_of_month, dayofweek(d) + 1 AS day_of_week, dayofweek(d) IN (0, 6) AS is_weekend
+    SELECT d AS date_day, CAST(year(d) AS INTEGER) AS year, CAST(quarter(d) AS INTEGER) AS quarter,
+           CAST(month(d) AS INTEGER) AS month, CAST(day(d) AS INTEGER) AS day_of_month,
+           CAST(dayofweek(d) + 1 AS INTEGER) AS day_of_week, dayofweek(d) IN (0, 6) AS is_weekend
     FROM (SELECT CAST(unnest(generate_series(CAST(min(pulled_at) AS DATE), CAST(max(pulled_at) AS DATE),
                                              INTERVAL 1 DAY)) AS DATE) AS d FROM fact_pulls)""",
 )
@@ -207,7 +208,7 @@ BI_SQL = {
                CAST(sum(crystals_spent) AS BIGINT) AS total_crystals_spent
         FROM fact_pulls""",
     "total_spent": """
-        SELECT coalesce(sum(amount_usd), 0) AS total_revenue_usd FROM fact_transactions
+        SELECT round(coalesce(sum(amount_usd), 0), 2) AS total_revenue_usd FROM fact_transactions
         WHERE payment_status = 'success'""",
     "rarity_dist": "SELECT rarity, count(*) AS pulls FROM fact_pulls GROUP BY rarity",
     "region_pulls": f"""
