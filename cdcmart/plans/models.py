@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cdcmart.operators import cdc, gold, silver
-from cdcmart.session import work_dir
+from cdcmart.session import path_exists, work_dir
 from cdcmart.sources import adapter
 
 # Topological order of the models.
@@ -106,6 +106,8 @@ class Warehouse:
     def complete(self) -> bool:
         """True when the build marker (written last) is readable. Uses Spark's
         file system layer, so it works for any shared-folder scheme."""
+        if not path_exists(self.spark, self.path("_build_ok")):
+            return False
         try:
             row = self.spark.read.text(self.path("_build_ok")).first()
         except Exception:

@@ -77,3 +77,15 @@ def work_dir(spark: SparkSession) -> str:
     if sc is not None and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path.rstrip("/")
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists: a local check for local folders, otherwise a
+    Spark read of the path (works for any file system Spark can reach)."""
+    if "://" not in path or path.startswith("file:"):
+        return os.path.exists(path.replace("file://", "", 1) if path.startswith("file://") else path.replace("file:", "", 1))
+    try:
+        spark.read.format("binaryFile").load(path).limit(1).count()
+        return True
+    except Exception:
+        return False

@@ -20,7 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from cdcmart.operators import cdc, silver
 from cdcmart.schemas import SILVER_SPECS
-from cdcmart.session import work_dir
+from cdcmart.session import path_exists, work_dir
 
 
 def read_cdc(spark: SparkSession, path: str | None = None, fmt: str = "text", kafka: dict | None = None,
@@ -127,6 +127,8 @@ class SilverMerger:
         self.honor_deletes = honor_deletes
 
     def state(self, table: str) -> DataFrame | None:
+        if not path_exists(self.spark, f"{self.root}/{table}/_current"):
+            return None
         try:
             v = self.spark.read.text(f"{self.root}/{table}/_current").first()
         except Exception:  # no version yet
