@@ -100,3 +100,25 @@ def test_name_lookup_exact(spark):
     assert got[3] == (3, "MULTIPLE", ["a1", "a2", "a4"])
     assert got[4] == (1, "FOUND", ["a1"])
     assert got[5] == (1, "FOUND", ["a4"])
+
+
+def test_batch_rules_invariants(spark):
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(9)
+    rows = []
+    for b in range(60):
+        n = 10 if b % 7 else 9  # some broken batches
+        for i in range(1, n + 1):
+            rar = rnd.choices(["SSR", "SR", "R"], [0.02, 0.08, 0.9])[0]
+            rows.append((f"{b}-{i}", str(b % 5), str(b), i, rar))
+    df = spark.createDataFrame(rows, "id string, player_id string, batch_id string, pull_number int, rarity string")
+    fixed = rules.sr_guarantee(df, repair=True)
+    per_batch = fixed.groupBy("batch_id").agg(F.max(F.col("rarity").isin("SR", "SSR").cast("int")).alias("ok"),
+                                              F.sum(F.col("repaired").cast("int")).alias("rep")).collect()
+    assert all(r["ok"] == 1 and r["rep"] <= 1 for r in per_batch)
+    integ = {r["batch_id"]: r["ok"] for r in rules.batch_integrity(df).collect()}
+    assert all(integ[str(b)] == bool(b % 7) for b in range(60))
+    inv = {(r["player_id"], r["character_id"]): r["constellation"] for r in rules.build_inventory(
+        df.withColumn("character_id", F.col("rarity")).withColumn("pulled_at", F.current_timestamp())).collect()}
+    assert all(0 <= v <= 6 for v in inv.values())
