@@ -149,12 +149,27 @@ _LOCK = threading.Lock()
 _BUILT: dict[tuple, Warehouse] = {}
 
 
+def _read_pointer(spark: SparkSession, path: str) -> str | None:
+    if not path_exists(spark, path):
+        return None
+    try:
+        row = spark.read.text(path).first()
+    except Exception:
+        return None
+    return row[0] if row else None
+
+
 def warehouse(spark: SparkSession, sf_dir: str, honor_deletes: bool = False, fresh: bool = False) -> Warehouse:
     """The built warehouse for ``sf_dir`` in this session's shared folder.
 
     Built once per (folder, options, code version); later calls read the
-    written tables. ``fresh`` forces a new build into a new folder.
+    written tables. Every build goes to its own folder and is published by
+    a pointer written after the build is complete, so two processes that
+    build at once never write into each other's tables. ``fresh`` forces a
+    new build.
     """
+    import uuid
+
     real = os.path.realpath(sf_dir)
     key = (real, honor_deletes, work_dir(spark))
     with _LOCK:
@@ -162,13 +177,16 @@ def warehouse(spark: SparkSession, sf_dir: str, honor_deletes: bool = False, fre
         if wh is not None and wh.complete() and not fresh:
             return wh
         tag = hashlib.sha1(f"{real}|{honor_deletes}|{BUILD_VERSION}".encode()).hexdigest()[:12]
-        if fresh:
-            import uuid
-
-            tag = f"{tag}-{uuid.uuid4().hex[:8]}"
-        root = f"{work_dir(spark)}/cdcmart-wh-{tag}"
-        wh = Warehouse(spark, root)
-        if not wh.complete():
-            wh = run_models(spark, sf_dir, root, honor_deletes)
+        home = f"{work_dir(spark)}/cdcmart-wh-{tag}"
+        pointer = f"{home}/_published"
+        if not fresh:
+            target = _read_pointer(spark, pointer)
+            if target:
+                wh = Warehouse(spark, target)
+                if wh.complete():
+                    _BUILT[key] = wh
+                    return wh
+        wh = run_models(spark, sf_dir, f"{home}/b-{uuid.uuid4().hex[:10]}", honor_deletes)
+        spark.createDataFrame([(wh.root,)], "p string").coalesce(1).write.mode("overwrite").text(pointer)
         _BUILT[key] = wh
         return wh
