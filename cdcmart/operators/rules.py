@@ -1,8 +1,10 @@
 """Business-rule operators over pull and transaction tables.
 
-The rules of the pull engine are replayed set-wise: a window partitioned by
-the player keeps the per-player order; running values use row frames so they
-stay in one sort per partition.
+The rules of the pull engine are replayed set-wise. Per-player running
+values (pity counter, guarantee state, first buy, ledger) are segmented
+scans over range partitions (operators/scan.py), so one player with a third
+of all pulls is still split across tasks; ``method="window"`` keeps the
+plain window form for small inputs. Final states are aggregates.
 """
 
 from __future__ import annotations
@@ -38,20 +40,19 @@ def pity_replay(
 ) -> DataFrame:
     """G1: counter = pulls since the last SSR, counting this one.
 
-    ``scan`` (default): island = number of earlier SSRs of the key, then the
-    counter is the running count inside (key, island) — two segmented scans
-    (operators/scan.py), so a hot player is split across tasks. ``window``:
-    one window pass (position minus the previous SSR's position).
+    Counter = position in the key's sequence minus the position of the
+    previous SSR (0 when none). ``scan`` (default) computes both with one
+    segmented scan (operators/scan.py), so a hot player is split across
+    tasks; ``window`` uses one plain window pass.
     """
     keys, order = list(keys), list(order_cols)
     if method == "scan":
         from cdcmart.operators.scan import segmented_scan
 
-        ssr = (F.col(rarity) == "SSR").cast("long")
-        a = segmented_scan(pulls, keys, order, {"_island": ("sum", ssr, False)})
-        a = a.withColumn("_island", F.coalesce(F.col("_island"), F.lit(0)))
-        b = segmented_scan(a, keys + ["_island"], order, {"replayed_pity": ("count", None, True)})
-        return b.withColumn("replayed_pity", F.col("replayed_pity").cast("int")).drop("_island")
+        specs = {"_pos": ("count", None, True), "_prev_ssr": ("lastpos", F.col(rarity) == "SSR", False)}
+        out = segmented_scan(pulls, keys, order, specs)
+        counter = F.col("_pos") - F.coalesce(F.col("_prev_ssr"), F.lit(0))
+        return out.withColumn("replayed_pity", counter.cast("int")).drop("_pos", "_prev_ssr")
     w = Window.partitionBy(*keys).orderBy(*_cols(order))
     out = pulls.withColumn("_pos", F.row_number().over(w))
     prev_ssr = F.max(F.when(F.col(rarity) == "SSR", F.col("_pos"))).over(w.rowsBetween(_PRE, -1))

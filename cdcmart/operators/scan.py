@@ -14,7 +14,9 @@ from an earlier partition is the first key of its partition), so the carry
 table has at most two rows per partition and is broadcast.
 
 Supported kinds (frame = all earlier rows, plus the current one when
-``inclusive``): ``count``, ``sum``, ``max``, ``last`` (last non-null value).
+``inclusive``): ``count``, ``sum``, ``max``, ``last`` (last non-null value)
+and ``lastpos`` (1-based position within the key of the last row in the
+frame where the boolean value is true).
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-KINDS = ("count", "sum", "max", "last")
+KINDS = ("count", "sum", "max", "last", "lastpos")
 
 
 def _agg(kind: str, v: Column) -> Column:
@@ -72,14 +74,17 @@ def segmented_scan(
     # 1. chunk-local scans and chunk totals (a chunk = one key inside one partition).
     chunk = Window.partitionBy("_pid", *keys)
     ordered = chunk.orderBy("_mid")
-    local = ranged
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    local = ranged.withColumn("_lpos", F.row_number().over(ordered)).withColumn("_t__n", F.count(F.lit(1)).over(whole))
     for name in names:
         kind, _, inclusive = specs[name]
         frame = ordered.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
         v = F.col(f"_v_{name}")
-        local = local.withColumn(f"_l_{name}", _agg(kind, v).over(frame))
-        local = local.withColumn(f"_t_{name}", _agg(kind, v).over(ordered.rowsBetween(Window.unboundedPreceding,
-                                                                                      Window.unboundedFollowing)))
+        if kind == "lastpos":
+            v = F.when(v, F.col("_lpos"))
+        k = "last" if kind == "lastpos" else kind
+        local = local.withColumn(f"_l_{name}", _agg(k, v).over(frame))
+        local = local.withColumn(f"_t_{name}", _agg(k, v).over(whole))
     # 2. boundary chunks: the first and last key of every partition (<= 2 per partition).
     key_struct = F.struct(*[F.col(k) for k in keys])
     bounds = ranged.groupBy("_pid").agg(F.min(key_struct).alias("lo"), F.max(key_struct).alias("hi"))
@@ -87,16 +92,22 @@ def segmented_scan(
     summary = (
         local.join(F.broadcast(bkeys), ["_pid", *keys], "inner")
         .groupBy(*keys, "_pid")
-        .agg(*[F.first(f"_t_{name}").alias(f"_t_{name}") for name in names])
+        .agg(F.first("_t__n").alias("_t__n"), *[F.first(f"_t_{name}").alias(f"_t_{name}") for name in names])
     )
     prev = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    carry = summary
+    # rows of the key in earlier partitions = offset of this chunk's positions
+    carry = summary.withColumn("_c__n", F.coalesce(F.sum("_t__n").over(prev), F.lit(0)))
     for name in names:
         kind = specs[name][0]
         t = F.col(f"_t_{name}")
-        c = F.sum(t).over(prev) if kind in ("count", "sum") else _agg(kind, t).over(prev)
+        if kind == "lastpos":
+            c = F.max(F.col("_c__n") + t).over(prev)  # positions made global, then the latest
+        elif kind in ("count", "sum"):
+            c = F.sum(t).over(prev)
+        else:
+            c = _agg(kind, t).over(prev)
         carry = carry.withColumn(f"_c_{name}", c)
-    carry = carry.select(*keys, "_pid", *[f"_c_{name}" for name in names])
+    carry = carry.select(*keys, "_pid", "_c__n", *[f"_c_{name}" for name in names])
     out = local.join(F.broadcast(carry), [*keys, "_pid"], "left")
     for name in names:
         kind = specs[name][0]
@@ -109,8 +120,10 @@ def segmented_scan(
             )
         elif kind == "max":
             val = F.greatest(loc, car)
+        elif kind == "lastpos":
+            val = F.when(loc.isNotNull(), loc + F.coalesce(F.col("_c__n"), F.lit(0))).otherwise(car)
         else:
             val = F.coalesce(loc, car)
         out = out.withColumn(name, val)
-    drop = ["_pid", "_mid"] + [f"_{p}_{name}" for name in names for p in ("v", "l", "t", "c")]
+    drop = ["_pid", "_mid", "_lpos", "_t__n", "_c__n"] + [f"_{p}_{name}" for name in names for p in ("v", "l", "t", "c")]
     return out.drop(*drop)

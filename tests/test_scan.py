@@ -23,11 +23,13 @@ def test_scan_matches_window(spark):
         "m_exc": ("max", F.col("v"), False),
         "l_exc": ("last", F.col("v"), False),
         "l_inc": ("last", F.col("v"), True),
+        "p_exc": ("lastpos", F.col("v") == 5, False),
+        "p_inc": ("lastpos", F.col("v") == 5, True),
     }
     got = {r["t"]: r for r in segmented_scan(df, ["k"], ["t"], specs, partitions=7).collect()}
     w = Window.partitionBy("k").orderBy("t")
     inc, exc = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
-    ref = df.select(
+    ref = df.withColumn("_rn", F.row_number().over(w)).select(
         "t",
         F.count(F.lit(1)).over(inc).alias("c_inc"),
         F.coalesce(F.count(F.lit(1)).over(exc), F.lit(0)).alias("c_exc"),
@@ -35,6 +37,8 @@ def test_scan_matches_window(spark):
         F.max("v").over(exc).alias("m_exc"),
         F.last("v", ignorenulls=True).over(exc).alias("l_exc"),
         F.last("v", ignorenulls=True).over(inc).alias("l_inc"),
+        F.max(F.when(F.col("v") == 5, F.col("_rn"))).over(exc).alias("p_exc"),
+        F.max(F.when(F.col("v") == 5, F.col("_rn"))).over(inc).alias("p_inc"),
     ).collect()
     assert len(got) == len(ref)
     for r in ref:
