@@ -39,6 +39,22 @@ def rolling_counts(repo_ev: DataFrame, now: Column, page: int = PAGE_SIZE) -> Da
     ).withColumn("fetched_at", now)
 
 
+def rolling_series(repo_ev: DataFrame, kind: str = "fork", days: int = 7) -> DataFrame:
+    """H10 as a daily series: per repo and day, events of ``kind`` that day
+    and in the trailing ``days`` days (a range frame over day numbers; a
+    repo's series has one row per active day, so the window stays small)."""
+    from pyspark.sql import Window
+
+    daily = (
+        repo_ev.where(F.col("kind") == kind)
+        .groupBy("repo", F.to_date("created_at").alias("day"))
+        .agg(F.count(F.lit(1)).alias("events"))
+        .withColumn("_d", F.unix_date("day"))
+    )
+    w = Window.partitionBy("repo").orderBy("_d").rangeBetween(-(days - 1), 0)
+    return daily.withColumn(f"events_{days}d", F.sum("events").over(w)).drop("_d")
+
+
 def repo_score(metrics: DataFrame) -> DataFrame:
     """H9: stars + 10*forks_7d + 100*commits_today - 5*open_issues."""
     return metrics.withColumn(

@@ -166,6 +166,20 @@ def q_repo_score(spark, sf_dir):
     return ticker.repo_score(_metrics(spark, sf_dir))
 
 
+@register(
+    "rolling_series",
+    """
+    SELECT repo, day, events,
+           sum(events) OVER (PARTITION BY repo ORDER BY d RANGE BETWEEN 6 PRECEDING AND CURRENT ROW) AS events_7d
+    FROM (SELECT 'repo-' || user_id AS repo, CAST(ts AS DATE) AS day, count(*) AS events,
+                 CAST(CAST(ts AS DATE) - DATE '1970-01-01' AS BIGINT) AS d
+          FROM events WHERE event_type = 'click' GROUP BY 1, 2, 4)""",
+)
+def q_rolling_series(spark, sf_dir):
+    """H10 daily series: forks per repo per day and over the trailing 7 days."""
+    return ticker.rolling_series(ticker.repo_events(load(spark, sf_dir, "events")))
+
+
 def _state(spark, sf_dir):
     return ticker.watchlist_state(ticker.watch_commands(load(spark, sf_dir, "events")))
 

@@ -441,3 +441,20 @@ from cdcmart.plans import q_stream  # noqa: E402,F401
 def q_reconcile_verdict(spark, sf_dir):
     """overall verdict over the per-table reconciliation."""
     return quality.verdict(QUERIES["reconcile_summary"](spark, sf_dir))
+
+
+@register(
+    "reconcile_samples",
+    """
+    SELECT "table", key, side FROM (
+        SELECT 'pulls' AS "table", id AS key, 'missing_in_target' AS side,
+               row_number() OVER (ORDER BY id) AS rn
+        FROM src_pulls WHERE NOT (event_id % 5 = 0 OR (event_id % 101 <> 0 AND event_id % 103 <> 0)))
+    WHERE rn <= 5""",
+)
+def q_reconcile_samples(spark, sf_dir):
+    """F8 report view: at most 5 sample keys per side, in key order."""
+    from cdcmart.sources import adapter, tables
+
+    src = adapter.pulls(tables.load(spark, sf_dir, "events"))
+    return quality.reconcile_ids(src, wh(spark, sf_dir).table("stg_pulls"), ["id"], "pulls", sample=5)
