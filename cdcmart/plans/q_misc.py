@@ -170,7 +170,8 @@ def q_repo_score(spark, sf_dir):
     "rolling_series",
     """
     SELECT repo, day, events,
-           sum(events) OVER (PARTITION BY repo ORDER BY d RANGE BETWEEN 6 PRECEDING AND CURRENT ROW) AS events_7d
+           CAST(sum(events) OVER (PARTITION BY repo ORDER BY d RANGE BETWEEN 6 PRECEDING AND CURRENT ROW) AS BIGINT)
+               AS events_7d
     FROM (SELECT 'repo-' || user_id AS repo, CAST(ts AS DATE) AS day, count(*) AS events,
                  CAST(CAST(ts AS DATE) - DATE '1970-01-01' AS BIGINT) AS d
           FROM events WHERE event_type = 'click' GROUP BY 1, 2, 4)""",
