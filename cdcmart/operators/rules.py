@@ -243,6 +243,21 @@ def first_buy(
     return transactions.withColumn("first_buy", flag)
 
 
+def first_buy_flags(transactions: DataFrame, order_cols=("transacted_at", "transaction_id")) -> DataFrame:
+    """G12, both definitions from one segmented scan: ``first_in_order`` and
+    ``no_earlier_success``."""
+    from cdcmart.operators.scan import segmented_scan
+
+    ok = (F.col("payment_status") == "success").cast("int")
+    specs = {"_n": ("count", None, False), "_s": ("max", ok, False)}
+    out = segmented_scan(transactions, ["player_id", "package_id"], list(order_cols), specs)
+    return (
+        out.withColumn("first_in_order", F.col("_n") == 0)
+        .withColumn("no_earlier_success", F.coalesce(F.col("_s"), F.lit(0)) == 0)
+        .drop("_n", "_s")
+    )
+
+
 def packages_df(spark):
     """The fixed top-up package table (6 rows; seed data)."""
     return spark.createDataFrame(

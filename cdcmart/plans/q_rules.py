@@ -216,10 +216,7 @@ def q_upsert_overwrite(spark, sf_dir):
 def q_first_buy(spark, sf_dir):
     """First-buy flag, both definitions, next to the recorded flag."""
     t = wh(spark, sf_dir).table("fact_transactions")
-    a = rules.first_buy(t, ("transacted_at", "transaction_id"), "first").withColumnRenamed("first_buy", "first_in_order")
-    b = rules.first_buy(a, ("transacted_at", "transaction_id"), "success").withColumnRenamed(
-        "first_buy", "no_earlier_success"
-    )
+    b = rules.first_buy_flags(t)
     return b.select("transaction_id", "player_id", "package_id", "is_first_buy", "first_in_order", "no_earlier_success")
 
 
