@@ -60,7 +60,7 @@ def segmented_scan(
         kind, val, _ = specs[name]
         if kind not in KINDS:
             raise ValueError(f"unknown scan kind {kind!r}")
-        base = base.withColumn(f"_v_{name}", val if val is not None else F.lit(1))
+        base = base.withColumn(f"_scv_{name}", val if val is not None else F.lit(1))
     # Range bounds come from sampling, and row ids from the partition layout,
     # so the ranged rows are checkpointed (to spark.checkpoint.dir): every
     # later branch must see the same partition ids and row ids.
@@ -75,16 +75,16 @@ def segmented_scan(
     chunk = Window.partitionBy("_pid", *keys)
     ordered = chunk.orderBy("_mid")
     whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    local = ranged.withColumn("_lpos", F.row_number().over(ordered)).withColumn("_t__n", F.count(F.lit(1)).over(whole))
+    local = ranged.withColumn("_sc_lpos", F.row_number().over(ordered)).withColumn("_sc_rows", F.count(F.lit(1)).over(whole))
     for name in names:
         kind, _, inclusive = specs[name]
         frame = ordered.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-        v = F.col(f"_v_{name}")
+        v = F.col(f"_scv_{name}")
         if kind == "lastpos":
-            v = F.when(v, F.col("_lpos"))
+            v = F.when(v, F.col("_sc_lpos"))
         k = "last" if kind == "lastpos" else kind
-        local = local.withColumn(f"_l_{name}", _agg(k, v).over(frame))
-        local = local.withColumn(f"_t_{name}", _agg(k, v).over(whole))
+        local = local.withColumn(f"_scl_{name}", _agg(k, v).over(frame))
+        local = local.withColumn(f"_sct_{name}", _agg(k, v).over(whole))
     # 2. boundary chunks: the first and last key of every partition (<= 2 per partition).
     key_struct = F.struct(*[F.col(k) for k in keys])
     bounds = ranged.groupBy("_pid").agg(F.min(key_struct).alias("lo"), F.max(key_struct).alias("hi"))
@@ -92,26 +92,26 @@ def segmented_scan(
     summary = (
         local.join(F.broadcast(bkeys), ["_pid", *keys], "inner")
         .groupBy(*keys, "_pid")
-        .agg(F.first("_t__n").alias("_t__n"), *[F.first(f"_t_{name}").alias(f"_t_{name}") for name in names])
+        .agg(F.first("_sc_rows").alias("_sc_rows"), *[F.first(f"_sct_{name}").alias(f"_sct_{name}") for name in names])
     )
     prev = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     # rows of the key in earlier partitions = offset of this chunk's positions
-    carry = summary.withColumn("_c__n", F.coalesce(F.sum("_t__n").over(prev), F.lit(0)))
+    carry = summary.withColumn("_sc_off", F.coalesce(F.sum("_sc_rows").over(prev), F.lit(0)))
     for name in names:
         kind = specs[name][0]
-        t = F.col(f"_t_{name}")
+        t = F.col(f"_sct_{name}")
         if kind == "lastpos":
-            c = F.max(F.col("_c__n") + t).over(prev)  # positions made global, then the latest
+            c = F.max(F.col("_sc_off") + t).over(prev)  # positions made global, then the latest
         elif kind in ("count", "sum"):
             c = F.sum(t).over(prev)
         else:
             c = _agg(kind, t).over(prev)
-        carry = carry.withColumn(f"_c_{name}", c)
-    carry = carry.select(*keys, "_pid", "_c__n", *[f"_c_{name}" for name in names])
+        carry = carry.withColumn(f"_scc_{name}", c)
+    carry = carry.select(*keys, "_pid", "_sc_off", *[f"_scc_{name}" for name in names])
     out = local.join(F.broadcast(carry), [*keys, "_pid"], "left")
     for name in names:
         kind = specs[name][0]
-        loc, car = F.col(f"_l_{name}"), F.col(f"_c_{name}")
+        loc, car = F.col(f"_scl_{name}"), F.col(f"_scc_{name}")
         if kind == "count":
             val = F.coalesce(loc, F.lit(0)) + F.coalesce(car, F.lit(0))
         elif kind == "sum":
@@ -121,9 +121,11 @@ def segmented_scan(
         elif kind == "max":
             val = F.greatest(loc, car)
         elif kind == "lastpos":
-            val = F.when(loc.isNotNull(), loc + F.coalesce(F.col("_c__n"), F.lit(0))).otherwise(car)
+            val = F.when(loc.isNotNull(), loc + F.coalesce(F.col("_sc_off"), F.lit(0))).otherwise(car)
         else:
             val = F.coalesce(loc, car)
         out = out.withColumn(name, val)
-    drop = ["_pid", "_mid", "_lpos", "_t__n", "_c__n"] + [f"_{p}_{name}" for name in names for p in ("v", "l", "t", "c")]
+    drop = ["_pid", "_mid", "_sc_lpos", "_sc_rows", "_sc_off"] + [
+        f"_sc{p}_{name}" for name in names for p in ("v", "l", "t", "c")
+    ]
     return out.drop(*drop)
