@@ -169,7 +169,7 @@ def route(
 
     route = 'bronze' (valid, normalised), 'dlq' (failed validation; carries
     ``reason`` and ``raw``) or 'undecodable' (bad UTF-8 or JSON; the
-    reference drops these, we keep them apart for audit). Writing the result
+    source pipeline drops these; we keep them apart for audit). Writing the result
     partitioned by ``route`` lands every message once: a filter before the
     write would make Catalyst evaluate the parse and checks twice (the
     predicate is pushed below the projection and inlined).
