@@ -33,6 +33,8 @@ def get_spark(master: str | None = None, partitions: int | None = None) -> Spark
         .appName("cdcmart")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # checkpoint files of scans are removed once their data is no longer referenced
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.shuffle.partitions", str(partitions or cpus))
     )
