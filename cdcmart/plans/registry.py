@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cdcmart.operators import cdc, gold, merge, quality, silver
+from cdcmart.operators import gold, merge, quality, silver
 from cdcmart.plans import bi, models
 from cdcmart.plans.oracle import sql
 

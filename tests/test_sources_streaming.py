@@ -5,7 +5,6 @@ import json
 import os
 import tempfile
 
-from pyspark.sql import functions as F
 
 from cdcmart.operators import cdc
 from cdcmart.sources import files
