@@ -296,7 +296,10 @@ def status_changes(requests: DataFrame, apps: DataFrame, users: DataFrame, cap:
     valid = _valid(F.col("new_status"))
     in_tenant = F.coalesce(F.col("_app_tenant") == F.col("_tenant"), F.lit(False))
     op_denied = F.col("new_status").isin(*TERMINAL_STATUSES) & ~F.coalesce(F.col("approved"), F.lit(True))
-    r = r.withColumn("_cand", can & valid & in_tenant & ~op_denied)
+    # The joined request table feeds three branches (all rows, the per-run
+    # top-k and its summary): checkpoint it once to the shared folder
+    # instead of re-reading and re-joining the inputs per branch.
+    r = r.withColumn("_cand", can & valid & in_tenant & ~op_denied).checkpoint(eager=True)
 
     w = Window.partitionBy("run_id").orderBy("request_id")
     ok = (
