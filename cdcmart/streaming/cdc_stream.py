@@ -111,13 +111,15 @@ def volume(bronze: DataFrame, window: str = "1 hour", delay: str = "10 minutes")
 class SilverMerger:
     """B8/B9/B10 as a ``foreachBatch`` function.
 
-    State lives in ``root/<table>/v=<batch_id>`` folders plus a ``_current``
-    marker written last; a batch re-run after a failure overwrites its own
-    version folder, so replays are idempotent. Each state row keeps the
-    ordering of the change that produced it (``_order``), so micro-batches
-    that arrive out of event order still merge to the latest row per key;
-    with ``honor_deletes`` deletes are kept as tombstones in the state and
-    hidden by :meth:`view`.
+    State lives in ``root/<table>/v=<batch_id>`` folders. A small manifest
+    (``_versions``, one appended row per finished version) names them;
+    version ``b`` is always built from the newest version *before* ``b``,
+    so a batch re-run after a failure rebuilds its own folder from the same
+    input (idempotent) and never reads what it overwrites. Each state row
+    keeps the ordering of the change that produced it (``_order``), so
+    micro-batches that arrive out of event order still merge to the latest
+    row per key; with ``honor_deletes`` deletes stay as tombstones in the
+    state and are hidden by :meth:`view`.
     """
 
     def __init__(self, spark: SparkSession, root: str, tables=None, honor_deletes: bool = False):
@@ -126,14 +128,19 @@ class SilverMerger:
         self.tables = list(tables or SILVER_SPECS)
         self.honor_deletes = honor_deletes
 
-    def state(self, table: str) -> DataFrame | None:
-        if not path_exists(self.spark, f"{self.root}/{table}/_current"):
-            return None
+    def _versions(self, table: str) -> list[int]:
+        path = f"{self.root}/{table}/_versions"
+        if not path_exists(self.spark, path):
+            return []
         try:
-            v = self.spark.read.text(f"{self.root}/{table}/_current").first()
-        except Exception:  # no version yet
-            return None
-        return self.spark.read.parquet(f"{self.root}/{table}/v={v[0]}") if v else None
+            return sorted({int(r[0]) for r in self.spark.read.text(path).collect()})  # one row per version
+        except Exception:
+            return []
+
+    def state(self, table: str, before: int | None = None) -> DataFrame | None:
+        """The newest finished version (older than ``before`` when given)."""
+        vs = [v for v in self._versions(table) if before is None or v < before]
+        return self.spark.read.parquet(f"{self.root}/{table}/v={vs[-1]}") if vs else None
 
     def view(self, table: str) -> DataFrame | None:
         """The Silver table: state without tombstones and internal columns."""
@@ -151,14 +158,14 @@ class SilverMerger:
                 if changes.isEmpty():
                     continue
                 ups = silver.build_silver(changes, spec, honor_deletes=self.honor_deletes, keep_order=True)
-                prev = self.state(t)
+                prev = self.state(t, before=batch_id)
                 merged = ups if prev is None else silver.latest_per_key(
                     prev.unionByName(ups), ["id"], order=("_order",)
                 )
                 merged.write.mode("overwrite").parquet(f"{self.root}/{t}/v={batch_id}")
                 self.spark.createDataFrame([(str(batch_id),)], "v string").coalesce(1).write.mode(
-                    "overwrite"
-                ).text(f"{self.root}/{t}/_current")
+                    "append"
+                ).text(f"{self.root}/{t}/_versions")
         finally:
             batch.unpersist()
 
