@@ -80,8 +80,9 @@ def name_lookup(lookups: DataFrame, users: DataFrame, apps: DataFrame, gram: int
     Exact and without a per-tenant cross product: each name is indexed by its
     ``gram``-length substrings (and shorter ones, for short terms); a term
     probes the index with its first ``gram`` characters, then ``contains``
-    confirms the candidate. Returns one row per request: matches count and
-    outcome NOT_FOUND / FOUND / MULTIPLE, plus the matched ids.
+    confirms the candidate. Returns one row per (request, matched
+    application) — a request without matches gets one row with a null id —
+    with the request's match count and outcome NOT_FOUND / FOUND / MULTIPLE.
     """
     u = users.select("user_id", F.col("company_id").alias("tenant"))
     req = lookups.join(u, "user_id", "left").withColumn("_t", F.lower(F.trim("term")))
@@ -111,18 +112,17 @@ def name_lookup(lookups: DataFrame, users: DataFrame, apps: DataFrame, gram: int
         .where(F.col("_name").contains(F.col("_t")))
         .select("request_id", "application_id")
     )
-    g = hits.groupBy("request_id").agg(
-        F.count(F.lit(1)).alias("matches"), F.array_sort(F.collect_list("application_id")).alias("application_ids")
+    # One row per (request, match): the match list is never gathered into
+    # one value. Counts come from an aggregate joined back.
+    n = hits.groupBy("request_id").agg(F.count(F.lit(1)).alias("matches"))
+    r = req.select("request_id", "user_id", "term").join(n, "request_id", "left")
+    cnt = F.coalesce(F.col("matches"), F.lit(0))
+    r = r.select(
+        "request_id", "user_id", "term", cnt.alias("matches"),
+        F.when(cnt == 0, "NOT_FOUND").when(cnt == 1, "FOUND").otherwise("MULTIPLE").alias("outcome"),
     )
-    out = req.select("request_id", "user_id", "term").join(g, "request_id", "left")
-    n = F.coalesce(F.col("matches"), F.lit(0))
-    return out.select(
-        "request_id",
-        "user_id",
-        "term",
-        n.alias("matches"),
-        F.when(n == 0, "NOT_FOUND").when(n == 1, "FOUND").otherwise("MULTIPLE").alias("outcome"),
-        F.coalesce(F.col("application_ids"), F.array().cast("array<string>")).alias("application_ids"),
+    return r.join(hits, "request_id", "left").select(
+        "request_id", "user_id", "term", "matches", "outcome", "application_id"
     )
 
 

@@ -36,13 +36,13 @@ def q_tenant_applicants(spark, sf_dir):
 @register(
     "name_lookup",
     """
-    SELECT r.request_id, r.user_id, r.term, count(a.id) AS matches,
-           CASE WHEN count(a.id) = 0 THEN 'NOT_FOUND' WHEN count(a.id) = 1 THEN 'FOUND' ELSE 'MULTIPLE' END AS outcome,
-           coalesce(list(a.id ORDER BY a.id) FILTER (WHERE a.id IS NOT NULL), CAST([] AS VARCHAR[])) AS application_ids
+    SELECT r.request_id, r.user_id, r.term, count(a.id) OVER (PARTITION BY r.request_id) AS matches,
+           CASE WHEN count(a.id) OVER (PARTITION BY r.request_id) = 0 THEN 'NOT_FOUND'
+                WHEN count(a.id) OVER (PARTITION BY r.request_id) = 1 THEN 'FOUND' ELSE 'MULTIPLE' END AS outcome,
+           a.id AS application_id
     FROM g_name_lookups r LEFT JOIN g_users u ON r.user_id = u.user_id
     LEFT JOIN g_apps a ON a.company_id = u.company_id AND length(trim(r.term)) > 0
-         AND contains(lower(a.first_name || ' ' || a.last_name), lower(trim(r.term)))
-    GROUP BY r.request_id, r.user_id, r.term""",
+         AND contains(lower(a.first_name || ' ' || a.last_name), lower(trim(r.term)))""",
 )
 def q_name_lookup(spark, sf_dir):
     """Substring name lookup inside the tenant (n-gram probe, exact)."""

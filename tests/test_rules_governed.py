@@ -93,8 +93,12 @@ def test_name_lookup_exact(spark):
     users = spark.createDataFrame([("u", 0)], "user_id string, company_id long")
     lk = spark.createDataFrame([(1, "u", " Ann "), (2, "u", "zz"), (3, "u", "a"), (4, "u", "ann lee"), (5, "u", "o a")],
                                "request_id long, user_id string, term string")
-    got = {r["request_id"]: (r["matches"], r["outcome"], r["application_ids"]) for r in
-           governed.name_lookup(lk, users, apps).collect()}
+    got = {}
+    for r in governed.name_lookup(lk, users, apps).collect():
+        m = got.setdefault(r["request_id"], [r["matches"], r["outcome"], []])
+        if r["application_id"] is not None:
+            m[2].append(r["application_id"])
+    got = {k: (v[0], v[1], sorted(v[2])) for k, v in got.items()}
     assert got[1] == (2, "MULTIPLE", ["a1", "a2"])
     assert got[2] == (0, "NOT_FOUND", [])
     assert got[3] == (3, "MULTIPLE", ["a1", "a2", "a4"])
