@@ -103,6 +103,14 @@ class Warehouse:
 
     __call__ = table
 
+    def register_views(self, prefix: str = "") -> list[str]:
+        """Every model as a temp view (``prefix + name``), so dashboard SQL
+        runs unchanged through ``spark.sql``."""
+        names = [*MODEL_ORDER]
+        for n in names:
+            self.table(n).createOrReplaceTempView(prefix + n)
+        return [prefix + n for n in names]
+
     def complete(self) -> bool:
         """True when the build marker (written last) is readable. Uses Spark's
         file system layer, so it works for any shared-folder scheme."""

@@ -27,3 +27,14 @@ def test_sample_against_oracle(spark):
         rel = con.execute(o[name])
         d = rel.fetchall()
         assert digest(df.columns, s)[0] == digest([c[0] for c in rel.description], d)[0], name
+
+
+def test_views_run_dashboard_sql(spark):
+    from cdcmart.plans import bi, models
+
+    wh = models.warehouse(spark, SF_SMALL)
+    wh.register_views()
+    sql = """select rarity, count(*) as pulls from fact_pulls group by rarity"""
+    got = {r["rarity"]: r["pulls"] for r in spark.sql(sql).collect()}
+    want = {r["rarity"]: r["pulls"] for r in bi.rarity_dist(wh).collect()}
+    assert got == want
