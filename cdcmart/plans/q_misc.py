@@ -275,19 +275,36 @@ def q_ols_fit(spark, sf_dir):
 )
 def q_residuals(spark, sf_dir):
     """Prediction and residual per line."""
+    return _residual_rows(spark, sf_dir)
+
+
+def _residual_rows(spark, sf_dir):
     d = _reg(spark, sf_dir)
     r = stats.residuals(d.select("period", "y", "x1"), stats.ols_fit(d))
     r = r.select("period", "y", "x1", stats.sig(F.col("pred")).alias("pred"))
     return r.withColumn("residual", stats.sig(F.col("pred") - F.col("y")))
 
 
-@register("qq_table")
+RESIDUALS = f"""
+    (SELECT period, y, x1, pred, {_sig('pred - y')} AS residual
+     FROM (SELECT r.period, r.y, r.x1, {_sig('o.intercept + o.slope * r.x1')} AS pred
+           FROM {REG} r JOIN {OLS} o ON r.period = o.period))"""
+
+
+@register(
+    "qq_table",
+    f"""
+    SELECT period, rank, residual AS data_quantile,
+           {_sig(stats.ppf_sql('CAST(rank AS DOUBLE) / CAST(n + 1 AS DOUBLE)'))} AS normal_quantile
+    FROM (SELECT period, residual, row_number() OVER (PARTITION BY period ORDER BY residual) AS rank,
+                 count(*) OVER (PARTITION BY period) AS n
+          FROM {RESIDUALS})""",
+)
 def q_qq_table(spark, sf_dir):
-    """QQ table of residuals per year (no SQL twin: the normal quantile
-    function is not in the SQL dialect; checked in pytest)."""
-    d = _reg(spark, sf_dir)
-    r = stats.residuals(d.select("period", "y", "x1"), stats.ols_fit(d))
-    return stats.qq_table(r)
+    """QQ table of residuals per ship year: distributed rank, normal
+    quantiles ppf(i / (n + 1)) (vectorised in a pandas UDF)."""
+    q = stats.qq_table(_residual_rows(spark, sf_dir))
+    return q.withColumn("normal_quantile", stats.sig(F.col("normal_quantile")))
 
 
 @register("ols_multi")
