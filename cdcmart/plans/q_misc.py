@@ -225,8 +225,8 @@ def q_tick_fanout(spark, sf_dir):
 SIG = "CASE WHEN {x} = 0 OR {x} IS NULL OR isnan({x}) THEN {x} ELSE round({x} / power(10.0, floor(log10(abs({x}))) - 8)) * power(10.0, floor(log10(abs({x}))) - 8) END"
 
 
-def _sig(x):
-    return SIG.format(x=f"({x})")
+def _sig(x, digits: int = 9):
+    return SIG.format(x=f"({x})").replace(" - 8)", f" - {digits - 1})")
 
 
 REG = """(SELECT CAST(year(l_shipdate) AS INTEGER) AS period, l_extendedprice AS y, l_quantity AS x1, l_discount AS x2, l_tax AS x3
@@ -307,10 +307,38 @@ def q_qq_table(spark, sf_dir):
     return q.withColumn("normal_quantile", stats.sig(F.col("normal_quantile")))
 
 
-@register("ols_multi")
+_C = {f"c{i}{j}": f"covar_samp(x{i}, x{j})" for i in (1, 2, 3) for j in (1, 2, 3) if i <= j}
+_V = {f"v{i}": f"covar_samp(x{i}, y)" for i in (1, 2, 3)}
+_DET = "(c11 * (c22 * c33 - c23 * c23) - c12 * (c12 * c33 - c23 * c13) + c13 * (c12 * c23 - c22 * c13))"
+_INV = {
+    "i11": "(c22 * c33 - c23 * c23)", "i12": "-(c12 * c33 - c13 * c23)", "i13": "(c12 * c23 - c13 * c22)",
+    "i22": "(c11 * c33 - c13 * c13)", "i23": "-(c11 * c23 - c13 * c12)", "i33": "(c11 * c22 - c12 * c12)",
+}
+OLS_MULTI = f"""
+    (SELECT *, avg_y - (b1 * avg_x1 + b2 * avg_x2 + b3 * avg_x3) AS b0,
+            (n - 1) * (var_y - (b1 * v1 + b2 * v2 + b3 * v3)) / n AS mse,
+            (b1 * v1 + b2 * v2 + b3 * v3) / var_y AS r2
+     FROM (SELECT *, ({_INV['i11']} * v1 + {_INV['i12']} * v2 + {_INV['i13']} * v3) / {_DET} AS b1,
+                     ({_INV['i12']} * v1 + {_INV['i22']} * v2 + {_INV['i23']} * v3) / {_DET} AS b2,
+                     ({_INV['i13']} * v1 + {_INV['i23']} * v2 + {_INV['i33']} * v3) / {_DET} AS b3
+           FROM (SELECT count(*) AS n, avg(y) AS avg_y, avg(x1) AS avg_x1, avg(x2) AS avg_x2, avg(x3) AS avg_x3,
+                        var_samp(y) AS var_y,
+                        {", ".join(f"{v} AS {k}" for k, v in {**_C, **_V}.items())}
+                 FROM {REG})))"""
+
+
+@register(
+    "ols_multi",
+    " UNION ALL ".join(
+        f"SELECT '{t}' AS term, {_sig(b, 7)} AS coefficient, {_sig('mse', 7)} AS mse, {_sig('r2', 7)} AS r2 FROM {OLS_MULTI}"
+        for t, b in (("intercept", "b0"), ("x1", "b1"), ("x2", "b2"), ("x3", "b3"))
+    ),
+)
 def q_ols_multi(spark, sf_dir):
-    """Y ~ quantity + discount + tax (checked against numpy in pytest)."""
-    return stats.ols_multi(_reg(spark, sf_dir), "y", ["x1", "x2", "x3"])
+    """Y ~ quantity + discount + tax with MLlib's normal-equation solver
+    (twin: the closed-form covariance solution)."""
+    r = stats.ols_multi(_reg(spark, sf_dir), "y", ["x1", "x2", "x3"])
+    return r.select("term", *[stats.sig(F.col(c), 7).alias(c) for c in ("coefficient", "mse", "r2")])
 
 
 @register(
