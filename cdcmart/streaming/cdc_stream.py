@@ -170,9 +170,14 @@ class SilverMerger:
             batch.unpersist()
 
 
-def merge_sink(bronze_stream: DataFrame, root: str, checkpoint: str, every: str | None = None,
+# FIXED VALUES: default merge interval of the Silver merge.
+MERGE_EVERY = "2 minutes"
+
+
+def merge_sink(bronze_stream: DataFrame, root: str, checkpoint: str, every: str | None = MERGE_EVERY,
                honor_deletes: bool = False) -> StreamingQuery:
-    """Start the Silver merge; ``every`` like '2 minutes', else availableNow."""
+    """Start the Silver merge every ``every`` (processing time); pass
+    ``every=None`` to drain what is available and stop (availableNow)."""
     spark = bronze_stream.sparkSession
     w = bronze_stream.writeStream.foreachBatch(SilverMerger(spark, root, honor_deletes=honor_deletes)).option(
         "checkpointLocation", checkpoint

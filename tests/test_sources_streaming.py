@@ -104,3 +104,17 @@ def test_silver_merger_out_of_order_batches(spark):
         assert got == want, (honor, got)
         m(b2, 1)  # replaying a batch changes nothing
         assert {r["id"]: r["rarity"] for r in m.view("pulls").collect()} == want
+
+
+def test_merge_sink_available_now(spark):
+    base = tempfile.mkdtemp(prefix="cdcmart-sink-")
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(str(i), json.dumps({"id": str(i), "rarity": "R"}), "insert", t0 + dt.timedelta(minutes=i), "pulls",
+             "public", t0 + dt.timedelta(minutes=i)) for i in range(5)]
+    schema = ("id string, data string, event string, event_timestamp timestamp, source_table string, "
+              "source_schema string, ingested_at timestamp")
+    spark.createDataFrame(rows, schema).write.parquet(f"{base}/bronze")
+    stream = spark.readStream.schema(schema).parquet(f"{base}/bronze")
+    q = cs.merge_sink(stream, f"{base}/silver", f"{base}/ckpt", every=None)
+    q.awaitTermination()
+    assert cs.SilverMerger(spark, f"{base}/silver").view("pulls").count() == 5
