@@ -147,6 +147,12 @@ def session_expiry(events: DataFrame, now: Column, ttl_hours: int = 24, key: str
     )
 
 
+def approval_expiry(approvals: DataFrame, now: Column, ttl_hours: int = 1, ts: str = "created_at") -> DataFrame:
+    """H7 approvals: a fixed expiry ``ttl`` after creation (not sliding)."""
+    exp = F.col(ts).cast("timestamp") + F.expr(f"INTERVAL {ttl_hours} HOURS")
+    return approvals.withColumn("expires_at", exp).withColumn("expired", exp <= now)
+
+
 _WS = r"^\s+|\s+$"
 
 

@@ -83,6 +83,26 @@ def q_session_expiry(spark, sf_dir):
     return history.session_expiry(ev, now)
 
 
+@register(
+    "approval_expiry",
+    """
+    SELECT o_orderkey AS approval_id, CAST(o_orderdate AS TIMESTAMP) AS created_at,
+           CAST(o_orderdate AS TIMESTAMP) + INTERVAL 1 HOUR AS expires_at,
+           CAST(o_orderdate AS TIMESTAMP) + INTERVAL 1 HOUR <= (SELECT max(CAST(o_orderdate AS TIMESTAMP)) FROM orders)
+               AS expired
+    FROM orders WHERE o_orderpriority = '1-URGENT'""",
+)
+def q_approval_expiry(spark, sf_dir):
+    """H7 approvals: urgent orders stand for approval requests; each expires
+    one hour after creation, judged as of the newest one."""
+    o = load(spark, sf_dir, "orders")
+    now = o.select(F.max(F.col("o_orderdate").cast("timestamp"))).scalar()
+    a = o.where(F.col("o_orderpriority") == "1-URGENT").select(
+        F.col("o_orderkey").alias("approval_id"), F.col("o_orderdate").cast("timestamp").alias("created_at")
+    )
+    return history.approval_expiry(a, now)
+
+
 @register(
     "split_escalation",
     r"""
