@@ -154,7 +154,7 @@ def run_models(
 
 
 _LOCK = threading.Lock()
-_BUILT: dict[tuple, Warehouse] = {}
+_BUILT: dict[tuple, str] = {}  # (data, options, shared folder) -> built root
 
 
 def _read_pointer(spark: SparkSession, path: str) -> str | None:
@@ -181,9 +181,9 @@ def warehouse(spark: SparkSession, sf_dir: str, honor_deletes: bool = False, fre
     real = os.path.realpath(sf_dir)
     key = (real, honor_deletes, work_dir(spark))
     with _LOCK:
-        wh = _BUILT.get(key)
-        if wh is not None and not fresh:  # verified or built by this process
-            return wh
+        root = _BUILT.get(key)
+        if root is not None and not fresh:  # verified or built by this process
+            return Warehouse(spark, root)  # bound to the caller's session
         tag = hashlib.sha1(f"{real}|{honor_deletes}|{BUILD_VERSION}".encode()).hexdigest()[:12]
         home = f"{work_dir(spark)}/cdcmart-wh-{tag}"
         pointer = f"{home}/_published"
@@ -192,9 +192,9 @@ def warehouse(spark: SparkSession, sf_dir: str, honor_deletes: bool = False, fre
             if target:
                 wh = Warehouse(spark, target)
                 if wh.complete():
-                    _BUILT[key] = wh
+                    _BUILT[key] = wh.root
                     return wh
         wh = run_models(spark, sf_dir, f"{home}/b-{uuid.uuid4().hex[:10]}", honor_deletes)
         spark.createDataFrame([(wh.root,)], "p string").coalesce(1).write.mode("overwrite").text(pointer)
-        _BUILT[key] = wh
+        _BUILT[key] = wh.root
         return wh
