@@ -458,3 +458,12 @@ def q_reconcile_samples(spark, sf_dir):
 
     src = adapter.pulls(tables.load(spark, sf_dir, "events"))
     return quality.reconcile_ids(src, wh(spark, sf_dir).table("stg_pulls"), ["id"], "pulls", sample=5)
+
+
+@register(
+    "bronze_ids",
+    "SELECT DISTINCT id FROM bronze_keys WHERE source_table = 'pulls' AND event <> 'delete'",
+)
+def q_bronze_ids(spark, sf_dir):
+    """distinct ids of non-delete Bronze events of a table (pulls)."""
+    return quality.bronze_ids(wh(spark, sf_dir).table("bronze"), "pulls")
