@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cdcmart.operators import cdc, gold, silver
+from cdcmart.schemas import BRONZE_SCHEMA
 from cdcmart.session import path_exists, work_dir
 from cdcmart.sources import adapter
 
@@ -176,13 +177,16 @@ def run_incremental(
     routed = cdc.route(messages, ingested_at=ingested_at)
     routed.write.mode("overwrite").partitionBy("route", "source_table").parquet(batch_dir)
     merger = SilverMerger(spark, wh.path("silver_state"), honor_deletes=honor_deletes)
+    touched: list[str] = []
     if path_exists(spark, f"{batch_dir}/route=bronze"):
         new = spark.read.option("basePath", f"{batch_dir}/route=bronze").parquet(f"{batch_dir}/route=bronze")
-        merger(new.select(*cdc.BRONZE_COLS), batch_id)
-    for name in SILVER_MODELS:
-        view = merger.view(name.removeprefix("stg_"))
-        if view is not None:
-            view.write.mode("overwrite").parquet(wh.path(name))
+        touched = merger(new.select(*cdc.BRONZE_COLS), batch_id)
+    for t in touched:  # Silver tables without changes stay as they are
+        merger.view(t).write.mode("overwrite").parquet(wh.path(f"stg_{t}"))
+    for name in SILVER_MODELS:  # a table never seen so far starts empty
+        if not path_exists(spark, wh.path(name)):
+            empty = spark.createDataFrame([], BRONZE_SCHEMA)
+            silver.build_silver(empty, name.removeprefix("stg_")).write.mode("overwrite").parquet(wh.path(name))
     g = gold_from(wh.table)
     for name in GOLD_MODELS:
         g[name].write.mode("overwrite").parquet(wh.path(name))

@@ -149,14 +149,19 @@ class SilverMerger:
             return None
         return st.where(F.col("_event") != "delete").drop("_order", "_event")
 
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+    def __call__(self, batch: DataFrame, batch_id: int) -> list[str]:
+        """Merge one batch; returns the tables it touched."""
         batch = batch.persist()
+        touched: list[str] = []
         try:
+            # tables present in the batch: one small aggregate (one row per table)
+            present = {r[0] for r in batch.select("source_table").distinct().collect()}
             for t in self.tables:
+                if t not in present:
+                    continue
+                touched.append(t)
                 spec = SILVER_SPECS[t]
                 changes = batch.where(F.col("source_table") == t)
-                if changes.isEmpty():
-                    continue
                 ups = silver.build_silver(changes, spec, honor_deletes=self.honor_deletes, keep_order=True)
                 prev = self.state(t, before=batch_id)
                 merged = ups if prev is None else silver.latest_per_key(
@@ -168,6 +173,7 @@ class SilverMerger:
                 ).text(f"{self.root}/{t}/_versions")
         finally:
             batch.unpersist()
+        return touched
 
 
 # FIXED VALUES: default merge interval of the Silver merge.

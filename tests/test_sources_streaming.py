@@ -118,3 +118,17 @@ def test_merge_sink_available_now(spark):
     q = cs.merge_sink(stream, f"{base}/silver", f"{base}/ckpt", every=None)
     q.awaitTermination()
     assert cs.SilverMerger(spark, f"{base}/silver").view("pulls").count() == 5
+
+
+def test_incremental_run_with_missing_tables(spark):
+    from cdcmart.plans import models
+
+    root = tempfile.mkdtemp(prefix="cdcmart-incr-")
+    m = {"payload": {"after": {"id": "p1", "player_id": "1", "rarity": "SSR", "pity_count": 3,
+                               "pulled_at": "2024-01-02T00:00:00.000000Z", "character_id": "ssr-001",
+                               "banner_id": "b", "crystals_spent": 160},
+                     "source": {"schema": "public", "table": "pulls"}, "op": "c", "ts_ms": 1704153600000}}
+    msgs = spark.createDataFrame([(json.dumps(m),)], "value string")
+    wh = models.run_incremental(spark, msgs, root, 0)
+    assert wh.table("stg_pulls").count() == 1 and wh.table("stg_players").count() == 0
+    assert wh.table("fact_pulls").first()["player_region"] is None
