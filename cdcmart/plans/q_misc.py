@@ -226,15 +226,15 @@ def q_poll_set(spark, sf_dir):
     return ticker.poll_set(_state(spark, sf_dir))
 
 
-@register(
-    "tick_fanout",
-    f"""
+TICK_FANOUT_SQL = f"""
     SELECT w.client_id, w.repo, CASE WHEN m.stars = 0 THEN 'error' ELSE 'tick' END AS kind,
            CASE WHEN m.stars <> 0 THEN m.stars + 10 * m.forks_this_week + 100 * m.commits_today - 5 * m.open_issues END
                AS price,
            CASE WHEN m.stars = 0 THEN 'not found: ' || m.repo END AS message
-    FROM {W_STATE} w JOIN {R_METRICS} m ON w.repo = m.repo""",
-)
+    FROM {W_STATE} w JOIN {R_METRICS} m ON w.repo = m.repo"""
+
+
+@register("tick_fanout", TICK_FANOUT_SQL)
 def q_tick_fanout(spark, sf_dir):
     """Each repo's tick (or error) to each of its subscribers."""
     return ticker.tick_fanout(ticker.ticks(_metrics(spark, sf_dir)), _state(spark, sf_dir))

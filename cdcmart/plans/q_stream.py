@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cdcmart.operators import ticker
-from cdcmart.plans.q_misc import W_STATE
+from cdcmart.plans.q_misc import TICK_FANOUT_SQL, W_STATE
 from cdcmart.plans.registry import register
 from cdcmart.sources import adapter
 from cdcmart.sources.tables import load
@@ -193,3 +193,27 @@ def q_stream_sessions(spark, sf_dir):
     )
     q.awaitTermination()
     return spark.read.parquet(out)
+
+
+@register("stream_tick_fanout", TICK_FANOUT_SQL)
+def q_stream_tick_fanout(spark, sf_dir):
+    """H13 streaming: a stream of ticks joined with the static watch state
+    (stream-static inner join), each tick fanned out to its subscribers."""
+    from cdcmart.plans.q_misc import _metrics
+
+    base = cs.scratch(spark, "ticks")
+    ticker.ticks(_metrics(spark, sf_dir)).repartition(4).write.parquet(f"{base}/in")
+    schema = spark.read.parquet(f"{base}/in").schema
+    ticks_stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", "2").parquet(f"{base}/in")
+    state = ticker.watchlist_state(ticker.watch_commands(load(spark, sf_dir, "events")))
+    q = (
+        wl.fanout_stream(ticks_stream, state)
+        .writeStream.format("parquet")
+        .option("path", f"{base}/out")
+        .option("checkpointLocation", f"{base}/ckpt")
+        .outputMode("append")
+        .trigger(availableNow=True)
+        .start()
+    )
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out")
