@@ -187,10 +187,13 @@ def scan_bytes(sql: Column, variant: str = "warehouse") -> Column:
     )
 
 
-def query_cost_report(query_log: DataFrame, users: DataFrame, price_per_tb: float = 5.0) -> DataFrame:
-    """Cost per query = bytes / 1e12 * price; UNDER when cost <= limit."""
+def query_cost_report(
+    query_log: DataFrame, users: DataFrame, price_per_tb: float = 5.0, variant: str = "warehouse"
+) -> DataFrame:
+    """Cost per query = bytes / 1e12 * price; UNDER when cost <= limit.
+    ``variant="hr"`` uses the HR dataset sizes."""
     u = users.select("user_id", "cost_limit_usd")
-    q = query_log.join(u, "user_id", "left").withColumn("bytes", scan_bytes(F.col("sql")).cast("long"))
+    q = query_log.join(u, "user_id", "left").withColumn("bytes", scan_bytes(F.col("sql"), variant).cast("long"))
     cost = F.col("bytes").cast("double") / 1e12 * price_per_tb
     return q.select(
         "query_id",

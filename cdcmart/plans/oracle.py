@@ -315,6 +315,14 @@ CTES += [
                  'SELECT count(*) FROM sales.orders'])[o_orderkey % 3 + 1] AS sql
         FROM orders""",
     ),
+    (
+        "g_hr_query_log",
+        """
+        SELECT o_orderkey AS query_id, 'user-' || (o_custkey % 25) AS user_id,
+               (['SELECT first_name, role_fit_score FROM talent_acquisition.job_application',
+                 'SELECT title FROM talent_acquisition.job', 'SELECT id FROM identity.users'])[o_orderkey % 3 + 1] AS sql
+        FROM orders""",
+    ),
     (
         "g_dept_metrics",
         """

@@ -102,6 +102,25 @@ def q_cost_report(spark, sf_dir):
     return governed.query_cost_report(i["query_log"], i["users"])
 
 
+@register(
+    "query_cost_report_hr",
+    """
+    SELECT query_id, user_id, bytes, round(CAST(bytes AS DOUBLE) / CAST(1e12 AS DOUBLE) * 5.0, 4) AS cost_usd,
+           cost_limit_usd,
+           CASE WHEN CAST(bytes AS DOUBLE) / CAST(1e12 AS DOUBLE) * 5.0 <= cost_limit_usd THEN 'UNDER' ELSE 'OVER' END
+               AS status
+    FROM (SELECT q.*, u.cost_limit_usd,
+                 CAST(CASE WHEN contains(lower(q.sql), 'job_application') THEN 50000000000
+                           WHEN contains(lower(q.sql), 'talent_acquisition.job') THEN 2000000000
+                           ELSE 500000000 END AS BIGINT) AS bytes
+          FROM g_hr_query_log q LEFT JOIN g_users u ON q.user_id = u.user_id)""",
+)
+def q_cost_report_hr(spark, sf_dir):
+    """E24, HR dataset sizes (job applications, jobs, other)."""
+    i = _in(spark, sf_dir)
+    return governed.query_cost_report(i["hr_query_log"], i["users"], variant="hr")
+
+
 @register(
     "query_cost_by_user",
     f"""

@@ -30,6 +30,11 @@ QUERY_TEMPLATES = [
     "SELECT name, budget FROM Marketing.campaigns",
     "SELECT count(*) FROM sales.orders",
 ]
+HR_QUERY_TEMPLATES = [
+    "SELECT first_name, role_fit_score FROM talent_acquisition.job_application",
+    "SELECT title FROM talent_acquisition.job",
+    "SELECT id FROM identity.users",
+]
 DEPARTMENTS = ["automobile", "building", "furniture", "household", "machinery", "support"]
 
 
@@ -121,12 +126,12 @@ def access_requests(supplier: DataFrame) -> DataFrame:
     )
 
 
-def query_log(orders: DataFrame) -> DataFrame:
+def query_log(orders: DataFrame, templates=QUERY_TEMPLATES) -> DataFrame:
     ok = F.col("o_orderkey")
     return orders.select(
         ok.alias("query_id"),
         F.concat(F.lit("user-"), (F.col("o_custkey") % 25).cast("string")).alias("user_id"),
-        _pick(QUERY_TEMPLATES, ok % 3).alias("sql"),
+        _pick(templates, ok % 3).alias("sql"),
     )
 
 
@@ -159,6 +164,7 @@ def inputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "name_lookups": name_lookups(sup),
         "access_requests": access_requests(sup),
         "query_log": query_log(orders),
+        "hr_query_log": query_log(orders, HR_QUERY_TEMPLATES),
         "dept_metrics": dept_metrics(cust),
         "dept_requests": dept_requests(nat),
     }
