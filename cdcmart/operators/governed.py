@@ -383,6 +383,17 @@ def score_triage(apps: DataFrame, hi: float = 70, lo: float = 50, threshold: flo
     )
 
 
+def audit_log(changes: DataFrame, tool: str = "move_applicant_status") -> DataFrame:
+    """H4: the append-only audit rows of tool calls: (run, seq, tool, args, outcome)."""
+    return changes.select(
+        "run_id",
+        F.col("request_id").alias("seq"),
+        F.lit(tool).alias("tool"),
+        F.to_json(F.struct("application_id", "new_status")).alias("args"),
+        "outcome",
+    )
+
+
 def audit_summary(changes: DataFrame, replan_after: int = 2) -> DataFrame:
     """H4: per run: calls and outcomes; >= 2 operator denials flags a replan."""
     o = F.col("outcome")

@@ -252,6 +252,19 @@ def q_score_triage_threshold(spark, sf_dir):
     return governed.score_triage(_in(spark, sf_dir)["applications"], threshold=80)
 
 
+@register(
+    "audit_log",
+    """
+    SELECT run_id, request_id AS seq, 'move_applicant_status' AS tool,
+           json_object('application_id', application_id, 'new_status', new_status)::VARCHAR AS args, outcome
+    FROM g_changes""",
+)
+def q_audit_log(spark, sf_dir):
+    """H4: audit rows of the status-change tool calls."""
+    i = _in(spark, sf_dir)
+    return governed.audit_log(governed.status_changes(i["status_requests"], i["applications"], i["users"], cap=5))
+
+
 @register(
     "audit_summary",
     """
