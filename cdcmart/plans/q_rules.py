@@ -331,3 +331,16 @@ def q_banner_window(spark, sf_dir):
     w = wh(spark, sf_dir)
     r = rules.banner_window_check(w.table("fact_pulls"), w.table("dim_banners"))
     return r.select("pull_id", "banner_id", "in_window")
+
+
+@register(
+    "rule_guarantee_state",
+    f"""
+    SELECT player_id, banner_type,
+           coalesce(arg_max(coalesce(character_id <> rate_up_ssr_id, true), struct_pack(pulled_at, pull_id))
+                    FILTER (WHERE rarity = 'SSR' AND banner_type = 'limited'), false) AS guaranteed_next
+    FROM {FP_TYPED} GROUP BY player_id, banner_type""",
+)
+def q_guarantee_state(spark, sf_dir):
+    """G3 final state: guaranteed_next per (player, banner type), an aggregate."""
+    return rules.guarantee_state(_typed(wh(spark, sf_dir)), ORDER)
