@@ -50,7 +50,8 @@ def segmented_scan(
     BETWEEN UNBOUNDED PRECEDING AND {CURRENT ROW | 1 PRECEDING})``, with
     ``count`` of an empty frame = 0 (``sum``/``max``/``last`` give null).
     ``order`` (names or sort Columns, e.g. ``F.desc(c)``) must make rows
-    unique within a key.
+    unique within a key. The ranged rows are checkpointed with every input
+    column, so callers select the columns they need first.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))

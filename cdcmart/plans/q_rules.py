@@ -34,7 +34,9 @@ def _typed(w):
 )
 def q_pity_replay(spark, sf_dir):
     """G1: pulls since the last SSR, counting this one, per (player, banner type)."""
-    r = rules.pity_replay(_typed(wh(spark, sf_dir)), ORDER)
+    # Columns are chosen before the scan: its checkpoint is a pruning barrier.
+    cols = ["pull_id", "player_id", "banner_type", "rarity", "pulled_at"]
+    r = rules.pity_replay(_typed(wh(spark, sf_dir)).select(*cols), ORDER)
     return r.select("pull_id", "player_id", "banner_type", "rarity", "replayed_pity")
 
 
@@ -69,7 +71,9 @@ def q_pity_state(spark, sf_dir):
 )
 def q_guarantee_replay(spark, sf_dir):
     """50/50 guarantee state before each pull and the flag it implies."""
-    r = rules.guarantee_replay(_typed(wh(spark, sf_dir)), ORDER)
+    cols = ["pull_id", "player_id", "banner_type", "rarity", "is_guaranteed", "character_id", "rate_up_ssr_id",
+            "pulled_at"]
+    r = rules.guarantee_replay(_typed(wh(spark, sf_dir)).select(*cols), ORDER)
     return r.select(
         "pull_id", "player_id", "banner_type", "rarity", "is_guaranteed", "guaranteed_before", "expected_guaranteed"
     )
@@ -88,7 +92,8 @@ def q_guarantee_replay(spark, sf_dir):
 )
 def q_hard_pity(spark, sf_dir):
     """Pulls past hard pity that are not SSR (should be none)."""
-    r = rules.pity_replay(_typed(wh(spark, sf_dir)), ORDER)
+    cols = ["pull_id", "player_id", "banner_type", "rarity", "pulled_at"]
+    r = rules.pity_replay(_typed(wh(spark, sf_dir)).select(*cols), ORDER)
     return rules.hard_pity_violations(r).select("pull_id", "player_id", "banner_type", "rarity", "replayed_pity")
 
 
@@ -215,7 +220,9 @@ def q_upsert_overwrite(spark, sf_dir):
 )
 def q_first_buy(spark, sf_dir):
     """First-buy flag, both definitions, next to the recorded flag."""
-    t = wh(spark, sf_dir).table("fact_transactions")
+    t = wh(spark, sf_dir).table("fact_transactions").select(
+        "transaction_id", "player_id", "package_id", "payment_status", "is_first_buy", "transacted_at"
+    )
     b = rules.first_buy_flags(t)
     return b.select("transaction_id", "player_id", "package_id", "is_first_buy", "first_in_order", "no_earlier_success")
 
