@@ -489,10 +489,12 @@ def _incremental(spark, sf_dir):
     if key in _INCR:
         return models.Warehouse(spark, _INCR[key])
 
-    msgs = adapter.cdc_messages(adapter.source_tables(spark, sf_dir))
+    root = f"{work_dir(spark)}/cdcmart-incr-{uuid.uuid4().hex[:10]}"
+    # the message log is produced once and read back for both runs
+    adapter.cdc_messages(adapter.source_tables(spark, sf_dir)).write.parquet(f"{root}/messages")
+    msgs = spark.read.parquet(f"{root}/messages")
     ts = F.get_json_object(F.col("value").cast("string"), "$.payload.ts_ms").cast("long")
     early = F.coalesce(ts < _SPLIT_MS, F.lit(True))
-    root = f"{work_dir(spark)}/cdcmart-incr-{uuid.uuid4().hex[:10]}"
     stamp = F.col("event_timestamp")
     models.run_incremental(spark, msgs.where(early), root, 0, ingested_at=stamp)
     wh = models.run_incremental(spark, msgs.where(~early), root, 1, ingested_at=stamp)
