@@ -80,6 +80,16 @@ def q_access_check(spark, sf_dir):
     return governed.access_check(i["access_requests"], i["grants"], gi.catalog(spark))
 
 
+@register(
+    "granted_tables",
+    "SELECT g.user_id, g.dataset, c.table_name FROM g_grants g JOIN g_catalog c ON g.dataset = c.dataset",
+)
+def q_granted_tables(spark, sf_dir):
+    """The catalog tables each user may list (granted datasets only)."""
+    i = _in(spark, sf_dir)
+    return governed.granted_tables(i["grants"], gi.catalog(spark))
+
+
 _COST = """
     (SELECT q.*, u.cost_limit_usd,
             CAST(CASE WHEN contains(lower(q.sql), 'hr.') THEN 50000000000
