@@ -132,3 +132,17 @@ def test_incremental_run_with_missing_tables(spark):
     wh = models.run_incremental(spark, msgs, root, 0)
     assert wh.table("stg_pulls").count() == 1 and wh.table("stg_players").count() == 0
     assert wh.table("fact_pulls").first()["player_region"] is None
+
+
+def test_bronze_sink_progress_metrics(spark):
+    base = tempfile.mkdtemp(prefix="cdcmart-sink-")
+    good = {"payload": {"after": {"id": "1"}, "source": {"schema": "s", "table": "pulls"}, "op": "c", "ts_ms": 1}}
+    bad = {"payload": {"after": {}, "source": {"schema": "s", "table": "pulls"}, "op": "c", "ts_ms": 1}}
+    vals = [json.dumps(good).encode(), json.dumps(bad).encode(), b"\xff\xfe"]
+    spark.createDataFrame([(v,) for v in vals], "value binary").write.parquet(f"{base}/in")
+    q = cs.bronze_sink(cs.read_cdc(spark, f"{base}/in", fmt="binary"), f"{base}/out", f"{base}/ckpt")
+    q.awaitTermination()
+    m = q.lastProgress["observedMetrics"]["cdc_progress"]
+    assert (m["messages"], m["bronze"], m["dlq"], m["undecodable"]) == (3, 1, 1, 1)
+    routes = {r["route"] for r in spark.read.parquet(f"{base}/out").select("route").collect()}
+    assert routes == {"bronze", "dlq", "undecodable"}
