@@ -38,3 +38,13 @@ def test_views_run_dashboard_sql(spark):
     got = {r["rarity"]: r["pulls"] for r in spark.sql(sql).collect()}
     want = {r["rarity"]: r["pulls"] for r in bi.rarity_dist(wh).collect()}
     assert got == want
+
+
+def test_command_line(spark, capsys):
+    from cdcmart.__main__ import main
+
+    assert main(["list"]) == 0
+    assert "bi_overview" in capsys.readouterr().out
+    assert main(["query", "bi_overview", "--data", SF_SMALL]) == 0
+    assert "total_players" in capsys.readouterr().out
+    assert main(["query", "nope", "--data", SF_SMALL]) == 2
