@@ -60,11 +60,16 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_FALLBACK: dict[str, str] = {}  # application id -> folder chosen when none is configured
+
+
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and materialised tables.
 
     Read from ``spark.checkpoint.dir``; only when the session has none (local
-    tests) is a fresh folder under the system temp dir chosen and recorded.
+    tests) is a fresh folder under the system temp dir chosen (once per
+    application) and used as the context's checkpoint folder. The setting
+    itself is a core config and cannot be changed on a running session.
     """
     try:
         sc = spark.sparkContext
@@ -74,8 +79,10 @@ def work_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None
     )
     if not path:
-        path = tempfile.mkdtemp(prefix="cdcmart-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        app = sc.applicationId if sc is not None else "remote"
+        path = _FALLBACK.get(app)
+        if path is None:
+            path = _FALLBACK[app] = tempfile.mkdtemp(prefix="cdcmart-ckpt-")
     if sc is not None and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path.rstrip("/")
