@@ -57,9 +57,42 @@ def configure(spark: SparkSession) -> SparkSession:
     # UTC is required for the epoch-ms and ISO text round trips to be exact.
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     work_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``cdcmart`` importable in the Python workers (pandas UDFs and the
+    stateful watchlist run there): zip the package once per application and
+    add it with ``addPyFile``, as ``--py-files`` would on a cluster."""
+    try:
+        sc = spark.sparkContext
+    except Exception:
+        return
+    if sc.applicationId in _SHIPPED:
+        return
+    import cdcmart
+
+    pkg = os.path.dirname(os.path.abspath(cdcmart.__file__))
+    base = work_dir(spark)
+    folder = base if "://" not in base or base.startswith("file:") else tempfile.mkdtemp(prefix="cdcmart-py-")
+    folder = folder.replace("file://", "", 1).replace("file:", "", 1)
+    target = os.path.join(folder, f"cdcmart-py-{sc.applicationId}.zip")
+    import zipfile
+
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(target)
+    _SHIPPED.add(sc.applicationId)
+
+
 _FALLBACK: dict[str, str] = {}  # application id -> folder chosen when none is configured
 
 
