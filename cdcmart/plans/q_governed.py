@@ -227,7 +227,6 @@ _MSG = """
 )
 def q_status_changes(spark, sf_dir):
     """H1: capped, tenant-scoped status changes with per-run mutation count."""
-    i = _in(spark, sf_dir)
     return _changes(spark, sf_dir)
 
 
@@ -286,7 +285,6 @@ def q_score_triage_threshold(spark, sf_dir):
 )
 def q_audit_log(spark, sf_dir):
     """H4: audit rows of the status-change tool calls."""
-    i = _in(spark, sf_dir)
     return governed.audit_log(_changes(spark, sf_dir))
 
 
@@ -302,5 +300,4 @@ def q_audit_log(spark, sf_dir):
 )
 def q_audit_summary(spark, sf_dir):
     """H4: per-run audit summary with the replan flag."""
-    i = _in(spark, sf_dir)
     return governed.audit_summary(_changes(spark, sf_dir))
