@@ -22,7 +22,11 @@ def _changes(spark, sf_dir):
     inputs are checkpointed once, so later queries reuse them)."""
     import os
 
-    key = (os.path.realpath(sf_dir), spark.sparkContext.applicationId)
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # remote session
+        app = str(id(spark))
+    key = (os.path.realpath(sf_dir), app)
     if key not in _CHANGES:
         i = _in(spark, sf_dir)
         _CHANGES[key] = governed.status_changes(i["status_requests"], i["applications"], i["users"], cap=5)
