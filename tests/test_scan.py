@@ -62,3 +62,15 @@ def test_scd2_versions(spark):
     got = sorted((r["player_id"], r["region"], r["valid_from"].hour, r["valid_to"].hour if r["valid_to"] else None)
                  for r in dim_players_scd2(b).collect())
     assert got == [("1", "EU", 0, 2), ("1", "EU", 4, None), ("1", "NA", 2, 4), ("2", "ASIA", 3, None)]
+
+
+def test_global_rank_hot_group(spark):
+    from cdcmart.operators.stats import global_rank
+
+    rnd = random.Random(4)
+    rows = [("hot" if rnd.random() < 0.7 else f"g{rnd.randrange(5)}", rnd.random()) for _ in range(2000)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = sorted((r["g"], r["rank"], r["v"]) for r in global_rank(df, "v", "g", partitions=7).collect())
+    w = Window.partitionBy("g").orderBy("v")
+    want = sorted((r["g"], r["rank"], r["v"]) for r in df.select("g", "v", F.row_number().over(w).alias("rank")).collect())
+    assert got == want
