@@ -12,11 +12,20 @@ from pyspark.sql import functions as F
 
 from cdcmart.sources.tables import load
 
-from . import bpe, exact_dedup, mixing, simhash, token_store, toxicity
+from . import bpe, exact_dedup, fingerprints, mixing, sharding, simhash, substrings, token_store, toxicity, url_filter
 
 #: Target shares of the mix; sources without a share of their own count 1.
 MIX_WEIGHTS = {"src0": 3.0, "src1": 2.0, "src2": 1.5, "src3": 0.5}
 
+#: (verdict, host, path) of the URL filter.
+URL_RULES = (
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+)
+
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents")
@@ -46,6 +55,35 @@ def op5_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, MIX_WEIGHTS).select("doc_id", "source", "block", "slot", "position")
 
 
+def op3_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, with likeness."""
+    made = fingerprints.neighbour_likeness(_documents(spark, sf_dir).select("doc_id", "text"))
+    return made.select(
+        "doc_id", "n_chars", "edited_sha256", fingerprints.digest(F.col("print")).alias("fingerprint"),
+        fingerprints.digest(F.col("edited_print")).alias("edited_fingerprint"), "near_edited", "near_next",
+    )
+
+
+def op4_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen shards of equal counts that keep copies together."""
+    made = sharding.shard_documents(_documents(spark, sf_dir).select("doc_id", "text"))
+    return made.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op6_prefix_free_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses to strings of 50 bytes of earlier documents."""
+    made = substrings.remove_repeats(_documents(spark, sf_dir).select("doc_id", "text"))
+    return made.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page by rules and by its aliases."""
+    pages = load(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return url_filter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of every document's ids and of the bytes they decode to."""
     docs = _documents(spark, sf_dir).select("doc_id", "text")
@@ -79,6 +117,10 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_store": op2_token_store,
     "op5_pfair_mix": op5_pfair_mix,
+    "op3_multiset_fingerprint": op3_multiset_fingerprint,
+    "op4_label_propagation": op4_label_propagation,
+    "op6_prefix_free_dedup": op6_prefix_free_dedup,
+    "op7_url_filter": op7_url_filter,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
