@@ -257,27 +257,41 @@ def _shared(right: pa.Table, triggers: np.ndarray, buckets: int) -> np.ndarray:
 
 def sort_windows(phrases: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The suffix array of a dictionary to depth ``length``: for its windows the
-    phrase, and the class (windows of equal content share one, classes ascend
-    with the content); third the number of windows of each phrase."""
+    phrase, and the class (windows of equal content share one); third the number
+    of windows of each phrase.
+
+    A window whose rolling hash no other window has is a class of its own; the
+    others are sorted by all their bytes, and their classes ascend with the
+    content.
+    """
     counts = np.array([len(p) - length + 1 for p in phrases], np.int64)
     raw = np.frombuffer(b"".join(phrases) + bytes(8), np.uint8)
     sizes = counts + length - 1
     first = np.cumsum(sizes) - sizes
     phrase = np.repeat(np.arange(len(phrases)), counts)
     at = np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-    words = []
+    classes = np.arange(len(at))
+    if not len(at):
+        return phrase, classes, counts
+    h = _rolling(raw, length)[at]
+    by_hash = np.argsort(h)
+    same = h[by_hash[1:]] == h[by_hash[:-1]]
+    again = np.zeros(len(at), bool)
+    again[:-1] |= same
+    again[1:] |= same
+    some = by_hash[again]
+    words, starts = [], at[some]
     for off in range(0, length, 8):
-        word = np.zeros(len(at), np.uint64)
+        word = np.zeros(len(some), np.uint64)
         for j in range(off, min(off + 8, length)):
-            word = (word << np.uint64(8)) | raw[at + j]
+            word = (word << np.uint64(8)) | raw[starts + j]
         words.append(word)
     order = np.lexsort(words[::-1])
-    new = np.zeros(len(at), bool)
+    new = np.zeros(len(some), bool)
     for word in words:
         own = word[order]
         new[1:] |= own[1:] != own[:-1]
-    classes = np.empty(len(at), np.int64)
-    classes[order] = np.cumsum(new)
+    classes[some[order]] = len(at) + np.cumsum(new)
     return phrase, classes, counts
 
 
@@ -300,7 +314,7 @@ def _masks(table: pa.Table, length: int) -> pa.Table:
     for own, docs in zip(entries, leasts, strict=True):
         np.minimum.at(least, own, docs)
     phrase, classes, counts = sort_windows(phrases, length)
-    first = np.full(int(classes.max()) + 1 if len(classes) else 0, _LAST)
+    first = np.full(int(classes.max(initial=-1)) + 1, _LAST)
     np.minimum.at(first, classes, least[phrase])
     first_of = first[classes]
     begin = np.cumsum(counts) - counts
