@@ -88,7 +88,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per input row: ``id_col`` and ``print``, a struct of ``exact`` and
     ``signs``. Null counts as the empty text, which is one empty paragraph."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("uid"), F.explode(_pieces(text, 0)).alias("p"))
+    rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("uid"), text.alias("text"))
+    rows = rows.select("id", "uid", F.explode(_pieces(F.col("text"), 0)).alias("p"))
     made = _lane_sums(rows.select("id", "uid", "p.kind", "p.piece"), ["id", "uid"])
     return made.select(F.col("id").alias(id_col), F.struct("exact", "signs").alias("print"))
 

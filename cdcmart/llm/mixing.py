@@ -119,7 +119,7 @@ def mix(
 
     # one row per class and phase it has blocks in: arithmetic from block to slot
     table = []
-    for ph, following in zip(plan, [*plan[1:], None], strict=True):
+    for ph, following in zip(plan, [*plan[1:], None], strict=False):
         for s, a in ph["weights"].items():
             stop = following["first"].get(s, blocks[s]) if following else blocks[s]
             table.append((s, ph["first"][s], stop, ph["start"], sum(ph["weights"].values()), a, ph["places"][s]))
@@ -137,10 +137,16 @@ def mix(
     )
 
 
-def mixed_rows(docs: DataFrame, weights: Mapping[str, float] | None = None, **options) -> DataFrame:
+def mixed_rows(
+    docs: DataFrame, weights: Mapping[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", **options
+) -> DataFrame:
     """``docs``, all rows and columns, range-sorted into mixing order."""
-    made = mix(docs, weights, **options)
-    return made.orderBy("position").select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = docs.select(
+        F.struct(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("whole"),
+        docs[f"`{id_col}`"].alias("id"), docs[f"`{source_col}`"].alias("source"),
+    )
+    made = mix(whole, weights, "id", "source", **options).orderBy("position")
+    return made.select(*[F.col(f"whole.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def _slot_of(plan: list[dict], blocks: Mapping[str, int], source: str) -> int:

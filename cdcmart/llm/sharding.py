@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import hash_rank, materialize, release
 
-ROUNDS = 6
+ROUNDS = 10
 ARITY = 8
 
 

@@ -94,16 +94,14 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     if not positive or not unlabelled:
         return Model(weights, bias)
     n_p, n_u = len(positive), len(unlabelled)
-    in_p = np.bincount(np.concatenate(positive), minlength=DIMENSIONS) / n_p
-    in_u = np.bincount(np.concatenate(unlabelled), minlength=DIMENSIONS) / n_u
-    used = np.flatnonzero(np.abs(in_p - in_u) >= MIN_Z * np.sqrt((in_u + 1 / n_p) / n_p))
+    in_p, in_u = _frequency(positive), _frequency(unlabelled)
+    telling = np.abs(in_p - in_u) >= MIN_Z * np.sqrt((in_u + 1 / n_p) / n_p)
+    used = np.flatnonzero(telling)
     if not len(used):
         return Model(weights, bias)
-    place = np.full(DIMENSIONS, -1)
-    place[used] = np.arange(len(used))
-    sizes = [len(x) for x in (*positive, *unlabelled)]
-    rows, idx = np.repeat(np.arange(len(sizes)), sizes), place[np.concatenate([*positive, *unlabelled])]
-    rows, idx = rows[idx >= 0], idx[idx >= 0]
+    held = [x[telling[x]] for x in (*positive, *unlabelled)]  # a small part of all features
+    sizes = [len(x) for x in held]
+    rows, idx = np.repeat(np.arange(len(sizes)), sizes), np.searchsorted(used, np.concatenate(held))
     p = np.arange(len(sizes)) < n_p
     w = np.append(np.zeros(len(used)), bias)  # the last weight is the bias
     m, v = np.zeros(len(w)), np.zeros(len(w))
@@ -123,6 +121,14 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return Model(weights, float(w[-1]))
 
 
+def _frequency(texts: list[np.ndarray]) -> np.ndarray:
+    """Share of the texts that have each feature."""
+    counts = np.zeros(DIMENSIONS, np.float32)
+    for x in texts:
+        counts[x] += 1  # features of a text are distinct
+    return counts / len(texts)
+
+
 def _sample(rows: DataFrame, id_col: str, text_col: str, n: int) -> list[np.ndarray]:
     """Features of the ``n`` rows of least id hash, taken on the executors."""
     order = F.xxhash64(F.col(id_col), F.lit(10))
