@@ -170,31 +170,29 @@ def split_escalation(answers: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def _part(cut: int) -> Column:
-    return F.when(F.col("role") == "tool", F.concat(F.lit("[tool: "), F.col("text"), F.lit("]"))).otherwise(
-        F.substring("text", 1, cut)
-    )
+def _part() -> Column:
+    return F.when(F.col("role") == "tool", F.concat(F.lit("[tool: "), F.col("text"), F.lit("]"))).otherwise(F.col("text"))
 
 
 def _kind() -> Column:
     return F.when(F.col("role") == "assistant", "ModelResponse").otherwise("ModelRequest")
 
 
-def history_parts(conversations: DataFrame, cut: int = 200) -> DataFrame:
+def history_parts(conversations: DataFrame) -> DataFrame:
     """H14, one row per turn: the session's turn count (an aggregate joined
-    back), the message type and its display part (text parts cut to ``cut``
-    characters for display, tool parts as ``[tool: name]``)."""
+    back), the message type and its part (whole texts; tool parts as
+    ``[tool: name]``)."""
     n = conversations.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turn_count"))
     return conversations.join(n, "conv_id").select(
-        F.col("conv_id").alias("session_id"), "turn", "turn_count", _kind().alias("type"), _part(cut).alias("part")
+        F.col("conv_id").alias("session_id"), "turn", "turn_count", _kind().alias("type"), _part().alias("part")
     )
 
 
-def history_summary(conversations: DataFrame, cut: int = 200) -> DataFrame:
+def history_summary(conversations: DataFrame) -> DataFrame:
     """H14 as one row per session: turn count and the ordered message list."""
     g = conversations.groupBy("conv_id").agg(
         F.count(F.lit(1)).alias("turn_count"),
-        F.array_sort(F.collect_list(F.struct(F.col("turn"), _kind().alias("type"), _part(cut).alias("part")))).alias("_m"),
+        F.array_sort(F.collect_list(F.struct(F.col("turn"), _kind().alias("type"), _part().alias("part")))).alias("_m"),
     )
     return g.select(
         F.col("conv_id").alias("session_id"),

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cdcmart.schemas import GACHA_CONFIG, MAX_CONSTELLATION, TOPUP_PACKAGES
+from cdcmart.schemas import PULL_CONFIG, MAX_CONSTELLATION, TOPUP_PACKAGES
 
 _PRE = Window.unboundedPreceding
 
@@ -139,12 +139,12 @@ def guarantee_state(pulls: DataFrame, order_cols=("pulled_at", "pull_id"), playe
     )
 
 
-def hard_pity_violations(replayed: DataFrame, hard_pity: int = GACHA_CONFIG["ssr_hard_pity"]) -> DataFrame:
+def hard_pity_violations(replayed: DataFrame, hard_pity: int = PULL_CONFIG["ssr_hard_pity"]) -> DataFrame:
     """Pulls at counter >= hard pity that are not SSR."""
     return replayed.where((F.col("replayed_pity") >= hard_pity) & (F.col("rarity") != "SSR"))
 
 
-def expected_ssr_rate(n: Column, cfg=GACHA_CONFIG) -> Column:
+def expected_ssr_rate(n: Column, cfg=PULL_CONFIG) -> Column:
     """Configured SSR probability at pull number ``n`` since the last SSR."""
     base, start, step = cfg["ssr_base_rate"], cfg["ssr_soft_pity_start"], cfg["ssr_soft_pity_rate"]
     soft = F.least(F.lit(1.0), F.lit(base) + F.lit(step) * (n - start + 1))
@@ -153,7 +153,7 @@ def expected_ssr_rate(n: Column, cfg=GACHA_CONFIG) -> Column:
     )
 
 
-def ssr_rate_by_pity(pulls: DataFrame, counter: str = "pity_count", cfg=GACHA_CONFIG) -> DataFrame:
+def ssr_rate_by_pity(pulls: DataFrame, counter: str = "pity_count", cfg=PULL_CONFIG) -> DataFrame:
     """Observed vs configured SSR rate per pity counter value."""
     return (
         pulls.groupBy(counter)
@@ -185,10 +185,12 @@ def sr_guarantee(pulls: DataFrame, repair: bool = False, batch: str = "batch_id"
     return out.drop("_has", "_last")
 
 
-def batch_integrity(pulls: DataFrame, batch: str = "batch_id", size: int = GACHA_CONFIG["sr_guarantee_every"]) -> DataFrame:
-    """Each batch has ``size`` pulls numbered 1..size from one player."""
+def batch_integrity(pulls: DataFrame, batch: str = "batch_id", size: int = PULL_CONFIG["sr_guarantee_every"]) -> DataFrame:
+    """Each batch has ``size`` pulls numbered 1..size from one player.
+    Single pulls have no batch and are not judged."""
     return (
-        pulls.groupBy(batch)
+        pulls.where(F.col(batch).isNotNull())
+        .groupBy(batch)
         .agg(
             F.count(F.lit(1)).alias("pulls"),
             F.min("pull_number").alias("min_number"),

@@ -21,12 +21,22 @@ frame where the boolean value is true).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KINDS = ("count", "sum", "max", "last", "lastpos")
 
 
+def _same(cols: Sequence[str]) -> Column:
+    """Null-safe equality of the columns of sides ``l`` and ``r``: rows without
+    a key are a group like any other."""
+    return reduce(and_, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in cols])
+
+
 def _agg(kind: str, v: Column) -> Column:
     if kind == "count":
         return F.count(F.lit(1))
@@ -91,7 +101,8 @@ def segmented_scan(
     bounds = ranged.groupBy("_pid").agg(F.min(key_struct).alias("lo"), F.max(key_struct).alias("hi"))
     bkeys = bounds.select("_pid", F.explode(F.array("lo", "hi")).alias("_k")).select("_pid", "_k.*").distinct()
     summary = (
-        local.join(F.broadcast(bkeys), ["_pid", *keys], "inner")
+        local.alias("l")
+        .join(F.broadcast(bkeys).alias("r"), _same(["_pid", *keys]), "left_semi")
         .groupBy(*keys, "_pid")
         .agg(F.first("_sc_rows").alias("_sc_rows"), *[F.first(f"_sct_{name}").alias(f"_sct_{name}") for name in names])
     )
@@ -109,7 +120,8 @@ def segmented_scan(
             c = _agg(kind, t).over(prev)
         carry = carry.withColumn(f"_scc_{name}", c)
     carry = carry.select(*keys, "_pid", "_sc_off", *[f"_scc_{name}" for name in names])
-    out = local.join(F.broadcast(carry), [*keys, "_pid"], "left")
+    out = local.alias("l").join(F.broadcast(carry).alias("r"), _same([*keys, "_pid"]), "left")
+    out = out.select("l.*", "r._sc_off", *[f"r._scc_{name}" for name in names])
     for name in names:
         kind = specs[name][0]
         loc, car = F.col(f"_scl_{name}"), F.col(f"_scc_{name}")

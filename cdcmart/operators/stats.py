@@ -59,11 +59,12 @@ def ols_fit(df: DataFrame, y: str = "y", x: str = "x1", by: str = "period") -> D
     Var(fit) is the sample variance of the residuals (pred - y); F uses the
     sums of squares with p_extra = 1, p_fit = 2.
     """
+    # every statistic over the complete pairs
     g = df.groupBy(by).agg(
-        F.count(F.lit(1)).alias("n"),
+        F.regr_count(F.col(y), F.col(x)).alias("n"),
         F.regr_slope(F.col(y), F.col(x)).alias("slope"),
         F.regr_intercept(F.col(y), F.col(x)).alias("intercept"),
-        F.var_samp(y).alias("var_mean"),
+        F.var_samp(F.when(F.col(x).isNotNull(), F.col(y))).alias("var_mean"),
         F.regr_r2(F.col(y), F.col(x)).alias("_r2"),
     )
     # With an intercept, residuals have mean 0, so Var(fit) = (1 - R^2) Var(mean).
@@ -77,10 +78,10 @@ def ols_fit(df: DataFrame, y: str = "y", x: str = "x1", by: str = "period") -> D
 
 
 def residuals(df: DataFrame, fit: DataFrame, y: str = "y", x: str = "x1", by: str = "period") -> DataFrame:
-    """Prediction and residual (pred - y) per row. ``fit`` has one row per
-    group (one per calendar year), so it is broadcast."""
-    f = fit.select(by, F.col("slope").alias("_b"), F.col("intercept").alias("_a"))
-    out = df.join(F.broadcast(f), by, "inner")
+    """Prediction and residual (pred - y) per row, rows of the null group
+    included. ``fit`` has one row per group; Spark broadcasts it if it is small."""
+    f = fit.select(F.col(by).alias("_by"), F.col("slope").alias("_b"), F.col("intercept").alias("_a"))
+    out = df.join(f, df[by].eqNullSafe(F.col("_by")), "inner").drop("_by")
     pred = F.col("_a") + F.col("_b") * F.col(x)
     return out.withColumn("pred", pred).withColumn("residual", pred - F.col(y)).drop("_a", "_b")
 
@@ -112,7 +113,9 @@ def global_rank(df: DataFrame, order: str, by: str, partitions: int | None = Non
     counts = ranged.groupBy(by, "_pid").agg(F.count(F.lit(1)).alias("_c"), F.min("_mid").alias("_first"))
     wo = Window.partitionBy(by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_c").over(wo), F.lit(0))).select(by, "_pid", "_off", "_first")
-    j = ranged.join(F.broadcast(offsets), [by, "_pid"], "inner")
+    # null-safe: rows without a group are a group of their own
+    same = ranged[by].eqNullSafe(offsets[by]) & (ranged["_pid"] == offsets["_pid"])
+    j = ranged.join(F.broadcast(offsets), same, "inner").select(ranged["*"], offsets["_off"], offsets["_first"])
     return j.withColumn("rank", F.col("_off") + F.col("_mid") - F.col("_first") + 1).drop(
         "_pid", "_mid", "_first", "_off"
     )

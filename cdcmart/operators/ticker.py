@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# FIXED VALUES: page size of the metrics source (counts are capped at it).
-PAGE_SIZE = 100
 # Event type -> repo activity kind.
 ACTIVITY = {"view": "star", "click": "fork", "purchase": "commit", "error": "issue"}
 
@@ -21,20 +19,16 @@ def repo_events(events: DataFrame) -> DataFrame:
     ).where(F.col("kind").isNotNull())
 
 
-def rolling_counts(repo_ev: DataFrame, now: Column, page: int = PAGE_SIZE) -> DataFrame:
+def rolling_counts(repo_ev: DataFrame, now: Column) -> DataFrame:
     """Per repo as of ``now``: stars, forks in the last 7 days, commits
-    since UTC midnight (both capped at the page size), open issues."""
+    since UTC midnight, open issues. Counts are whole."""
     t = F.col("created_at")
     seen = t <= now
     k = F.col("kind")
     return repo_ev.groupBy("repo").agg(
         F.count_if(seen & (k == "star")).alias("stars"),
-        F.least(F.count_if(seen & (k == "fork") & (t >= now - F.expr("INTERVAL 7 DAYS"))), F.lit(page)).alias(
-            "forks_this_week"
-        ),
-        F.least(F.count_if(seen & (k == "commit") & (t >= F.date_trunc("day", now))), F.lit(page)).alias(
-            "commits_today"
-        ),
+        F.count_if(seen & (k == "fork") & (t >= now - F.expr("INTERVAL 7 DAYS"))).alias("forks_this_week"),
+        F.count_if(seen & (k == "commit") & (t >= F.date_trunc("day", now))).alias("commits_today"),
         F.count_if(seen & (k == "issue")).alias("open_issues"),
     ).withColumn("fetched_at", now)
 

@@ -99,7 +99,10 @@ class Warehouse:
                 self.path("cdc/route=bronze")
             ).select(*cdc.BRONZE_COLS)
         if name == "dlq":
-            return self.spark.read.parquet(self.path("cdc/route=dlq")).select("reason", "raw")
+            path = self.path("cdc/route=dlq")
+            if not path_exists(self.spark, path):  # a clean log rejects nothing
+                return self.spark.createDataFrame([], "reason string, raw string")
+            return self.spark.read.parquet(path).select("reason", "raw")
         return self.spark.read.parquet(self.path(name))
 
     __call__ = table

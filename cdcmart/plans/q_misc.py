@@ -90,14 +90,14 @@ def q_session_expiry(spark, sf_dir):
            CAST(o_orderdate AS TIMESTAMP) + INTERVAL 1 HOUR AS expires_at,
            CAST(o_orderdate AS TIMESTAMP) + INTERVAL 1 HOUR <= (SELECT max(CAST(o_orderdate AS TIMESTAMP)) FROM orders)
                AS expired
-    FROM orders WHERE o_orderpriority = '1-URGENT'""",
+    FROM orders""",
 )
 def q_approval_expiry(spark, sf_dir):
-    """H7 approvals: urgent orders stand for approval requests; each expires
+    """H7 approvals: orders stand for approval requests; each expires
     one hour after creation, judged as of the newest one."""
     o = load(spark, sf_dir, "orders")
     now = o.select(F.max(F.col("o_orderdate").cast("timestamp"))).scalar()
-    a = o.where(F.col("o_orderpriority") == "1-URGENT").select(
+    a = o.select(
         F.col("o_orderkey").alias("approval_id"), F.col("o_orderdate").cast("timestamp").alias("created_at")
     )
     return history.approval_expiry(a, now)
@@ -131,7 +131,7 @@ def q_split_escalation(spark, sf_dir):
     """
     SELECT conv_id AS session_id, turn, count(*) OVER (PARTITION BY conv_id) AS turn_count,
            CASE WHEN role = 'assistant' THEN 'ModelResponse' ELSE 'ModelRequest' END AS type,
-           CASE WHEN role = 'tool' THEN '[tool: ' || text || ']' ELSE substr(text, 1, 200) END AS part
+           CASE WHEN role = 'tool' THEN '[tool: ' || text || ']' ELSE text END AS part
     FROM conversations""",
 )
 def q_history_summary(spark, sf_dir):
@@ -144,10 +144,10 @@ def q_history_summary(spark, sf_dir):
 R_METRICS = """
     (SELECT repo,
             count(*) FILTER (WHERE kind = 'star' AND created_at <= now) AS stars,
-            least(count(*) FILTER (WHERE kind = 'fork' AND created_at <= now
-                                   AND created_at >= now - INTERVAL 7 DAY), 100) AS forks_this_week,
-            least(count(*) FILTER (WHERE kind = 'commit' AND created_at <= now
-                                   AND created_at >= date_trunc('day', now)), 100) AS commits_today,
+            count(*) FILTER (WHERE kind = 'fork' AND created_at <= now
+                             AND created_at >= now - INTERVAL 7 DAY) AS forks_this_week,
+            count(*) FILTER (WHERE kind = 'commit' AND created_at <= now
+                             AND created_at >= date_trunc('day', now)) AS commits_today,
             count(*) FILTER (WHERE kind = 'issue' AND created_at <= now) AS open_issues,
             now AS fetched_at
      FROM (SELECT 'repo-' || user_id AS repo,

@@ -137,7 +137,7 @@ def q_sr_repair(spark, sf_dir):
            count(DISTINCT pull_number) AS distinct_numbers, count(DISTINCT player_id) AS players,
            (count(*) = 10 AND min(pull_number) = 1 AND max(pull_number) = 10
             AND count(DISTINCT pull_number) = 10 AND count(DISTINCT player_id) = 1) AS ok
-    FROM stg_pulls GROUP BY batch_id""",
+    FROM stg_pulls WHERE batch_id IS NOT NULL GROUP BY batch_id""",
 )
 def q_batch_integrity(spark, sf_dir):
     """Batch size, numbering and single owner."""

@@ -47,7 +47,7 @@ TOPUP_PACKAGES = [
     ("pkg-06", "Monthly Pass", 90, 4.99, 0, 90, 30),
 ]
 
-GACHA_CONFIG = {
+PULL_CONFIG = {
     "crystals_per_pull": 160,
     "crystals_per_10_pull": 1600,
     "ssr_base_rate": 0.015,

@@ -114,6 +114,8 @@ def work_dir(spark: SparkSession) -> str:
     if not path:
         app = sc.applicationId if sc is not None else "remote"
         path = _FALLBACK.get(app)
+        if path is None and sc is not None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if path is None:
             path = _FALLBACK[app] = tempfile.mkdtemp(prefix="cdcmart-ckpt-")
     if sc is not None and sc.getCheckpointDir() is None:
@@ -122,12 +124,7 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether ``path`` exists: a local check for local folders, otherwise a
-    Spark read of the path (works for any file system Spark can reach)."""
-    if "://" not in path or path.startswith("file:"):
-        return os.path.exists(path.replace("file://", "", 1) if path.startswith("file://") else path.replace("file:", "", 1))
-    try:
-        spark.read.format("binaryFile").load(path).limit(1).count()
-        return True
-    except Exception:
-        return False
+    """Whether ``path`` exists, asked of its file system; I/O errors propagate,
+    so a failed read is never taken for an absent table."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
