@@ -114,7 +114,8 @@ def work_dir(spark: SparkSession) -> str:
     if not path:
         app = sc.applicationId if sc is not None else "remote"
         path = _FALLBACK.get(app)
-        if path is None and sc is not None and not (sc.master == "local" or sc.master.startswith("local[")):
+        master = sc.getConf().get("spark.master", "local") if sc is not None else "local"
+        if path is None and master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if path is None:
             path = _FALLBACK[app] = tempfile.mkdtemp(prefix="cdcmart-ckpt-")

@@ -1,5 +1,7 @@
 """Shared-folder resolution when the session has no spark.checkpoint.dir."""
 
+import pytest
+
 from cdcmart.session import work_dir
 
 
@@ -41,3 +43,11 @@ def test_work_dir_without_setting():
     a = work_dir(s)
     assert a and s.sparkContext.dir == a
     assert work_dir(s) == a  # one folder per application
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    s = _Spark()
+    s.sparkContext.applicationId = "app-cluster"
+    s.sparkContext.getConf = lambda: _Conf({"spark.master": "spark://host:7077"})
+    with pytest.raises(ValueError):
+        work_dir(s)
