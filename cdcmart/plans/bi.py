@@ -117,26 +117,31 @@ def unluckiest(t: Tables, n: int = 20) -> DataFrame:
 # ---------------------------------------------------------------------------
 RARITY_ORDER = ["SSR", "SR", "R"]
 FIFTY_FIFTY = {True: "Won 50/50", False: "Lost 50/50 (guaranteed)"}
+# (least value of the range, label)
 PITY_BUCKETS = [
-    (1, 10, "1-10 (early)"),
-    (11, 30, "11-30"),
-    (31, 50, "31-50"),
-    (51, 73, "51-73"),
-    (74, 89, "74-89 (soft pity)"),
+    (1, "1-10 (early)"),
+    (11, "11-30"),
+    (31, "31-50"),
+    (51, "51-73"),
+    (74, "74-89 (soft pity)"),
+    (90, "90 (hard pity)"),
 ]
-HARD_PITY_BUCKET = (90, "90 (hard pity)")
-TIERS = ["F2P", "Minnow (<$50)", "Dolphin ($50-200)", "Whale ($200+)"]
-TIER_BOUNDS = [0, 50, 200]  # = 0, < 50, < 200, else
-COLLECTION = ["1-4", "5-9", "10-14", "15-20", "Complete (21/21)"]
-COLLECTION_BOUNDS = [5, 10, 15, 21]  # >= bound moves to the next range
+# (spending below which the tier holds, label); the first is for spending of zero
+TIERS = [(0, "F2P"), (50, "Minnow (<$50)"), (200, "Dolphin ($50-200)"), (None, "Whale ($200+)")]
+# (least value of the range, label)
+COLLECTION = [(0, "1-4"), (5, "5-9"), (10, "10-14"), (15, "15-20"), (21, "Complete (21/21)")]
+
+
+def _range_label(c: F.Column, ranges) -> F.Column:
+    """Label of the last range whose least value is not above ``c``, else null."""
+    expr = F
+    for least, label in reversed(ranges):
+        expr = expr.when(c >= least, label)
+    return expr
 
 
 def pity_bucket(c) -> F.Column:
-    expr = None
-    for lo, hi, label in PITY_BUCKETS:
-        cond = c.between(lo, hi)
-        expr = F.when(cond, label) if expr is None else expr.when(cond, label)
-    return expr.when(c >= HARD_PITY_BUCKET[0], HARD_PITY_BUCKET[1])
+    return _range_label(c, PITY_BUCKETS)
 
 
 def pity_histogram(t: Tables) -> DataFrame:
@@ -194,8 +199,11 @@ def whales(t: Tables, n: int = 20) -> DataFrame:
 def spender_tiers(t: Tables) -> DataFrame:
     """E12"""
     s = F.col("total_usd_spent")
-    lo, mid, hi = TIER_BOUNDS
-    tier = F.when(s == lo, TIERS[0]).when(s < mid, TIERS[1]).when(s < hi, TIERS[2]).otherwise(TIERS[3])
+    (zero, free), *paid, (_, most) = TIERS
+    tier = F.when(s == zero, free)
+    for bound, label in paid:
+        tier = tier.when(s < bound, label)
+    tier = tier.otherwise(most)
     return (
         t("agg_player_spending")
         .groupBy(tier.alias("tier"))
@@ -204,7 +212,7 @@ def spender_tiers(t: Tables) -> DataFrame:
             F.round(F.sum(s), 2).alias("total_revenue"),
             F.round(F.avg("total_pulls"), 0).alias("avg_pulls"),
         )
-        .orderBy(_rank(F.col("tier"), TIERS).asc_nulls_last())
+        .orderBy(_rank(F.col("tier"), [label for _, label in TIERS]).asc_nulls_last())
     )
 
 
@@ -280,17 +288,12 @@ def ssr_characters(t: Tables) -> DataFrame:
 
 def collection(t: Tables) -> DataFrame:
     """E18"""
-    u = F.col("unique_characters")
-    rng = None
-    for i in range(len(COLLECTION_BOUNDS) - 1, -1, -1):
-        cond = u >= COLLECTION_BOUNDS[i]
-        rng = F.when(cond, COLLECTION[i + 1]) if rng is None else rng.when(cond, COLLECTION[i + 1])
-    rng = rng.otherwise(COLLECTION[0])
+    rng = _range_label(F.col("unique_characters"), COLLECTION)
     return (
         t("agg_player_spending")
         .groupBy(rng.alias("collection_range"))
         .agg(F.count(F.lit(1)).alias("players"))
-        .orderBy(_rank(F.col("collection_range"), COLLECTION).asc_nulls_last())
+        .orderBy(_rank(F.col("collection_range"), [label for _, label in COLLECTION]).asc_nulls_last())
     )
 
 

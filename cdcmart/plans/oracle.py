@@ -176,18 +176,15 @@ CTES: list[tuple[str, str]] = [
     (
         "agg_player_spending",
         """
-        SELECT ps.player_id, ps.total_pulls, ps.total_crystals_spent,
-               coalesce(ss.total_usd_spent, 0) AS total_usd_spent, ps.ssr_count, ps.sr_count, ps.r_count,
-               ps.unique_characters, ps.avg_pity_to_ssr
-        FROM (SELECT player_id, count(*) AS total_pulls, CAST(sum(crystals_spent) AS BIGINT) AS total_crystals_spent,
-                     count(CASE WHEN rarity = 'SSR' THEN 1 END) AS ssr_count,
-                     count(CASE WHEN rarity = 'SR' THEN 1 END) AS sr_count,
-                     count(CASE WHEN rarity = 'R' THEN 1 END) AS r_count,
-                     count(DISTINCT character_id) AS unique_characters,
-                     avg(CASE WHEN rarity = 'SSR' THEN pity_count END) AS avg_pity_to_ssr
-              FROM fact_pulls GROUP BY player_id) ps
-        LEFT JOIN (SELECT player_id, sum(amount_usd) AS total_usd_spent FROM fact_transactions
-                   WHERE payment_status = 'success' GROUP BY player_id) ss ON ps.player_id = ss.player_id""",
+        SELECT player_id, count(*) AS total_pulls, CAST(sum(crystals_spent) AS BIGINT) AS total_crystals_spent,
+               coalesce(any_value(paid), 0) AS total_usd_spent,
+               count(*) FILTER (rarity = 'SSR') AS ssr_count, count(*) FILTER (rarity = 'SR') AS sr_count,
+               count(*) FILTER (rarity = 'R') AS r_count, count(DISTINCT character_id) AS unique_characters,
+               avg(pity_count) FILTER (rarity = 'SSR') AS avg_pity_to_ssr
+        FROM stg_pulls
+        LEFT JOIN (SELECT player_id, sum(amount_usd) FILTER (payment_status = 'success') AS paid
+                   FROM stg_transactions GROUP BY player_id) USING (player_id)
+        GROUP BY player_id""",
     ),
     # --- Bronze expectations (pull stream) ------------------------------------
     (

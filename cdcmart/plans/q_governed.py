@@ -6,6 +6,7 @@ from cdcmart.operators import governed
 from cdcmart.plans.oracle import VALID_IN
 from cdcmart.plans.registry import register, wh
 from cdcmart.sources import governed_inputs as gi
+from cdcmart.sources.tables import fingerprint
 
 _VALID_SORTED = "applied, hired, interviewed, offered, rejected, shortlisted, sourced, withdrawn"
 
@@ -26,7 +27,7 @@ def _changes(spark, sf_dir):
         app = spark.sparkContext.applicationId
     except Exception:  # remote session
         app = str(id(spark))
-    key = (os.path.realpath(sf_dir), app)
+    key = (os.path.realpath(sf_dir), fingerprint(spark, sf_dir), app)
     if key not in _CHANGES:
         i = _in(spark, sf_dir)
         _CHANGES[key] = governed.status_changes(i["status_requests"], i["applications"], i["users"], cap=5)

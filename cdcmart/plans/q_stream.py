@@ -5,13 +5,17 @@ returns the final table; the twin is the batch SQL of the same result."""
 
 from __future__ import annotations
 
+import os
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cdcmart.operators import ticker
 from cdcmart.plans.q_misc import TICK_FANOUT_SQL, W_STATE
 from cdcmart.plans.registry import register
 from cdcmart.sources import adapter
-from cdcmart.sources.tables import load
+from cdcmart.sources.tables import fingerprint, load
 from cdcmart.streaming import cdc_stream as cs
 from cdcmart.streaming import watchlist as wl
 
@@ -24,14 +28,16 @@ ROUTED_SCHEMA = (
 _INGESTED: dict[tuple, str] = {}
 
 
+def _input_key(spark, sf_dir) -> tuple:
+    return os.path.realpath(sf_dir), fingerprint(spark, sf_dir), cs.work_dir(spark)
+
+
 def _ingest(spark, sf_dir, files_per_batch: int = 16):
     """Message log -> files -> streaming Bronze sink. Returns the base folder.
 
     The ingested Bronze folder is shared by the downstream streaming queries
     of this session (each still runs its own streaming query over it)."""
-    import os
-
-    key = (os.path.realpath(sf_dir), cs.work_dir(spark))
+    key = _input_key(spark, sf_dir)
     if key in _INGESTED:
         return _INGESTED[key]
     base = cs.scratch(spark, "stream")
@@ -65,7 +71,7 @@ def _bronze_stream(spark, base, files_per_batch: int = 16):
 )
 def q_stream_bronze(spark, sf_dir):
     """Streaming ingest of the CDC message files into Bronze."""
-    _INGESTED.pop((__import__("os").path.realpath(sf_dir), cs.work_dir(spark)), None)  # always a new ingest
+    _INGESTED.pop(_input_key(spark, sf_dir), None)  # always a new ingest
     base = _ingest(spark, sf_dir)
     out = spark.read.parquet(f"{base}/out")  # committed files only (sink log)
     return out.where(F.col("route") == "bronze").select("id", "event", "event_timestamp", "source_table", "source_schema")
@@ -88,6 +94,21 @@ def q_stream_merge(spark, sf_dir):
     return merger.view("pulls")
 
 
+#: Tables of the merge.
+MERGED = ("pulls", "transactions", "players", "player_pity", "player_inventory", "characters", "banners")
+
+
+@register("stream_merge_tables", "\nUNION ALL ".join(f"SELECT '{t}' AS \"table\", id FROM stg_{t}" for t in MERGED))
+def q_stream_merge_tables(spark, sf_dir):
+    """The merge sink over all seven tables; the rows it holds."""
+    base = _ingest(spark, sf_dir)
+    run = _fresh(base, "merge-tables")
+    cs.merge_sink(_bronze_stream(spark, base, 32), f"{run}/silver", f"{run}/ckpt", every=None).awaitTermination()
+    merger = cs.SilverMerger(spark, f"{run}/silver")
+    parts = [merger.view(t).select(F.lit(t).alias("table"), "id") for t in MERGED if merger.paths(t)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @register(
     "stream_merge_deletes",
     "SELECT * FROM stg_pulls WHERE CAST(id AS BIGINT) % 17 <> 0",

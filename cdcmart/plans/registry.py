@@ -4,12 +4,14 @@ DuckDB twins. Keys follow the section prefixes of the operator inventory."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cdcmart.operators import gold, merge, quality, silver
 from cdcmart.plans import bi, models
+from cdcmart.plans.bi_twins import BI_SQL
 from cdcmart.plans.oracle import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -198,104 +200,6 @@ def q_gold_scd2(spark, sf_dir):
 # BI (E1-E19)
 # ---------------------------------------------------------------------------
 
-_RATE = "CAST(round(count(CASE WHEN {c} THEN 1 END) * 100.0 / count(*), 2) AS DOUBLE)"
-
-BI_SQL = {
-    "overview": f"""
-        SELECT count(DISTINCT player_id) AS total_players, count(*) AS total_pulls,
-               count(CASE WHEN rarity = 'SSR' THEN 1 END) AS total_ssr,
-               {_RATE.format(c="rarity = 'SSR'")} AS ssr_rate,
-               CAST(sum(crystals_spent) AS BIGINT) AS total_crystals_spent
-        FROM fact_pulls""",
-    "total_spent": """
-        SELECT round(coalesce(sum(amount_usd), 0), 2) AS total_revenue_usd FROM fact_transactions
-        WHERE payment_status = 'success'""",
-    "rarity_dist": "SELECT rarity, count(*) AS pulls FROM fact_pulls GROUP BY rarity",
-    "region_pulls": f"""
-        SELECT player_region AS region, count(*) AS pulls, count(CASE WHEN rarity = 'SSR' THEN 1 END) AS ssr_pulls,
-               {_RATE.format(c="rarity = 'SSR'")} AS ssr_rate
-        FROM fact_pulls GROUP BY player_region""",
-    "payment_methods": """
-        SELECT payment_method, count(*) AS transactions, round(sum(amount_usd), 2) AS total_usd
-        FROM fact_transactions WHERE payment_status = 'success' GROUP BY payment_method""",
-    "luckiest": """
-        SELECT a.player_id, p.username, p.region, a.total_pulls, a.ssr_count,
-               round(a.avg_pity_to_ssr, 1) AS avg_pity,
-               CAST(round(a.ssr_count * 100.0 / a.total_pulls, 2) AS DOUBLE) AS ssr_rate
-        FROM agg_player_spending a JOIN stg_players p ON a.player_id = p.id
-        WHERE a.ssr_count > 0 ORDER BY a.avg_pity_to_ssr ASC, a.player_id ASC LIMIT 20""",
-    "unluckiest": """
-        SELECT a.player_id, p.username, p.region, a.total_pulls, a.ssr_count,
-               round(a.avg_pity_to_ssr, 1) AS avg_pity,
-               CAST(round(a.ssr_count * 100.0 / a.total_pulls, 2) AS DOUBLE) AS ssr_rate
-        FROM agg_player_spending a JOIN stg_players p ON a.player_id = p.id
-        WHERE a.ssr_count > 0 ORDER BY a.avg_pity_to_ssr DESC, a.player_id ASC LIMIT 20""",
-    "pity_histogram": """
-        SELECT CASE WHEN pity_count BETWEEN 1 AND 10 THEN '1-10 (early)'
-                    WHEN pity_count BETWEEN 11 AND 30 THEN '11-30'
-                    WHEN pity_count BETWEEN 31 AND 50 THEN '31-50'
-                    WHEN pity_count BETWEEN 51 AND 73 THEN '51-73'
-                    WHEN pity_count BETWEEN 74 AND 89 THEN '74-89 (soft pity)'
-                    WHEN pity_count >= 90 THEN '90 (hard pity)' END AS pity_range,
-               count(*) AS ssr_pulls
-        FROM fact_pulls WHERE rarity = 'SSR' GROUP BY pity_range""",
-    "high_pity_players": """
-        SELECT fp.player_id, p.username, fp.pity_count, c.name AS character_name
-        FROM fact_pulls fp JOIN stg_players p ON fp.player_id = p.id
-        JOIN dim_characters c ON fp.character_id = c.character_id
-        WHERE fp.rarity = 'SSR' AND fp.pity_count >= 75
-        ORDER BY fp.pity_count DESC, fp.pull_id ASC LIMIT 20""",
-    "fifty_fifty": """
-        SELECT CASE WHEN is_guaranteed THEN 'Won 50/50' ELSE 'Lost 50/50 (guaranteed)' END AS outcome,
-               count(*) AS ssr_pulls
-        FROM fact_pulls WHERE rarity = 'SSR' GROUP BY outcome""",
-    "whales": """
-        SELECT a.player_id, p.username, p.region, a.total_pulls, a.ssr_count, a.total_crystals_spent,
-               round(a.total_usd_spent, 2) AS total_usd_spent
-        FROM agg_player_spending a JOIN stg_players p ON a.player_id = p.id
-        ORDER BY a.total_usd_spent DESC, a.player_id ASC LIMIT 20""",
-    "spender_tiers": """
-        SELECT CASE WHEN total_usd_spent = 0 THEN 'F2P' WHEN total_usd_spent < 50 THEN 'Minnow (<$50)'
-                    WHEN total_usd_spent < 200 THEN 'Dolphin ($50-200)' ELSE 'Whale ($200+)' END AS tier,
-               count(*) AS players, round(sum(total_usd_spent), 2) AS total_revenue,
-               round(avg(total_pulls), 0) AS avg_pulls
-        FROM agg_player_spending GROUP BY tier""",
-    "tx_status": """
-        SELECT payment_status, count(*) AS transactions, round(sum(amount_usd), 2) AS total_usd
-        FROM fact_transactions GROUP BY payment_status""",
-    "packages": """
-        SELECT package_id, count(*) AS purchases, round(sum(amount_usd), 2) AS total_revenue,
-               round(avg(amount_usd), 2) AS avg_price
-        FROM fact_transactions WHERE payment_status = 'success' GROUP BY package_id""",
-    "revenue_region": """
-        SELECT p.region, count(DISTINCT t.player_id) AS paying_players, round(sum(t.amount_usd), 2) AS total_revenue,
-               round(avg(t.amount_usd), 2) AS avg_transaction
-        FROM fact_transactions t JOIN stg_players p ON t.player_id = p.id
-        WHERE t.payment_status = 'success' GROUP BY p.region""",
-    "most_pulled": """
-        SELECT c.character_id, c.name, c.rarity, c.archetype, c.element, count(*) AS times_pulled,
-               count(DISTINCT fp.player_id) AS unique_owners
-        FROM fact_pulls fp JOIN dim_characters c ON fp.character_id = c.character_id
-        GROUP BY c.character_id, c.name, c.rarity, c.archetype, c.element""",
-    "ssr_characters": """
-        SELECT c.name, c.archetype, c.element, count(*) AS times_pulled, count(DISTINCT fp.player_id) AS unique_owners
-        FROM fact_pulls fp JOIN dim_characters c ON fp.character_id = c.character_id
-        WHERE c.rarity = 'SSR' GROUP BY c.name, c.archetype, c.element""",
-    "collection": """
-        SELECT CASE WHEN unique_characters >= 21 THEN 'Complete (21/21)' WHEN unique_characters >= 15 THEN '15-20'
-                    WHEN unique_characters >= 10 THEN '10-14' WHEN unique_characters >= 5 THEN '5-9'
-                    ELSE '1-4' END AS collection_range,
-               count(*) AS players
-        FROM agg_player_spending GROUP BY collection_range""",
-    "banners": f"""
-        SELECT b.banner_id, b.name, b.type, count(*) AS total_pulls,
-               count(CASE WHEN fp.rarity = 'SSR' THEN 1 END) AS ssr_pulls,
-               count(DISTINCT fp.player_id) AS players_pulled,
-               {_RATE.format(c="fp.rarity = 'SSR'")} AS ssr_rate
-        FROM fact_pulls fp JOIN dim_banners b ON fp.banner_id = b.banner_id
-        GROUP BY b.banner_id, b.name, b.type""",
-}
-
 for _name, _fn in bi.ALL.items():
 
     def _mkb(fn):
@@ -305,7 +209,8 @@ for _name, _fn in bi.ALL.items():
         q.__doc__ = fn.__doc__
         return q
 
-    register(f"bi_{_name}", BI_SQL[_name])(_mkb(_fn))
+    register(f"bi_{_name}")(_mkb(_fn))
+    ORACLE[f"bi_{_name}"] = BI_SQL[_name]
 
 
 # ---------------------------------------------------------------------------
@@ -365,57 +270,57 @@ def q_dq_fk(spark, sf_dir):
     "dq_layer_counts",
     """
     SELECT 'bronze' AS "table", (SELECT count(*) FROM bronze_keys) AS "rows"
-    UNION ALL SELECT 'stg_pulls', (SELECT count(*) FROM stg_pulls)
-    UNION ALL SELECT 'stg_transactions', (SELECT count(*) FROM stg_transactions)
-    UNION ALL SELECT 'fact_pulls', (SELECT count(*) FROM fact_pulls)
-    UNION ALL SELECT 'agg_player_spending', (SELECT count(*) FROM agg_player_spending)""",
+    UNION ALL SELECT 'dlq', (SELECT count(*) FROM events WHERE event_id % 101 = 0 AND event_id % 103 <> 0)
+    """
+    + "\n".join(f"UNION ALL SELECT '{t}', (SELECT count(*) FROM {t})" for t in models.SILVER_MODELS + models.GOLD_MODELS),
 )
 def q_dq_layer_counts(spark, sf_dir):
-    """rows per layer."""
-    return quality.layer_counts(
-        wh(spark, sf_dir).table, ["bronze", "stg_pulls", "stg_transactions", "fact_pulls", "agg_player_spending"]
-    )
+    """rows of every table of every layer."""
+    return quality.layer_counts(wh(spark, sf_dir).table, models.MODEL_ORDER)
+
+
+#: Key columns of the source tables; all other tables have ``id``.
+_KEYS = {"player_pity": ["player_id", "banner_type"], "player_inventory": ["player_id", "character_id"]}
+_LOST = "NOT (event_id % 5 = 0 OR (event_id % 101 <> 0 AND event_id % 103 <> 0))"
+
+
+def _sides(spark, sf_dir):
+    """(table, source rows, Silver rows, key columns) of all seven tables."""
+    from cdcmart.sources import adapter
+
+    w = wh(spark, sf_dir)
+    for name, rows in sorted(adapter.source_tables(spark, sf_dir).items()):
+        yield name, rows, w.table(f"stg_{name}"), _KEYS.get(name, ["id"])
 
 
 @register(
     "reconcile_ids",
-    """
+    f"""
     SELECT 'pulls' AS "table", id AS key, 'missing_in_target' AS side FROM src_pulls
-    WHERE NOT (event_id % 5 = 0 OR (event_id % 101 <> 0 AND event_id % 103 <> 0))""",
+    WHERE {_LOST}""",
 )
 def q_reconcile_ids(spark, sf_dir):
-    """F8: source pull ids vs Silver ids, both ways."""
-    from cdcmart.sources import adapter, tables
+    """F8: source ids vs Silver ids of all tables, both ways."""
+    parts = [quality.reconcile_ids(src, silver_rows, keys, name) for name, src, silver_rows, keys in _sides(spark, sf_dir)]
+    return reduce(DataFrame.unionByName, parts)
 
-    src = adapter.pulls(tables.load(spark, sf_dir, "events"))
-    return quality.reconcile_ids(src, wh(spark, sf_dir).table("stg_pulls"), ["id"], "pulls")
 
+def _summary_sql() -> str:
+    parts = []
+    for name in (m.removeprefix("stg_") for m in models.SILVER_MODELS):
+        lost = f"count(*) FILTER (WHERE {_LOST})" if name == "pulls" else "0"
+        parts.append(
+            f"""SELECT '{name}' AS "table", count(*) AS source_keys, {lost} AS missing_in_target, 0 AS extra_in_target,
+                CASE WHEN count(*) = 0 THEN 'SKIP' WHEN {lost} = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM src_{name}"""
+        )
+    return "\nUNION ALL ".join(parts)
 
-@register(
-    "reconcile_summary",
-    """
-    SELECT 'pulls' AS "table", count(*) AS source_keys,
-           count(*) FILTER (WHERE NOT (event_id % 5 = 0 OR (event_id % 101 <> 0 AND event_id % 103 <> 0)))
-               AS missing_in_target,
-           CAST(0 AS BIGINT) AS extra_in_target,
-           CASE WHEN count(*) = 0 THEN 'SKIP'
-                WHEN count(*) FILTER (WHERE NOT (event_id % 5 = 0 OR (event_id % 101 <> 0 AND event_id % 103 <> 0))) = 0
-                THEN 'PASS' ELSE 'FAIL' END AS status
-    FROM src_pulls
-    UNION ALL
-    SELECT 'player_pity', count(*), 0, 0, CASE WHEN count(*) = 0 THEN 'SKIP' ELSE 'PASS' END FROM src_player_pity""",
-)
-def q_reconcile_summary(spark, sf_dir):
-    """Per-table PASS/FAIL with composite keys for pity."""
-    from cdcmart.sources import adapter, tables
 
-    ev = tables.load(spark, sf_dir, "events")
-    p = adapter.pulls(ev)
-    pity = adapter.player_pity(p, adapter.banners(ev))
-    w = wh(spark, sf_dir)
-    return quality.reconcile_summary(p, w.table("stg_pulls"), ["id"], "pulls").unionByName(
-        quality.reconcile_summary(pity, w.table("stg_player_pity"), ["player_id", "banner_type"], "player_pity")
-    )
+@register("reconcile_summary", _summary_sql())
+def q_reconcile_summary(spark, sf_dir):
+    """PASS/FAIL of each of the seven tables, composite keys included."""
+    parts = [quality.reconcile_summary(src, silver_rows, keys, name) for name, src, silver_rows, keys in _sides(spark, sf_dir)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 # Section modules register themselves on import.
@@ -428,45 +333,37 @@ from cdcmart.plans import q_misc  # noqa: E402,F401
 from cdcmart.plans import q_stream  # noqa: E402,F401
 
 
-@register(
-    "reconcile_verdict",
-    """
-    SELECT bool_and(status <> 'FAIL') AS all_passed FROM (
-        SELECT CASE WHEN count(*) = 0 THEN 'SKIP'
-                    WHEN count(*) FILTER (WHERE NOT (event_id % 5 = 0 OR (event_id % 101 <> 0 AND event_id % 103 <> 0))) = 0
-                    THEN 'PASS' ELSE 'FAIL' END AS status
-        FROM src_pulls
-        UNION ALL SELECT CASE WHEN count(*) = 0 THEN 'SKIP' ELSE 'PASS' END FROM src_player_pity)""",
-)
+@register("reconcile_verdict", f"SELECT bool_and(status <> 'FAIL') AS all_passed FROM ({_summary_sql()})")
 def q_reconcile_verdict(spark, sf_dir):
-    """overall verdict over the per-table reconciliation."""
+    """overall verdict over the reconciliation of all tables."""
     return quality.verdict(QUERIES["reconcile_summary"](spark, sf_dir))
 
 
 @register(
     "reconcile_samples",
-    """
+    f"""
     SELECT "table", key, side FROM (
         SELECT 'pulls' AS "table", id AS key, 'missing_in_target' AS side,
                row_number() OVER (ORDER BY id) AS rn
-        FROM src_pulls WHERE NOT (event_id % 5 = 0 OR (event_id % 101 <> 0 AND event_id % 103 <> 0)))
+        FROM src_pulls WHERE {_LOST})
     WHERE rn <= 5""",
 )
 def q_reconcile_samples(spark, sf_dir):
-    """F8 report view: at most 5 sample keys per side, in key order."""
-    from cdcmart.sources import adapter, tables
+    """F8 report view: at most 5 sample keys per table and side, in key order."""
+    sides = _sides(spark, sf_dir)
+    parts = [quality.reconcile_ids(src, silver_rows, keys, name, sample=5) for name, src, silver_rows, keys in sides]
+    return reduce(DataFrame.unionByName, parts)
 
-    src = adapter.pulls(tables.load(spark, sf_dir, "events"))
-    return quality.reconcile_ids(src, wh(spark, sf_dir).table("stg_pulls"), ["id"], "pulls", sample=5)
 
-
-@register(
-    "bronze_ids",
-    "SELECT DISTINCT id FROM bronze_keys WHERE source_table = 'pulls' AND event <> 'delete'",
-)
+@register("bronze_ids", "SELECT DISTINCT source_table, id FROM bronze_keys WHERE event <> 'delete'")
 def q_bronze_ids(spark, sf_dir):
-    """distinct ids of non-delete Bronze events of a table (pulls)."""
-    return quality.bronze_ids(wh(spark, sf_dir).table("bronze"), "pulls")
+    """distinct ids of the non-delete Bronze events of every table."""
+    bronze = wh(spark, sf_dir).table("bronze")
+    parts = [
+        quality.bronze_ids(bronze, t).select(F.lit(t).alias("source_table"), "id")
+        for t in (m.removeprefix("stg_") for m in models.SILVER_MODELS)
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 # Two incremental runs: messages before / from the 15th (by their ts_ms).
@@ -484,10 +381,11 @@ def _incremental(spark, sf_dir):
 
     from cdcmart.session import work_dir
     from cdcmart.sources import adapter
+    from cdcmart.sources.tables import fingerprint
 
-    key = (os.path.realpath(sf_dir), work_dir(spark), models.BUILD_VERSION)
+    key = (os.path.realpath(sf_dir), fingerprint(spark, sf_dir), work_dir(spark), models.BUILD_VERSION)
     if key in _INCR:
-        return models.Warehouse(spark, _INCR[key])
+        return models.IncrementalWarehouse(spark, _INCR[key])
 
     root = f"{work_dir(spark)}/cdcmart-incr-{uuid.uuid4().hex[:10]}"
     # the message log is produced once and read back for both runs

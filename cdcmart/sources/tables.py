@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DRIVER_TABLES = (
     "region",
@@ -33,5 +34,14 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
+def fingerprint(spark: SparkSession, sf_dir: str) -> str:
+    """Digest of the paths, sizes and times of all table files under ``sf_dir``
+    (listed, not read): another input under the same path gives another one."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(sf_dir)
+    one = F.xxhash64("path", "length", F.unix_micros("modificationTime"))
+    n, mix = files.agg(F.count(F.lit(1)), F.bit_xor(one)).first()
+    return f"{n}-{mix}"
+
+
 def load_all(spark: SparkSession, sf_dir: str, names=DRIVER_TABLES) -> dict[str, DataFrame]:
     return {n: load(spark, sf_dir, n) for n in names if os.path.exists(table_path(sf_dir, n))}
