@@ -7,10 +7,8 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def sig(c: Column, digits: int = 9) -> Column:
@@ -93,8 +91,7 @@ def global_rank(df: DataFrame, order: str, by: str, partitions: int | None = Non
     """1..n rank of ``order`` within each ``by`` group without a
     single-partition window: range-partition on (by, order), number rows in
     partition order, then add per-(group, partition) offsets. The offset
-    table has one row per (group, partition) a group spans — bounded by the
-    partition count plus the number of groups — so it is broadcast.
+    table has one row per (group, partition) a group spans.
     """
     from pyspark.sql import Window
 
@@ -115,7 +112,8 @@ def global_rank(df: DataFrame, order: str, by: str, partitions: int | None = Non
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_c").over(wo), F.lit(0))).select(by, "_pid", "_off", "_first")
     # null-safe: rows without a group are a group of their own
     same = ranged[by].eqNullSafe(offsets[by]) & (ranged["_pid"] == offsets["_pid"])
-    j = ranged.join(F.broadcast(offsets), same, "inner").select(ranged["*"], offsets["_off"], offsets["_first"])
+    # as many offsets as groups and partitions: no hint, their size decides
+    j = ranged.join(offsets, same, "inner").select(ranged["*"], offsets["_off"], offsets["_first"])
     return j.withColumn("rank", F.col("_off") + F.col("_mid") - F.col("_first") + 1).drop(
         "_pid", "_mid", "_first", "_off"
     )
@@ -145,27 +143,6 @@ AS241_FAR = (
 )
 
 
-def ppf_array(p: np.ndarray) -> np.ndarray:
-    """Standard normal quantile of every element (vectorised AS241)."""
-    p = np.asarray(p, dtype="float64")
-    q = p - 0.5
-    out = np.empty_like(p)
-    central = np.abs(q) <= 0.425
-    r = 0.180625 - q[central] ** 2
-    num, den = AS241_CENTRAL
-    out[central] = q[central] * np.polyval(num, r) / np.polyval(den, r)
-    tail = ~central
-    rt = np.sqrt(-np.log(np.where(q[tail] <= 0.0, p[tail], 1.0 - p[tail])))
-    near = rt <= 5.0
-    x = np.empty_like(rt)
-    num, den = AS241_NEAR
-    x[near] = np.polyval(num, rt[near] - 1.6) / np.polyval(den, rt[near] - 1.6)
-    num, den = AS241_FAR
-    x[~near] = np.polyval(num, rt[~near] - 5.0) / np.polyval(den, rt[~near] - 5.0)
-    out[tail] = np.where(q[tail] < 0.0, -x, x)
-    return out
-
-
 def ppf_sql(p: str) -> str:
     """The same approximation as a SQL expression over ``p`` (for twins)."""
 
@@ -185,19 +162,14 @@ def ppf_sql(p: str) -> str:
     return f"(CASE WHEN abs({q}) <= 0.425 THEN {central} WHEN {q} < 0.0 THEN -{tail} ELSE {tail} END)"
 
 
-@F.pandas_udf(T.DoubleType())
-def normal_ppf(p: pd.Series) -> pd.Series:
-    """Standard normal quantile, Arrow-batched and vectorised."""
-    return pd.Series(ppf_array(p.to_numpy()))
-
-
 def qq_table(res: DataFrame, col: str = "residual", by: str = "period") -> DataFrame:
     """Sorted residuals paired with normal quantiles ppf(i / (n + 1))."""
     n = res.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
     r = global_rank(res.select(by, col), col, by)
-    return r.join(F.broadcast(n), by).select(
-        by, "rank", F.col(col).alias("data_quantile"),
-        normal_ppf(F.col("rank") / (F.col("_n") + 1)).alias("normal_quantile"),
+    # null-safe: residuals without a period are a group of their own
+    counted = r.join(n.withColumnRenamed(by, "_by"), r[by].eqNullSafe(F.col("_by")), "inner")
+    return counted.withColumn("_p", F.col("rank") / (F.col("_n") + 1)).select(
+        by, "rank", F.col(col).alias("data_quantile"), F.expr(ppf_sql("_p")).alias("normal_quantile")
     )
 
 

@@ -3,6 +3,7 @@
 from statistics import NormalDist
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from cdcmart.operators import stats
 
@@ -48,3 +49,16 @@ def test_ols_fit_r2(spark):
     _, _, _, df = _data(spark)
     f = stats.ols_fit(df).collect()
     assert all(0 < r["r_squared"] < 1 and r["var_fit"] < r["var_mean"] for r in f)
+
+
+def test_normal_quantile_and_null_period(spark):
+    ps = [1e-12, 1e-6, 0.01, 0.074, 0.075, 0.3, 0.5, 0.6, 0.925, 0.926, 0.99, 1 - 1e-9]
+    got = spark.createDataFrame([(p,) for p in ps], "p double").select(F.expr(stats.ppf_sql("p"))).collect()
+    for p, (q,) in zip(ps, got, strict=True):
+        assert abs(q - NormalDist().inv_cdf(p)) < 1e-9 * max(1, abs(q))
+    rows = [(i % 2 or None, float(i)) for i in range(40)]
+    table = stats.qq_table(spark.createDataFrame(rows, "period int, residual double")).collect()
+    assert len(table) == 40
+    for period in (None, 1):
+        own = sorted((r["rank"], r["data_quantile"]) for r in table if r["period"] == period)
+        assert own == [(i + 1, float(v)) for i, v in enumerate(sorted(x for p, x in rows if p == period))]
