@@ -279,7 +279,9 @@ def entity_metrics(requests: DataFrame, metrics: DataFrame) -> DataFrame:
 def status_changes(requests: DataFrame, apps: DataFrame, users: DataFrame, cap: int = 5) -> DataFrame:
     """H1: apply status-change requests in ``request_id`` order within each run.
 
-    First failing rule wins: role may not move -> DENIED; ``cap`` successes
+    A run belongs to one user, whose ``mutation_cap`` is the run's cap (``cap``
+    where that column is missing or null).
+    First failing rule wins: role may not move -> DENIED; cap successes
     earlier in the run -> STOPPED; unknown status -> ERROR; application not
     in the tenant -> DENIED; terminal without approval -> DENIED_BY_OPERATOR;
     else OK. The first ``cap`` candidates (rows passing every rule but the
@@ -289,7 +291,9 @@ def status_changes(requests: DataFrame, apps: DataFrame, users: DataFrame, cap:
     of the whole run). Later rows of a permitted role are STOPPED once the
     run has ``cap`` successes.
     """
-    u = users.select("user_id", F.col("company_id").alias("_tenant"), "can_move_status", "role")
+    own_cap = F.coalesce(F.col("mutation_cap") if "mutation_cap" in users.columns else F.lit(None), F.lit(cap)).cast("int")
+    u = users.select("user_id", F.col("company_id").alias("_tenant"), "can_move_status", "role", own_cap.alias("_cap"))
+    top = max(u.agg(F.max("_cap")).first()[0] or cap, cap)  # a literal bound keeps the map-side group limit
     a = apps.select(
         F.col("id").alias("application_id"), F.col("company_id").alias("_app_tenant"), "first_name", "last_name",
         F.col("status").alias("current_status"),
@@ -307,13 +311,14 @@ def status_changes(requests: DataFrame, apps: DataFrame, users: DataFrame, cap:
     w = Window.partitionBy("run_id").orderBy("request_id")
     ok = (
         r.where("_cand")
-        .select("request_id", "run_id", F.row_number().over(w).alias("mutation_no"))
-        .where(F.col("mutation_no") <= cap)
+        .select("request_id", "run_id", "_cap", F.row_number().over(w).alias("mutation_no"))
+        .where(F.col("mutation_no") <= top)
+        .where(F.col("mutation_no") <= F.col("_cap"))
     )
     full_runs = (
         ok.groupBy("run_id")
-        .agg(F.count(F.lit(1)).alias("_n"), F.max("request_id").alias("_last_ok"))
-        .where(F.col("_n") >= cap)
+        .agg(F.count(F.lit(1)).alias("_n"), F.max("request_id").alias("_last_ok"), F.max("_cap").alias("_run_cap"))
+        .where(F.col("_n") >= F.col("_run_cap"))
         .select("run_id", "_last_ok")
     )
     j = r.join(ok.select("request_id", "mutation_no"), "request_id", "left").join(full_runs, "run_id", "left")
@@ -344,7 +349,7 @@ def status_changes(requests: DataFrame, apps: DataFrame, users: DataFrame, cap:
             TEXTS["moved"], name=name, old=F.col("old_status"), new=new, n=F.col("mutation_no").cast("string")))
         .when((F.col("outcome") == "DENIED") & ~can, template(
             TEXTS["no_permission"], user=F.col("user_id"), role=F.coalesce(F.col("role"), F.lit("unknown"))))
-        .when(F.col("outcome") == "STOPPED", template(TEXTS["cap_reached"], cap=cap))
+        .when(F.col("outcome") == "STOPPED", template(TEXTS["cap_reached"], cap=F.col("_cap").cast("string")))
         .when(F.col("outcome") == "ERROR", template(TEXTS["status_invalid"], new=new))
         .when(F.col("outcome") == "DENIED", template(TEXTS["not_in_tenant"], app=F.col("application_id")))
         .otherwise(template(TEXTS["operator_denied"], new=new, name=name))

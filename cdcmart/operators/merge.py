@@ -79,18 +79,22 @@ def upsert_increment(
     value: str = "constellation",
     seq: str = "seq",
     cap: int = MAX_CONSTELLATION,
+    time: str | None = None,
 ) -> DataFrame:
     """Capped increment upsert, applied for a whole batch at once.
 
     Per key, n entries arrive. Existing row: least(old + n, cap) (the
     incoming value is ignored). New row: the first entry's value, then +1
-    per further entry, capped: n == 1 -> incoming, else least(incoming + n - 1, cap).
+    per further entry, capped: n == 1 -> incoming, else least(incoming + n - 1, cap). ``time`` names the
+    entries' time: ``obtained_at`` is that of the inventory, or of a new key's
+    first entry, ``updated_at`` that of the last entry.
     """
     keys = list(keys)
+    stamps = [] if time is None else [F.min(time).alias("_from"), F.max(time).alias("_to")]
     g = entries.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min_by(F.col(value), F.col(seq)).alias("_first")
+        F.count(F.lit(1)).alias("_n"), F.min_by(F.col(value), F.col(seq)).alias("_first"), *stamps
     )
-    inv = inventory.select(*keys, F.col(value).alias("_old"))
+    inv = inventory.select(*keys, F.col(value).alias("_old"), *([] if time is None else ["obtained_at", "updated_at"]))
     j = inv.join(g, keys, "full_outer")
     n = F.coalesce(F.col("_n"), F.lit(0))
     new_val = (
@@ -99,4 +103,7 @@ def upsert_increment(
         .when(n == 1, F.col("_first"))
         .otherwise(F.least(F.col("_first") + n - 1, F.lit(cap)))
     )
-    return j.select(*keys, new_val.cast("int").alias(value))
+    out = [*keys, new_val.cast("int").alias(value)]
+    if time is not None:
+        out += [F.coalesce("obtained_at", "_from").alias("obtained_at"), F.coalesce("_to", "updated_at").alias("updated_at")]
+    return j.select(*out)

@@ -172,39 +172,48 @@ def sr_guarantee(pulls: DataFrame, repair: bool = False, batch: str = "batch_id"
     """Every batch needs an SR or better; optionally repair the last pull.
 
     Batch-level values come from an aggregate joined back (batches are the
-    grouping key, so no window over a possibly hot player).
+    grouping key, so no window over a possibly hot player). Single pulls have
+    no batch: ``batch_has_sr_plus`` is null and they are never repaired.
     """
     sr_plus = F.col("rarity").isin("SR", "SSR")
-    b = pulls.groupBy(batch).agg(
+    b = pulls.where(F.col(batch).isNotNull()).groupBy(batch).agg(
         F.max(sr_plus.cast("int")).alias("_has"), F.max("pull_number").alias("_last")
     )
     out = pulls.join(b, batch, "left").withColumn("batch_has_sr_plus", F.col("_has") == 1)
     if repair:
         fix = (~F.col("batch_has_sr_plus")) & (F.col("pull_number") == F.col("_last")) & (F.col("rarity") == "R")
+        fix = F.coalesce(fix, F.lit(False))
         out = out.withColumn("repaired", fix).withColumn("rarity", F.when(fix, F.lit("SR")).otherwise(F.col("rarity")))
     return out.drop("_has", "_last")
 
 
 def batch_integrity(pulls: DataFrame, batch: str = "batch_id", size: int = PULL_CONFIG["sr_guarantee_every"]) -> DataFrame:
     """Each batch has ``size`` pulls numbered 1..size from one player.
-    Single pulls have no batch and are not judged."""
+    Single pulls have no batch and are not judged.
+
+    One partial aggregate: the numbers seen of 1..size are bits of a mask, and
+    a batch has one owner when its least and greatest player agree.
+    """
+    n = F.col("pull_number")
+    bit = F.when(n.between(1, size), F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int"))).otherwise(F.lit(0).cast("long"))
+    owner = F.col("player_id")
     return (
         pulls.where(F.col(batch).isNotNull())
         .groupBy(batch)
         .agg(
             F.count(F.lit(1)).alias("pulls"),
-            F.min("pull_number").alias("min_number"),
-            F.max("pull_number").alias("max_number"),
-            F.count_distinct("pull_number").alias("distinct_numbers"),
-            F.count_distinct("player_id").alias("players"),
+            F.min(n).alias("min_number"),
+            F.max(n).alias("max_number"),
+            F.bit_count(F.bit_or(bit)).cast("long").alias("numbers_seen"),
+            F.coalesce(F.min(owner) == F.max(owner), F.lit(False)).alias("single_owner"),
         )
         .withColumn(
             "ok",
             (F.col("pulls") == size)
             & (F.col("min_number") == 1)
             & (F.col("max_number") == size)
-            & (F.col("distinct_numbers") == size)
-            & (F.col("players") == 1),
+            & (F.col("numbers_seen") == size)
+            & F.col("single_owner"),
         )
     )
 

@@ -28,6 +28,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cdcmart.session import range_partitions
+
 KINDS = ("count", "sum", "max", "last", "lastpos")
 
 
@@ -63,8 +65,7 @@ def segmented_scan(
     unique within a key. The ranged rows are checkpointed with every input
     column, so callers select the columns they need first.
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or range_partitions(df)
     names = list(specs)
     base = df
     for name in names:

@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cdcmart.session import range_partitions
+
 
 def sig(c: Column, digits: int = 9) -> Column:
     """Round to ``digits`` significant digits, so that sums taken in another
@@ -95,8 +97,7 @@ def global_rank(df: DataFrame, order: str, by: str, partitions: int | None = Non
     """
     from pyspark.sql import Window
 
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or range_partitions(df)
     ranged = (
         df.repartitionByRange(n, by, order)
         .sortWithinPartitions(by, order)
@@ -213,7 +214,9 @@ def prep_value_counts(lineitem: DataFrame, max_quantity: float = 100) -> DataFra
 
 
 def suff_stats(df: DataFrame, y: str, xs: list[str], by: str) -> DataFrame:
-    """n, X'X, X'y, y'y per group in one aggregate (X with a leading 1)."""
+    """n, X'X, X'y, y'y per group in one aggregate (X with a leading 1), over the
+    rows that have y and every x."""
+    df = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (y, *xs)]))
     cols = [F.lit(1.0)] + [F.col(x).cast("double") for x in xs]
     k = len(cols)
     aggs = [F.count(F.lit(1)).alias("n"), F.sum(F.col(y) * F.col(y)).alias("yy")]

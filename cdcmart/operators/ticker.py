@@ -6,17 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Event type -> repo activity kind.
-ACTIVITY = {"view": "star", "click": "fork", "purchase": "commit", "error": "issue"}
+ACTIVITY = {"view": "star", "click": "fork", "purchase": "commit", "error": "issue", "signup": "follow"}
 
 
 def repo_events(events: DataFrame) -> DataFrame:
-    """(repo, kind, created_at) from the event log; unmapped types are dropped."""
+    """(repo, kind, created_at) from the event log; an unmapped type keeps its name as kind."""
     m = F.create_map(*[x for k, v in ACTIVITY.items() for x in (F.lit(k), F.lit(v))])
     return events.select(
         F.concat(F.lit("repo-"), F.col("user_id").cast("string")).alias("repo"),
-        F.element_at(m, F.col("event_type")).alias("kind"),
+        F.coalesce(F.element_at(m, F.col("event_type")), F.col("event_type"), F.lit("unknown")).alias("kind"),
         F.col("ts").cast("timestamp").alias("created_at"),
-    ).where(F.col("kind").isNotNull())
+    )
 
 
 def rolling_counts(repo_ev: DataFrame, now: Column) -> DataFrame:

@@ -13,16 +13,16 @@ from cdcmart.plans.bi import COLLECTION, FIFTY_FIFTY, PITY_BUCKETS, TIERS
 _VIEWS = """
 WITH draw AS (
     -- a pull without its create message stays if an update (every fifth) repairs it
-    SELECT event_id, CAST(user_id AS VARCHAR) AS who, event_type AS banner, grade,
-           printf('%s-%03d', lower(grade), 1 + event_id % CASE grade WHEN 'SSR' THEN 5 ELSE 8 END) AS figure,
+    SELECT event_id, if(event_id % 23 = 11, 'guest', CAST(user_id AS VARCHAR)) AS who, event_type AS banner, grade,
+           printf('%s-%03d', lower(grade), 1 + if(event_id % 97 = 13, figures, event_id % figures)) AS figure,
            CAST(1 + event_id % 90 AS INTEGER) AS pity, CASE WHEN event_id % 5 = 0 THEN 320 ELSE 160 END AS crystals
-    FROM (SELECT *, ['SSR', 'SR', 'R'][1 + (k >= 2)::INT + (k >= 12)::INT] AS grade
+    FROM (SELECT *, ['SSR', 'SR', 'R'][1 + (k >= 2)::INT + (k >= 12)::INT] AS grade, if(k < 2, 5, 8) AS figures
           FROM (SELECT *, CAST(props ->> '$.k' AS INTEGER) AS k FROM events))
     WHERE event_id % 5 = 0 OR least(event_id % 101, event_id % 103) > 0
 ), person AS (
-    SELECT CAST(c_custkey AS VARCHAR) AS who, c_name, r_name
-    FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey
-    WHERE c_custkey % 50 < 49
+    SELECT CAST(c_custkey AS VARCHAR) AS who, if(c_custkey % 41 = 40, NULL, c_name) AS c_name, r_name
+    FROM customer JOIN nation ON n_nationkey = c_nationkey
+    JOIN region ON r_regionkey = (n_regionkey + (c_custkey % 7 = 3)::INT) % 5 -- every seventh has moved on
 ), figure AS (
     SELECT printf('%s-%03d', lower(grade), CAST(nth AS INTEGER)) AS figure, grade, p_name, p_type, p_brand
     FROM (SELECT *, ['SSR', 'SR', 'R'][1 + (p_partkey >= 5)::INT + (p_partkey >= 13)::INT] AS grade,
@@ -32,7 +32,7 @@ WITH draw AS (
     SELECT CAST(o_custkey AS VARCHAR) AS who, 'pkg-0' || left(o_orderpriority, 1) AS pack,
            ['credit_card', 'google_pay', 'apple_pay'][1 + o_orderkey % 3] AS method,
            CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'pending'
-                ELSE ['failed', 'refunded'][1 + o_orderkey % 2] END AS state,
+                ELSE if(o_orderkey % 7 = 0, 'chargeback', ['failed', 'refunded'][1 + o_orderkey % 2]) END AS state,
            CAST((floor(o_totalprice) % 5000) / 100.0 AS DOUBLE) AS usd
     FROM orders
 ), account AS (

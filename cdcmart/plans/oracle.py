@@ -14,14 +14,23 @@ CTES: list[tuple[str, str]] = [
     (
         "src_players",
         """
-        SELECT CAST(c.c_custkey AS VARCHAR) AS id, c.c_name AS username, r.r_name AS region,
-               CAST(floor(c.c_acctbal) AS INTEGER) AS crystal_balance,
+        SELECT CAST(c.c_custkey AS VARCHAR) AS id, CASE WHEN c.c_custkey % 41 <> 40 THEN c.c_name END AS username,
+               r.r_name AS region, CAST(floor(c.c_acctbal) AS INTEGER) AS crystal_balance,
                make_timestamp((1672531200 + c.c_custkey * 60) * 1000000) AS registered_at,
-               make_timestamp((1672531200 + c.c_custkey * 60) * 1000000) AS updated_at
+               make_timestamp((1672531200 + c.c_custkey * 60 + CASE WHEN c.c_custkey % 7 IN (3, 4) THEN 2592000 ELSE 0 END)
+                              * 1000000) AS updated_at
         FROM customer c
         JOIN nation n ON c.c_nationkey = n.n_nationkey
-        JOIN region r ON n.n_regionkey = r.r_regionkey
-        WHERE c.c_custkey % 50 <> 49""",
+        JOIN region r ON r.r_regionkey = CASE WHEN c.c_custkey % 7 = 3 THEN (n.n_regionkey + 1) % 5 ELSE n.n_regionkey END""",
+    ),
+    (
+        "player_msgs",
+        """
+        SELECT p.id, 'insert' AS event, p.username, r.r_name AS region, p.registered_at AS changed_at
+        FROM src_players p JOIN customer c ON CAST(c.c_custkey AS VARCHAR) = p.id
+        JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
+        UNION ALL
+        SELECT id, 'update', username, region, updated_at FROM src_players WHERE updated_at > registered_at""",
     ),
     (
         "src_characters",
@@ -50,14 +59,16 @@ CTES: list[tuple[str, str]] = [
     (
         "src_pulls",
         """
-        SELECT event_id, CAST(event_id AS VARCHAR) AS id, CAST(user_id AS VARCHAR) AS player_id,
+        SELECT event_id, CAST(event_id AS VARCHAR) AS id,
+               CASE WHEN event_id % 23 = 11 THEN 'guest' ELSE CAST(user_id AS VARCHAR) END AS player_id,
                event_type AS banner_id,
-               printf('%s-%03d', lower(rar), CAST(CASE WHEN rar = 'SSR' THEN event_id % 5 + 1
+               printf('%s-%03d', lower(rar), CAST(CASE WHEN event_id % 97 = 13 THEN if(rar = 'SSR', 6, 9)
+                                                  WHEN rar = 'SSR' THEN event_id % 5 + 1
                                                   ELSE event_id % 8 + 1 END AS INTEGER)) AS character_id,
                rar AS rarity, CAST(event_id % 90 + 1 AS INTEGER) AS pity_count,
                (rar = 'SSR' AND event_id % 3 = 0) AS is_guaranteed,
                CAST(event_id % 10 + 1 AS INTEGER) AS pull_number,
-               CAST(CAST(floor(event_id / 10.0) AS BIGINT) AS VARCHAR) AS batch_id,
+               CASE WHEN event_id % 29 <> 5 THEN CAST(CAST(floor(event_id / 10.0) AS BIGINT) AS VARCHAR) END AS batch_id,
                160 AS crystals_spent, CAST(ts AS TIMESTAMP) AS pulled_at
         FROM (SELECT *, CASE WHEN k < 2 THEN 'SSR' WHEN k < 12 THEN 'SR' ELSE 'R' END AS rar
               FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events))""",
@@ -78,7 +89,8 @@ CTES: list[tuple[str, str]] = [
                CAST(o_orderdate AS TIMESTAMP) AS transacted_at
         FROM (SELECT *, 'pkg-0' || substr(o_orderpriority, 1, 1) AS pkg,
                      CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'pending'
-                          WHEN 'P' THEN CASE WHEN o_orderkey % 2 = 0 THEN 'failed' ELSE 'refunded' END END AS st
+                          WHEN 'P' THEN CASE WHEN o_orderkey % 7 = 0 THEN 'chargeback'
+                                             WHEN o_orderkey % 2 = 0 THEN 'failed' ELSE 'refunded' END END AS st
               FROM orders)""",
     ),
     (
@@ -192,10 +204,31 @@ CTES: list[tuple[str, str]] = [
         """
         SELECT p.*, 'insert' AS event, epoch_us(pulled_at) // 1000 AS ts_ms, 160 AS crystals
         FROM src_pulls p WHERE event_id % 101 <> 0 AND event_id % 103 <> 0
+        UNION ALL -- delivered twice
+        SELECT p.*, 'insert', epoch_us(pulled_at) // 1000, 160
+        FROM src_pulls p WHERE event_id % 101 <> 0 AND event_id % 103 <> 0 AND event_id % 59 = 7
         UNION ALL
-        SELECT p.*, 'update', epoch_us(pulled_at) // 1000 + 60000, 320 FROM src_pulls p WHERE event_id % 5 = 0
+        SELECT p.*, 'update', epoch_us(pulled_at) // 1000 + 60000 + if(event_id % 20 = 0, 1728000000, 0), 320
+        FROM src_pulls p WHERE event_id % 5 = 0
+        UNION ALL
+        SELECT p.*, 'delete', epoch_us(pulled_at) // 1000 + 120000 + if(event_id % 20 = 0, 1728000000, 0), 160
+        FROM src_pulls p WHERE event_id % 17 = 0""",
+    ),
+    (
+        "dead_letters",
+        """
+        SELECT 'missing payload.op' AS reason, 'pulls' AS source_table, id AS row_id
+        FROM src_pulls, range(if(event_id % 59 = 7, 2, 1)) -- delivered once or twice
+        WHERE event_id % 101 = 0 AND event_id % 103 <> 0
         UNION ALL
-        SELECT p.*, 'delete', epoch_us(pulled_at) // 1000 + 120000, 160 FROM src_pulls p WHERE event_id % 17 = 0""",
+        SELECT why, tbl, CASE WHEN has_row THEN id END
+        FROM src_pulls JOIN (VALUES
+            (0, 'missing payload', NULL, false), (1, 'missing payload.source', NULL, true),
+            (2, 'missing payload.ts_ms', 'pulls', true), (3, 'payload.source is not an object', NULL, true),
+            (4, 'missing payload.source.table', NULL, true), (5, 'missing payload.source.schema', 'pulls', true),
+            (6, 'delete event missing payload.before', 'pulls', true), (7, 'op=''c'' missing payload.after', 'pulls', false),
+            (8, 'op=''r'' missing payload.after', 'pulls', false)) AS k(kind, why, tbl, has_row)
+          ON event_id % 101 = 50 AND event_id // 101 % 9 = kind""",
     ),
     (
         "bronze_keys",
@@ -204,8 +237,7 @@ CTES: list[tuple[str, str]] = [
                'public' AS source_schema
         FROM pull_msgs
         UNION ALL
-        SELECT id, 'insert', make_timestamp(epoch_us(updated_at) // 1000 * 1000), 'players', 'public'
-        FROM src_players
+        SELECT id, event, make_timestamp(epoch_us(changed_at) // 1000 * 1000), 'players', 'public' FROM player_msgs
         UNION ALL
         SELECT id, 'insert', make_timestamp(1704067200000000), 'characters', 'public' FROM src_characters
         UNION ALL
@@ -244,7 +276,7 @@ CTES += [
         "g_apps",
         f"""
         SELECT 'app-' || c_custkey AS id, CAST(c_nationkey AS BIGINT) AS company_id,
-               lower(c_mktsegment) AS first_name, substr(c_name, 10, 100) AS last_name,
+               lower(c_mktsegment) AS first_name, substr(c_name, 10) AS last_name,
                ({_STATUSES})[c_custkey % 8 + 1] AS status,
                CASE WHEN c_acctbal >= 0 THEN c_acctbal / 100.0 END AS role_fit_score,
                CASE c_custkey % 3 WHEN 1 THEN true WHEN 2 THEN false END AS has_passed_screening
@@ -255,7 +287,7 @@ CTES += [
         """
         SELECT 'user-' || n_nationkey AS user_id, CAST(n_nationkey AS BIGINT) AS company_id,
                CASE WHEN n_nationkey % 4 <> 3 THEN 'HR Manager' ELSE 'Recruiter (read-only)' END AS role,
-               n_nationkey % 4 <> 3 AS can_move_status, 5 AS mutation_cap,
+               n_nationkey % 4 <> 3 AS can_move_status, CAST(n_nationkey % 4 + 3 AS INTEGER) AS mutation_cap,
                CAST(CASE WHEN n_nationkey % 2 = 0 THEN 0.01 ELSE 0.1 END AS DOUBLE) AS cost_limit_usd
         FROM nation""",
     ),
@@ -340,13 +372,13 @@ CTES += [
         f"""
         SELECT o.*, CASE WHEN outcome = 'OK' THEN CAST(before + 1 AS INTEGER) END AS mutation_no,
                okr.old_status
-        FROM (SELECT *, CASE WHEN NOT can THEN 'DENIED' WHEN before >= 5 THEN 'STOPPED'
+        FROM (SELECT *, CASE WHEN NOT can THEN 'DENIED' WHEN before >= cap THEN 'STOPPED'
                              WHEN NOT valid THEN 'ERROR' WHEN NOT in_tenant THEN 'DENIED'
                              WHEN op_denied THEN 'DENIED_BY_OPERATOR' ELSE 'OK' END AS outcome
               FROM (SELECT *, coalesce(sum(CASE WHEN can AND valid AND in_tenant AND NOT op_denied THEN 1 ELSE 0 END)
                                  OVER (PARTITION BY run_id ORDER BY request_id
                                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-                    FROM (SELECT r.*, u.role, coalesce(u.can_move_status, false) AS can,
+                    FROM (SELECT r.*, u.role, u.mutation_cap AS cap, coalesce(u.can_move_status, false) AS can,
                                  r.new_status IN {VALID_IN} AS valid,
                                  coalesce(a.company_id = u.company_id, false) AS in_tenant,
                                  r.new_status IN ('hired', 'rejected') AND NOT coalesce(r.approved, true) AS op_denied,
@@ -355,14 +387,14 @@ CTES += [
                           LEFT JOIN g_apps a ON r.application_id = a.id))) o
         LEFT JOIN (SELECT request_id, coalesce(lag(new_status) OVER (PARTITION BY application_id ORDER BY request_id),
                                               current_status) AS old_status
-                   FROM (SELECT *, CASE WHEN NOT can THEN 'DENIED' WHEN before >= 5 THEN 'STOPPED'
+                   FROM (SELECT *, CASE WHEN NOT can THEN 'DENIED' WHEN before >= cap THEN 'STOPPED'
                                         WHEN NOT valid THEN 'ERROR' WHEN NOT in_tenant THEN 'DENIED'
                                         WHEN op_denied THEN 'DENIED_BY_OPERATOR' ELSE 'OK' END AS outcome
                          FROM (SELECT *, coalesce(sum(CASE WHEN can AND valid AND in_tenant AND NOT op_denied
                                                            THEN 1 ELSE 0 END)
                                             OVER (PARTITION BY run_id ORDER BY request_id
                                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-                               FROM (SELECT r.*, coalesce(u.can_move_status, false) AS can,
+                               FROM (SELECT r.*, u.mutation_cap AS cap, coalesce(u.can_move_status, false) AS can,
                                             r.new_status IN {VALID_IN} AS valid,
                                             coalesce(a.company_id = u.company_id, false) AS in_tenant,
                                             r.new_status IN ('hired', 'rejected')

@@ -30,7 +30,7 @@ def _changes(spark, sf_dir):
     key = (os.path.realpath(sf_dir), fingerprint(spark, sf_dir), app)
     if key not in _CHANGES:
         i = _in(spark, sf_dir)
-        _CHANGES[key] = governed.status_changes(i["status_requests"], i["applications"], i["users"], cap=5)
+        _CHANGES[key] = governed.status_changes(i["status_requests"], i["applications"], i["users"])
     return _CHANGES[key]
 
 
@@ -215,7 +215,7 @@ _MSG = """
                                   || ''' → ''' || new_status || ''' (mutation #' || mutation_no || ' this run)'
          WHEN outcome = 'DENIED' AND NOT can THEN '[DENIED] ' || user_id || ' (' || coalesce(role, 'unknown')
                                   || ') does not have permission to change applicant status.'
-         WHEN outcome = 'STOPPED' THEN '[STOPPED] Mutation cap of 5 reached. No further changes allowed this run.'
+         WHEN outcome = 'STOPPED' THEN '[STOPPED] Mutation cap of ' || cap || ' reached. No further changes allowed this run.'
          WHEN outcome = 'ERROR' THEN '[ERROR] ''' || new_status || ''' is not a valid status.'
          WHEN outcome = 'DENIED' THEN '[DENIED] Application ''' || application_id
                                   || ''' not found or belongs to another company.'

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from cdcmart.operators import history, stats, ticker
@@ -154,7 +156,7 @@ R_METRICS = """
                   CASE event_type WHEN 'view' THEN 'star' WHEN 'click' THEN 'fork' WHEN 'purchase' THEN 'commit'
                                   WHEN 'error' THEN 'issue' END AS kind,
                   ts AS created_at, (SELECT max(ts) FROM events) AS now
-           FROM events WHERE event_type IN ('view', 'click', 'purchase', 'error'))
+           FROM events)
      GROUP BY repo, now)"""
 
 W_STATE = """
@@ -383,10 +385,65 @@ def q_prep(spark, sf_dir):
     return stats.prep_value_counts(load(spark, sf_dir, "lineitem"))
 
 
-@register("bayes_update")
+_TERMS = ("1.0", "x1", "x2", "x3")
+
+
+def _inverse(m: str) -> dict[tuple[int, int], str]:
+    """Entries of the inverse of the symmetric 4 x 4 matrix of columns
+    ``<m><i><j>`` (i <= j), by cofactors."""
+
+    def at(i, j):
+        return f"{m}{min(i, j)}{max(i, j)}"
+
+    def cofactor(i, j):
+        a, b, c = (r for r in range(4) if r != i)
+        p, q, r = (s for s in range(4) if s != j)
+        det = (f"({at(a, p)} * ({at(b, q)} * {at(c, r)} - {at(b, r)} * {at(c, q)})"
+               f" - {at(a, q)} * ({at(b, p)} * {at(c, r)} - {at(b, r)} * {at(c, p)})"
+               f" + {at(a, r)} * ({at(b, p)} * {at(c, q)} - {at(b, q)} * {at(c, p)}))")
+        return det if (i + j) % 2 == 0 else f"(-{det})"
+
+    det = " + ".join(f"{at(0, j)} * {cofactor(0, j)}" for j in range(4))
+    return {(i, j): f"({cofactor(i, j)} / ({det}))" for i in range(4) for j in range(4)}
+
+
+def _solve(m: str, v: str) -> list[str]:
+    inv = _inverse(m)
+    return ["(" + " + ".join(f"{inv[i, j]} * {v}{j}" for j in range(4)) + ")" for i in range(4)]
+
+
+def _bayes_sql() -> str:
+    """Precision and precision-weighted means of the normal update add up over
+    the periods, so the posteriors are running sums, solved per period."""
+    pairs = [(i, j) for i in range(4) for j in range(i, 4)]
+    sums = ", ".join(
+        [f"sum({_TERMS[i]} * {_TERMS[j]}) AS a{i}{j}" for i, j in pairs] + [f"sum({t} * y) AS t{i}" for i, t in enumerate(_TERMS)]
+    )
+    fitted = " - ".join(f"{b} * t{i}" for i, b in enumerate(_solve("a", "t")))
+    run = "OVER (ORDER BY period)"
+    running = ", ".join(
+        [f"sum(a{i}{j} / s2) {run} + {'1e-4' if i == j else '0'} AS p{i}{j}" for i, j in pairs]
+        + [f"sum(t{i} / s2) {run} AS b{i}" for i in range(4)]
+    )
+    inv, mean = _inverse("p"), _solve("p", "b")
+    parts = [
+        f"SELECT period, '{term}' AS term, {mean[i]} AS m, sqrt({inv[i, i]}) AS sd, sqrt(s2) AS sigma FROM posterior"
+        for i, term in enumerate(("intercept", "x1", "x2", "x3"))
+    ]
+    out = {"post_mean": "m", "post_sd": "sd", "ci_low": "m - 1.96 * sd", "ci_high": "m + 1.96 * sd", "sigma": "sigma"}
+    return f"""
+    SELECT period, term, {", ".join(f"{_sig(e, 5)} AS {c}" for c, e in out.items())}
+    FROM (WITH moments AS (SELECT period, count(*) AS n, sum(y * y) AS yy, {sums} FROM {REG} GROUP BY period),
+          noise AS (SELECT *, greatest((yy - {fitted}) / greatest(n - 4, 1), 1e-12) AS s2 FROM moments),
+          posterior AS (SELECT period, s2, {running} FROM noise)
+          {" UNION ALL ".join(parts)})"""
+
+
+@register("bayes_update", _bayes_sql())
 def q_bayes(spark, sf_dir):
-    """Sequential conjugate update per ship year (checked against numpy in pytest)."""
-    return stats.bayes_update(spark, _reg(spark, sf_dir), "y", ["x1", "x2", "x3"])
+    """Sequential conjugate update per ship year."""
+    r = stats.bayes_update(spark, _reg(spark, sf_dir), "y", ["x1", "x2", "x3"])
+    return r.select("period", "term", *[stats.sig(F.col(c), 5).alias(c) for c in ("post_mean", "post_sd", "ci_low", "ci_high", "sigma")])
 
 
 # --- files ------------------------------------------------------------------------
@@ -408,6 +465,41 @@ def q_csv_roundtrip(spark, sf_dir):
     return stats.prep_value_counts(back)
 
 
+@register(
+    "seed_tables",
+    """
+    SELECT 'characters' AS section, id, name AS label, rarity AS detail FROM src_characters
+    UNION ALL SELECT 'banners', id, name, rate_up_ssr_id FROM src_banners
+    UNION ALL SELECT 'topup_packages', package_id, NULL, CAST(count(*) AS VARCHAR) FROM src_transactions GROUP BY package_id""",
+)
+def q_seed_tables(spark, sf_dir):
+    """A5: a seed document made of the catalogues (21 characters, 5 banners, 6
+    packages with their sales), loaded back as tables."""
+    from cdcmart.sources import adapter, files
+    from cdcmart.streaming.cdc_stream import scratch
+
+    characters = adapter.characters(load(spark, sf_dir, "part")).select(
+        "id", "name", "rarity", F.struct(F.concat("id", F.lit(".png")).alias("portrait")).alias("visual"))
+    banners = adapter.banners(load(spark, sf_dir, "events")).select("id", "name", F.col("rate_up_ssr_id").alias("rate_up_ssr"))
+    sold = adapter.transactions(load(spark, sf_dir, "orders")).groupBy(F.col("package_id").alias("id")).agg(
+        F.count(F.lit(1)).alias("sold"))
+
+    path = scratch(spark, "seed")
+    parts = {"characters": characters, "banners": banners, "topup_packages": sold}
+    doc = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [
+        df.select(F.struct(*df.columns).alias(name)) for name, df in parts.items()
+    ])
+    doc.agg(*[F.collect_list(name).alias(name) for name in parts]).write.json(path)  # catalogues of fixed length
+    seed = files.load_seed(spark, path)
+    return (
+        seed["characters"].select(F.lit("characters").alias("section"), "id", F.col("name").alias("label"), F.col("rarity").alias("detail"))
+        .unionByName(seed["banners"].select(F.lit("banners").alias("section"), "id", F.col("name").alias("label"),
+                                            F.col("rate_up_ssr_id").alias("detail")))
+        .unionByName(seed["topup_packages"].select(F.lit("topup_packages").alias("section"), "id",
+                                                   F.lit(None).cast("string").alias("label"), F.col("sold").cast("string").alias("detail")))
+    )
+
+
 @register(
     "query_sql",
     """

@@ -118,7 +118,8 @@ _SR_SQL = """
                 ELSE p.rarity END AS rarity
     FROM stg_pulls p JOIN (SELECT batch_id, max(CASE WHEN rarity IN ('SR', 'SSR') THEN 1 ELSE 0 END) = 1 AS has_sr_plus,
                                   max(pull_number) AS last_number
-                           FROM stg_pulls GROUP BY batch_id) b ON p.batch_id = b.batch_id"""
+                           FROM stg_pulls GROUP BY batch_id) b ON p.batch_id = b.batch_id
+    UNION ALL SELECT id, NULL, pull_number, NULL, false, rarity FROM stg_pulls WHERE batch_id IS NULL"""
 
 
 @register("rule_sr_repair", _SR_SQL)
@@ -134,7 +135,8 @@ def q_sr_repair(spark, sf_dir):
     "rule_batch_integrity",
     """
     SELECT batch_id, count(*) AS pulls, min(pull_number) AS min_number, max(pull_number) AS max_number,
-           count(DISTINCT pull_number) AS distinct_numbers, count(DISTINCT player_id) AS players,
+           count(DISTINCT pull_number) FILTER (pull_number BETWEEN 1 AND 10) AS numbers_seen,
+           count(DISTINCT player_id) = 1 AS single_owner,
            (count(*) = 10 AND min(pull_number) = 1 AND max(pull_number) = 10
             AND count(DISTINCT pull_number) = 10 AND count(DISTINCT player_id) = 1) AS ok
     FROM stg_pulls WHERE batch_id IS NOT NULL GROUP BY batch_id""",
@@ -159,7 +161,8 @@ def q_inventory(spark, sf_dir):
 @register(
     "rule_upsert_increment",
     """
-    SELECT player_id, character_id, CAST(least(count(*) - 1, 6) AS INTEGER) AS constellation
+    SELECT player_id, character_id, CAST(least(count(*) - 1, 6) AS INTEGER) AS constellation,
+           min(pulled_at) AS obtained_at, max(pulled_at) AS updated_at
     FROM fact_pulls GROUP BY player_id, character_id""",
 )
 def q_upsert_increment(spark, sf_dir):
@@ -169,9 +172,10 @@ def q_upsert_increment(spark, sf_dir):
     cut = F.lit(CUTOFF).cast("timestamp")
     early = rules.build_inventory(fp.where(F.col("pulled_at") < cut))
     entries = fp.where(F.col("pulled_at") >= cut).select(
-        "player_id", "character_id", F.lit(0).alias("constellation"), F.struct("pulled_at", "pull_id").alias("seq")
+        "player_id", "character_id", F.lit(0).alias("constellation"), F.struct("pulled_at", "pull_id").alias("seq"),
+        "pulled_at",
     )
-    return merge.upsert_increment(early, entries)
+    return merge.upsert_increment(early, entries, time="pulled_at")
 
 
 @register(

@@ -56,13 +56,27 @@ def _fresh(base: str, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:8]}"
 
 
-def _bronze_stream(spark, base, files_per_batch: int = 16):
-    return (
-        spark.readStream.schema(ROUTED_SCHEMA)
-        .option("maxFilesPerTrigger", str(files_per_batch))
-        .parquet(f"{base}/out")
-        .where(F.col("route") == "bronze")
+def _routed_stream(spark, base, files_per_batch: int | None = 16):
+    """The routed log as a stream; None reads the whole backlog as one
+    micro-batch, so a watermark starts behind all of it."""
+    reader = spark.readStream.schema(ROUTED_SCHEMA)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", str(files_per_batch))
+    return reader.parquet(f"{base}/out")
+
+
+def _bronze_stream(spark, base, files_per_batch: int | None = 16):
+    return _routed_stream(spark, base, files_per_batch).where(F.col("route") == "bronze")
+
+
+def _append(stream, run):
+    """Append the stream to a Parquet folder, then read it."""
+    q = (
+        stream.writeStream.format("parquet").option("path", f"{run}/out").option("checkpointLocation", f"{run}/ckpt")
+        .outputMode("append").trigger(availableNow=True).start()
     )
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{run}/out")
 
 
 @register(
@@ -164,6 +178,49 @@ def q_stream_volume(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+@register(
+    "stream_volume_closed",
+    """
+    SELECT time_bucket(INTERVAL 1 HOUR, event_timestamp) AS window_start,
+           time_bucket(INTERVAL 1 HOUR, event_timestamp) + INTERVAL 1 HOUR AS window_end,
+           source_table, event, count(*) AS events
+    FROM bronze_keys GROUP BY 1, 2, source_table, event
+    HAVING time_bucket(INTERVAL 1 HOUR, event_timestamp) + INTERVAL 1 HOUR
+           <= (SELECT max(event_timestamp) FROM bronze_keys) - INTERVAL 10 MINUTE""",
+)
+def q_stream_volume_closed(spark, sf_dir):
+    """B14 with its watermark: append mode emits each hour once, when closed."""
+    base = _ingest(spark, sf_dir)
+    return _append(cs.volume(_bronze_stream(spark, base, None)), _fresh(base, "volume-closed"))
+
+
+@register(
+    "stream_dedupe_deliveries",
+    "SELECT DISTINCT id, event, event_timestamp, source_table FROM bronze_keys",
+)
+def q_stream_dedupe(spark, sf_dir):
+    """Changes delivered more than once are kept once."""
+    base = _ingest(spark, sf_dir)
+    once = cs.dedupe_deliveries(_bronze_stream(spark, base, None))
+    return _append(once.select("id", "event", "event_timestamp", "source_table"), _fresh(base, "dedupe"))
+
+
+@register("stream_dead_letters", "SELECT reason, source_table, row_id FROM dead_letters")
+def q_stream_dead_letters(spark, sf_dir):
+    """A4: the dead-letter sink's JSON lines, read back."""
+    base = _ingest(spark, sf_dir)
+    run = _fresh(base, "dead-letters")
+    failed = _routed_stream(spark, base).where(F.col("route") == "dlq")
+    cs.dead_letter_sink(failed, f"{run}/out", f"{run}/ckpt").awaitTermination()
+    read = spark.read.schema("reason string, raw string").json(f"{run}/out")
+    m = F.try_parse_json("raw")
+    return read.select(
+        "reason",
+        F.try_variant_get(m, "$.payload.source.table", "string").alias("source_table"),
+        F.try_variant_get(m, "$.payload.after.id", "string").alias("row_id"),
+    )
+
+
 @register("stream_watchlist", f"SELECT * FROM {W_STATE}")
 def q_stream_watchlist(spark, sf_dir):
     """Watchlist state over the command stream (update-mode streaming

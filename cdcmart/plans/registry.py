@@ -41,9 +41,7 @@ def wh(spark: SparkSession, sf_dir: str) -> models.Warehouse:
 
 @register(
     "cdc_validate",
-    """
-    SELECT 'missing payload.op' AS reason, 'pulls' AS source_table, id AS row_id
-    FROM src_pulls WHERE event_id % 101 = 0 AND event_id % 103 <> 0""",
+    "SELECT reason, source_table, row_id FROM dead_letters",
 )
 def q_cdc_validate(spark, sf_dir):
     """The dead letters with their reason and the row they carried."""
@@ -187,9 +185,11 @@ def q_gold_dim_date(spark, sf_dir):
 @register(
     "gold_dim_players_scd2",
     """
-    SELECT id AS player_id, username, region, make_timestamp(epoch_us(updated_at) // 1000 * 1000) AS valid_from,
-           CAST(NULL AS TIMESTAMP) AS valid_to, true AS is_current
-    FROM src_players""",
+    SELECT id AS player_id, username, region, changed_at AS valid_from,
+           lead(changed_at) OVER (PARTITION BY id ORDER BY changed_at) AS valid_to,
+           lead(changed_at) OVER (PARTITION BY id ORDER BY changed_at) IS NULL AS is_current
+    FROM (SELECT *, lag(region) OVER (PARTITION BY id ORDER BY changed_at) AS before FROM player_msgs)
+    WHERE region IS DISTINCT FROM before""",
 )
 def q_gold_scd2(spark, sf_dir):
     """SCD2 player history from the Bronze log."""
@@ -218,9 +218,11 @@ for _name, _fn in bi.ALL.items():
 # ---------------------------------------------------------------------------
 
 
-def _dq_sql() -> str:
+def _dq_sql(spec: dict, tables: dict[str, str] | None = None) -> str:
+    """The declared tests as SQL; ``tables`` names the CTE of a model where it differs."""
     parts = []
-    for model, tests in quality.CHECK_SPEC.items():
+    for label, tests in spec.items():
+        model = (tables or {}).get(label, label)
         for t in tests:
             col, kind = t[0], t[1]
             if kind == "not_null":
@@ -239,18 +241,33 @@ def _dq_sql() -> str:
                     f"(SELECT {t[3]} FROM {t[2]} WHERE {t[3]} IS NOT NULL)"
                 )
             parts.append(
-                f"SELECT '{model}' AS model, '{col}' AS \"column\", '{kind}' AS test, "
+                f"SELECT '{label}' AS model, '{col}' AS \"column\", '{kind}' AS test, "
                 f"CAST(f AS BIGINT) AS failures, f = 0 AS passed FROM ({q})"
             )
     return "\nUNION ALL\n".join(parts)
 
 
-@register("dq_run_checks", _dq_sql())
+@register("dq_run_checks", _dq_sql(quality.CHECK_SPEC))
 def q_dq_run_checks(spark, sf_dir):
     """Every declared model test with its failure count."""
     return quality.run_checks(wh(spark, sf_dir).table)
 
 
+#: Tests that the message log does not meet: several events per key, deletes, deleted or unlisted keys.
+_BRONZE_SPEC = {
+    "bronze": [
+        ("id", "unique"), ("id", "not_null"), ("event", "accepted_values", ["insert", "update"]),
+        ("id", "relationships", "stg_players", "id"), ("source_table", "not_null"),
+    ]
+}
+
+
+@register("dq_bronze_checks", _dq_sql(_BRONZE_SPEC, {"bronze": "bronze_keys"}))
+def q_dq_bronze_checks(spark, sf_dir):
+    """F1-F5 over the message log, where the tests of each kind find failures."""
+    return quality.run_checks(wh(spark, sf_dir).table, _BRONZE_SPEC)
+
+
 @register(
     "dq_fk_violations",
     """
@@ -270,7 +287,7 @@ def q_dq_fk(spark, sf_dir):
     "dq_layer_counts",
     """
     SELECT 'bronze' AS "table", (SELECT count(*) FROM bronze_keys) AS "rows"
-    UNION ALL SELECT 'dlq', (SELECT count(*) FROM events WHERE event_id % 101 = 0 AND event_id % 103 <> 0)
+    UNION ALL SELECT 'dlq', (SELECT count(*) FROM dead_letters)
     """
     + "\n".join(f"UNION ALL SELECT '{t}', (SELECT count(*) FROM {t})" for t in models.SILVER_MODELS + models.GOLD_MODELS),
 )
@@ -282,22 +299,28 @@ def q_dq_layer_counts(spark, sf_dir):
 #: Key columns of the source tables; all other tables have ``id``.
 _KEYS = {"player_pity": ["player_id", "banner_type"], "player_inventory": ["player_id", "character_id"]}
 _LOST = "NOT (event_id % 5 = 0 OR (event_id % 101 <> 0 AND event_id % 103 <> 0))"
+_DELETED = "event_id % 17 = 0"
+_DIFFERENCES = f"""
+    SELECT 'pulls' AS "table", id AS key,
+           CASE WHEN {_DELETED} THEN 'extra_in_target' ELSE 'missing_in_target' END AS side
+    FROM src_pulls WHERE ({_LOST}) <> ({_DELETED})"""
 
 
 def _sides(spark, sf_dir):
-    """(table, source rows, Silver rows, key columns) of all seven tables."""
+    """(table, source rows, Silver rows, key columns) of all seven tables. The
+    source has lost its deleted pulls, which Silver keeps."""
     from cdcmart.sources import adapter
 
     w = wh(spark, sf_dir)
     for name, rows in sorted(adapter.source_tables(spark, sf_dir).items()):
+        if name == "pulls":
+            rows = rows.where(F.col("event_id") % 17 != 0)
         yield name, rows, w.table(f"stg_{name}"), _KEYS.get(name, ["id"])
 
 
 @register(
     "reconcile_ids",
-    f"""
-    SELECT 'pulls' AS "table", id AS key, 'missing_in_target' AS side FROM src_pulls
-    WHERE {_LOST}""",
+    _DIFFERENCES,
 )
 def q_reconcile_ids(spark, sf_dir):
     """F8: source ids vs Silver ids of all tables, both ways."""
@@ -308,10 +331,15 @@ def q_reconcile_ids(spark, sf_dir):
 def _summary_sql() -> str:
     parts = []
     for name in (m.removeprefix("stg_") for m in models.SILVER_MODELS):
-        lost = f"count(*) FILTER (WHERE {_LOST})" if name == "pulls" else "0"
+        keys, lost, extra = "count(*)", "0", "0"
+        if name == "pulls":
+            keys = f"count(*) FILTER (WHERE NOT {_DELETED})"
+            lost = f"count(*) FILTER (WHERE {_LOST} AND NOT {_DELETED})"
+            extra = f"count(*) FILTER (WHERE NOT ({_LOST}) AND {_DELETED})"
         parts.append(
-            f"""SELECT '{name}' AS "table", count(*) AS source_keys, {lost} AS missing_in_target, 0 AS extra_in_target,
-                CASE WHEN count(*) = 0 THEN 'SKIP' WHEN {lost} = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM src_{name}"""
+            f"""SELECT '{name}' AS "table", {keys} AS source_keys, {lost} AS missing_in_target, {extra} AS extra_in_target,
+                CASE WHEN {keys} = 0 THEN 'SKIP' WHEN {lost} + {extra} = 0 THEN 'PASS' ELSE 'FAIL' END AS status
+                FROM src_{name}"""
         )
     return "\nUNION ALL ".join(parts)
 
@@ -343,9 +371,7 @@ def q_reconcile_verdict(spark, sf_dir):
     "reconcile_samples",
     f"""
     SELECT "table", key, side FROM (
-        SELECT 'pulls' AS "table", id AS key, 'missing_in_target' AS side,
-               row_number() OVER (ORDER BY id) AS rn
-        FROM src_pulls WHERE {_LOST})
+        SELECT *, row_number() OVER (PARTITION BY side ORDER BY key) AS rn FROM ({_DIFFERENCES}))
     WHERE rn <= 5""",
 )
 def q_reconcile_samples(spark, sf_dir):

@@ -11,7 +11,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings we want on every session; applied only where the session has none.
 _DEFAULTS = {
@@ -143,6 +143,18 @@ def remove_path(spark: SparkSession, path: str) -> None:
     fs.delete(target, True)
 
 
+def range_partitions(df: DataFrame, target_bytes: int = 128 << 20) -> int:
+    """Partitions of a range shuffle that must keep its layout (AQE cannot split
+    it): the session's shuffle partitions, more where the folders that ``df``
+    reads hold more than ``target_bytes`` for each of them."""
+    spark = df.sparkSession
+    size = 0
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        target, fs = _file_system(spark, folder)
+        size += fs.getContentSummary(target).getLength()
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // target_bytes))
+
+
 # Superseded records and the folders they name stay readable for this many steps.
 KEEP_RECORDS = 3
 

@@ -4,16 +4,21 @@ The mapping is deterministic so that a SQL twin (plans/oracle.py) can state
 the expected outcome of the whole pipeline from the same driver tables.
 
 Mapping (see FIXTURES.md section 3):
-  players        customer x nation x region; customers with custkey % 50 = 49
-                 are left out so pull -> player joins have misses
+  players        customer x nation x region; custkey % 7 = 3 moved to the next
+                 region 30 days after registering, % 7 = 4 was updated then
+                 without moving; % 41 = 40 has no username
   characters     part with partkey < 21: 0-4 SSR, 5-12 SR, 13-20 R
   banners        distinct events.event_type; 'view' permanent, others limited
-  pulls          one per event
-  transactions   one per order
+  pulls          one per event; event_id % 23 = 11 by a guest who is no player,
+                 % 97 = 13 of a character that is not listed, % 29 = 5 single
+                 (no batch)
+  transactions   one per order; some are of a status outside the accepted ones
   player_pity    rule replay of pulls (final pity and guarantee state)
   player_inventory  rule replay of pulls (copies -> constellation)
-CDC faults on pull messages: update if event_id % 5 = 0, delete if % 17 = 0,
-create without ``op`` if % 101 = 0, truncated create text if % 103 = 0.
+CDC faults on pull messages: update if event_id % 5 = 0, delete if % 17 = 0 (both
+20 days late if % 20 = 0), create without ``op`` if % 101 = 0, truncated create
+text if % 103 = 0, create delivered twice if % 59 = 7, one more message that
+breaks one of the rules if % 101 = 50.
 """
 
 from __future__ import annotations
@@ -33,6 +38,9 @@ SNAPSHOT_TS_MS = 1704067200000
 # Limited banner window, in days since epoch: 2024-01-01 .. 2024-01-20.
 LIMITED_START_DAY = 19723
 LIMITED_END_DAY = 19742
+# Delay of late updates and deletes; time from registration to a player's update.
+LATE_MS = 20 * 86_400_000
+MOVED_AFTER_S = 30 * 86_400
 # Rate-up SSR per limited banner (event type).
 RATE_UP = {"click": "ssr-001", "error": "ssr-002", "purchase": "ssr-003", "signup": "ssr-004"}
 
@@ -42,21 +50,26 @@ def _ts(c: Column) -> Column:
 
 
 def players(customer: DataFrame, nation: DataFrame, region: DataFrame) -> DataFrame:
+    """Players as they are now; ``first_region`` is the one they registered in."""
     # nation (25 rows) and region (5 rows) are fixed-size TPC-H tables.
     n = F.broadcast(nation.select("n_nationkey", "n_regionkey"))
     r = F.broadcast(region.select("r_regionkey", "r_name"))
-    reg = F.timestamp_seconds(F.lit(REGISTERED_EPOCH_S) + F.col("c_custkey") * 60)
+    first = F.broadcast(region.select(F.col("r_regionkey").alias("_first"), F.col("r_name").alias("first_region")))
+    k = F.col("c_custkey")
+    reg = F.lit(REGISTERED_EPOCH_S) + k * 60
+    upd = reg + F.when((k % 7).isin(3, 4), F.lit(MOVED_AFTER_S)).otherwise(F.lit(0))
     return (
-        customer.where(F.col("c_custkey") % 50 != 49)
-        .join(n, F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+        customer.join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(first, F.col("n_regionkey") == F.col("_first"))
+        .join(r, (F.col("n_regionkey") + (k % 7 == 3).cast("int")) % 5 == F.col("r_regionkey"))
         .select(
-            F.col("c_custkey").cast("string").alias("id"),
-            F.col("c_name").alias("username"),
+            k.cast("string").alias("id"),
+            F.when(k % 41 != 40, F.col("c_name")).alias("username"),
             F.col("r_name").alias("region"),
             F.floor("c_acctbal").cast("int").alias("crystal_balance"),
-            reg.alias("registered_at"),
-            reg.alias("updated_at"),
+            F.timestamp_seconds(reg).alias("registered_at"),
+            F.timestamp_seconds(upd).alias("updated_at"),
+            "first_region",
         )
     )
 
@@ -99,18 +112,20 @@ def pulls(events: DataFrame) -> DataFrame:
     eid = F.col("event_id")
     k = F.get_json_object("props", "$.k").cast("int")
     rarity = F.when(k < 2, "SSR").when(k < 12, "SR").otherwise("R")
-    char_num = F.when(rarity == "SSR", eid % 5 + 1).otherwise(eid % 8 + 1)
+    unlisted = eid % 97 == 13
+    ssr_num = F.when(unlisted, F.lit(6)).otherwise(eid % 5 + 1)
+    char_num = F.when(rarity == "SSR", ssr_num).otherwise(F.when(unlisted, F.lit(9)).otherwise(eid % 8 + 1))
     return events.select(
         eid.alias("event_id"),
         eid.cast("string").alias("id"),
-        F.col("user_id").cast("string").alias("player_id"),
+        F.when(eid % 23 == 11, F.lit("guest")).otherwise(F.col("user_id").cast("string")).alias("player_id"),
         F.col("event_type").alias("banner_id"),
         F.format_string("%s-%03d", F.lower(rarity), char_num.cast("int")).alias("character_id"),
         rarity.alias("rarity"),
         (eid % 90 + 1).cast("int").alias("pity_count"),
         ((rarity == "SSR") & (eid % 3 == 0)).alias("is_guaranteed"),
         (eid % 10 + 1).cast("int").alias("pull_number"),
-        F.floor(eid / 10.0).cast("string").alias("batch_id"),
+        F.when(eid % 29 != 5, F.floor(eid / 10.0).cast("string")).alias("batch_id"),
         F.lit(160).alias("crystals_spent"),
         _ts(F.col("ts")).alias("pulled_at"),
     )
@@ -122,7 +137,10 @@ def transactions(orders: DataFrame) -> DataFrame:
     status = (
         F.when(F.col("o_orderstatus") == "F", "success")
         .when(F.col("o_orderstatus") == "O", "pending")
-        .when(F.col("o_orderstatus") == "P", F.when(ok % 2 == 0, "failed").otherwise("refunded"))
+        .when(
+            F.col("o_orderstatus") == "P",
+            F.when(ok % 7 == 0, "chargeback").when(ok % 2 == 0, "failed").otherwise("refunded"),
+        )
     )
     methods = F.array(*[F.lit(m) for m in PAYMENT_METHODS])
     crystals = F.create_map(*[x for p in TOPUP_PACKAGES for x in (F.lit(p[0]), F.lit(p[2]))])
@@ -199,7 +217,7 @@ def source_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 # ---------------------------------------------------------------------------
 
 
-def _row_json(df: DataFrame, drop=("event_id",)) -> Column:
+def _row_json(df: DataFrame, drop=("event_id", "first_region")) -> Column:
     cols = []
     for f in df.schema.fields:
         if f.name in drop:
@@ -239,9 +257,50 @@ def _simple_messages(df: DataFrame, table: str, op: str, ts_ms: Column) -> DataF
     )
 
 
+def player_messages(p: DataFrame) -> DataFrame:
+    """A create in the first region; an update of those that changed since."""
+    start = p.withColumn("region", F.col("first_region")).withColumn("updated_at", F.col("registered_at"))
+    changed = p.where(F.col("updated_at") > F.col("registered_at"))
+    updated = changed.select(
+        _envelope("players", F.lit("u"), F.lit(None).cast("string"), _row_json(changed), F.unix_millis("updated_at")).alias("json")
+    )
+    return _simple_messages(start, "players", "c", F.unix_millis("updated_at")).unionByName(updated)
+
+
+def broken_messages(p: DataFrame) -> DataFrame:
+    """One message per chosen pull, each breaking one validation rule."""
+    eid = F.col("event_id")
+    source = '{"schema":"public","table":"pulls"}'
+    kinds = [  # payload members: after, source, op, with a timestamp or not
+        None,
+        ("row", None, "c", True),
+        ("row", source, "c", False),
+        ("row", '"pulls"', "c", True),
+        ("row", '{"schema":"public"}', "c", True),
+        ("row", '{"table":"pulls"}', "c", True),
+        ("row", source, "d", True),
+        ("null", source, "c", True),
+        ("{}", source, "r", True),
+    ]
+    ms = F.unix_millis("pulled_at").cast("string")
+    kind = F.floor(eid / 101.0) % len(kinds)
+    text = F.lit('{"payload":{}}')
+    for i, made in enumerate(kinds):
+        if made is None:
+            continue
+        after, src, op, stamped = made
+        members = [F.lit('"before":null'), F.concat(F.lit('"after":'), F.col("_row") if after == "row" else F.lit(after))]
+        members += [F.lit(f'"source":{src}')] if src else []
+        members += [F.lit(f'"op":"{op}"')]
+        members += [F.concat(F.lit('"ts_ms":'), ms)] if stamped else []
+        text = F.when(kind == i, F.concat(F.lit('{"payload":{'), F.concat_ws(",", *members), F.lit("}}"))).otherwise(text)
+    return p.where(eid % 101 == 50).withColumn("_row", _row_json(p)).select(text.alias("json"))
+
+
 def pull_messages(p: DataFrame) -> DataFrame:
     """Create, update and delete messages for pulls, with injected faults."""
     eid = F.col("event_id")
+    late = F.when(eid % 20 == 0, F.lit(LATE_MS)).otherwise(F.lit(0))
     ms = F.unix_millis("pulled_at")
     created = p.select(
         eid, _envelope("pulls", F.lit("c"), F.lit(None).cast("string"), _row_json(p), ms, with_op=(eid % 101 != 0)).alias(
@@ -250,19 +309,20 @@ def pull_messages(p: DataFrame) -> DataFrame:
     ).select(
         F.when(eid % 103 == 0, F.expr("substring(json, 1, cast(length(json) / 2 as int))"))
         .otherwise(F.col("json"))
-        .alias("json")
-    )
+        .alias("json"),
+        F.explode(F.sequence(F.lit(1), F.when(eid % 59 == 7, F.lit(2)).otherwise(F.lit(1)))).alias("delivery"),
+    ).drop("delivery")
     upd_rows = p.where(eid % 5 == 0).withColumn("crystals_spent", F.lit(320))
     updated = upd_rows.select(
-        _envelope("pulls", F.lit("u"), _row_json(p), _row_json(upd_rows), F.unix_millis("pulled_at") + 60000).alias("json")
+        _envelope("pulls", F.lit("u"), _row_json(p), _row_json(upd_rows), F.unix_millis("pulled_at") + 60000 + late).alias("json")
     )
     del_rows = p.where(eid % 17 == 0)
     deleted = del_rows.select(
-        _envelope("pulls", F.lit("d"), _row_json(del_rows), F.lit(None).cast("string"), F.unix_millis("pulled_at") + 120000).alias(
+        _envelope("pulls", F.lit("d"), _row_json(del_rows), F.lit(None).cast("string"), F.unix_millis("pulled_at") + 120000 + late).alias(
             "json"
         )
     )
-    return created.unionByName(updated).unionByName(deleted)
+    return created.unionByName(updated).unionByName(deleted).unionByName(broken_messages(p))
 
 
 def cdc_messages(src: dict[str, DataFrame]) -> DataFrame:
@@ -271,7 +331,7 @@ def cdc_messages(src: dict[str, DataFrame]) -> DataFrame:
     parts = [
         _simple_messages(src["characters"], "characters", "r", snap),
         _simple_messages(src["banners"], "banners", "r", snap),
-        _simple_messages(src["players"], "players", "c", F.unix_millis("updated_at")),
+        player_messages(src["players"]),
         pull_messages(src["pulls"]),
         _simple_messages(src["transactions"], "transactions", "c", F.unix_millis("transacted_at")),
         _simple_messages(src["player_pity"], "player_pity", "c", F.unix_millis("updated_at")),

@@ -2,7 +2,8 @@
 
 applications   customer: tenant = nation, score = acctbal / 100 (null when
                negative), status and screening flag cycle over the key
-users          nation: one user per tenant; every fourth is read-only
+users          nation: one user per tenant; every fourth is read-only; mutation
+               caps cycle over 3 to 6
 status_requests orders x customer: a run is (user, order year); every tenth
                request is issued by the next tenant's user
 list_requests  nation: status filter cycles over valid, invalid and none
@@ -48,7 +49,7 @@ def applications(customer: DataFrame) -> DataFrame:
         F.concat(F.lit("app-"), k.cast("string")).alias("id"),
         F.col("c_nationkey").cast("long").alias("company_id"),
         F.lower("c_mktsegment").alias("first_name"),
-        F.substring("c_name", 10, 100).alias("last_name"),
+        F.expr("substring(c_name, 10)").alias("last_name"),
         _pick(VALID_STATUSES, k % 8).alias("status"),
         F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal") / 100.0).alias("role_fit_score"),
         F.when(k % 3 == 1, F.lit(True)).when(k % 3 == 2, F.lit(False)).alias("has_passed_screening"),
@@ -63,7 +64,7 @@ def users(nation: DataFrame) -> DataFrame:
         n.cast("long").alias("company_id"),
         F.when(can, "HR Manager").otherwise("Recruiter (read-only)").alias("role"),
         can.alias("can_move_status"),
-        F.lit(5).alias("mutation_cap"),
+        (n % 4 + 3).cast("int").alias("mutation_cap"),
         F.when(n % 2 == 0, 0.01).otherwise(0.1).alias("cost_limit_usd"),
     )
 

@@ -70,6 +70,18 @@ def bronze_sink(stream: DataFrame, out: str, checkpoint: str, trigger: dict | No
     return w.start()
 
 
+def dead_letter_sink(dead_letters: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """A4: dead letters (``reason``, ``raw``) appended as JSON lines."""
+    w = (
+        dead_letters.select(F.to_json(F.struct("reason", "raw")).alias("value"))
+        .writeStream.format("text")
+        .option("path", out)
+        .option("checkpointLocation", checkpoint)
+        .outputMode("append")
+    )
+    return w.trigger(**(trigger or {"availableNow": True})).start()
+
+
 def read_bronze_stream(spark: SparkSession, out: str) -> DataFrame:
     """Bronze rows of a bronze sink folder, as a stream."""
     schema = (
