@@ -7,6 +7,8 @@ checks read from it.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,10 @@ REASONS = {
 }
 
 
+#: Reason of the sinks that take known tables only.
+UNKNOWN_TABLE = "unknown payload.source.table"
+
+
 def decode(df: DataFrame, value: str = "value") -> DataFrame:
     """B1: UTF-8 decode + JSON parse; undecodable messages are dropped.
 
@@ -163,7 +169,8 @@ BRONZE_COLS = ("id", "data", "event", "event_timestamp", "source_table", "source
 
 
 def route(
-    messages: DataFrame, value: str = "value", ingested_at: Column | None = None, stable_keys: dict | None = None
+    messages: DataFrame, value: str = "value", ingested_at: Column | None = None, stable_keys: dict | None = None,
+    tables: Sequence[str] | None = None,
 ) -> DataFrame:
     """B1-B4 as ONE projection with a ``route`` column, no filter.
 
@@ -173,6 +180,10 @@ def route(
     partitioned by ``route`` lands every message once: a filter before the
     write would make Catalyst evaluate the parse and checks twice (the
     predicate is pushed below the projection and inlined).
+
+    With ``tables``, valid messages of any other table are dead letters too,
+    and only Bronze rows carry ``source_table``, so a sink partitioned by it
+    never makes a folder of a name that a message invented.
     """
     vtype = dict(messages.dtypes)[value]
     if vtype == "binary":
@@ -183,6 +194,9 @@ def route(
     d = messages.select(F.try_parse_json(text).alias("msg"))
     e = extract(d)
     reason = _reason()
+    if tables is not None:
+        known = F.coalesce(v_str(F.col("msg"), "$.payload.source.table").isin(*tables), F.lit(False))
+        reason = F.coalesce(reason, F.when(~known, F.lit(UNKNOWN_TABLE)))
     stamp = ingested_at if ingested_at is not None else F.current_timestamp()
     norm = _normal_cols(stable_keys)
     r = F.when(F.col("msg").isNull(), F.lit("undecodable")).when(reason.isNull(), F.lit("bronze")).otherwise(F.lit("dlq"))
@@ -192,6 +206,8 @@ def route(
         reason.alias("reason"),
         F.when(reason.isNotNull(), F.to_json("msg")).alias("raw"),
     )
+    if tables is not None:
+        out = out.withColumn("source_table", F.when(F.col("route") == "bronze", F.col("source_table")))
     return out.withColumn("ingested_at", F.when(F.col("route") == "bronze", stamp))
 
 
@@ -207,7 +223,9 @@ def _normal_cols(stable_keys: dict | None = None) -> list[tuple[str, Column]]:
     dump = F.col("_data_json")
     for t, fields in (stable_keys or {}).items():
         parts = [v_str(F.col("_data"), f"$.{f}") for f in fields]
-        dump = F.when(table == t, F.concat_ws(":", *parts)).otherwise(dump)
+        key = F.concat(*[x for i, p in enumerate(parts) for x in ([F.lit(":")] if i else []) + [p]])
+        # a row with a null half has no composite key and keeps its dump
+        dump = F.when((table == t) & key.isNotNull(), key).otherwise(dump)
     key = (
         F.when(idv.isNull(), dump)
         .when(F.schema_of_variant(idv) == "VOID", F.lit("None"))

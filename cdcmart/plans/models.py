@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cdcmart.operators import cdc, gold, silver
-from cdcmart.schemas import BRONZE_SCHEMA
+from cdcmart.schemas import BRONZE_SCHEMA, SILVER_SPECS
 from cdcmart.session import KEEP_RECORDS, path_exists, read_record, remove_path, work_dir, write_record
 from cdcmart.sources import adapter
 from cdcmart.sources.tables import fingerprint
@@ -138,7 +138,7 @@ def run_models(
     wh = Warehouse(spark, root)
     src = adapter.source_tables(spark, sf_dir)
     msgs = adapter.cdc_messages(src)
-    routed = cdc.route(msgs, ingested_at=F.col("event_timestamp"))
+    routed = cdc.route(msgs, ingested_at=F.col("event_timestamp"), tables=list(SILVER_SPECS))
     # One pass over the messages: Bronze (by table), dead letters and
     # undecodable messages land in sibling folders of one write.
     routed.write.mode("overwrite").partitionBy("route", "source_table").parquet(wh.path("cdc"))
@@ -213,7 +213,7 @@ def run_incremental(
 
     wh = IncrementalWarehouse(spark, root)
     batch_dir = wh.path(f"cdc_batches/batch={batch_id}")
-    routed = cdc.route(messages, ingested_at=ingested_at)
+    routed = cdc.route(messages, ingested_at=ingested_at, tables=list(SILVER_SPECS))
     routed.write.mode("overwrite").partitionBy("route", "source_table").parquet(batch_dir)
     merger = SilverMerger(spark, wh.path("silver_state"), honor_deletes=honor_deletes)
     if path_exists(spark, f"{batch_dir}/route=bronze"):

@@ -227,8 +227,9 @@ CTES: list[tuple[str, str]] = [
             (2, 'missing payload.ts_ms', 'pulls', true), (3, 'payload.source is not an object', NULL, true),
             (4, 'missing payload.source.table', NULL, true), (5, 'missing payload.source.schema', 'pulls', true),
             (6, 'delete event missing payload.before', 'pulls', true), (7, 'op=''c'' missing payload.after', 'pulls', false),
-            (8, 'op=''r'' missing payload.after', 'pulls', false)) AS k(kind, why, tbl, has_row)
-          ON event_id % 101 = 50 AND event_id // 101 % 9 = kind""",
+            (8, 'op=''r'' missing payload.after', 'pulls', false),
+            (9, 'unknown payload.source.table', 'audit_log', true)) AS k(kind, why, tbl, has_row)
+          ON event_id % 101 = 50 AND event_id // 101 % 10 = kind""",
     ),
     (
         "bronze_keys",

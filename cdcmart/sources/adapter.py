@@ -18,7 +18,7 @@ Mapping (see FIXTURES.md section 3):
 CDC faults on pull messages: update if event_id % 5 = 0, delete if % 17 = 0 (both
 20 days late if % 20 = 0), create without ``op`` if % 101 = 0, truncated create
 text if % 103 = 0, create delivered twice if % 59 = 7, one more message that
-breaks one of the rules if % 101 = 50.
+breaks one of the rules or names an unknown table if % 101 = 50.
 """
 
 from __future__ import annotations
@@ -281,6 +281,7 @@ def broken_messages(p: DataFrame) -> DataFrame:
         ("row", source, "d", True),
         ("null", source, "c", True),
         ("{}", source, "r", True),
+        ("row", '{"schema":"public","table":"audit_log"}', "c", True),
     ]
     ms = F.unix_millis("pulled_at").cast("string")
     kind = F.floor(eid / 101.0) % len(kinds)

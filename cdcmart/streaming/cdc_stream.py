@@ -45,7 +45,7 @@ def read_cdc(spark: SparkSession, path: str | None = None, fmt: str = "text", ka
 
 def routed(stream: DataFrame, ingested_at: Column | None = None) -> DataFrame:
     """B1-B4 on a stream, plus B12 progress metrics via ``observe``."""
-    r = cdc.route(stream, ingested_at=ingested_at)
+    r = cdc.route(stream, ingested_at=ingested_at, tables=list(SILVER_SPECS))
     return r.observe(
         "cdc_progress",
         F.count(F.lit(1)).alias("messages"),

@@ -86,6 +86,21 @@ def test_status_changes_match_sequential_loop(spark):
             assert g["outcome"] == w, (rid, g["outcome"], w)
 
 
+def test_status_changes_use_the_users_own_cap(spark):
+    apps = spark.createDataFrame([(f"a{i}", 0, "x", "y", "applied") for i in range(9)],
+                                 "id string, company_id long, first_name string, last_name string, status string")
+    users = spark.createDataFrame([("u2", 0, True, "HR", 2), ("u7", 0, True, "HR", 7), ("un", 0, True, "HR", None)],
+                                  "user_id string, company_id long, can_move_status boolean, role string, mutation_cap int")
+    reqs = [(i + 10 * n, f"run-{u}", u, f"a{i}", "sourced", True) for n, u in enumerate(["u2", "u7", "un"]) for i in range(9)]
+    reqs = spark.createDataFrame(reqs, "request_id long, run_id string, user_id string, application_id string, "
+                                       "new_status string, approved boolean")
+    got = governed.status_changes(reqs, apps, users).collect()
+    done = {u: sum(r["user_id"] == u and r["outcome"] == "OK" for r in got) for u in ("u2", "u7", "un")}
+    assert done == {"u2": 2, "u7": 7, "un": 5}
+    assert all(r["outcome"] == "STOPPED" for r in got if r["user_id"] == "u2" and r["request_id"] >= 2)
+    assert "cap of 2 reached" in next(r["message"] for r in got if r["user_id"] == "u2" and r["outcome"] == "STOPPED")
+
+
 def test_name_lookup_exact(spark):
     apps = spark.createDataFrame(
         [("a1", 0, "ann", "lee"), ("a2", 0, "anna", "park"), ("a3", 1, "ann", "kim"), ("a4", 0, "bo", "an")],

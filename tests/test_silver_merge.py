@@ -74,6 +74,12 @@ def test_upsert_increment_and_insert_if_absent(spark):
     )
     got = {r["character_id"]: r["constellation"] for r in merge.upsert_increment(inv, e).collect()}
     assert got == {"c1": 6, "c2": 0, "c9": 7, "c3": 2, "c4": 2}
+    timed = merge.upsert_increment(
+        inv.where("character_id <> 'c9'").selectExpr("*", "10 AS obtained_at", "11 AS updated_at"),
+        e.withColumn("at", e.seq + 20), time="at",
+    )
+    got = {r["character_id"]: (r["obtained_at"], r["updated_at"]) for r in timed.collect()}
+    assert got == {"c1": (10, 22), "c2": (10, 11), "c3": (21, 21), "c4": (21, 23)}
     t = spark.createDataFrame([("1", "a")], "id string, v string")
     rows = spark.createDataFrame([("1", "x", 1), ("2", "y", 2), ("2", "z", 1)], "id string, v string, o int")
     got = {r["id"]: r["v"] for r in merge.insert_if_absent(t, rows.select("id", "v", "o"), ["id"], order=["o"]).collect()}
