@@ -1,17 +1,22 @@
 """Sharding by balanced label propagation.
 
-Documents start on random shards of equal size. In each round every linked
-document looks at its neighbours' shards (a join and a count); those with more
-neighbours elsewhere ask to move there. Moves are granted under capacity quotas
-(Ugander and Backstrom, "Balanced label propagation for partitioning massive
-graphs", 2013): two shards may swap as many documents as the smaller of their
-mutual demands, and beyond that a shard takes what its quota leaves free;
-documents without links only fill the quotas at the end. The last step makes the
-sizes exact: what exceeds a quota and all documents without links are dealt by
-rank into the places left, so the counts differ by one at most.
-
-Only demand matrices (shards times shards) reach the driver. Ranks are built from
-counts by hash bucket, so neither a shard nor a group is sorted in one task.
+Rows of equal texts are linked, each with each. Documents start on random shards
+of equal size. In each round every linked document looks at its neighbours'
+shards; as all members of a group have the same neighbours, these votes are one
+histogram per group (at most one count per shard), joined back to the rows, and
+no pair is ever listed. Members that are not on the shard with most of their
+group ask to move there; every second round only shards with room stand for
+choice, so what a full shard cannot take gathers on another one. Moves are
+granted under capacity quotas (Ugander and Backstrom, "Balanced label propagation
+for partitioning massive graphs", 2013): two shards may swap as many documents as
+the smaller of their mutual demands, and beyond that a shard takes what its quota
+leaves free; documents without links only fill the quotas at the end. The last
+step makes the sizes exact: what exceeds a quota and all documents without links
+are dealt by rank into the places left, so the counts differ by one at most.
+
+Only shard sizes and demand matrices (shards times shards) reach the driver. Ranks
+are built from counts by hash bucket, so neither a shard nor a group is sorted in
+one task.
 """
 
 from __future__ import annotations
@@ -22,18 +27,6 @@ from pyspark.sql import functions as F
 from .common import hash_rank, materialize, release
 
 ROUNDS = 10
-ARITY = 8
-
-
-def group_links(nodes: DataFrame, group: str, arity: int = ARITY) -> DataFrame:
-    """Edges ``(a, b)`` that link the rows of each group (by ``group``; ``id``,
-    ``key``) as a tree: member ``i`` to member ``(i - 1) / arity``. A group of n
-    has n - 1 links, no member more than ``arity + 1``."""
-    sizes = nodes.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(group)
-    members = materialize(nodes.join(sizes, group).select(group, "key", "id"), "members")
-    ranked = hash_rank(members, [group], "key", ["id"], "at")
-    child = ranked.where("at > 0").select(group, F.floor((F.col("at") - 1) / arity).alias("at"), F.col("id").alias("a"))
-    return child.join(ranked.select(group, "at", F.col("id").alias("b")), [group, "at"]).select("a", "b")
 
 
 def _unit(*cols) -> Column:
@@ -50,43 +43,46 @@ def _granted(demand: dict[tuple[int, int], int], sizes: dict[int, int], quota: l
     return {(i, j): (swap[i, j] + rest[i, j] * min(1.0, room[j] / asked[j] if asked[j] else 1.0)) / n for (i, j), n in demand.items()}
 
 
-def balanced_label_propagation(nodes: DataFrame, edges: DataFrame, shards: int = 16, rounds: int = ROUNDS) -> DataFrame:
+def balanced_label_propagation(nodes: DataFrame, group: str, shards: int = 16, rounds: int = ROUNDS) -> DataFrame:
     """``(id, shard, slot)`` of every node: ``shard`` from 0, ``slot`` gapless
     from 0 within its shard; the shards' counts are at most one apart.
 
-    ``nodes`` has a unique ``id`` and a uniform 64-bit ``key``; ``edges`` has the
-    ids ``a`` and ``b``. Loops count for nothing; repeated edges count as often
-    as they stand. An empty table gives an empty result.
+    ``nodes`` has a unique ``id``, a uniform 64-bit ``key`` and ``group`` (without
+    nulls); the nodes of one group are linked with one another. An empty table
+    gives an empty result.
     """
     total = nodes.count()
     quota = [total // shards + (j < total % shards) for j in range(shards)]
-    both = materialize(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b"), F.col("a"))), "links")
-    linked = both.select(F.col("a").alias("id")).distinct()
-    labels = materialize(linked.withColumn("shard", F.floor(_unit(F.lit(0), "id") * shards).cast("int")), "labels")
+    linked = nodes.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col(group).alias("group"))
+    start = F.floor(_unit(F.lit(0), "id") * shards).cast("int")
+    labels = materialize(nodes.select("id", F.col(group).alias("group")).join(linked, "group").select("id", "group", start.alias("shard")), "labels")
     for turn in range(1, rounds + 1):
-        votes = both.join(labels.select(F.col("id").alias("b"), "shard"), "b").groupBy(F.col("a").alias("id"), F.col("shard").alias("to")).agg(F.count(F.lit(1)).alias("n"))
-        best = votes.groupBy("id").agg(
-            F.max(F.struct("n", _unit(F.lit(turn), "id", "to").alias("tie"), "to")).alias("top"), F.collect_list(F.struct("to", "n")).alias("all")
-        )
-        here = F.aggregate("all", F.lit(0).cast("long"), lambda s, x: F.when(x["to"] == F.col("shard"), x["n"]).otherwise(s))
-        asks = labels.join(best, "id").select(
-            "id", "shard", F.when((F.col("top.n") > here) & (_unit(F.lit(turn), F.lit("wakes"), "id") < 0.7), F.col("top.to")).otherwise(F.col("shard")).alias("to")
+        sizes = {r["shard"]: r["count"] for r in labels.groupBy("shard").count().collect()}  # one row per shard
+        room = [j for j in range(shards) if sizes.get(j, 0) < quota[j]]
+        some = turn % 2 == 0 and 0 < len(room) < shards
+        # one row per group; equal counts: the same shard for all members
+        vote = F.struct("n", _unit(F.lit(turn), "group", "shard").alias("tie"), F.col("shard").alias("to"))
+        votes = labels.groupBy("group", "shard").agg(F.count(F.lit(1)).alias("n"))
+        best = votes.groupBy("group").agg(
+            F.max(F.when(F.col("shard").isin(room), vote) if some else vote).alias("top"), F.map_from_entries(F.collect_list(F.struct("shard", "n"))).alias("all")
         )
+        here = F.struct(F.try_element_at("all", F.col("shard")).alias("n"), _unit(F.lit(turn), "group", "shard").alias("tie"))
+        goes = F.struct("top.n", "top.tie") > here
+        asks = labels.join(best, "group").select("id", "group", "shard", F.when(goes, F.col("top.to")).otherwise(F.col("shard")).alias("to"))
         asks = materialize(asks, "asks")
         counted = asks.groupBy("shard", "to").count().collect()  # shards squared at most
         demand = {(r["shard"], r["to"]): r["count"] for r in counted if r["shard"] != r["to"]}
-        sizes: dict[int, int] = {}
-        for r in counted:
-            sizes[r["shard"]] = sizes.get(r["shard"], 0) + r["count"]
         release(labels)
         if not demand:
-            labels = asks.select("id", "shard")
+            labels = asks.select("id", "group", "shard")
+            if some:
+                continue
             break
         share = F.create_map(*[F.lit(x) for (i, j), f in _granted(demand, sizes, quota).items() for x in (i * shards + j, float(f))])
         moves = (F.col("to") != F.col("shard")) & (_unit(F.lit(turn), F.lit("moves"), "id") < F.try_element_at(share, F.col("shard") * shards + F.col("to")))
-        labels = materialize(asks.select("id", F.when(moves, F.col("to")).otherwise(F.col("shard")).alias("shard")), "labels")
+        labels = materialize(asks.select("id", "group", F.when(moves, F.col("to")).otherwise(F.col("shard")).alias("shard")), "labels")
         release(asks)
-    return _exact(nodes, labels, quota)
+    return _exact(nodes, labels.select("id", "shard"), quota)
 
 
 def _exact(nodes: DataFrame, labels: DataFrame, quota: list[int]) -> DataFrame:
@@ -127,7 +123,7 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = materialize(nodes.withColumn("key", F.xxhash64(F.lit(4), "doc", "text_crc32")), "nodes")
     # rows of one id and text share a key: those of a null id could be many
     nodes = nodes.withColumn("key", F.xxhash64("key", "id"))
-    placed = balanced_label_propagation(nodes.select("id", "key"), group_links(nodes, "content"), shards, rounds)
+    placed = balanced_label_propagation(nodes.select("id", "key", "content"), "content", shards, rounds)
     return nodes.select("id", "doc", "size", "text_crc32").join(placed, "id").select(
         F.col("doc").alias(id_col), "size", "text_crc32", "shard", "slot"
     )

@@ -143,6 +143,17 @@ def test_sharding(spark):
     assert sharding.shard_documents(empty_docs(spark)).count() == 0
 
 
+def test_sharding_gathers_groups_of_any_size(spark):
+    rows = [f"{n} group {g}" for n, k in ((2, 100), (10, 60), (50, 20), (300, 4)) for g in range(k) for _ in range(n)]
+    rows = list(enumerate([*rows, *(f"1 single {i}" for i in range(9000))]))  # room for each group on one shard
+    groups, text = defaultdict(Counter), dict(rows)
+    for r in sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        groups[text[r.doc_id]][r.shard] += 1
+    for n in (2, 10, 50, 300):  # share of rows on the shard with most of their group
+        own = [c for t, c in groups.items() if t.startswith(f"{n} ")]
+        assert sum(max(c.values()) for c in own) / sum(sum(c.values()) for c in own) > 0.9
+
+
 def test_pfair_mix(spark):
     rows = [(i, "abc"[min(2, i * 7 % 11 // 4)], f"t{i}") for i in range(900)] + [(None, None, "x"), (3, "a", "again")]
     docs = spark.createDataFrame(rows, "doc_id long, source string, slot string")
