@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +30,6 @@ from .common import hash_rank
 
 BLOCK_ROWS = 64
 MAX_SOURCES = 256
-TOTAL = 200
 
 
 def period(weights: Mapping[str, int]) -> list[str]:
@@ -73,18 +73,21 @@ def phases(weights: Mapping[str, int], blocks: Mapping[str, int]) -> list[dict]:
     return found
 
 
-def whole_weights(shares: Mapping[str, float], total: int = TOTAL) -> dict[str, int]:
-    """Positive integers in the ratio of ``shares``, of a sum near ``total``
-    (divided by their common divisor)."""
-    sum_ = sum(shares.values())
-    made = {s: max(1, round(x * total / sum_)) for s, x in shares.items()}
+def whole_weights(shares: Mapping[str, float]) -> dict[str, int]:
+    """The least positive integers in exactly the ratio of ``shares``, which are
+    taken as the decimal numbers they print as."""
+    exact = {s: Fraction(str(x)) for s, x in shares.items()}
+    if any(x <= 0 for x in exact.values()):
+        raise ValueError("shares must be positive")
+    scale = math.lcm(*(x.denominator for x in exact.values()))
+    made = {s: int(x * scale) for s, x in exact.items()}
     divisor = math.gcd(*made.values()) if made else 1
     return {s: x // divisor for s, x in made.items()}
 
 
 def mix(
     docs: DataFrame, weights: Mapping[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source",
-    block_rows: int = BLOCK_ROWS, default: float = 1.0, total: int = TOTAL,
+    block_rows: int = BLOCK_ROWS, default: float = 1.0,
 ) -> DataFrame:
     """All rows of ``docs`` with ``mix_source`` (the class scheduled), ``block``
     (its number within the class), ``slot`` (place of the block in the schedule)
@@ -115,7 +118,7 @@ def mix(
         counts = rows.groupBy("mix_source").count().collect()
     n_rows = {r["mix_source"]: r["count"] for r in counts}
     blocks = {s: -(-n // block_rows) for s, n in n_rows.items()}
-    plan = phases(whole_weights({s: float(weights.get(s, default)) for s in n_rows}, total), blocks) if n_rows else []
+    plan = phases(whole_weights({s: float(weights.get(s, default)) for s in n_rows}), blocks) if n_rows else []
 
     # one row per class and phase it has blocks in: arithmetic from block to slot
     table = []

@@ -6,6 +6,7 @@ import re
 import sys
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers as P
@@ -181,6 +182,27 @@ def test_pfair_mix(spark):
     assert sorted(r.position for r in mixing.mix(many, {"s1": 3.0}).collect()) == list(range(1000))
 
 
+def lag(made, weights, default=1.0):
+    """The most blocks that any source is ahead of or behind its exact share of
+    the slots, until the first source has no block left."""
+    order = [s for _, s in sorted({(r.slot, r.mix_source) for r in made})]
+    share = {s: Fraction(str(weights.get(s, default))) for s in set(order)}
+    total, left, done, most = sum(share.values()), Counter(order), Counter(), 0
+    for slot, source in enumerate(order, 1):
+        done[source] += 1
+        most = max(most, *(abs(done[s] - x * slot / total) for s, x in share.items()))
+        if done[source] == left[source]:
+            return most
+
+
+def test_mix_keeps_to_the_given_weights(spark):
+    weights = {"src0": 3.0, "src1": 2.0, "src2": 1.5, "src3": 0.5}
+    rows = [(i, f"src{s}") for s in range(20) for i in range(int(600 * weights.get(f"src{s}", 1.0)))]
+    made = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), weights, block_rows=2).collect()
+    assert len(made) == len(rows) and lag(made, weights) < 1
+    assert mixing.whole_weights({"a": 0.1, "b": 0.3, "c": 1e-3}) == {"a": 100, "b": 300, "c": 1}
+
+
 def test_period_has_less_than_one_block_of_lag():
     for weights in ({"a": 1}, {"a": 7, "b": 2, "c": 1}, {f"s{i}": i % 5 + 1 for i in range(30)}):
         order, total, done = mixing.period(weights), sum(weights.values()), Counter()
