@@ -203,6 +203,49 @@ def test_mix_keeps_to_the_given_weights(spark):
     assert mixing.whole_weights({"a": 0.1, "b": 0.3, "c": 1e-3}) == {"a": 100, "b": 300, "c": 1}
 
 
+def test_mix_of_many_sources(spark):
+    weights = {"s0": 3.0, "s1": 0.5, "s2": 70.1}
+    rows = [(i, f"s{s}") for s in range(400) for i in range(2 * (s % 7 + 1 if s > 2 else 900))]
+    made = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), weights, block_rows=2).collect()
+    assert {r.mix_source for r in made} == {s for _, s in rows} and lag(made, weights) < 1
+    assert sorted(r.position for r in made) == list(range(len(rows)))
+    for r in made:
+        assert r.position // 2 == r.slot  # all blocks are full here
+
+
+def test_plan_against_fluid_shares():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        weights = {f"s{i}": int(a) for i, a in enumerate(rng.integers(1, 150 if _ % 4 == 0 else 9, 12))}
+        rows = {s: int(n) for s, n in zip(weights, rng.integers(0, 300, 12), strict=True)}
+        blocks = {s: -(-n // 3) for s, n in rows.items()}
+        slots, at = {}, {}
+        for s, first, stop, a, slot, length, row, per, places, offsets in mixing.plan(weights, rows, 3):
+            for b in range(first, stop):
+                turn, i = divmod(b - first, a)
+                slots[slot + turn * length + places[i]], at[row + turn * per + offsets[i]] = (s, b), min(3, rows[s] - 3 * b)
+        assert sorted(slots) == list(range(sum(blocks.values())))
+        start = 0
+        for first in sorted(at):
+            assert first == start
+            start += at[first]
+        assert start == sum(rows.values())
+        done = Counter()
+        for slot in range(len(slots)):
+            s, b = slots[slot]
+            assert b == done[s]
+            done[s] += 1
+            # virtual time at which all sources together have had so many blocks
+            left, v, had = sorted((Fraction(blocks[x], weights[x]), x) for x in weights), Fraction(0), Fraction(0)
+            for end, x in left:
+                rate = sum(weights[y] for e, y in left if (e, y) >= (end, x))
+                if had + (end - v) * rate >= slot + 1:
+                    v += (slot + 1 - had) / rate
+                    break
+                had, v = had + (end - v) * rate, end
+            assert all(abs(done[x] - min(blocks[x], weights[x] * v)) < 1 for x in weights)
+
+
 def test_period_has_less_than_one_block_of_lag():
     for weights in ({"a": 1}, {"a": 7, "b": 2, "c": 1}, {f"s{i}": i % 5 + 1 for i in range(30)}):
         order, total, done = mixing.period(weights), sum(weights.values()), Counter()
