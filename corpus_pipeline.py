@@ -3,7 +3,9 @@
 Each stage takes ``(spark, docs, sf_dir)``, works on every row its predecessor
 kept and calls one operator of ``cdcmart.llm``; :func:`run` writes each result
 as Parquet in the shared folder and reads it back as the next stage's input.
-All stages but the last return the columns of ``documents``.
+All stages but the last return the columns of ``documents``. The order of the mix
+stands in the order of the written rows; the last stage reads it off the files and
+returns it as ``position``.
 
 Nulls in any column, empty and very long texts, repeated rows and empty tables
 pass through every stage with the results that the operators state.
@@ -12,7 +14,7 @@ pass through every stage with the results that the operators state.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cdcmart.llm import bpe, exact_dedup, mixing, simhash, toxicity
@@ -49,14 +51,31 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_rows(docs, MIX_WEIGHTS)
 
 
+def file_positions(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``position``: the place of each row, gapless from 0, in the
+    order of Spark's part files and of the rows within. How files are packed into
+    tasks does not matter. A table that is not just read from files is written
+    first, which keeps its order."""
+    if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":
+        docs = materialize(docs, "ordered")
+    rows = docs.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_row"))
+    part = r"/part-(\d+)[^/]*?(?:-c(\d+))?(?:\.[^/]*)?$"
+    numbers = [F.regexp_extract("_path", part, i).try_cast("bigint") for i in (1, 2)]
+    files = rows.groupBy("_path").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy(*numbers, "_path").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    begins = files.select("_path", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_begin"))
+    return rows.join(F.broadcast(begins), "_path").select(*docs.columns, (F.col("_begin") + F.col("_row")).alias("position"))
+
+
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and whether they decode to its text."""
+    """Token ids of every document, its ``position`` in the mix, and whether the
+    ids decode to its text."""
     configure(spark)
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    marked = docs.select("doc_id", "lang", "source", "text", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+    marked = file_positions(docs).select("doc_id", "lang", "source", "position", "text", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
     read = bpe.decode(bpe.encode(marked, ranks, public_tokenizers.PATTERN), ranks, public_tokenizers.PATTERN)
     return read.select(
-        "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.sha2("bytes", 256) == F.col("text_sha256")).alias("round_trip")
+        "doc_id", "lang", "source", "position", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.sha2("bytes", 256) == F.col("text_sha256")).alias("round_trip")
     )
 
 

@@ -46,6 +46,34 @@ def test_stages_against_brute_force(spark):
         assert r.ids == encoding.encode_ordinary(texts[r.doc_id]) and r.n_tokens == len(r.ids) and r.round_trip
 
 
+def test_positions_keep_the_mix_over_many_files(spark):
+    import corpus_pipeline as cp
+
+    from cdcmart.llm.common import materialize
+    from cdcmart.llm.mixing import BLOCK_ROWS
+
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    sources = [f"src{s}" for s in range(6) for _ in range(700)]
+    docs = spark.createDataFrame([(i, f"text {i} " + "x " * (i % 90), "en", s, None) for i, s in enumerate(sources)], schema)
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    kept = spark.conf.get(coalesce)
+    spark.conf.set(coalesce, "false")
+    try:
+        mixed = materialize(cp.mix_sources(spark, docs, SF), "stage-mix_sources")
+    finally:
+        spark.conf.set(coalesce, kept)
+    assert len(mixed.inputFiles()) > 1
+    made = sorted((r.position, r.source) for r in cp.encode_bytes(spark, mixed, SF).collect())
+    assert [p for p, _ in made] == list(range(len(sources)))
+    share = {f"src{s}": cp.MIX_WEIGHTS.get(f"src{s}", 1.0) for s in range(6)}
+    done, left, total = dict.fromkeys(share, 0), {s: sources.count(s) for s in share}, sum(share.values())
+    for at, (_, source) in enumerate(made, 1):
+        done[source] += 1
+        assert all(abs(done[s] - share[s] / total * at) < BLOCK_ROWS for s in share)
+        if done[source] == left[source] // BLOCK_ROWS * BLOCK_ROWS:
+            break
+
+
 def test_odd_rows_and_empty_tables(spark):
     import corpus_pipeline as cp
 
