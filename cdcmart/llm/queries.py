@@ -42,7 +42,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token-id shards of all documents, written and read back."""
     docs = _documents(spark, sf_dir).select("doc_id", "text")
-    manifest = token_store.write_store(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    manifest = token_store.write_store(docs, public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True)
     read = token_store.read_store(manifest)
     return read.select(
         "doc_id", "start", F.floor(F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")

@@ -95,9 +95,11 @@ class EliasFano:
 
 
 class UnitEncoder:
-    """Encodes whole texts, remembering the ids of common units."""
+    """Encodes whole texts, remembering the ids of common units. ``added``: the
+    strings of added tokens are matched, as by the library's plain call; else
+    they are ordinary text."""
 
-    def __init__(self, tokenizer_file: str) -> None:
+    def __init__(self, tokenizer_file: str, added: bool = False) -> None:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_file)
@@ -113,21 +115,26 @@ class UnitEncoder:
 
         self.memo = Memo()
         self.vocabulary = tokenizer.get_vocab_size()
+        strings = [t.content for t in tokenizer.get_added_tokens_decoder().values()] if added else []
+        self.added = re.compile("|".join(map(re.escape, strings))) if strings else None
+        self.plain = Tokenizer.from_file(tokenizer_file) if strings else tokenizer
 
     def __call__(self, text: str) -> bytes:
         """Ids as native unsigned 32-bit integers."""
+        if self.added and self.added.search(text):  # rare: the library cuts the whole text
+            return array("I", self.plain.encode(text, None, False, False).ids).tobytes()
         if len(self.memo) > CACHE_UNITS:
             self.memo.clear()
         return b"".join(map(self.memo.__getitem__, _UNIT.findall(text)))
 
 
-_ENCODERS: dict[str, UnitEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], UnitEncoder] = {}
 
 
-def encoder(tokenizer_file: str) -> UnitEncoder:
-    if tokenizer_file not in _ENCODERS:
-        _ENCODERS[tokenizer_file] = UnitEncoder(tokenizer_file)
-    return _ENCODERS[tokenizer_file]
+def encoder(tokenizer_file: str, added: bool = False) -> UnitEncoder:
+    if (tokenizer_file, added) not in _ENCODERS:
+        _ENCODERS[tokenizer_file, added] = UnitEncoder(tokenizer_file, added)
+    return _ENCODERS[tokenizer_file, added]
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -140,7 +147,8 @@ MANIFEST = T.StructType(
 
 
 def write_store(
-    docs: DataFrame, tokenizer_file: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0
+    docs: DataFrame, tokenizer_file: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0,
+    added_tokens: bool = False,
 ) -> DataFrame:
     """Encode ``docs`` and write the shards below ``folder`` (default: a new one
     in the shared folder); returns the manifest, one row per shard: ``shard``,
@@ -151,7 +159,8 @@ def write_store(
     own shard under a name of its attempt and moves it into place, so a task
     that runs again replaces its file with the same bytes. Null texts count as
     empty; every document ends with ``end_id``. An empty table has no shard.
-    The special tokens of the tokenizer are not added.
+    The special tokens of the tokenizer are not added; where a text spells an
+    added token, ``added_tokens`` says whether that is the token or plain text.
     """
     spark = docs.sparkSession
     root = folder or scratch_path(spark, "tokens")
@@ -164,7 +173,7 @@ def write_store(
         context = TaskContext.get()
         shard, out, ends, keys, total = context.partitionId(), None, array("q"), array("q"), 0
         nulls = 0
-        encode = encoder(tokenizer_file)
+        encode = encoder(tokenizer_file, added_tokens)
         width = 2 if max(encode.vocabulary, end_id + 1) <= 1 << 16 else 4
         kind = f"<u{width}"
         tail = np.array([end_id], kind).tobytes()

@@ -88,6 +88,21 @@ def test_token_store(spark):
     assert token_store.read_store(token_store.write_store(empty_docs(spark), P.path("byte_bpe_50k.json"))).count() == 0
 
 
+def test_token_store_query_matches_added_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from cdcmart.llm.queries import op2_token_store
+
+    texts = ["end <|endoftext|> start", "<|endoftext|><|endoftext|>\n a  ", "plain <|endoftext", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    tokenizer, start = Tokenizer.from_file(P.path("byte_bpe_50k.json")), 0
+    for r, text in zip(op2_token_store(spark, f"file://{tmp_path}").orderBy("doc_id").collect(), texts, strict=True):
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
 def test_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "ROWS_PER_RANGE", 3)
     rows = fingerprints.neighbour_likeness(with_clashes(odd_docs(spark))).collect()
