@@ -28,6 +28,7 @@ from .components import connected_components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+_AMPERSAND = r"(?i)&(?:amp|#0*38|#x0*26);"
 _TAGS = r"(?is)<(?:link|meta)\b[^>]*>"
 
 
@@ -62,13 +63,15 @@ def plain_spelling(url: Column) -> Column:
 
 
 def _targets(html: Column) -> Column:
-    """URLs that a page's head declares itself to be or to lead to."""
+    """URLs that a page's head declares itself to be or to lead to; references
+    of the ampersand are decoded."""
     tags = F.regexp_extract_all(html, F.lit(_TAGS), F.lit(0))
     canonical = r"""(?is)^<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
     social = r"""(?is)^<meta\b(?=[^>]*\bproperty\s*=\s*["']?og:url\b)[^>]*\bcontent\s*=\s*["']?([^"'\s>]+)"""
     refresh = r"""(?is)^<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>]+)"""
     found = F.transform(tags, lambda t: F.array(*[F.regexp_extract(t, p, 1) for p in (canonical, social, refresh)]))
-    return F.filter(F.flatten(found), lambda u: u != "")
+    decoded = F.transform(F.flatten(found), lambda u: F.regexp_replace(u, _AMPERSAND, "&"))
+    return F.filter(decoded, lambda u: u != "")
 
 
 def _absolute(url: Column, base: Column) -> Column:

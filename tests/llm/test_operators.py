@@ -326,6 +326,16 @@ def test_url_filter(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string, html string"), RULES).count() == 0
 
 
+def test_url_filter_decodes_ampersands(spark):
+    tags = (
+        '<link rel="canonical" href="http://v.net/y?a=1&amp;b=2">', "<meta property='og:url' content='/y?a=1&#38;b=2'>",
+        '<meta http-equiv="refresh" content="0; url=/y?a=1&#x26;b=2">', '<link rel="canonical" href="/y?a=1&amp;amp;b=2">',
+    )
+    pages = [(i, f"http://v.net/{i}", tag) for i, tag in enumerate(tags)] + [(9, "http://v.net/y?a=1&b=2", '<link rel="canonical" href="http://v.com/de/1">')]
+    got = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), RULES).collect()
+    assert {r.page_id: r.verdict for r in got} == {0: "block", 1: "block", 2: "block", 3: "allow", 9: "block"}
+
+
 def test_connected_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 160)] + [(200, 200), (None, 1), (300, 299), (300, 299)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
