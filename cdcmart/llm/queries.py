@@ -12,7 +12,21 @@ from pyspark.sql import functions as F
 
 from cdcmart.sources.tables import load
 
-from . import bpe, exact_dedup, fingerprints, mixing, sharding, simhash, substrings, token_store, toxicity, url_filter
+from . import (
+    bpe,
+    chat_format,
+    exact_dedup,
+    fingerprints,
+    lexical_search,
+    mixing,
+    sharding,
+    simhash,
+    substrings,
+    token_store,
+    toxicity,
+    url_filter,
+    vector_codes,
+)
 
 #: Target shares of the mix; sources without a share of their own count 1.
 MIX_WEIGHTS = {"src0": 3.0, "src1": 2.0, "src2": 1.5, "src3": 0.5}
@@ -113,6 +127,31 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The conversation that joins the table: control strings and backslashes in both turns.
+PLANTED = r"\### Assistant: </turn> ok"
+
+
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation through the template and back: turns, loss mask, length."""
+    said = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", PLANTED), (-7, 1, "assistant", PLANTED)], said.schema)
+    return chat_format.digests(chat_format.format_conversations(said.unionByName(more)))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product code and error of every usable vector."""
+    codes, books = vector_codes.code_vectors(load(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return codes.select(
+        "vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error",
+        F.lit(books.sha256() if books else None).cast("string").alias("codebooks_sha256"),
+    )
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    return lexical_search.search(_documents(spark, sf_dir).select("doc_id", "text"), load(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_store": op2_token_store,
@@ -124,8 +163,46 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "op11_chat_format": op11_chat_format,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_lexical_search": op13_lexical_search,
 }
 
+def _codes_sql(rounds: int) -> str:
+    """Statement of the vector codes: one assignment and one move a round."""
+    steps = []
+    for n in range(rounds + 1):
+        steps.append(f"""near{n} AS MATERIALIZED (
+            SELECT r, p, any_value(x) AS x, arg_min(e, d * 64 + e) AS e, min(d) AS d
+            FROM (SELECT r, p, e, x, CAST(list_sum(list_transform(range(1, len(x) + 1), lambda j: (x[j] - c[j]) * (x[j] - c[j]))) AS BIGINT) AS d
+                  FROM cut JOIN book{n} USING (p))
+            GROUP BY r, p)""")
+        if n < rounds:
+            steps.append(f"""book{n + 1} AS MATERIALIZED (
+            SELECT p, e, coalesce(moved, c) AS c FROM book{n} LEFT JOIN (
+                SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY j) AS moved
+                FROM (SELECT p, e, j, CAST(sum(x[j]) AS BIGINT) AS s, count(*) AS n
+                      FROM (SELECT p, e, x, unnest(range(1, len(x) + 1)) AS j FROM near{n}) GROUP BY p, e, j)
+                GROUP BY p, e) USING (p, e))""")
+    return f"""
+        WITH kept AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), cut AS MATERIALIZED (
+            SELECT r, p, v[p * (len(v) // 16) + 1 : (p + 1) * (len(v) // 16)] AS x FROM kept, range(16) AS parts(p)
+        ), book0 AS MATERIALIZED (
+            SELECT p, e, x AS c
+            FROM cut JOIN (SELECT r, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS e FROM kept QUALIFY e < 64) USING (r)
+        ), {", ".join(steps)}, coded AS (
+            SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM near{rounds} GROUP BY r
+        )
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+               (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM book{rounds}) AS codebooks_sha256
+        FROM coded JOIN kept USING (r)
+    """
+
+
 ORACLE = {
     "op1_exact_dedup": """
         SELECT doc_id,
@@ -135,4 +212,42 @@ ORACLE = {
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents
     """,
+    "op11_chat_format": r"""
+        WITH said AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+        )
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(length('### ') + length(regexp_replace(role, '\\|### |</turn>|:', '\\\0', 'g')) + length(': ')
+                        + length(regexp_replace(text, '\\|### |</turn>', '\\\0', 'g')) + length('</turn>') + 1) AS BIGINT) AS formatted_chars
+        FROM said GROUP BY conv_id
+    """,
+    "op12_vector_codes": _codes_sql(2),
+    "op13_lexical_search": r"""
+        WITH words AS (
+            SELECT r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM (SELECT row_number() OVER () AS r, * FROM documents)
+        ), asked AS (
+            SELECT DISTINCT q, item_id, term
+            FROM (SELECT q, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+                  FROM (SELECT row_number() OVER () AS q, * FROM benchmark))
+        ), lengths AS (SELECT r, any_value(doc_id) AS doc_id, count(*) AS n FROM words GROUP BY r),
+        totals AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM lengths),
+        tfs AS (SELECT r, term, count(*) AS tf FROM words GROUP BY r, term),
+        weights AS (
+            SELECT term, CAST(floor(1000 * ln((2 * any_value(big_n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+            FROM tfs, totals GROUP BY term
+        ), scores AS (
+            SELECT q, item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * big_n) // big_l)))) AS BIGINT) AS score
+            FROM asked JOIN tfs USING (term) JOIN weights USING (term) JOIN lengths USING (r), totals
+            GROUP BY q, item_id, r, doc_id
+        )
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS INT) AS rank, doc_id, score
+        FROM scores WHERE score > 0 QUALIFY rank <= 50
+    """,
 }
