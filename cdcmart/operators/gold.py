@@ -112,32 +112,98 @@ def agg_player_spending(fact: DataFrame, fact_tx: DataFrame) -> DataFrame:
 # --- D10: documented extensions -------------------------------------------
 
 
-def dim_players_scd2(bronze: DataFrame) -> DataFrame:
-    """SCD2 player history on region from the Bronze log.
+#: Change order of one player's events.
+_CHANGE_ORDER = ["event_timestamp", "ingested_at", "data"]
 
-    A version starts where the region differs from the previous change of
-    the same player (``lag``) and ends at the next version's start (``lead``).
-    The windows are per player over that player's change events only.
-    """
-    from cdcmart.operators.scan import segmented_scan
 
+def player_changes(bronze: DataFrame) -> DataFrame:
+    """The upserts of players in the log, with the columns that history follows."""
     j = F.from_json("data", "id string, region string, username string")
-    rows = (
-        bronze.where((F.col("source_table") == "players") & F.col("event").isin("insert", "update"))
-        .select(j.alias("_j"), "event_timestamp", "ingested_at", "data")
-        .select(F.col("_j.id").alias("player_id"), F.col("_j.region").alias("region"),
-                F.col("_j.username").alias("username"), "event_timestamp", "ingested_at", "data")
-    )
-    order = ["event_timestamp", "ingested_at", "data"]
-    # Skew-safe lag / lead: segmented scans forward and backward in time.
-    prev = segmented_scan(rows, ["player_id"], order, {"_prev": ("last", F.col("region"), False)})
-    changed = prev.where(F.col("_prev").isNull() | (F.col("_prev") != F.col("region"))).drop("_prev")
+    rows = bronze.where((F.col("source_table") == "players") & F.col("event").isin("insert", "update"))
+    return rows.select(j.alias("_j"), *_CHANGE_ORDER).select(
+        F.col("_j.id").alias("player_id"), F.col("_j.username").alias("username"), F.col("_j.region").alias("region"), *_CHANGE_ORDER
+    )
+
+
+def _versions(changes: DataFrame) -> DataFrame:
+    """Versions of every player: one starts where the region differs (nulls are a
+    region) from the player's previous change and ends where the next starts. Rows
+    with ``known`` only say what came before and open no version. The lag and lead are
+    segmented scans, so no player is gathered into one task."""
+    from cdcmart.operators.scan import segmented_scan
+
+    # the previous region in a struct: an earlier row with a null region is not "no earlier row"
+    prev = segmented_scan(changes, ["player_id"], _CHANGE_ORDER, {"_prev": ("last", F.struct("region"), False)})
+    opened = ~F.col("known") & (F.col("_prev").isNull() | ~F.col("_prev.region").eqNullSafe(F.col("region")))
+    starts = prev.where(opened).drop("_prev", "known")
     nxt = segmented_scan(
-        changed, ["player_id"], [F.desc(c) for c in order], {"valid_to": ("last", F.col("event_timestamp"), False)}
+        starts, ["player_id"], [F.desc(c) for c in _CHANGE_ORDER], {"valid_to": ("last", F.col("event_timestamp"), False)}
     )
     return nxt.select(
-        "player_id", "username", "region", F.col("event_timestamp").alias("valid_from"), "valid_to"
-    ).withColumn("is_current", F.col("valid_to").isNull())
+        "player_id", "username", "region", F.col("event_timestamp").alias("valid_from"), "valid_to",
+        F.col("valid_to").isNull().alias("is_current"), F.xxhash64("ingested_at", "data").alias("seq"),
+    )
+
+
+def dim_players_scd2(bronze: DataFrame) -> DataFrame:
+    """SCD2 player history on region from the Bronze log."""
+    return _versions(player_changes(bronze).withColumn("known", F.lit(False))).drop("seq")
+
+
+def empty_history(spark) -> DataFrame:
+    return spark.createDataFrame([], "player_id string, username string, region string, valid_from timestamp, "
+                                     "valid_to timestamp, is_current boolean, seq long")
+
+
+def merge_history(held: DataFrame | None, log: DataFrame, changed: DataFrame) -> DataFrame:
+    """The changes (key, row, was) that a batch makes to a history of versions.
+
+    ``held``: the history so far as (key, row); ``log``: all player changes, the
+    batch's among them; ``changed``: those of the batch, in any order and of any age.
+    Per touched player, the versions that start before the last one older than the
+    batch's first event stay; from that version on the player's log is judged again.
+    In an ordered log that closes the open version and opens new ones; a late event
+    splits the version it falls into. Untouched players cost nothing but the scan.
+    """
+    from cdcmart.operators.delta import key_of, pair
+
+    keyed = [c.withColumn("key", key_of("player_id")) for c in (log, changed)]
+    first = keyed[1].groupBy("key").agg(F.min("event_timestamp").alias("_first"))
+    versions = empty_history(log.sparkSession) if held is None else held.select("row.*")
+    theirs = versions.withColumn("key", key_of("player_id")).join(first, "key")
+    pivot = theirs.where(F.col("valid_from") < F.col("_first")).groupBy("key").agg(F.max("valid_from").alias("_pivot"))
+    theirs = theirs.drop("_first").join(pivot, "key", "left")
+    before = F.col("_pivot").isNotNull() & (F.col("valid_from") < F.col("_pivot"))
+    # of what stays, the version that ends at the pivot says which region came before
+    context = theirs.where(before & (F.col("valid_to") == F.col("_pivot"))).select(
+        "player_id", "username", "region", F.col("valid_from").alias("event_timestamp"),
+        F.col("valid_from").alias("ingested_at"), F.lit("").alias("data"), F.lit(True).alias("known"),
+    )
+    judged = keyed[0].join(first, "key", "left_semi").join(pivot, "key", "left")
+    judged = judged.where(F.col("_pivot").isNull() | (F.col("event_timestamp") >= F.col("_pivot")))
+    new = _versions(judged.drop("key", "_pivot").withColumn("known", F.lit(False)).unionByName(context))
+    return pair(new, theirs.where(~before).drop("key", "_pivot"), ["player_id", "valid_from", "seq"])
+
+
+def fact_pulls_asof(fact: DataFrame, history: DataFrame) -> DataFrame:
+    """Pulls with the player's region at the time of the pull (point-in-time join).
+
+    Versions and pulls are one stream per player in time order, in which every pull
+    takes the last version before it: a segmented scan, linear in both sides, where a
+    range join would pair every pull of a player with every version.
+    """
+    from cdcmart.operators.scan import segmented_scan
+
+    spans = history.where(F.col("player_id").isNotNull() & (F.col("is_current") | (F.col("valid_to") > F.col("valid_from"))))
+    none = F.lit(None).cast("string")
+    events = spans.select(
+        "player_id", F.col("valid_from").alias("at"), F.lit(0).alias("kind"), none.alias("pull_id"), F.struct("region", "valid_from").alias("version")
+    ).unionByName(fact.select("player_id", F.col("pulled_at").alias("at"), F.lit(1).alias("kind"), "pull_id"), allowMissingColumns=True)
+    seen = segmented_scan(events, ["player_id"], ["at", "kind", "pull_id"], {"held": ("last", F.col("version"), True)})
+    return seen.where(F.col("kind") == 1).select(
+        "pull_id", "player_id", F.col("at").alias("pulled_at"), F.col("held.region").alias("region_at_pull"),
+        F.col("held.valid_from").alias("version_from"),
+    )
 
 
 def dim_date(spark, start: str, end: str) -> DataFrame:

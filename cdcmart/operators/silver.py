@@ -1,13 +1,13 @@
 """Silver: parse, type and deduplicate Bronze.
 
-One generic builder driven by the specs in ``cdcmart.schemas``. The JSON blob
-is parsed once per row (``from_json`` into an all-string struct, which keeps
-numbers and booleans as their JSON text, like a JSON-path extract).
-
-Latest-per-key is an aggregate (``max_by`` over a total order) instead of a
-``row_number`` window: partial aggregation keeps one row per key per map
-task before the shuffle, so a key that holds a third of all rows costs one
-row per task, not one sorted third of the data in one task.
+One generic builder driven by the specs in ``cdcmart.schemas``. Latest-per-key is an
+aggregate, ``max`` over one struct (ordering columns first, then the payload), instead
+of a ``row_number`` window: partial aggregation keeps one row per key per map task
+before the shuffle, so a key that holds a third of all rows costs one row per task.
+Every column is in that struct once, so the payload is moved once; only the key fields
+are read from the JSON text before the aggregate, and the winners alone are parsed
+(``from_json`` into an all-string struct, which keeps numbers and booleans as their JSON
+text, like a JSON-path extract).
 """
 
 from __future__ import annotations
@@ -40,47 +40,44 @@ def json_fields(spec: SilverSpec) -> T.StructType:
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order=DEFAULT_ORDER) -> DataFrame:
-    """The latest row per key under a total order (descending)."""
-    other = [c for c in df.columns if c not in keys]
-    ordering = F.struct(*[F.col(c) for c in order])
-    best = F.max_by(F.struct(*[F.col(c) for c in other]), ordering).alias("_best")
-    return df.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_best.{c}").alias(c) for c in other])
+    """The latest row per key under a total order (descending); rows that
+    agree in ``order`` are told apart by their other columns."""
+    payload = [c for c in df.columns if c not in keys and c not in order]
+    best = F.max(F.struct(*[F.col(c) for c in [*order, *payload]])).alias("_best")
+    kept = df.groupBy(*keys).agg(best)
+    return kept.select(*[F.col(c) if c in keys else F.col(f"_best.{c}").alias(c) for c in df.columns])
 
 
-def build_silver(
-    bronze: DataFrame, spec: SilverSpec | str, honor_deletes: bool = False, keep_order: bool = False
-) -> DataFrame:
-    """The Silver table of ``spec.table`` from the Bronze log.
+def key_fields(spec: SilverSpec) -> list[Column]:
+    """The key fields of a Bronze row, as the JSON text of ``data`` has them."""
+    schema = T.StructType([T.StructField(k, T.StringType(), True) for k in spec.keys])
+    parsed = F.from_json("data", schema)
+    return [parsed[k] for k in spec.keys]
 
-    ``keep_order`` keeps the winning row's ordering struct (``_order``) and
-    event (``_event``), and with ``honor_deletes`` keeps delete tombstones,
-    so an incremental merge can compare versions (streaming merge).
-    """
-    if isinstance(spec, str):
-        spec = SILVER_SPECS[spec]
-    src = bronze.where(F.col("source_table") == spec.table)
-    src = keep_upserts(src, honor_deletes)
-    parsed = src.select(
-        F.from_json("data", json_fields(spec)).alias("_j"),
-        *[F.col(c) for c in DEFAULT_ORDER if c != "data"],
-        "data",
-    )
-    # Key columns (raw JSON text) drive the dedupe, as in the source models.
-    key_cols = [F.col(f"_j.{k}").alias(f"_k{i}") for i, k in enumerate(spec.keys)]
-    parsed = parsed.select(*key_cols, "*")
-    knames = [f"_k{i}" for i in range(len(spec.keys))]
-    latest = latest_per_key(parsed, knames)
-    if honor_deletes and not keep_order:
+
+def typed_columns(spec: SilverSpec, data: Column | str = "data") -> list[Column]:
+    """The Silver columns of a JSON row."""
+    parsed = F.from_json(data, json_fields(spec))
+    cols = [composite_key(*[parsed[k] for k in spec.keys]).alias("id")] if spec.synthetic_id else []
+    return cols + [typed(parsed[name], kind).alias(name) for name, kind in spec.columns]
+
+
+def latest_changes(bronze: DataFrame, spec: SilverSpec | str, honor_deletes: bool = False) -> DataFrame:
+    """The latest change of every key: the key fields ``_k0``..., then the columns of
+    :data:`DEFAULT_ORDER` (``data`` still as JSON)."""
+    spec = SILVER_SPECS[spec] if isinstance(spec, str) else spec
+    src = keep_upserts(bronze.where(F.col("source_table") == spec.table), honor_deletes)
+    keys = [k.alias(f"_k{i}") for i, k in enumerate(key_fields(spec))]
+    return latest_per_key(src.select(*keys, *DEFAULT_ORDER), [f"_k{i}" for i in range(len(keys))])
+
+
+def build_silver(bronze: DataFrame, spec: SilverSpec | str, honor_deletes: bool = False) -> DataFrame:
+    """The Silver table of ``spec.table`` from the Bronze log."""
+    spec = SILVER_SPECS[spec] if isinstance(spec, str) else spec
+    latest = latest_changes(bronze, spec, honor_deletes)
+    if honor_deletes:
         latest = latest.where(F.col("event") != "delete")
-    cols: list[Column] = []
-    if spec.synthetic_id:
-        cols.append(composite_key(*[F.col(f"_j.{k}") for k in spec.keys]).alias("id"))
-    for name, kind in spec.columns:
-        cols.append(typed(F.col(f"_j.{name}"), kind).alias(name))
-    if keep_order:
-        cols.append(F.struct(*[F.col(c) for c in DEFAULT_ORDER]).alias("_order"))
-        cols.append(F.col("event").alias("_event"))
-    return latest.select(*cols)
+    return latest.select(*typed_columns(spec))
 
 
 def build_all(bronze: DataFrame, honor_deletes: bool = False) -> dict[str, DataFrame]:

@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cdcmart.operators import cdc, gold, silver
-from cdcmart.schemas import BRONZE_SCHEMA, SILVER_SPECS
-from cdcmart.session import KEEP_RECORDS, path_exists, read_record, remove_path, work_dir, write_record
+from cdcmart.schemas import SILVER_SPECS
+from cdcmart.session import path_exists, work_dir
 from cdcmart.sources import adapter
 from cdcmart.sources.tables import fingerprint
 
@@ -156,85 +156,6 @@ def run_models(
     return wh
 
 
-class IncrementalWarehouse(Warehouse):
-    """Layers of incremental runs. Silver is the merger's state, Gold a folder
-    per run; a record written last names both, so a reader sees one finished run
-    whole, whatever a later run is doing or failed to do."""
-
-    def _published(self) -> tuple[int, dict]:
-        return read_record(self.spark, self.path("_published")) or (0, {"silver": {}, "gold": None, "replaced": []})
-
-    def silver(self, name: str, paths: list[str]) -> DataFrame:
-        from cdcmart.streaming.cdc_stream import visible
-
-        rows = visible(self.spark, paths)
-        if rows is None:  # a table never seen so far is empty
-            rows = silver.build_silver(self.spark.createDataFrame([], BRONZE_SCHEMA), name.removeprefix("stg_"))
-        return rows
-
-    def table(self, name: str) -> DataFrame:
-        record = self._published()[1]
-        if name in SILVER_MODELS:
-            return self.silver(name, record["silver"].get(name, []))
-        if name in GOLD_MODELS and record["gold"]:
-            return self.spark.read.parquet(f"{record['gold']}/{name}")
-        raise KeyError(f"{name}: not published by an incremental run")
-
-    __call__ = table
-
-    def publish(self, state: dict[str, list[str]], gold_folder: str) -> None:
-        number, last = self._published()
-        number += 1
-        replaced = last["replaced"] + ([[number, last["gold"]]] if last["gold"] else [])
-        write_record(self.spark, self.path("_published"), number, {
-            "silver": state, "gold": gold_folder, "replaced": [r for r in replaced if r[0] > number - KEEP_RECORDS],
-        })
-        for since, folder in replaced:
-            if since <= number - KEEP_RECORDS:
-                remove_path(self.spark, folder)
-
-
-def run_incremental(
-    spark: SparkSession,
-    messages: DataFrame,
-    root: str,
-    batch_id: int,
-    honor_deletes: bool = False,
-    ingested_at=None,
-) -> IncrementalWarehouse:
-    """Incremental run: route only the new messages, merge them into the touched
-    buckets of the Silver state, refresh Gold in a new folder and publish both.
-
-    Work grows with the new messages, the touched buckets and Gold, never with
-    the whole Bronze log. The batch's routed output lands in its own folder
-    (``cdc_batches/batch=<id>``); merging a batch twice changes nothing.
-    """
-    from cdcmart.streaming.cdc_stream import SilverMerger
-
-    wh = IncrementalWarehouse(spark, root)
-    batch_dir = wh.path(f"cdc_batches/batch={batch_id}")
-    routed = cdc.route(messages, ingested_at=ingested_at, tables=list(SILVER_SPECS))
-    routed.write.mode("overwrite").partitionBy("route", "source_table").parquet(batch_dir)
-    merger = SilverMerger(spark, wh.path("silver_state"), honor_deletes=honor_deletes)
-    if path_exists(spark, f"{batch_dir}/route=bronze"):
-        new = spark.read.option("basePath", f"{batch_dir}/route=bronze").parquet(f"{batch_dir}/route=bronze")
-        merger(new.select(*cdc.BRONZE_COLS), batch_id)
-    state = {name: merger.paths(name.removeprefix("stg_")) for name in SILVER_MODELS}
-    g = gold_from(lambda name: wh.silver(name, state[name]))
-    gold_folder = wh.path(f"gold-{uuid.uuid4().hex}")
-    for name in ("fact_pulls", "fact_transactions"):
-        g[name].write.parquet(f"{gold_folder}/{name}")
-    # spending is taken from the facts just written
-    g["agg_player_spending"] = gold.agg_player_spending(
-        spark.read.parquet(f"{gold_folder}/fact_pulls"), spark.read.parquet(f"{gold_folder}/fact_transactions")
-    )
-    for name in GOLD_MODELS:
-        if name not in ("fact_pulls", "fact_transactions"):
-            g[name].write.parquet(f"{gold_folder}/{name}")
-    wh.publish(state, gold_folder)
-    return wh
-
-
 _LOCK = threading.Lock()
 _BUILT: dict[tuple, str] = {}  # (data, its fingerprint, options, shared folder) -> built root
 
@@ -242,10 +163,8 @@ _BUILT: dict[tuple, str] = {}  # (data, its fingerprint, options, shared folder)
 def warehouse(spark: SparkSession, sf_dir: str, honor_deletes: bool = False, fresh: bool = False) -> Warehouse:
     """The built warehouse for ``sf_dir`` in this session's shared folder.
 
-    Built once per (folder, fingerprint of its files, options, code version);
-    later calls read the written tables. Every build goes to its own folder and
-    is published by a record written after the build is complete, so two
-    processes that build at once never write into each other's tables.
+    Built once per application and (folder, fingerprint of its files, options); later
+    calls read the written tables. Every build goes to a folder of its own.
     ``fresh`` forces a new build.
     """
     real, files = os.path.realpath(sf_dir), fingerprint(spark, sf_dir)
@@ -254,15 +173,6 @@ def warehouse(spark: SparkSession, sf_dir: str, honor_deletes: bool = False, fre
         root = _BUILT.get(key)
         if root is not None and not fresh:  # verified or built by this process
             return Warehouse(spark, root)  # bound to the caller's session
-        tag = hashlib.sha1(f"{real}|{files}|{honor_deletes}|{BUILD_VERSION}".encode()).hexdigest()[:12]
-        home = f"{work_dir(spark)}/cdcmart-wh-{tag}"
-        number, built = read_record(spark, f"{home}/_published") or (0, None)
-        if built and not fresh:
-            wh = Warehouse(spark, built["root"])
-            if wh.complete():
-                _BUILT[key] = wh.root
-                return wh
-        wh = run_models(spark, sf_dir, f"{home}/b-{uuid.uuid4().hex[:10]}", honor_deletes)
-        write_record(spark, f"{home}/_published", number + 1, {"root": wh.root})
+        wh = run_models(spark, sf_dir, f"{work_dir(spark)}/cdcmart-wh-{uuid.uuid4().hex[:10]}", honor_deletes)
         _BUILT[key] = wh.root
         return wh

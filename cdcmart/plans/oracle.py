@@ -26,12 +26,23 @@ CTES: list[tuple[str, str]] = [
     (
         "player_msgs",
         """
-        SELECT p.id, 'insert' AS event, p.username, r.r_name AS region, p.registered_at AS changed_at
+        SELECT p.id, 'insert' AS event, p.username, CASE WHEN c.c_custkey % 14 NOT IN (3, 4) THEN r.r_name END AS region,
+               p.registered_at AS changed_at
         FROM src_players p JOIN customer c ON CAST(c.c_custkey AS VARCHAR) = p.id
         JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
         UNION ALL
         SELECT id, 'update', username, region, updated_at FROM src_players WHERE updated_at > registered_at""",
     ),
+    (
+        "player_history",
+        """
+        SELECT id AS player_id, username, region, changed_at AS valid_from,
+               lead(changed_at) OVER (PARTITION BY id ORDER BY changed_at) AS valid_to,
+               lead(changed_at) OVER (PARTITION BY id ORDER BY changed_at) IS NULL AS is_current
+        FROM (SELECT *, lag(region) OVER mine AS earlier, row_number() OVER mine AS n FROM player_msgs
+              WINDOW mine AS (PARTITION BY id ORDER BY changed_at))
+        WHERE n = 1 OR region IS DISTINCT FROM earlier""",
+    ),
     (
         "src_characters",
         """

@@ -8,15 +8,16 @@ from __future__ import annotations
 import os
 from functools import reduce
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cdcmart.operators import ticker
+from cdcmart.operators import silver, ticker
 from cdcmart.plans.q_misc import TICK_FANOUT_SQL, W_STATE
 from cdcmart.plans.registry import register
+from cdcmart.schemas import SILVER_SPECS
 from cdcmart.sources import adapter
 from cdcmart.sources.tables import fingerprint, load
 from cdcmart.streaming import cdc_stream as cs
+from cdcmart.streaming import silver_state as ss
 from cdcmart.streaming import watchlist as wl
 
 ROUTED_SCHEMA = (
@@ -93,34 +94,33 @@ def q_stream_bronze(spark, sf_dir):
 
 @register("stream_merge", "SELECT * FROM stg_pulls")
 def q_stream_merge(spark, sf_dir):
-    """Micro-batch Silver merge of the Bronze stream equals the batch build."""
+    """Silver pulls as the keyed state of the Bronze stream."""
     base = _ingest(spark, sf_dir)
     run = _fresh(base, "merge")
-    merger = cs.SilverMerger(spark, f"{run}/silver", tables=["pulls"])
-    q = (
-        _bronze_stream(spark, base, 12)
-        .writeStream.foreachBatch(merger)
-        .option("checkpointLocation", f"{run}/ckpt")
-        .trigger(availableNow=True)
-        .start()
-    )
-    q.awaitTermination()
-    return merger.view("pulls")
+    ss.merge_sink(_bronze_stream(spark, base, 12), f"{run}/ckpt", every=None, tables=["pulls"]).awaitTermination()
+    return ss.silver_table(spark, f"{run}/ckpt", "pulls")
 
 
 #: Tables of the merge.
 MERGED = ("pulls", "transactions", "players", "player_pity", "player_inventory", "characters", "banners")
 
 
-@register("stream_merge_tables", "\nUNION ALL ".join(f"SELECT '{t}' AS \"table\", id FROM stg_{t}" for t in MERGED))
+@register("stream_merge_tables", "\nUNION ALL BY NAME ".join(f"SELECT '{t}' AS \"table\", * FROM stg_{t}" for t in MERGED))
 def q_stream_merge_tables(spark, sf_dir):
-    """The merge sink over all seven tables; the rows it holds."""
+    """The whole rows of all seven tables, read out of the stream's state; the
+    stream is stopped and started again with its checkpoint on the way."""
     base = _ingest(spark, sf_dir)
     run = _fresh(base, "merge-tables")
-    cs.merge_sink(_bronze_stream(spark, base, 32), f"{run}/silver", f"{run}/ckpt", every=None).awaitTermination()
-    merger = cs.SilverMerger(spark, f"{run}/silver")
-    parts = [merger.view(t).select(F.lit(t).alias("table"), "id") for t in MERGED if merger.paths(t)]
-    return reduce(DataFrame.unionByName, parts)
+    for files in (64, 24):
+        q = ss.merge_sink(_bronze_stream(spark, base, files), f"{run}/ckpt", every=None if files == 24 else "0 seconds")
+        while files == 64 and q.isActive and not q.recentProgress:
+            q.awaitTermination(0.2)
+        q.stop() if files == 64 else q.awaitTermination()
+    held = ss.state(spark, f"{run}/ckpt")
+    parts = [
+        held.where(F.col("source_table") == t).select(F.lit(t).alias("table"), *silver.typed_columns(SILVER_SPECS[t])) for t in MERGED
+    ]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 @register(
@@ -128,19 +128,13 @@ def q_stream_merge_tables(spark, sf_dir):
     "SELECT * FROM stg_pulls WHERE CAST(id AS BIGINT) % 17 <> 0",
 )
 def q_stream_merge_deletes(spark, sf_dir):
-    """B9 in streaming: deletes kept as tombstones, hidden from the view."""
+    """B9 in streaming: deletes kept as tombstones with a timer, hidden from the table."""
     base = _ingest(spark, sf_dir)
     run = _fresh(base, "merge-deletes")
-    merger = cs.SilverMerger(spark, f"{run}/silver", tables=["pulls"], honor_deletes=True)
-    q = (
-        _bronze_stream(spark, base, 12)
-        .writeStream.foreachBatch(merger)
-        .option("checkpointLocation", f"{run}/ckpt")
-        .trigger(availableNow=True)
-        .start()
-    )
+    # the log is not in event order here and its ingest time is the event time
+    q = ss.merge_sink(_bronze_stream(spark, base, 12), f"{run}/ckpt", every=None, tables=["pulls"], honor_deletes=True, delay="400 days")
     q.awaitTermination()
-    return merger.view("pulls")
+    return ss.silver_table(spark, f"{run}/ckpt", "pulls", honor_deletes=True)
 
 
 @register(

@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cdcmart.operators import gold, merge, quality, silver
-from cdcmart.plans import bi, models
+from cdcmart.plans import bi, incremental, models
 from cdcmart.plans.bi_twins import BI_SQL
 from cdcmart.plans.oracle import sql
+from cdcmart.schemas import SILVER_SPECS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -88,8 +89,27 @@ for _t in ("pulls", "transactions", "players", "player_pity", "player_inventory"
 
     register(f"silver_{_t}", f"SELECT * FROM stg_{_t}")(_mk(_t))
 
-QUERIES["silver_latest_composite"] = QUERIES["silver_player_pity"]
-ORACLE["silver_latest_composite"] = ORACLE["silver_player_pity"]
+
+@register(
+    "silver_latest_composite",
+    """
+    SELECT 'player_pity' AS "table", id, player_id, banner_type AS other, updated_at, pity_count AS amount FROM stg_player_pity
+    UNION ALL
+    SELECT 'player_inventory', id, player_id, character_id, updated_at, constellation FROM stg_player_inventory""",
+)
+def q_silver_latest_composite(spark, sf_dir):
+    """The latest change of both composite-key tables, taken by their two key
+    fields straight from the log and typed afterwards."""
+    bronze = wh(spark, sf_dir).table("bronze")
+    parts = []
+    for table, other, amount in (("player_pity", "banner_type", "pity_count"), ("player_inventory", "character_id", "constellation")):
+        latest = silver.latest_changes(bronze, table).select(F.col("_k0").alias("_a"), F.col("_k1").alias("_b"), "data")
+        typed = latest.select("_a", "_b", *silver.typed_columns(SILVER_SPECS[table]))
+        parts.append(typed.select(
+            F.lit(table).alias("table"), F.concat_ws(":", "_a", "_b").alias("id"), "player_id", F.col(other).alias("other"),
+            "updated_at", F.col(amount).alias("amount"),
+        ))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @register("silver_honor_deletes", "SELECT * FROM stg_pulls WHERE CAST(id AS BIGINT) % 17 <> 0")
@@ -184,12 +204,7 @@ def q_gold_dim_date(spark, sf_dir):
 
 @register(
     "gold_dim_players_scd2",
-    """
-    SELECT id AS player_id, username, region, changed_at AS valid_from,
-           lead(changed_at) OVER (PARTITION BY id ORDER BY changed_at) AS valid_to,
-           lead(changed_at) OVER (PARTITION BY id ORDER BY changed_at) IS NULL AS is_current
-    FROM (SELECT *, lag(region) OVER (PARTITION BY id ORDER BY changed_at) AS before FROM player_msgs)
-    WHERE region IS DISTINCT FROM before""",
+    "SELECT * FROM player_history",
 )
 def q_gold_scd2(spark, sf_dir):
     """SCD2 player history from the Bronze log."""
@@ -409,9 +424,9 @@ def _incremental(spark, sf_dir):
     from cdcmart.sources import adapter
     from cdcmart.sources.tables import fingerprint
 
-    key = (os.path.realpath(sf_dir), fingerprint(spark, sf_dir), work_dir(spark), models.BUILD_VERSION)
+    key = (os.path.realpath(sf_dir), fingerprint(spark, sf_dir), work_dir(spark))
     if key in _INCR:
-        return models.IncrementalWarehouse(spark, _INCR[key])
+        return incremental.IncrementalWarehouse(spark, _INCR[key])
 
     root = f"{work_dir(spark)}/cdcmart-incr-{uuid.uuid4().hex[:10]}"
     # the message log is produced once and read back for both runs
@@ -420,28 +435,56 @@ def _incremental(spark, sf_dir):
     ts = F.get_json_object(F.col("value").cast("string"), "$.payload.ts_ms").cast("long")
     early = F.coalesce(ts < _SPLIT_MS, F.lit(True))
     stamp = F.col("event_timestamp")
-    models.run_incremental(spark, msgs.where(early), root, 0, ingested_at=stamp)
-    wh = models.run_incremental(spark, msgs.where(~early), root, 1, ingested_at=stamp)
+    incremental.run_incremental(spark, msgs.where(early), root, 0, ingested_at=stamp)
+    wh = incremental.run_incremental(spark, msgs.where(~early), root, 1, ingested_at=stamp)
     _INCR[key] = wh.root
     return wh
 
 
-@register("incremental_silver", "SELECT * FROM stg_pulls")
+def _one_table(tables: dict[str, DataFrame]) -> DataFrame:
+    """The rows of several tables as one, with the table's name."""
+    parts = [t.select(F.lit(name).alias("table"), "*") for name, t in tables.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _one_table_sql(names: list[str], select: dict[str, str] | None = None) -> str:
+    return "\nUNION ALL BY NAME ".join(f"SELECT '{n}' AS \"table\", {(select or {}).get(n, '*')} FROM {n}" for n in names)
+
+
+@register("incremental_silver", _one_table_sql(models.SILVER_MODELS))
 def q_incremental_silver(spark, sf_dir):
-    """B8/A6 incremental: two batch runs merged into Silver equal the full build."""
-    return _incremental(spark, sf_dir).table("stg_pulls")
+    """The seven Silver tables after two incremental runs equal the full build."""
+    wh = _incremental(spark, sf_dir)
+    return _one_table({n: wh.table(n) for n in models.SILVER_MODELS})
+
+
+_SPENDING = "* REPLACE (round(total_usd_spent, 2) AS total_usd_spent, round(avg_pity_to_ssr, 6) AS avg_pity_to_ssr)"
+
+
+@register("incremental_gold", _one_table_sql(models.GOLD_MODELS, {"agg_player_spending": _SPENDING}))
+def q_incremental_gold(spark, sf_dir):
+    """The six Gold tables, patched by the changes of two runs, equal the full build."""
+    wh = _incremental(spark, sf_dir)
+    tables = {n: wh.table(n) for n in models.GOLD_MODELS}
+    rounded = {"total_usd_spent": F.round("total_usd_spent", 2), "avg_pity_to_ssr": F.round("avg_pity_to_ssr", 6)}
+    tables["agg_player_spending"] = tables["agg_player_spending"].withColumns(rounded)
+    return _one_table(tables)
+
+
+@register("incremental_history", "SELECT * FROM player_history")
+def q_incremental_history(spark, sf_dir):
+    """The player history merged from two runs' changes equals the full build."""
+    return _incremental(spark, sf_dir).table(incremental.HISTORY)
 
 
 @register(
-    "incremental_gold",
+    "fact_pulls_history",
     """
-    SELECT player_id, total_pulls, total_crystals_spent, round(total_usd_spent, 2) AS total_usd_spent,
-           ssr_count, sr_count, r_count, unique_characters, round(avg_pity_to_ssr, 6) AS avg_pity_to_ssr
-    FROM agg_player_spending""",
+    SELECT f.pull_id, f.player_id, f.pulled_at, h.region AS region_at_pull, h.valid_from AS version_from
+    FROM fact_pulls f LEFT JOIN player_history h
+      ON f.player_id = h.player_id AND f.pulled_at >= h.valid_from AND (h.valid_to IS NULL OR f.pulled_at < h.valid_to)""",
 )
-def q_incremental_gold(spark, sf_dir):
-    """Gold refreshed after incremental runs equals the full build."""
-    a = _incremental(spark, sf_dir).table("agg_player_spending")
-    return a.withColumn("total_usd_spent", F.round("total_usd_spent", 2)).withColumn(
-        "avg_pity_to_ssr", F.round("avg_pity_to_ssr", 6)
-    )
+def q_fact_pulls_history(spark, sf_dir):
+    """Every pull with the player's region at that time (point-in-time join)."""
+    w = wh(spark, sf_dir)
+    return gold.fact_pulls_asof(w.table("fact_pulls"), gold.dim_players_scd2(w.table("bronze")))

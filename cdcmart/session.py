@@ -6,10 +6,8 @@ does not have it yet (as in local tests).
 
 from __future__ import annotations
 
-import json
 import os
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -138,11 +136,6 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
-def remove_path(spark: SparkSession, path: str) -> None:
-    target, fs = _file_system(spark, path)
-    fs.delete(target, True)
-
-
 def range_partitions(df: DataFrame, target_bytes: int = 128 << 20) -> int:
     """Partitions of a range shuffle that must keep its layout (AQE cannot split
     it): the session's shuffle partitions, more where the folders that ``df``
@@ -153,40 +146,3 @@ def range_partitions(df: DataFrame, target_bytes: int = 128 << 20) -> int:
         target, fs = _file_system(spark, folder)
         size += fs.getContentSummary(target).getLength()
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // target_bytes))
-
-
-# Superseded records and the folders they name stay readable for this many steps.
-KEEP_RECORDS = 3
-
-
-def write_record(spark: SparkSession, folder: str, number: int, content: dict) -> None:
-    """Publish ``content`` as record ``number`` of ``folder``: written aside and
-    renamed, so a reader sees a whole record or the one before it."""
-    target, fs = _file_system(spark, f"{folder}/{number}.json")
-    draft = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/.{uuid.uuid4().hex}.tmp")
-    out = fs.create(draft, False)
-    try:
-        out.write(bytearray(json.dumps(content).encode()))
-    finally:
-        out.close()
-    if not fs.rename(draft, target):
-        fs.delete(draft, False)
-        raise FileExistsError(f"record {number} of {folder} was written by another process")
-    remove_path(spark, f"{folder}/{number - KEEP_RECORDS}.json")
-
-
-def read_record(spark: SparkSession, folder: str) -> tuple[int, dict] | None:
-    """The newest record of ``folder`` and its number, None where there is no
-    record; I/O errors propagate."""
-    target, fs = _file_system(spark, folder)
-    if not fs.exists(target):
-        return None
-    stems = [s.getPath().getName().removesuffix(".json") for s in fs.listStatus(target)]
-    numbers = [int(s) for s in stems if s.isdigit()]
-    if not numbers:
-        return None
-    stream = fs.open(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{max(numbers)}.json"))
-    try:
-        return max(numbers), json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-    finally:
-        stream.close()

@@ -6,7 +6,8 @@ the expected outcome of the whole pipeline from the same driver tables.
 Mapping (see FIXTURES.md section 3):
   players        customer x nation x region; custkey % 7 = 3 moved to the next
                  region 30 days after registering, % 7 = 4 was updated then
-                 without moving; % 41 = 40 has no username
+                 without moving; % 14 in (3, 4) registered without a region;
+                 % 41 = 40 has no username
   characters     part with partkey < 21: 0-4 SSR, 5-12 SR, 13-20 R
   banners        distinct events.event_type; 'view' permanent, others limited
   pulls          one per event; event_id % 23 = 11 by a guest who is no player,
@@ -69,7 +70,8 @@ def players(customer: DataFrame, nation: DataFrame, region: DataFrame) -> DataFr
             F.floor("c_acctbal").cast("int").alias("crystal_balance"),
             F.timestamp_seconds(reg).alias("registered_at"),
             F.timestamp_seconds(upd).alias("updated_at"),
-            "first_region",
+            # some registered before they had a region
+            F.when(~(k % 14).isin(3, 4), F.col("first_region")).alias("first_region"),
         )
     )
 

@@ -1,11 +1,9 @@
-"""Structured Streaming CDC ingest.
+"""Structured Streaming CDC ingest (A1, A3, A4, B12-B14; Silver: ``silver_state``).
 
 read_cdc     -> a stream of raw messages (file source; Kafka by option)
 bronze_sink  -> route() every micro-batch into Bronze / DLQ / undecodable
                 folders with one partitioned file-sink write (exactly once
                 through the checkpoint)
-merge_sink   -> foreachBatch: upsert + delete into bucketed, versioned Silver
-                folders published by record (idempotent)
 volume       -> events per table and kind in tumbling event-time windows
 """
 
@@ -17,9 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from cdcmart.operators import cdc, silver
+from cdcmart.operators import cdc
 from cdcmart.schemas import SILVER_SPECS
-from cdcmart.session import KEEP_RECORDS, read_record, remove_path, work_dir, write_record
+from cdcmart.session import work_dir
 
 
 def read_cdc(spark: SparkSession, path: str | None = None, fmt: str = "text", kafka: dict | None = None,
@@ -119,118 +117,6 @@ def volume(bronze: DataFrame, window: str = "1 hour", delay: str = "10 minutes")
     )
 
 
-class SilverMerger:
-    """B8/B9/B10 as a ``foreachBatch`` function.
-
-    State is held in key buckets, ``root/<table>/v=<n>/bucket=<b>``. A merge
-    rewrites only the buckets that its changes touch, as version ``n``, the
-    number after the newest published one, and publishes a record that names the
-    current folder of every bucket. Versions are the merger's own: they go on
-    when a stream starts again with a new checkpoint. The record also keeps the
-    last batch of each streaming query, so a batch replayed after a failure is
-    not merged again; an unpublished version is overwritten by the next try.
-    Folders replaced by a merge are removed a few versions later. ``buckets``
-    holds for new tables and should grow with the expected state.
-
-    Each state row keeps the ordering of the change that produced it
-    (``_order``), so micro-batches that arrive out of event order still merge to
-    the latest row per key; with ``honor_deletes`` deletes stay as tombstones in
-    the state and are hidden by :meth:`view`.
-    """
-
-    def __init__(self, spark: SparkSession, root: str, tables=None, honor_deletes: bool = False, buckets: int = 8):
-        self.spark = spark
-        self.root = root.rstrip("/")
-        self.tables = list(tables or SILVER_SPECS)
-        self.honor_deletes = honor_deletes
-        self.buckets = buckets
-
-    def _record(self, table: str) -> tuple[int, dict]:
-        found = read_record(self.spark, f"{self.root}/{table}/_manifest")
-        return found or (0, {"count": self.buckets, "buckets": {}, "replaced": [], "batches": {}})
-
-    def paths(self, table: str) -> list[str]:
-        """The current folder of every bucket."""
-        return list(self._record(table)[1]["buckets"].values())
-
-    def state(self, table: str) -> DataFrame | None:
-        """The newest published state."""
-        paths = self.paths(table)
-        return self.spark.read.parquet(*paths) if paths else None
-
-    def view(self, table: str) -> DataFrame | None:
-        """The Silver table: state without tombstones and internal columns."""
-        return visible(self.spark, self.paths(table))
-
-    def __call__(self, batch: DataFrame, batch_id: int) -> list[str]:
-        """Merge one batch; returns the tables it touched."""
-        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-        batch = batch.persist()
-        touched: list[str] = []
-        try:
-            # known tables present in the batch: one small aggregate (one row per table)
-            known = batch.where(F.col("source_table").isin(self.tables))
-            present = {r[0] for r in known.select("source_table").distinct().collect()}
-            for t in self.tables:
-                if t in present:
-                    touched.append(t)
-                    self._merge(t, batch.where(F.col("source_table") == t), query, batch_id)
-        finally:
-            batch.unpersist()
-        return touched
-
-    def _merge(self, table: str, changes: DataFrame, query: str | None, batch_id: int) -> None:
-        version, record = self._record(table)
-        if query is not None and record["batches"].get(query, -1) >= batch_id:
-            return
-        version, home = version + 1, f"{self.root}/{table}"
-        bucket = F.pmod(F.xxhash64("id"), F.lit(record["count"])).cast("int")
-        ups = silver.build_silver(changes, SILVER_SPECS[table], honor_deletes=self.honor_deletes, keep_order=True)
-        hit = [str(r[0]) for r in ups.select(bucket).distinct().collect()]  # one row per bucket
-        held = [record["buckets"][b] for b in hit if b in record["buckets"]]
-        merged = ups if not held else silver.latest_per_key(
-            self.spark.read.parquet(*held).unionByName(ups), ["id"], order=("_order",)
-        )
-        merged.withColumn("bucket", bucket).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(
-            f"{home}/v={version}"
-        )
-        replaced = record["replaced"] + [[version, p] for p in held]
-        batches = record["batches"] if query is None else {**record["batches"], query: batch_id}
-        write_record(self.spark, f"{home}/_manifest", version, {
-            "count": record["count"],
-            "buckets": {**record["buckets"], **{b: f"{home}/v={version}/bucket={b}" for b in hit}},
-            "replaced": [r for r in replaced if r[0] > version - KEEP_RECORDS],
-            "batches": batches,
-        })
-        for since, path in replaced:
-            if since <= version - KEEP_RECORDS:
-                remove_path(self.spark, path)
-
-
-def visible(spark: SparkSession, paths: list[str]) -> DataFrame | None:
-    """Silver rows of state folders, without tombstones and internal columns;
-    None without folders."""
-    if not paths:
-        return None
-    return spark.read.parquet(*paths).where(F.col("_event") != "delete").drop("_order", "_event")
-
-
-# FIXED VALUES: default merge interval of the Silver merge.
-MERGE_EVERY = "2 minutes"
-
-
-def merge_sink(bronze_stream: DataFrame, root: str, checkpoint: str, every: str | None = MERGE_EVERY,
-               honor_deletes: bool = False) -> StreamingQuery:
-    """Start the Silver merge every ``every`` (processing time); pass
-    ``every=None`` to drain what is available and stop (availableNow)."""
-    spark = bronze_stream.sparkSession
-    w = bronze_stream.writeStream.foreachBatch(SilverMerger(spark, root, honor_deletes=honor_deletes)).option(
-        "checkpointLocation", checkpoint
-    )
-    w = w.trigger(processingTime=every) if every else w.trigger(availableNow=True)
-    return w.start()
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder."""
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex[:10]}"

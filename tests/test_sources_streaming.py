@@ -82,60 +82,6 @@ def test_pandas_stateful_watchlist(spark):
     assert st == {(0, "r1"), (0, "r2")}
 
 
-def test_silver_merger_out_of_order_batches(spark):
-    """Later micro-batches may carry older changes; the merger keeps the
-    latest per key by change order, with deletes as tombstones when honored."""
-    base = tempfile.mkdtemp(prefix="cdcmart-merge-")
-    t0 = dt.datetime(2024, 1, 1)
-
-    def rows(*items):
-        out = []
-        for rid, event, minute, rarity in items:
-            ts = t0 + dt.timedelta(minutes=minute)
-            out.append((rid, json.dumps({"id": rid, "rarity": rarity}), event, ts, "pulls", "public", ts))
-        return spark.createDataFrame(out, "id string, data string, event string, event_timestamp timestamp, "
-                                          "source_table string, source_schema string, ingested_at timestamp")
-
-    b1 = rows(("1", "update", 2, "SR"), ("1", "delete", 3, "SR"), ("2", "insert", 5, "R"))
-    b2 = rows(("1", "insert", 1, "R"), ("2", "update", 4, "SSR"), ("3", "insert", 6, "R"))
-    for honor, want in ((False, {"1": "SR", "2": "R", "3": "R"}), (True, {"2": "R", "3": "R"})):
-        m = cs.SilverMerger(spark, f"{base}/{honor}", tables=["pulls"], honor_deletes=honor)
-        m(b1, 0)
-        m(b2, 1)
-        got = {r["id"]: r["rarity"] for r in m.view("pulls").collect()}
-        assert got == want, (honor, got)
-        m(b2, 1)  # replaying a batch changes nothing
-        assert {r["id"]: r["rarity"] for r in m.view("pulls").collect()} == want
-
-
-def test_merge_sink_available_now(spark):
-    base = tempfile.mkdtemp(prefix="cdcmart-sink-")
-    t0 = dt.datetime(2024, 1, 1)
-    rows = [(str(i), json.dumps({"id": str(i), "rarity": "R"}), "insert", t0 + dt.timedelta(minutes=i), "pulls",
-             "public", t0 + dt.timedelta(minutes=i)) for i in range(5)]
-    schema = ("id string, data string, event string, event_timestamp timestamp, source_table string, "
-              "source_schema string, ingested_at timestamp")
-    spark.createDataFrame(rows, schema).write.parquet(f"{base}/bronze")
-    stream = spark.readStream.schema(schema).parquet(f"{base}/bronze")
-    q = cs.merge_sink(stream, f"{base}/silver", f"{base}/ckpt", every=None)
-    q.awaitTermination()
-    assert cs.SilverMerger(spark, f"{base}/silver").view("pulls").count() == 5
-
-
-def test_incremental_run_with_missing_tables(spark):
-    from cdcmart.plans import models
-
-    root = tempfile.mkdtemp(prefix="cdcmart-incr-")
-    m = {"payload": {"after": {"id": "p1", "player_id": "1", "rarity": "SSR", "pity_count": 3,
-                               "pulled_at": "2024-01-02T00:00:00.000000Z", "character_id": "ssr-001",
-                               "banner_id": "b", "crystals_spent": 160},
-                     "source": {"schema": "public", "table": "pulls"}, "op": "c", "ts_ms": 1704153600000}}
-    msgs = spark.createDataFrame([(json.dumps(m),)], "value string")
-    wh = models.run_incremental(spark, msgs, root, 0)
-    assert wh.table("stg_pulls").count() == 1 and wh.table("stg_players").count() == 0
-    assert wh.table("fact_pulls").first()["player_region"] is None
-
-
 def test_bronze_sink_progress_metrics(spark):
     base = tempfile.mkdtemp(prefix="cdcmart-sink-")
     good = {"payload": {"after": {"id": "1"}, "source": {"schema": "s", "table": "pulls"}, "op": "c", "ts_ms": 1}}
@@ -150,57 +96,6 @@ def test_bronze_sink_progress_metrics(spark):
     assert routes == {"bronze", "dlq", "undecodable"}
 
 
-PULL = ("id string, data string, event string, event_timestamp timestamp, source_table string, source_schema string, "
-        "ingested_at timestamp")
-
-
-def _pulls(spark, *ids, minute=0, rarity="R", table="pulls"):
-    at = dt.datetime(2024, 1, 1) + dt.timedelta(minutes=minute)
-    return spark.createDataFrame(
-        [(i, json.dumps({"id": i, "rarity": rarity}), "insert", at, table, "public", at) for i in ids], PULL
-    )
-
-
-def test_merge_keeps_state_over_a_new_checkpoint(spark):
-    """A stream that starts again with a new checkpoint counts its batches from
-    zero; what was merged before stays."""
-    base = tempfile.mkdtemp(prefix="cdcmart-restart-")
-    for run, ids in enumerate((("1", "2", "3", "4"), ("9",), ("10", "1"))):
-        _pulls(spark, *ids, minute=run, rarity="SSR" if run else "R").write.parquet(f"{base}/in{run}")
-        stream = spark.readStream.schema(PULL).parquet(f"{base}/in{run}")
-        cs.merge_sink(stream, f"{base}/silver", f"{base}/ckpt{run}", every=None).awaitTermination()
-    got = {r["id"]: r["rarity"] for r in cs.SilverMerger(spark, f"{base}/silver").view("pulls").collect()}
-    assert got == {"1": "SSR", "2": "R", "3": "R", "4": "R", "9": "SSR", "10": "SSR"}
-
-
-def test_merge_rewrites_touched_buckets_and_drops_old_folders(spark):
-    base = tempfile.mkdtemp(prefix="cdcmart-buckets-")
-    m = cs.SilverMerger(spark, base, tables=["pulls"])
-    m(_pulls(spark, *map(str, range(100))), 0)
-    first = set(m.paths("pulls"))
-    m(_pulls(spark, "7", minute=1, rarity="SR"), 1)
-    assert len(first - set(m.paths("pulls"))) == 1  # one bucket was written anew
-    for n in range(2, 8):
-        m(_pulls(spark, "7", minute=n, rarity="SSR"), n)
-    rows = m.view("pulls")
-    assert rows.count() == 100 and rows.where("id = '7'").first()["rarity"] == "SSR"
-    held = [f for f in os.listdir(f"{base}/pulls/v=1") if f.startswith("bucket=")]
-    assert len(held) == len(first) - 1  # the folder replaced first is gone
-    assert m(_pulls(spark, "1", table="invented"), 9) == []  # unknown tables are left alone
-
-
-def test_unreadable_record_is_not_an_absent_table(spark):
-    base = tempfile.mkdtemp(prefix="cdcmart-broken-")
-    m = cs.SilverMerger(spark, base, tables=["pulls"])
-    m(_pulls(spark, "1", "2"), 0)
-    with open(f"{base}/pulls/_manifest/1.json", "w") as fh:
-        fh.write("{")
-    with pytest.raises(Exception):
-        m(_pulls(spark, "3"), 1)
-    with pytest.raises(Exception):
-        m.view("pulls")
-
-
 def test_fingerprint_follows_the_files(spark, tmp_path):
     from cdcmart.sources.tables import fingerprint
 
@@ -209,26 +104,3 @@ def test_fingerprint_follows_the_files(spark, tmp_path):
     assert fingerprint(spark, str(tmp_path)) == before
     spark.range(3).write.mode("append").parquet(str(tmp_path / "events.parquet"))
     assert fingerprint(spark, str(tmp_path)) != before
-
-
-def test_incremental_run_publishes_whole(spark):
-    """A run that fails before it publishes leaves the last one readable."""
-    from cdcmart.plans import models
-
-    def message(key):
-        after = {"id": key, "player_id": "1", "rarity": "SSR", "pity_count": 3, "pulled_at": "2024-01-02T00:00:00.000000Z",
-                 "character_id": "ssr-001", "banner_id": "b", "crystals_spent": 160}
-        return (json.dumps({"payload": {"after": after, "source": {"schema": "public", "table": "pulls"}, "op": "c",
-                                        "ts_ms": 1704153600000}}),)
-
-    root = tempfile.mkdtemp(prefix="cdcmart-publish-")
-    wh = models.run_incremental(spark, spark.createDataFrame([message("p1")], "value string"), root, 0)
-    publish, models.IncrementalWarehouse.publish = models.IncrementalWarehouse.publish, None
-    try:
-        with pytest.raises(TypeError):
-            models.run_incremental(spark, spark.createDataFrame([message("p2")], "value string"), root, 1)
-    finally:
-        models.IncrementalWarehouse.publish = publish
-    assert wh.table("stg_pulls").count() == wh.table("fact_pulls").count() == 1
-    wh = models.run_incremental(spark, spark.createDataFrame([message("p2")], "value string"), root, 1)
-    assert wh.table("stg_pulls").count() == wh.table("fact_pulls").count() == 2
