@@ -12,14 +12,19 @@ One file per shard, in ascending id order over all shards:
 An Elias-Fano sequence of n values up to u keeps ``floor(log2(u / n))`` low
 bits of each value as they are and the high parts in unary, about
 ``2 + log2(u / n)`` bits a value. Every 256th set bit of the unary part has a
-sampled position, so ``select`` looks at one short stretch and no table of
-64-bit offsets is ever stored or built.
+sampled position, so ``select`` looks at one short stretch; neither the file nor a
+reader has a table of 64-bit offsets. A writer keeps two numbers per document of its
+shard until it closes, and packs the sequences block by block.
+
+Encoding works on a batch's bytes as a whole: numpy marks the places where the
+byte-level pattern always ends a match, Arrow's dictionary encoding finds the distinct
+units between them, each distinct unit is encoded once, and the ids of the batch are
+one gather.
 """
 
 from __future__ import annotations
 
 import json
-import re
 from array import array
 from collections.abc import Iterator
 
@@ -31,19 +36,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cdcmart.session import range_partitions
+
 from .common import materialize, scratch_path, shuffle_partitions, text_of, to_arrow
 
 MAGIC = b"EFTOK001"
 SAMPLE = 256
-CACHE_UNITS = 600_000
+#: Values packed at once; a multiple of SAMPLE.
+BLOCK = 1 << 14
+CACHE_UNITS = 1_000_000
 READ_BYTES = 4 << 20
 
-# A unit ends where the byte-level pattern always ends a match: letters before
-# punctuation or white space, punctuation before white space, any other run of
-# visible characters before white space. Units are encoded independently.
-_UNIT = re.compile(r"\s*[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[.,;:!?\s]|\Z)|[.,;:!?]+(?=\s|\Z)|\s*\S+|\s+")
-
-
 class EliasFano:
     """A non-decreasing sequence of non-negative integers."""
 
@@ -58,12 +61,16 @@ class EliasFano:
         if not n:
             return EliasFano(0, 0, b"", b"", b"")
         low_bits = max(0, int(int(values[-1]) // n).bit_length() - 1)
-        at = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
-        bits = np.zeros(int(at[-1]) + 1, np.uint8)
-        bits[at] = 1
-        rest = values & np.uint64((1 << low_bits) - 1)
-        low = ((rest[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
-        return EliasFano(n, low_bits, np.packbits(low.ravel(), bitorder="little").tobytes(), np.packbits(bits, bitorder="little").tobytes(), at[::SAMPLE].astype("<u4").tobytes())
+        top = int(int(values[-1]) >> low_bits) + n - 1
+        high, low, samples = np.zeros(top // 8 + 1, np.uint8), [], []
+        for start in range(0, n, BLOCK):
+            part = values[start : start + BLOCK]
+            at = (part >> np.uint64(low_bits)).astype(np.int64) + np.arange(start, start + len(part))
+            np.bitwise_or.at(high, at >> 3, (1 << (at & 7)).astype(np.uint8))
+            samples.append(at[::SAMPLE].astype("<u4"))
+            bits = ((part[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
+            low.append(np.packbits(bits.ravel(), bitorder="little").tobytes())  # whole bytes: BLOCK is a multiple of 8
+        return EliasFano(n, low_bits, b"".join(low), high.tobytes(), np.concatenate(samples).tobytes())
 
     def parts(self) -> tuple[bytes, bytes, bytes]:
         return self.low, self.high.tobytes(), self.samples.tobytes()
@@ -94,6 +101,34 @@ class EliasFano:
         return int(self.slice(i, i + 1)[0])
 
 
+def _ends() -> np.ndarray:
+    """Per byte: 1 where an ASCII letter, 2 where any other visible ASCII character."""
+    kind = np.zeros(256, np.uint8)
+    for b in range(0x21, 0x7F):
+        kind[b] = 1 if chr(b).isalpha() else 2
+    return kind
+
+
+_KIND = _ends()
+_POINTS = np.isin(np.arange(256), np.frombuffer(b".,;:!?", np.uint8))
+
+
+def unit_starts(data: np.ndarray) -> np.ndarray:
+    """Offsets in UTF-8 ``data`` before which the byte-level pattern always ends a
+    match: a space after a visible character, a punctuation mark after a letter. A
+    character counts as visible or a letter here if it is ASCII or one of ``À`` to
+    ``ÿ`` but ``×`` and ``÷``; where another stands the unit just goes on."""
+    if len(data) < 3:
+        return np.zeros(0, np.int64)
+    before = data[:-1]
+    letter, visible = _KIND[before] == 1, _KIND[before] > 0
+    latin = (data[:-2] == 0xC3) & (data[1:-1] != 0x97) & (data[1:-1] != 0xB7)
+    letter[1:] |= latin
+    visible[1:] |= latin
+    after = data[1:]
+    return np.flatnonzero(((after == 0x20) & visible) | (_POINTS[after] & letter)) + 1
+
+
 class UnitEncoder:
     """Encodes whole texts, remembering the ids of common units. ``added``: the
     strings of added tokens are matched, as by the library's plain call; else
@@ -104,29 +139,85 @@ class UnitEncoder:
 
         tokenizer = Tokenizer.from_file(tokenizer_file)
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        encode = tokenizer.encode
-
-        class Memo(dict):
-            def __missing__(self, unit: str) -> bytes:
-                ids = array("I", encode(unit, None, False, False).ids).tobytes()
-                if len(unit) <= 64:
-                    self[unit] = ids
-                return ids
-
-        self.memo = Memo()
+        self.encode = tokenizer.encode
+        self.memo: dict[bytes, bytes] = {}
         self.vocabulary = tokenizer.get_vocab_size()
         strings = [t.content for t in tokenizer.get_added_tokens_decoder().values()] if added else []
-        self.added = re.compile("|".join(map(re.escape, strings))) if strings else None
+        self.added = [s.encode() for s in strings]
         self.plain = Tokenizer.from_file(tokenizer_file) if strings else tokenizer
 
-    def __call__(self, text: str) -> bytes:
-        """Ids as native unsigned 32-bit integers."""
-        if self.added and self.added.search(text):  # rare: the library cuts the whole text
-            return array("I", self.plain.encode(text, None, False, False).ids).tobytes()
+    def unit(self, unit: bytes) -> bytes:
+        found = self.memo.get(unit)
+        if found is None:
+            found = array("I", self.encode(unit.decode(), None, False, False).ids).tobytes()
+            if len(unit) <= 64:
+                self.memo[unit] = found
+        return found
+
+    def block(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the bytes ``data`` and, for every offset of ``cuts`` (ascending, the
+        last the length of ``data``), the number of ids before it. Units end at cuts."""
         if len(self.memo) > CACHE_UNITS:
             self.memo.clear()
-        return b"".join(map(self.memo.__getitem__, _UNIT.findall(text)))
-
+        marks = np.zeros(len(data) + 1, bool)
+        marks[unit_starts(data)] = marks[cuts] = marks[0] = marks[-1] = True
+        starts = np.flatnonzero(marks).astype(np.int32)
+        units = pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(data)])
+        coded = units.dictionary_encode()
+        made = list(map(self.unit, coded.dictionary.to_pylist()))
+        if not made:
+            return np.zeros(0, np.uint32), np.zeros(len(cuts), np.int64)
+        which = coded.indices.to_numpy()
+        sizes = np.fromiter(map(len, made), np.int64, len(made)) >> 2
+        first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        per_unit = sizes[which]
+        ends = np.concatenate([[0], np.cumsum(per_unit)])
+        pick = np.repeat(first[which] - ends[:-1], per_unit) + np.arange(ends[-1])
+        return np.frombuffer(b"".join(made), np.uint32)[pick], ends[np.searchsorted(starts, cuts)]
+
+    def texts(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of every text of a string column, in order, in one or more pieces
+        each; the piece that ends a text is followed by None."""
+        held, size = [], 0
+        for value in column:
+            raw = value.as_buffer().to_pybytes()
+            if any(s in raw for s in self.added):  # rare: the library cuts the whole text
+                yield from self._blocks(held)
+                held, size = [], 0
+                yield np.array(self.plain.encode(raw.decode(), None, False, False).ids, np.uint32)
+                yield None
+                continue
+            held.append(raw)
+            size += len(raw)
+            if size >= BLOCK_BYTES:
+                yield from self._blocks(held)
+                held, size = [], 0
+        yield from self._blocks(held)
+
+    def _blocks(self, raws: list[bytes]) -> Iterator[np.ndarray]:
+        data = np.frombuffer(b"".join(raws), np.uint8)
+        cuts = np.cumsum([len(r) for r in raws])
+        at = text = 0
+        while text < len(raws):
+            stop = len(data)
+            if stop - at > 2 * BLOCK_BYTES:  # a long text: up to the last safe place of a stretch
+                near = unit_starts(data[at : at + BLOCK_BYTES])
+                ends = [at + int(near[-1])] if len(near) else []
+                stop = ends[0] if ends else int(cuts[text])
+            inside = cuts[text:][cuts[text:] <= stop]
+            ids, places = self.block(data[at:stop], np.append(inside, stop) - at)
+            low = 0
+            for place in places[:-1]:
+                yield ids[low:place]
+                yield None
+                low = place
+            if low < len(ids):
+                yield ids[low:]
+            text, at = text + len(inside), stop
+
+
+#: Bytes of text encoded as one block.
+BLOCK_BYTES = 4 << 20
 
 _ENCODERS: dict[tuple[str, bool], UnitEncoder] = {}
 
@@ -155,7 +246,8 @@ def write_store(
     ``file``, ``n_docs``, ``n_ids`` and ``start`` (ids of all shards before).
 
     Documents are range-partitioned by id, so shard order is id order; rows of
-    one id are ordered by text and null ids come first. Each task writes its
+    one id are ordered by text and null ids come first. The number of shards follows
+    the input's bytes. Each task writes its
     own shard under a name of its attempt and moves it into place, so a task
     that runs again replaces its file with the same bytes. Null texts count as
     empty; every document ends with ``end_id``. An empty table has no shard.
@@ -164,9 +256,11 @@ def write_store(
     """
     spark = docs.sparkSession
     root = folder or scratch_path(spark, "tokens")
-    n = shuffle_partitions(spark)
+    n = range_partitions(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    rows = rows.repartitionByRange(n, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    # the beginning of the text parts the rows of one id (or of none), in the order of the sort
+    ranges = F.col("id").asc_nulls_first(), F.substring("text", 1, 64)
+    rows = rows.repartitionByRange(n, *ranges).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
     target = to_arrow(MANIFEST)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,11 +278,16 @@ def write_store(
                 files, path = _open(part)
                 files.create_dir(path.rsplit("/", 1)[0], recursive=True)
                 out = files.open_output_stream(path)
-            for key, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
-                ids = np.frombuffer(encode(text.as_py()), np.uint32).astype(kind)
-                out.write(ids.tobytes() + tail)
-                total += len(ids) + 1
+            listed = iter(batch.column("id").to_pylist())
+            for ids in encode.texts(batch.column("text")):
+                if ids is not None:
+                    out.write(ids.astype(kind).tobytes())
+                    total += len(ids)
+                    continue
+                out.write(tail)
+                total += 1
                 ends.append(total)
+                key = next(listed)
                 nulls += key is None
                 if key is not None:
                     keys.append(key)

@@ -289,3 +289,30 @@ def test_ball_bounds_hold_and_prune():
             best = max(best, scores[leaf.doc].max())
         assert best == scores.max() and seen == sorted(seen, reverse=True)
     assert opened < 30 * len(tree.leaves)  # some are pruned
+
+
+# --- token store ----------------------------------------------------------------
+
+
+@pytest.mark.parametrize("block", [1 << 22, 200])
+def test_units_end_where_matches_end(monkeypatch, block):
+    """The ids of odd texts, in blocks and stretches of any size, are the library's."""
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from cdcmart.llm import token_store
+
+    monkeypatch.setattr(token_store, "BLOCK_BYTES", block)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, mine, r = Tokenizer.from_file(path), token_store.UnitEncoder(path, True), random.Random(block)
+    marks = ["a", "B", "é", "×", "÷", "ÿ", "c3", " ", "  ", "\n", "\t", " ", "　", ".", ",", "!", "'s", "'", "1", "-", "漢", "🙂", "́", "_", "\u0085", "​", "(", "\r\n", ";", ":"]
+    texts = ["".join(r.choice([*marks, "<|endoftext|>"]) for _ in range(r.randrange(30))) for _ in range(3000)] + ["", "x" * 5000, "word " * 3000, "".join(r.choice(marks) for _ in range(9000))]
+    pieces, got = [], []
+    for ids in mine.texts(pa.array(texts)):
+        if ids is not None:
+            pieces += ids.tolist()
+        else:
+            got.append(pieces)
+            pieces = []
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts] and not pieces
