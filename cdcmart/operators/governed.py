@@ -38,6 +38,11 @@ def _valid(c: Column) -> Column:
 # --- E20 tenant-scoped listing ------------------------------------------------
 
 
+def full_name() -> Column:
+    """'first last' of an application; without one of them there is no name."""
+    return F.concat(F.col("first_name"), F.lit(" "), F.col("last_name"))
+
+
 def tenant_applicants(requests: DataFrame, users: DataFrame, apps: DataFrame) -> DataFrame:
     """Per list request, the tenant's applicants (optionally one status).
 
@@ -60,7 +65,7 @@ def tenant_applicants(requests: DataFrame, users: DataFrame, apps: DataFrame) ->
     a = apps.select(
         F.col("id").alias("application_id"),
         F.col("company_id").alias("_tenant"),
-        F.concat_ws(" ", "first_name", "last_name").alias("name"),
+        full_name().alias("name"),
         "status",
         "role_fit_score",
     )
@@ -74,56 +79,67 @@ def tenant_applicants(requests: DataFrame, users: DataFrame, apps: DataFrame) ->
 # --- E21 name lookup (substring match inside the tenant) ---------------------
 
 
+#: Posting lists are dealt over this many keys, so a gram that most names share is
+#: read by many tasks.
+POSTING_SPLITS = 16
+
+
+def name_matches(terms: DataFrame, names: DataFrame, gram: int = 3) -> DataFrame:
+    """Substring matches of distinct ``(tenant, term)`` in ``(tenant, application_id,
+    name)``: an inverted index of grams, probed by the rarest gram of each term.
+
+    Every name is listed under its distinct grams (of ``gram`` characters, and of the
+    lengths of shorter terms); a term of which one gram is in no name of the tenant
+    has no match, any other is compared (``contains``) with the names of its least
+    frequent gram alone. Exact; empty and null terms match nothing.
+    """
+    want = terms.where(F.length("term") > 0).select("tenant", "term").distinct().withColumn("_len", F.least(F.length("term"), F.lit(gram)))
+    lens = F.broadcast(want.select("_len").distinct())  # at most ``gram`` rows
+
+    def grams(df: DataFrame, text: str) -> DataFrame:
+        fits = F.length(text) >= F.col("_len")
+        at = F.when(fits, F.sequence(F.lit(1), F.greatest(F.length(text) - F.col("_len") + 1, F.lit(1))))
+        return df.withColumn("_g", F.explode(F.array_distinct(F.transform(at, lambda p: F.substring(F.col(text), p, F.col("_len"))))))
+
+    index = grams(names.where(F.col("name").isNotNull()).select("tenant", "application_id", "name").join(lens), "name")
+    sizes = index.groupBy("tenant", "_len", "_g").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = (
+        grams(want, "term")
+        .join(sizes, ["tenant", "_len", "_g"], "left")
+        .groupBy("tenant", "term", "_len")
+        .agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "_g")).alias("_r"))
+        .where(F.col("_r._n") > 0)
+    )
+    probes = rarest.select(
+        "tenant", "term", "_len", F.col("_r._g").alias("_g"), F.explode(F.sequence(F.lit(0), F.lit(POSTING_SPLITS - 1))).alias("_split")
+    )
+    postings = index.withColumn("_split", F.pmod(F.xxhash64("application_id"), F.lit(POSTING_SPLITS)).cast("int"))
+    found = probes.join(postings, ["tenant", "_len", "_g", "_split"]).where(F.col("name").contains(F.col("term")))
+    return found.select("tenant", "term", "application_id")
+
+
 def name_lookup(lookups: DataFrame, users: DataFrame, apps: DataFrame, gram: int = 3) -> DataFrame:
     """Trimmed, lower-cased substring match on 'first last' in the tenant.
 
-    Exact and without a per-tenant cross product: each name is indexed by its
-    ``gram``-length substrings (and shorter ones, for short terms); a term
-    probes the index with its first ``gram`` characters, then ``contains``
-    confirms the candidate. Returns one row per (request, matched
+    Exact and without a per-tenant cross product: each distinct (tenant, term) is
+    matched once (:func:`name_matches`). Returns one row per (request, matched
     application) — a request without matches gets one row with a null id —
     with the request's match count and outcome NOT_FOUND / FOUND / MULTIPLE.
     """
     u = users.select("user_id", F.col("company_id").alias("tenant"))
     req = lookups.join(u, "user_id", "left").withColumn("_t", F.lower(F.trim("term")))
-    req = req.withColumn("_len", F.length("_t"))
-    probe = req.withColumn("_g", F.substring("_t", 1, gram)).withColumn("_glen", F.least(F.col("_len"), F.lit(gram)))
-    a = apps.select(
-        F.col("id").alias("application_id"),
-        F.col("company_id").alias("tenant"),
-        F.lower(F.concat(F.col("first_name"), F.lit(" "), F.col("last_name"))).alias("_name"),
-    )
-    # Index: (tenant, length, substring) for every start position and length 1..gram.
-    min_glen = probe.where(F.col("_len") > 0).select(F.coalesce(F.min("_glen"), F.lit(gram))).scalar()
-    starts = F.sequence(F.lit(1), F.greatest(F.length("_name"), F.lit(1)))
-    lens = F.sequence(F.lit(1), F.lit(gram))
-    idx = (
-        a.select("application_id", "tenant", "_name", F.explode(starts).alias("_p"))
-        .select("application_id", "tenant", "_name", "_p", F.explode(lens).alias("_glen"))
-        .where(F.col("_p") + F.col("_glen") - 1 <= F.length("_name"))
-        # only the probe lengths some term uses (usually just ``gram``)
-        .where(F.col("_glen") >= min_glen)
-        .select("application_id", "tenant", "_name", "_glen", F.substring("_name", F.col("_p"), F.col("_glen")).alias("_g"))
-        .dropDuplicates(["application_id", "_glen", "_g"])
-    )
-    hits = (
-        probe.where(F.col("_len") > 0)
-        .join(idx, ["tenant", "_glen", "_g"], "inner")
-        .where(F.col("_name").contains(F.col("_t")))
-        .select("request_id", "application_id")
-    )
+    names = apps.select(F.col("id").alias("application_id"), F.col("company_id").alias("tenant"), F.lower(full_name()).alias("name"))
+    hits = name_matches(req.select("tenant", F.col("_t").alias("term")), names, gram).withColumnRenamed("term", "_t")
     # One row per (request, match): the match list is never gathered into
-    # one value. Counts come from an aggregate joined back.
-    n = hits.groupBy("request_id").agg(F.count(F.lit(1)).alias("matches"))
-    r = req.select("request_id", "user_id", "term").join(n, "request_id", "left")
+    # one value. Counts come from an aggregate of the distinct terms.
+    n = hits.groupBy("tenant", "_t").agg(F.count(F.lit(1)).alias("matches"))
+    r = req.select("request_id", "user_id", "term", "tenant", "_t").join(n, ["tenant", "_t"], "left")
     cnt = F.coalesce(F.col("matches"), F.lit(0))
     r = r.select(
-        "request_id", "user_id", "term", cnt.alias("matches"),
+        "request_id", "user_id", "term", "tenant", "_t", cnt.alias("matches"),
         F.when(cnt == 0, "NOT_FOUND").when(cnt == 1, "FOUND").otherwise("MULTIPLE").alias("outcome"),
     )
-    return r.join(hits, "request_id", "left").select(
-        "request_id", "user_id", "term", "matches", "outcome", "application_id"
-    )
+    return r.join(hits, ["tenant", "_t"], "left").select("request_id", "user_id", "term", "matches", "outcome", "application_id")
 
 
 # --- E22 display projection ---------------------------------------------------
@@ -142,7 +158,7 @@ def applicant_display(apps: DataFrame) -> DataFrame:
     return apps.select(
         "id",
         "company_id",
-        F.concat(F.col("first_name"), F.lit(" "), F.col("last_name")).alias("name"),
+        full_name().alias("name"),
         "status",
         F.regexp_replace(score, ",", "").alias("role_fit"),
         passed.alias("screening"),
@@ -156,7 +172,7 @@ def access_check(requests: DataFrame, grants: DataFrame, catalog: DataFrame) ->
     """Allowed flag per request; granted requests list the dataset's tables."""
     g = grants.select("user_id", "dataset", F.lit(True).alias("_ok")).dropDuplicates(["user_id", "dataset"])
     tables = catalog.groupBy("dataset").agg(F.array_join(F.array_sort(F.collect_list("table_name")), ", ").alias("_t"))
-    r = requests.join(g, ["user_id", "dataset"], "left").join(F.broadcast(tables), "dataset", "left")
+    r = requests.join(g, ["user_id", "dataset"], "left").join(tables, "dataset", "left")
     allowed = F.coalesce(F.col("_ok"), F.lit(False))
     msg = F.when(allowed, template(TEXTS["tables"], dataset=F.col("dataset"), tables=F.coalesce(F.col("_t"), F.lit(""))))
     msg = msg.otherwise(template(TEXTS["access_denied"], dataset=F.col("dataset")))

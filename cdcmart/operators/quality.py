@@ -2,14 +2,16 @@
 
 Checks are folded: per model, every ``not_null`` and ``accepted_values`` test
 is one aggregate pass; each ``unique`` test is one grouped aggregate (with
-map-side partial counts); ``relationships`` is a left-anti join.
+map-side partial counts); ``relationships`` is a left-anti join. Reconciliation
+compares all tables at once, by range digests before keys.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
@@ -166,60 +168,115 @@ def bronze_ids(bronze: DataFrame, table: str) -> DataFrame:
     return bronze.where((F.col("source_table") == table) & (F.col("event") != "delete")).select("id").distinct()
 
 
-def _keyed_outer(source: DataFrame, target: DataFrame, keys) -> DataFrame:
-    """Distinct keys of both sides in one full outer join with side flags."""
-    keys = [keys] if isinstance(keys, str) else list(keys)
+#: One side-by-side comparison: table name, source rows, target rows, key columns.
+Sides = tuple[str, DataFrame, DataFrame, Sequence[str]]
 
-    def keyed(df, flag):
-        parts = [F.col(c).cast("string") for c in keys]
-        k = F.concat(*[x for i, p in enumerate(parts) for x in ([F.lit(":")] if i else []) + [p]])
-        return df.select(k.alias("key")).distinct().withColumn(flag, F.lit(True))
+#: Ranges of a digest level: 2^RANGE_BITS of the keys' hash space.
+RANGE_BITS = 12
+#: Differing ranges of the second level up to this many go to the key scan by broadcast
+#: (16 bytes each); beyond, the scan is narrowed by the first level alone.
+MAX_LEAVES = 500_000
 
-    return keyed(source, "_s").join(keyed(target, "_t"), "key", "full_outer")
 
+def keyed_sides(sides: Sequence[Sides]) -> DataFrame:
+    """(table, key, in_source) of all tables and both sides. Composite keys are
+    concatenated with ':'; a missing half is empty."""
+    out = []
+    for table, source, target, keys in sides:
+        for df, here in ((source, True), (target, False)):
+            parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in keys]
+            key = F.concat(*[x for i, p in enumerate(parts) for x in ([F.lit(":")] if i else []) + [p]])
+            out.append(df.select(F.lit(table).alias("table"), key.alias("key"), F.lit(here).alias("in_source")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _range(level: int) -> Column:
+    """The hash range of a key on a level of the tree: its first ``level`` x RANGE_BITS bits."""
+    return F.shiftrightunsigned(F.xxhash64("key"), 64 - level * RANGE_BITS)
+
+
+def differing_ranges(keyed: DataFrame, level: int) -> DataFrame:
+    """Per (table, range): the ranges whose digests differ between the sides. A digest
+    is the number of rows and the sums of both halves of a second hash, which do not
+    depend on order and see repeats; every task sends one row per range it met."""
+    h = F.xxhash64("key", F.lit(level))
+    low, high = h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32)
+    sign = F.when(F.col("in_source"), 1).otherwise(-1)
+    digest = [F.sum(sign).alias("_n"), F.sum(sign * low).alias("_low"), F.sum(sign * high).alias("_high")]
+    sums = keyed.groupBy("table", _range(level).alias("range")).agg(*digest)
+    return sums.where((F.col("_n") != 0) | (F.col("_low") != 0) | (F.col("_high") != 0)).select("table", "range")
 
-def reconcile_ids(source: DataFrame, target: DataFrame, keys, table: str = "", sample: int | None = None) -> DataFrame:
-    """F8: set difference both ways in one full outer join.
 
-    Composite keys are concatenated with ':'. Returns one row per differing
-    key: (table, key, side) with side 'missing_in_target' or
-    'extra_in_target'. ``sample`` keeps the first n keys per side in key
-    order (the report view); None returns them all.
+def _within(keyed: DataFrame, ranges: DataFrame, level: int) -> DataFrame:
+    return keyed.withColumn("range", _range(level)).join(F.broadcast(ranges), ["table", "range"], "left_semi").drop("range")
+
+
+def reconcile_tables(sides: Sequence[Sides], sample: int | None = None) -> DataFrame:
+    """F8: key differences both ways of all tables, through a tree of range digests.
+
+    The first level compares 4,096 hash ranges per table, the second those that differ
+    again 4,096-fold; only the keys of ranges that still differ are shuffled and compared.
+    Where source and target agree nothing but digests moves. Repeats on one side make a
+    range differ, not a key: the keys themselves are compared as sets. One row per
+    differing key: (table, key, side) with side 'missing_in_target' or
+    'extra_in_target'. ``sample`` keeps the first n keys per table and side in key order
+    (the report view); None returns them all.
     """
-    j = _keyed_outer(source, target, keys)
-    diff = j.where(F.col("_s").isNull() | F.col("_t").isNull()).select(
-        F.lit(table).alias("table"),
-        "key",
-        F.when(F.col("_t").isNull(), "missing_in_target").otherwise("extra_in_target").alias("side"),
+    keyed = keyed_sides(sides)
+    first = differing_ranges(keyed, 1).checkpoint()  # at most 4,096 rows a table
+    narrowed = _within(keyed, first, 1)
+    leaves = differing_ranges(narrowed, 2).checkpoint()
+    if leaves.count() <= MAX_LEAVES:
+        narrowed = _within(narrowed, leaves, 2)
+    both = narrowed.groupBy("table", "key").agg(F.bool_or("in_source").alias("_s"), F.bool_and("in_source").alias("_only"))
+    diff = both.where(F.col("_only") | ~F.col("_s")).select(
+        "table", "key", F.when(F.col("_s"), "missing_in_target").otherwise("extra_in_target").alias("side")
     )
     if sample is not None:
         from pyspark.sql import Window
 
-        w = Window.partitionBy("side").orderBy("key")
+        w = Window.partitionBy("table", "side").orderBy("key")
         diff = diff.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= sample).drop("_rn")
     return diff
 
 
-def reconcile_summary(source: DataFrame, target: DataFrame, keys, table: str) -> DataFrame:
-    """F8/F9 summary row: distinct keys, differences both ways, PASS/FAIL/SKIP."""
-    j = _keyed_outer(source, target, keys)
-    counts = j.agg(
-        F.count_if(F.col("_s").isNotNull()).alias("source_keys"),
-        F.count_if(F.col("_t").isNull()).alias("missing_in_target"),
-        F.count_if(F.col("_s").isNull()).alias("extra_in_target"),
+def reconcile_ids(source: DataFrame, target: DataFrame, keys, table: str = "", sample: int | None = None) -> DataFrame:
+    """F8 of one table, see :func:`reconcile_tables`."""
+    return reconcile_tables([(table, source, target, [keys] if isinstance(keys, str) else list(keys))], sample)
+
+
+def reconcile_report(sides: Sequence[Sides]) -> DataFrame:
+    """F8/F9 summary row per table: distinct source keys, differences both ways,
+    PASS/FAIL/SKIP. One aggregate by (table, key) over both sides of all tables."""
+    both = keyed_sides(sides).groupBy("table", "key").agg(F.bool_or("in_source").alias("_s"), F.bool_and("in_source").alias("_only"))
+    counts = both.groupBy("table").agg(
+        F.count_if("_s").alias("source_keys"), F.count_if("_only").alias("missing_in_target"), F.count_if(~F.col("_s")).alias("extra_in_target")
     )
-    return counts.select(
-        F.lit(table).alias("table"),
-        "source_keys",
-        "missing_in_target",
-        "extra_in_target",
+    names = counts.sparkSession.createDataFrame([(s[0],) for s in sides], "table string")  # one row per compared table
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("source_keys", "missing_in_target", "extra_in_target")]
+    full = names.join(counts, "table", "left").select("table", *zero)
+    return full.withColumn(
+        "status",
         F.when(F.col("source_keys") == 0, "SKIP")
         .when((F.col("missing_in_target") == 0) & (F.col("extra_in_target") == 0), "PASS")
-        .otherwise("FAIL")
-        .alias("status"),
+        .otherwise("FAIL"),
     )
 
 
+def reconcile_summary(source: DataFrame, target: DataFrame, keys, table: str) -> DataFrame:
+    """F8/F9 summary of one table, see :func:`reconcile_report`."""
+    return reconcile_report([(table, source, target, [keys] if isinstance(keys, str) else list(keys))])
+
+
+def layer_report(bronze: DataFrame, sides: Sequence[Sides]) -> DataFrame:
+    """Source, Bronze and Silver side by side, one row per table: the reconciliation
+    with the distinct non-delete Bronze ids and the Silver rows."""
+    landed = bronze.where(F.col("event") != "delete").groupBy(F.col("source_table").alias("table")).agg(F.count_distinct("id").alias("bronze_ids"))
+    rows = reduce(DataFrame.unionByName, [t.agg(F.count(F.lit(1)).alias("silver_rows")).select(F.lit(name).alias("table"), "*") for name, _, t, _ in sides])
+    report = reconcile_report(sides).join(landed, "table", "left").join(rows, "table", "left")
+    return report.select("table", "source_keys", F.coalesce("bronze_ids", F.lit(0)).alias("bronze_ids"), "silver_rows", "missing_in_target", "extra_in_target", "status")
+
+
 def verdict(summaries: DataFrame) -> DataFrame:
     """overall PASS when no table failed (SKIP does not fail)."""
     return summaries.agg(F.bool_and(F.col("status") != "FAIL").alias("all_passed"))

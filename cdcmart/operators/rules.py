@@ -9,6 +9,9 @@ plain window form for small inputs. Final states are aggregates.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,15 +81,16 @@ def pity_state(
         F.max(F.when(F.col(rarity) == "SSR", order)).alias("_last_ssr"),
         F.max(F.col(time_col)).alias("updated_at"),
     )
-    # Count pulls strictly after the last SSR: second pass joined on keys.
+    # Count pulls strictly after the last SSR: second pass joined on the keys (nulls are keys).
+    last = g.select(*[F.col(k).alias(f"_{k}") for k in keys], "_last_ssr")
     after = (
-        pulls.join(g.select(*keys, "_last_ssr"), list(keys), "inner")
+        pulls.join(last, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]), "inner")
         .where(F.col("_last_ssr").isNull() | (order > F.col("_last_ssr")))
-        .groupBy(*keys)
+        .groupBy(*[F.col(f"_{k}") for k in keys])
         .agg(F.count(F.lit(1)).alias("pity_count"))
     )
     return (
-        g.join(after, list(keys), "left")
+        g.join(after, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]), "left")
         .select(
             *keys,
             F.coalesce(F.col("pity_count"), F.lit(0)).cast("int").alias("pity_count"),

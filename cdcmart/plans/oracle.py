@@ -72,7 +72,7 @@ CTES: list[tuple[str, str]] = [
         """
         SELECT event_id, CAST(event_id AS VARCHAR) AS id,
                CASE WHEN event_id % 23 = 11 THEN 'guest' ELSE CAST(user_id AS VARCHAR) END AS player_id,
-               event_type AS banner_id,
+               CASE WHEN event_id % 89 = 60 THEN 'retired' ELSE event_type END AS banner_id,
                printf('%s-%03d', lower(rar), CAST(CASE WHEN event_id % 97 = 13 THEN if(rar = 'SSR', 6, 9)
                                                   WHEN rar = 'SSR' THEN event_id % 5 + 1
                                                   ELSE event_id % 8 + 1 END AS INTEGER)) AS character_id,
@@ -258,9 +258,9 @@ CTES: list[tuple[str, str]] = [
         SELECT id, 'insert', make_timestamp(epoch_us(transacted_at) // 1000 * 1000), 'transactions', 'public'
         FROM src_transactions
         UNION ALL
-        SELECT json_object('banner_type', banner_type, 'guaranteed_next', guaranteed_next,
-                           'pity_count', pity_count, 'player_id', player_id,
-                           'updated_at', strftime(updated_at, {ISO}))::VARCHAR,
+        SELECT json_merge_patch('{{}}', json_object( -- without null members
+                   'banner_type', banner_type, 'guaranteed_next', guaranteed_next, 'pity_count', pity_count,
+                   'player_id', player_id, 'updated_at', strftime(updated_at, {ISO})))::VARCHAR,
                'insert', make_timestamp(epoch_us(updated_at) // 1000 * 1000), 'player_pity', 'public'
         FROM src_player_pity
         UNION ALL
@@ -288,7 +288,7 @@ CTES += [
         "g_apps",
         f"""
         SELECT 'app-' || c_custkey AS id, CAST(c_nationkey AS BIGINT) AS company_id,
-               lower(c_mktsegment) AS first_name, substr(c_name, 10) AS last_name,
+               lower(c_mktsegment) AS first_name, CASE WHEN c_custkey % 47 <> 20 THEN substr(c_name, 10) END AS last_name,
                ({_STATUSES})[c_custkey % 8 + 1] AS status,
                CASE WHEN c_acctbal >= 0 THEN c_acctbal / 100.0 END AS role_fit_score,
                CASE c_custkey % 3 WHEN 1 THEN true WHEN 2 THEN false END AS has_passed_screening

@@ -8,6 +8,7 @@ from __future__ import annotations
 import os
 from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cdcmart.operators import silver, ticker
@@ -57,29 +58,15 @@ def _fresh(base: str, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:8]}"
 
 
-def _routed_stream(spark, base, files_per_batch: int | None = 16):
-    """The routed log as a stream; None reads the whole backlog as one
-    micro-batch, so a watermark starts behind all of it."""
-    reader = spark.readStream.schema(ROUTED_SCHEMA)
-    if files_per_batch is not None:
-        reader = reader.option("maxFilesPerTrigger", str(files_per_batch))
-    return reader.parquet(f"{base}/out")
+def _routed_stream(spark, base, files_per_batch: int = 16):
+    """The routed log as a stream."""
+    return spark.readStream.schema(ROUTED_SCHEMA).option("maxFilesPerTrigger", str(files_per_batch)).parquet(f"{base}/out")
 
 
-def _bronze_stream(spark, base, files_per_batch: int | None = 16):
+def _bronze_stream(spark, base, files_per_batch: int = 16):
     return _routed_stream(spark, base, files_per_batch).where(F.col("route") == "bronze")
 
 
-def _append(stream, run):
-    """Append the stream to a Parquet folder, then read it."""
-    q = (
-        stream.writeStream.format("parquet").option("path", f"{run}/out").option("checkpointLocation", f"{run}/ckpt")
-        .outputMode("append").trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{run}/out")
-
-
 @register(
     "stream_bronze",
     "SELECT id, event, event_timestamp, source_table, source_schema FROM bronze_keys",
@@ -137,66 +124,136 @@ def q_stream_merge_deletes(spark, sf_dir):
     return ss.silver_table(spark, f"{run}/ckpt", "pulls", honor_deletes=True)
 
 
-@register(
-    "stream_volume",
-    """
-    SELECT time_bucket(INTERVAL 1 HOUR, event_timestamp) AS window_start,
+# --- event time that moves ---------------------------------------------------
+#
+# The log is delivered in event order, in slices by day of January 2024, one micro-batch
+# each; the streams are stopped between slices and go on from their checkpoints. Some
+# changes come a slice too late (every 25th pull), and so do repeated deliveries.
+
+SLICE_DAYS = (8, 15, 23)
+DELAY_MS = 2 * 86_400_000
+_DELIVERED = """
+    (SELECT *, least(slice + if(is_late OR copy > 1, 1, 0), 3) AS delivered
+     FROM (SELECT *, CASE WHEN event_timestamp < TIMESTAMP '2024-01-09' THEN 0 WHEN event_timestamp < TIMESTAMP '2024-01-16' THEN 1
+                          WHEN event_timestamp < TIMESTAMP '2024-01-24' THEN 2 ELSE 3 END AS slice,
+                  source_table = 'pulls' AND try_cast(id AS BIGINT) % 25 = 3 AS is_late,
+                  row_number() OVER (PARTITION BY source_table, id, event, event_timestamp) AS copy
+           FROM bronze_keys))"""
+# rows with the watermark (epoch ms) of the micro-batch that delivered them
+_MARKED = f"""
+    (SELECT d.*, coalesce((SELECT max(epoch_ms(event_timestamp)) - {DELAY_MS} FROM {_DELIVERED} e WHERE e.delivered < d.delivered), 0) AS mark
+     FROM {_DELIVERED} d)"""
+_FINAL_MARK = f"(SELECT max(epoch_ms(event_timestamp)) - {DELAY_MS} FROM bronze_keys)"
+
+
+def _slices(rows: DataFrame, time: str) -> DataFrame:
+    day = [F.lit(f"2024-01-{d + 1:02d}").cast("timestamp") for d in SLICE_DAYS]
+    at = F.col(time)
+    return rows.withColumn("slice", F.when(at < day[0], 0).when(at < day[1], 1).when(at < day[2], 2).otherwise(3))
+
+
+def _deliveries(spark, base) -> DataFrame:
+    """The Bronze rows of the log with the slice that delivers them."""
+    rows = _slices(spark.read.parquet(f"{base}/out").where(F.col("route") == "bronze"), "event_timestamp")
+    key = ["source_table", "id", "event", "event_timestamp"]
+    copies = rows.groupBy(*key, "slice").agg(F.count(F.lit(1)).alias("n"))
+    each = copies.select("*", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
+    late = (F.col("source_table") == "pulls") & (F.expr("try_cast(id AS bigint)") % 25 == 3)
+    return each.select(*key, F.least(F.col("slice") + F.when(late | (F.col("copy") > 1), 1).otherwise(0), F.lit(3)).alias("delivered"))
+
+
+def _replay(deliveries: DataFrame, run: str, start) -> None:
+    """Write the slices one after another; drain each with a stream of its own start."""
+    columns = [c for c in deliveries.columns if c != "delivered"]
+    spark, schema = deliveries.sparkSession, deliveries.select(*columns).schema
+    for n in range(len(SLICE_DAYS) + 1):
+        deliveries.where(F.col("delivered") == n).select(*columns).write.parquet(f"{run}/in/slice={n}")
+        stream = spark.readStream.schema(schema).option("basePath", f"{run}/in").parquet(f"{run}/in")
+        start(stream.select(*columns)).awaitTermination()
+
+
+def _appending(run, make):
+    """Start of a stream that appends ``make(input)`` to a folder."""
+    def start(stream):
+        return (
+            make(stream).writeStream.format("parquet").option("path", f"{run}/out").option("checkpointLocation", f"{run}/ckpt")
+            .outputMode("append").trigger(availableNow=True).start()
+        )
+
+    return start
+
+
+_HOURLY = """SELECT time_bucket(INTERVAL 1 HOUR, event_timestamp) AS window_start,
            time_bucket(INTERVAL 1 HOUR, event_timestamp) + INTERVAL 1 HOUR AS window_end,
-           source_table, event, count(*) AS events
-    FROM bronze_keys GROUP BY 1, 2, source_table, event""",
-)
+           source_table, event, count(*) AS events"""
+
+
+def _hourly_sql(closed: bool) -> str:
+    having = f"HAVING epoch_ms(window_end) <= {_FINAL_MARK}" if closed else ""
+    return f"""
+    {_HOURLY} FROM {_MARKED}
+    WHERE epoch_ms(time_bucket(INTERVAL 1 HOUR, event_timestamp)) + 3600000 > mark
+    GROUP BY 1, 2, source_table, event {having}"""
+
+
+@register("stream_volume", _hourly_sql(False))
 def q_stream_volume(spark, sf_dir):
-    """Hourly event volume per table and kind from the Bronze stream."""
+    """Hourly event volume per table and kind with its watermark, in update mode:
+    the last count of every hour, those still open among them; rows behind the
+    watermark are not counted."""
     base = _ingest(spark, sf_dir)
     run = _fresh(base, "volume")
-    out = f"{run}/out"
 
-    def write(batch, _bid):
-        batch.write.mode("overwrite").parquet(out)
+    def write(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{run}/out/batch={batch_id}")
 
-    agg = (
-        _bronze_stream(spark, base)
-        .groupBy(F.window("event_timestamp", "1 hour"), "source_table", "event")
-        .agg(F.count(F.lit(1)).alias("events"))
-        .select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
-                "source_table", "event", "events")
-    )
-    q = (
-        agg.writeStream.outputMode("complete")
-        .foreachBatch(write)
-        .option("checkpointLocation", f"{run}/ckpt")
-        .trigger(availableNow=True)
-        .start()
-    )
-    q.awaitTermination()
-    return spark.read.parquet(out)
+    def start(stream):
+        counts = cs.volume(stream, delay=f"{DELAY_MS} milliseconds")
+        return counts.writeStream.foreachBatch(write).option("checkpointLocation", f"{run}/ckpt").outputMode("update").trigger(availableNow=True).start()
 
+    _replay(_deliveries(spark, base), run, start)
+    keys = ["window_start", "window_end", "source_table", "event"]
+    return spark.read.parquet(f"{run}/out").groupBy(*keys).agg(F.max_by("events", "batch").alias("events"))
 
-@register(
-    "stream_volume_closed",
-    """
-    SELECT time_bucket(INTERVAL 1 HOUR, event_timestamp) AS window_start,
-           time_bucket(INTERVAL 1 HOUR, event_timestamp) + INTERVAL 1 HOUR AS window_end,
-           source_table, event, count(*) AS events
-    FROM bronze_keys GROUP BY 1, 2, source_table, event
-    HAVING time_bucket(INTERVAL 1 HOUR, event_timestamp) + INTERVAL 1 HOUR
-           <= (SELECT max(event_timestamp) FROM bronze_keys) - INTERVAL 10 MINUTE""",
-)
+
+@register("stream_volume_closed", _hourly_sql(True))
 def q_stream_volume_closed(spark, sf_dir):
-    """B14 with its watermark: append mode emits each hour once, when closed."""
+    """B14 in append mode: each hour once, when the watermark has passed it."""
     base = _ingest(spark, sf_dir)
-    return _append(cs.volume(_bronze_stream(spark, base, None)), _fresh(base, "volume-closed"))
+    run = _fresh(base, "volume-closed")
+    _replay(_deliveries(spark, base), run, _appending(run, lambda s: cs.volume(s, delay=f"{DELAY_MS} milliseconds")))
+    return spark.read.parquet(f"{run}/out")
 
 
 @register(
     "stream_dedupe_deliveries",
-    "SELECT DISTINCT id, event, event_timestamp, source_table FROM bronze_keys",
+    f"SELECT DISTINCT id, event, event_timestamp, source_table FROM {_MARKED} WHERE epoch_us(event_timestamp) > mark * 1000",
 )
 def q_stream_dedupe(spark, sf_dir):
-    """Changes delivered more than once are kept once."""
+    """Changes delivered more than once, in one micro-batch or in two, are kept
+    once; those behind the watermark are dropped."""
     base = _ingest(spark, sf_dir)
-    once = cs.dedupe_deliveries(_bronze_stream(spark, base, None))
-    return _append(once.select("id", "event", "event_timestamp", "source_table"), _fresh(base, "dedupe"))
+    run = _fresh(base, "dedupe")
+    _replay(_deliveries(spark, base), run, _appending(run, lambda s: cs.dedupe_deliveries(s, f"{DELAY_MS} milliseconds")))
+    return spark.read.parquet(f"{run}/out").select("id", "event", "event_timestamp", "source_table")
+
+
+@register(
+    "stream_late_rows",
+    f"""
+    SELECT source_table, event, epoch_ms(event_timestamp) // 86400000 AS day, make_timestamp(mark * 1000) AS watermark, count(*) AS late_rows
+    FROM {_MARKED} WHERE epoch_us(event_timestamp) <= mark * 1000 GROUP BY ALL""",
+)
+def q_stream_late_rows(spark, sf_dir):
+    """B13/B14 side output: the rows behind the watermark of the micro-batch that
+    delivered them, counted by table, kind and day."""
+    base = _ingest(spark, sf_dir)
+    run = _fresh(base, "late")
+    gate = cs.LateGate(f"{run}/gate", delay_ms=DELAY_MS)
+    _replay(_deliveries(spark, base), run, lambda s: s.writeStream.foreachBatch(gate).option("checkpointLocation", f"{run}/ckpt").trigger(availableNow=True).start())
+    late = gate.read(spark, True)
+    day = F.floor(F.unix_millis("event_timestamp") / 86_400_000).alias("day")
+    return late.groupBy("source_table", "event", day, "watermark").agg(F.count(F.lit(1)).alias("late_rows"))
 
 
 @register("stream_dead_letters", "SELECT reason, source_table, row_id FROM dead_letters")
@@ -240,31 +297,26 @@ def q_stream_watchlist(spark, sf_dir):
 
 @register(
     "stream_sessions",
-    """
+    f"""
     SELECT user_id AS session_key, min(ts) AS session_start, max(ts) + INTERVAL 24 HOUR AS expires_at,
            count(*) AS writes
     FROM (SELECT *, sum(CASE WHEN prev IS NULL OR ts > prev + INTERVAL 24 HOUR THEN 1 ELSE 0 END)
                         OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid
           FROM (SELECT user_id, ts, event_id, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev
-                FROM events))
-    GROUP BY user_id, sid""",
+                FROM events WHERE event_id % 25 <> 3 OR ts >= TIMESTAMP '2024-01-16'))
+    GROUP BY user_id, sid
+    HAVING epoch_ms(max(ts)) + 86400000 <= (SELECT max(epoch_ms(ts)) - {DELAY_MS} FROM events)""",
 )
 def q_stream_sessions(spark, sf_dir):
-    """H7 streaming: 24 h sliding-expiry sessions per user with session_window."""
-    base = cs.scratch(spark, "sessions")
-    load(spark, sf_dir, "events").select("user_id", "ts").repartition(8).write.parquet(f"{base}/in")
-    ev = spark.readStream.schema("user_id long, ts timestamp_ntz").option("maxFilesPerTrigger", "2").parquet(f"{base}/in")
-    out = f"{base}/out"
-
-    def write(batch, _bid):
-        batch.write.mode("overwrite").parquet(out)
-
-    q = (
-        cs.sessions(ev).writeStream.outputMode("complete").foreachBatch(write)
-        .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
-    return spark.read.parquet(out)
+    """H7 streaming: 24 h sliding-expiry sessions per user, emitted once when the
+    watermark passes their expiry. Every 25th event of the first two slices comes two
+    slices later, behind the watermark, and is in no session."""
+    run = cs.scratch(spark, "sessions")
+    ev = _slices(load(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "ts")
+    held_back = (F.col("event_id") % 25 == 3) & (F.col("slice") < 2)
+    sent = ev.select("user_id", "ts", (F.col("slice") + F.when(held_back, 2).otherwise(0)).alias("delivered"))
+    _replay(sent, run, _appending(run, lambda s: cs.sessions(s, delay=f"{DELAY_MS} milliseconds")))
+    return spark.read.parquet(f"{run}/out")
 
 
 @register("stream_tick_fanout", TICK_FANOUT_SQL)

@@ -321,16 +321,32 @@ _DIFFERENCES = f"""
     FROM src_pulls WHERE ({_LOST}) <> ({_DELETED})"""
 
 
+_SOURCES: dict[tuple, str] = {}
+
+
 def _sides(spark, sf_dir):
     """(table, source rows, Silver rows, key columns) of all seven tables. The
-    source has lost its deleted pulls, which Silver keeps."""
+    source has lost its deleted pulls, which Silver keeps. The source tables, which
+    here are derived from the driver tables, are written once, as a source would
+    hold them."""
+    import os
+    import uuid
+
+    from cdcmart.session import work_dir
     from cdcmart.sources import adapter
+    from cdcmart.sources.tables import fingerprint
 
+    at = (os.path.realpath(sf_dir), fingerprint(spark, sf_dir), work_dir(spark))
     w = wh(spark, sf_dir)
-    for name, rows in sorted(adapter.source_tables(spark, sf_dir).items()):
-        if name == "pulls":
-            rows = rows.where(F.col("event_id") % 17 != 0)
-        yield name, rows, w.table(f"stg_{name}"), _KEYS.get(name, ["id"])
+    if at not in _SOURCES:
+        root = f"{work_dir(spark)}/cdcmart-src-{uuid.uuid4().hex[:10]}"
+        for name, rows in adapter.source_tables(spark, sf_dir).items():
+            if name == "pulls":
+                rows = rows.where(F.col("event_id") % 17 != 0)
+            rows.write.parquet(f"{root}/{name}")
+        _SOURCES[at] = root
+    for name in sorted(m.removeprefix("stg_") for m in models.SILVER_MODELS):
+        yield name, spark.read.parquet(f"{_SOURCES[at]}/{name}"), w.table(f"stg_{name}"), _KEYS.get(name, ["id"])
 
 
 @register(
@@ -338,9 +354,8 @@ def _sides(spark, sf_dir):
     _DIFFERENCES,
 )
 def q_reconcile_ids(spark, sf_dir):
-    """F8: source ids vs Silver ids of all tables, both ways."""
-    parts = [quality.reconcile_ids(src, silver_rows, keys, name) for name, src, silver_rows, keys in _sides(spark, sf_dir)]
-    return reduce(DataFrame.unionByName, parts)
+    """F8: source ids vs Silver ids of all tables, both ways, by range digests."""
+    return quality.reconcile_tables(list(_sides(spark, sf_dir)))
 
 
 def _summary_sql() -> str:
@@ -362,8 +377,21 @@ def _summary_sql() -> str:
 @register("reconcile_summary", _summary_sql())
 def q_reconcile_summary(spark, sf_dir):
     """PASS/FAIL of each of the seven tables, composite keys included."""
-    parts = [quality.reconcile_summary(src, silver_rows, keys, name) for name, src, silver_rows, keys in _sides(spark, sf_dir)]
-    return reduce(DataFrame.unionByName, parts)
+    return quality.reconcile_report(list(_sides(spark, sf_dir)))
+
+
+@register(
+    "reconcile_layers",
+    f"""
+    SELECT s."table", source_keys, b.bronze_ids, r.silver_rows, missing_in_target, extra_in_target, status
+    FROM ({_summary_sql()}) s
+    JOIN (SELECT source_table, count(DISTINCT id) AS bronze_ids FROM bronze_keys WHERE event <> 'delete' GROUP BY 1) b ON b.source_table = s."table"
+    JOIN ({" UNION ALL ".join(f"SELECT '{m.removeprefix('stg_')}' AS t, count(*) AS silver_rows FROM {m}" for m in models.SILVER_MODELS)}) r ON r.t = s."table"
+    """,
+)
+def q_reconcile_layers(spark, sf_dir):
+    """Source, Bronze and Silver of every table in one report."""
+    return quality.layer_report(wh(spark, sf_dir).table("bronze"), list(_sides(spark, sf_dir)))
 
 
 # Section modules register themselves on import.
@@ -391,9 +419,7 @@ def q_reconcile_verdict(spark, sf_dir):
 )
 def q_reconcile_samples(spark, sf_dir):
     """F8 report view: at most 5 sample keys per table and side, in key order."""
-    sides = _sides(spark, sf_dir)
-    parts = [quality.reconcile_ids(src, silver_rows, keys, name, sample=5) for name, src, silver_rows, keys in sides]
-    return reduce(DataFrame.unionByName, parts)
+    return quality.reconcile_tables(list(_sides(spark, sf_dir)), sample=5)
 
 
 @register("bronze_ids", "SELECT DISTINCT source_table, id FROM bronze_keys WHERE event <> 'delete'")

@@ -11,7 +11,8 @@ Mapping (see FIXTURES.md section 3):
   characters     part with partkey < 21: 0-4 SSR, 5-12 SR, 13-20 R
   banners        distinct events.event_type; 'view' permanent, others limited
   pulls          one per event; event_id % 23 = 11 by a guest who is no player,
-                 % 97 = 13 of a character that is not listed, % 29 = 5 single
+                 % 97 = 13 of a character that is not listed, % 89 = 60 on
+                 a banner that is not listed (no banner type), % 29 = 5 single
                  (no batch)
   transactions   one per order; some are of a status outside the accepted ones
   player_pity    rule replay of pulls (final pity and guarantee state)
@@ -121,7 +122,7 @@ def pulls(events: DataFrame) -> DataFrame:
         eid.alias("event_id"),
         eid.cast("string").alias("id"),
         F.when(eid % 23 == 11, F.lit("guest")).otherwise(F.col("user_id").cast("string")).alias("player_id"),
-        F.col("event_type").alias("banner_id"),
+        F.when(eid % 89 == 60, F.lit("retired")).otherwise(F.col("event_type")).alias("banner_id"),
         F.format_string("%s-%03d", F.lower(rarity), char_num.cast("int")).alias("character_id"),
         rarity.alias("rarity"),
         (eid % 90 + 1).cast("int").alias("pity_count"),
@@ -183,8 +184,9 @@ def player_pity(pulls_df: DataFrame, banners_df: DataFrame) -> DataFrame:
     p = _pulls_with_type(pulls_df, banners_df)
     order = ("pulled_at", "event_id")
     state = rules.pity_state(p, order_cols=order)
-    guar = rules.guarantee_state(p, order_cols=order)
-    return state.join(guar, ["player_id", "banner_type"], "left").select(
+    guar = rules.guarantee_state(p, order_cols=order).withColumnsRenamed({"player_id": "_p", "banner_type": "_b"})
+    same = F.col("player_id").eqNullSafe(F.col("_p")) & F.col("banner_type").eqNullSafe(F.col("_b"))
+    return state.join(guar, same, "left").select(
         "player_id",
         "banner_type",
         "pity_count",

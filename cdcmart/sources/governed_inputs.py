@@ -1,7 +1,8 @@
 """Driver tables -> inputs of the governed-access operators.
 
 applications   customer: tenant = nation, score = acctbal / 100 (null when
-               negative), status and screening flag cycle over the key
+               negative), status and screening flag cycle over the key;
+               custkey % 47 = 20 has no last name
 users          nation: one user per tenant; every fourth is read-only; mutation
                caps cycle over 3 to 6
 status_requests orders x customer: a run is (user, order year); every tenth
@@ -49,7 +50,7 @@ def applications(customer: DataFrame) -> DataFrame:
         F.concat(F.lit("app-"), k.cast("string")).alias("id"),
         F.col("c_nationkey").cast("long").alias("company_id"),
         F.lower("c_mktsegment").alias("first_name"),
-        F.expr("substring(c_name, 10)").alias("last_name"),
+        F.when(k % 47 != 20, F.expr("substring(c_name, 10)")).alias("last_name"),
         _pick(VALID_STATUSES, k % 8).alias("status"),
         F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal") / 100.0).alias("role_fit_score"),
         F.when(k % 3 == 1, F.lit(True)).when(k % 3 == 2, F.lit(False)).alias("has_passed_screening"),

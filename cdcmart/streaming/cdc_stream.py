@@ -122,24 +122,55 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex[:10]}"
 
 
-def sessions(events: DataFrame, gap: str = "24 hours", key: str = "user_id", ts: str = "ts",
-             watermark: str | None = None) -> DataFrame:
-    """H7 on a stream: sliding-expiry sessions per key with ``session_window``
-    (a session closes ``gap`` after its last event). With ``watermark`` the
-    closed sessions can be emitted in append mode; without it (complete
-    mode) sessions merge across micro-batches however late events arrive."""
-    t = F.col(ts).cast("timestamp")
-    ev = events.withColumn("_t", t)
-    if watermark:
-        ev = ev.withWatermark("_t", watermark)
+def sessions(events: DataFrame, gap: str = "24 hours", key: str = "user_id", ts: str = "ts", delay: str = "2 days") -> DataFrame:
+    """H7 on a stream: sliding-expiry sessions per key with ``session_window`` (a
+    session closes ``gap`` after its last event). The state holds the sessions that the
+    watermark, ``delay`` behind the newest event, has not passed; append mode emits a
+    session once, when it is closed."""
     return (
-        ev
+        events.withColumn("_t", F.col(ts).cast("timestamp"))
+        .withWatermark("_t", delay)
         .groupBy(F.col(key).alias("session_key"), F.session_window("_t", gap).alias("s"))
         .agg(F.count(F.lit(1)).alias("writes"))
         .select("session_key", F.col("s.start").alias("session_start"), F.col("s.end").alias("expires_at"), "writes")
     )
 
 
+class LateGate:
+    """Side output of late rows: a ``foreachBatch`` function that writes every
+    micro-batch as ``on_time/batch=<id>`` and ``late/batch=<id>`` under ``root``.
+
+    A row is late where ``ends`` (the end of what it would be counted in; by default its
+    event time) is not after the watermark of its batch: ``delay`` behind the newest
+    event time of all *earlier* batches, in whole milliseconds, as Spark's own event-time
+    operators judge it. The newest time of each batch is kept beside its rows, so a
+    replayed batch is judged, and overwritten, the same way.
+    """
+
+    def __init__(self, root: str, time: str = "event_timestamp", delay_ms: int = 600_000, ends: Column | None = None):
+        self.root, self.time, self.delay_ms = root.rstrip("/"), time, delay_ms
+        self.ends = F.col(time) if ends is None else ends
+
+    def watermark(self, spark: SparkSession, batch_id: int) -> int:
+        """Watermark of a batch in epoch milliseconds; 0 before the first batch."""
+        if not batch_id:
+            return 0
+        seen = spark.read.schema("newest long, batch long").parquet(f"{self.root}/seen").where(F.col("batch") < batch_id)
+        return max(0, seen.agg(F.max("newest")).first()[0] - self.delay_ms)  # one row per batch
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        mark = F.timestamp_millis(F.lit(self.watermark(spark, batch_id)))
+        judged = batch.withColumn("late", self.ends <= mark).withColumn("watermark", mark)
+        judged.write.mode("overwrite").partitionBy("late").parquet(f"{self.root}/rows/batch={batch_id}")
+        newest = batch.agg(F.coalesce(F.max(F.unix_millis(self.time)), F.lit(0)).alias("newest"))
+        newest.write.mode("overwrite").parquet(f"{self.root}/seen/batch={batch_id}")
+
+    def read(self, spark: SparkSession, late: bool) -> DataFrame:
+        rows = spark.read.option("basePath", f"{self.root}/rows").parquet(f"{self.root}/rows")
+        return rows.where(F.col("late") == late).drop("late")
+
+
 class ProgressListener:
     """Collects the ``cdc_progress`` metrics of every micro-batch.
 

@@ -141,3 +141,42 @@ def test_batch_rules_invariants(spark):
     inv = {(r["player_id"], r["character_id"]): r["constellation"] for r in rules.build_inventory(
         df.withColumn("character_id", F.col("rarity")).withColumn("pulled_at", F.current_timestamp())).collect()}
     assert all(0 <= v <= 6 for v in inv.values())
+
+
+def test_name_matches_against_every_pair(spark):
+    """Rarest-gram index against a plain comparison, with hot grams, short terms and
+    names shorter than a term."""
+    import random
+
+    from cdcmart.operators import governed
+
+    r = random.Random(8)
+    names = [(r.randrange(3), f"a{i}", r.choice(["house ", "", "a"]) + "".join(r.choice("abc ") for _ in range(r.randrange(9)))) for i in range(200)]
+    names += [(0, "none", None), (None, "nobody", "house a"), (1, "x", "abcabc")]
+    terms = [(r.randrange(4), "".join(r.choice("abc ") for _ in range(r.randrange(6)))) for _ in range(80)] + [(0, "house"), (1, "house"), (1, None), (None, "house"), (1, "zzz")]
+    got = governed.name_matches(
+        spark.createDataFrame(terms, "tenant int, term string"), spark.createDataFrame(names, "tenant int, application_id string, name string")
+    ).collect()
+    want = {(t, q, i) for t, q in terms if t is not None and q for u, i, name in names if u == t and name is not None and q in name}
+    assert len(got) == len(want) and {tuple(g) for g in got} == want
+
+
+def test_missing_last_name_is_no_name(spark):
+    from cdcmart.operators import governed
+
+    apps = spark.createDataFrame([("1", 1, "ann", None, "hired", None, None)], "id string, company_id long, first_name string, last_name string, status string, role_fit_score double, has_passed_screening boolean")
+    users = spark.createDataFrame([("u", 1)], "user_id string, company_id long")
+    asked = spark.createDataFrame([(1, "u", None)], "request_id long, user_id string, status_filter string")
+    assert governed.tenant_applicants(asked, users, apps).first()["name"] is governed.applicant_display(apps).first()["name"] is None
+    term = spark.createDataFrame([(1, "u", " ann ")], "request_id long, user_id string, term string")
+    assert governed.name_lookup(term, users, apps).first()["outcome"] == "NOT_FOUND"
+
+
+def test_pity_state_with_null_keys(spark):
+    import datetime as dt
+
+    from cdcmart.operators import rules
+
+    rows = [(None, None, "R", i) for i in range(7)] + [("p", None, "SSR", 0), ("p", None, "R", 1), (None, "limited", "R", 2)]
+    pulls = spark.createDataFrame([(*r, str(i), dt.datetime(2024, 1, 1 + r[3])) for i, r in enumerate(rows)], "player_id string, banner_type string, rarity string, n int, pull_id string, pulled_at timestamp")
+    assert {(r.player_id, r.banner_type): r.pity_count for r in rules.pity_state(pulls).collect()} == {(None, None): 7, ("p", None): 1, (None, "limited"): 1}
