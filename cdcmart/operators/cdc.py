@@ -211,6 +211,35 @@ def route(
     return out.withColumn("ingested_at", F.when(F.col("route") == "bronze", stamp))
 
 
+#: Folders of the written log.
+LOG_PARTITIONS = ("route", "source_table", "ingest_date")
+
+
+def with_ingest_date(routed: DataFrame, grain: str = "day") -> DataFrame:
+    """``ingest_date``: the first day of the ``grain`` (day, month, year) of the ingest
+    time; null for what is not Bronze."""
+    return routed.withColumn("ingest_date", F.to_date(F.date_trunc(grain, "ingested_at")))
+
+
+def write_log(routed: DataFrame, path: str, grain: str = "day") -> None:
+    """A3: the routed log as ``route/source_table/ingest_date`` folders, rows of a file
+    sorted by key. A read of some tables and days opens their folders only, and a key
+    filter skips row groups and pages by their statistics. The rebalance gives every
+    folder files of an even size, however unequal the tables and days are."""
+    clustered = with_ingest_date(routed, grain).hint("rebalance", *LOG_PARTITIONS).sortWithinPartitions(*LOG_PARTITIONS, "id")
+    clustered.write.mode("overwrite").partitionBy(*LOG_PARTITIONS).parquet(path)
+
+
+def log_slice(bronze: DataFrame, tables: Sequence[str], since: Column, until: Column, grain: str = "day", keys: Sequence[str] | None = None) -> DataFrame:
+    """The Bronze rows of some tables ingested from ``since`` to before ``until``, of
+    some keys or all: partition filters on table and date, pushed filters on time and key."""
+    day = F.col("ingest_date")
+    first, last = F.to_date(F.date_trunc(grain, since)), F.to_date(F.date_trunc(grain, until))
+    rows = bronze.where(F.col("source_table").isin(*tables) & (day >= first) & (day <= last))
+    rows = rows.where((F.col("ingested_at") >= since) & (F.col("ingested_at") < until))
+    return rows.where(F.col("id").isin(*keys)) if keys is not None else rows
+
+
 def _normal_cols(stable_keys: dict | None = None) -> list[tuple[str, Column]]:
     """Normalised columns. ``stable_keys`` ({table: [key fields]}) gives
     composite-key tables a Bronze id 'a:b' that does not change with every

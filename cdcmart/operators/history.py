@@ -1,9 +1,11 @@
 """Session history operators (H5-H8, H14) over a step table
 ``(session_id, seq, action, tool, result)``.
 
-Per-session positions use top-k windows (``row_number() <= k``), which Spark
-evaluates with a map-side group limit, and per-session counts are partial
-aggregates; no step needs a session's rows sorted in one task.
+Positions within a session are segmented scans and counts are partial aggregates, so
+no session's rows are sorted in one task. Texts of a session (summary, trace) are an
+ordered fold: neighbouring steps become chunks of :data:`FOLD` pieces, chunks become
+larger chunks, until one is left; every task joins at most FOLD pieces of a session,
+the whole text exists in the last step only. ``trace_steps`` is the row-level form.
 """
 
 from __future__ import annotations
@@ -79,6 +81,34 @@ def step_phrase(action: Column, tool: Column, result: Column) -> Column:
     return _by_action(PHRASES, action, tool, result)
 
 
+#: Pieces that one step of the ordered fold joins.
+FOLD = 1_000
+
+
+def positions(history: DataFrame) -> DataFrame:
+    """The steps with their 1-based place in the session (``n``); steps of one ``seq``
+    are told apart by a hash of their content."""
+    from cdcmart.operators.scan import segmented_scan
+
+    steps = history.select("session_id", "seq", "action", "tool", "result").withColumn("_tie", F.xxhash64("action", "tool", "result"))
+    return segmented_scan(steps, ["session_id"], ["seq", "_tie"], {"n": ("count", None, True)}).drop("_tie")
+
+
+def ordered_text(pieces: DataFrame, keys: list[str], place: str, text: str, sep: str, fold: int = FOLD) -> DataFrame:
+    """Per key: ``text`` of all pieces in the order of ``place`` (1, 2, ... without
+    gaps), joined by ``sep``. The number of steps is the logarithm of the longest
+    key's length to the base ``fold``. Null pieces are left out."""
+    longest = pieces.agg(F.coalesce(F.max(place), F.lit(1))).first()[0]
+    level = pieces.where(F.col(text).isNotNull()).select(*keys, (F.col(place) - 1).alias("_at"), F.col(text).alias("_t"))
+    while True:
+        part = F.floor(F.col("_at") / fold).cast("long")
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_t"))), lambda x: x["_t"]), sep)
+        level = level.groupBy(*keys, part.alias("_part")).agg(joined.alias("_t")).withColumnRenamed("_part", "_at")
+        longest = -(-longest // fold)
+        if longest <= 1:
+            return level.select(*keys, F.col("_t").alias(text))
+
+
 def compact_history(history: DataFrame, threshold: int = 5, keep: int = 3) -> DataFrame:
     """H5: sessions with more than ``threshold`` steps keep their last ``keep``
     steps; all earlier ones become one COMPACTED_SUMMARY row
@@ -87,35 +117,22 @@ def compact_history(history: DataFrame, threshold: int = 5, keep: int = 3) -> Da
     Output: (session_id, seq, action, tool, result, compacted_count); the
     summary row takes the seq of the first step it replaces.
     """
-    counts = history.groupBy("session_id").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy("session_id").orderBy(F.desc("seq"))
-    kept_from = (
-        history.select("session_id", "seq", F.row_number().over(w).alias("_rk"))
-        .where(F.col("_rk") <= keep)
-        .groupBy("session_id")
-        .agg(F.min("seq").alias("_from"))
-    )
-    h = history.join(counts, "session_id").join(kept_from, "session_id", "left")
-    old = (F.col("_n") > threshold) & (F.col("seq") < F.col("_from"))
+    counts = history.groupBy("session_id").agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed("session_id", "_s")
+    h = positions(history).join(counts, F.col("session_id").eqNullSafe(F.col("_s"))).drop("_s")
+    old = (F.col("_n") > threshold) & (F.col("n") <= F.col("_n") - keep)
     recent = h.where(~old).select(
         "session_id", "seq", "action", "tool", "result", F.lit(None).cast("long").alias("compacted_count")
     )
-    summary = (
-        h.where(old)
-        .groupBy("session_id")
-        .agg(
-            F.min("seq").alias("seq"),
-            F.count(F.lit(1)).alias("compacted_count"),
-            F.array_sort(F.collect_list(F.struct("seq", step_phrase(F.col("action"), F.col("tool"), F.col("result")).alias("p")))).alias("_l"),
-        )
-        .select(
-            "session_id",
-            "seq",
-            F.lit("COMPACTED_SUMMARY").alias("action"),
-            F.lit(None).cast("string").alias("tool"),
-            template(SUMMARY, parts=F.array_join(F.transform("_l", lambda x: x["p"]), ". ")).alias("result"),
-            "compacted_count",
-        )
+    gone = h.where(old).select("session_id", "seq", "n", step_phrase(F.col("action"), F.col("tool"), F.col("result")).alias("result"))
+    texts = ordered_text(gone, ["session_id"], "n", "result", ". ")
+    heads = gone.groupBy(F.col("session_id").alias("_s")).agg(F.min("seq").alias("seq"), F.count(F.lit(1)).alias("compacted_count"))
+    summary = texts.join(heads, F.col("session_id").eqNullSafe(F.col("_s"))).select(
+        "session_id",
+        "seq",
+        F.lit("COMPACTED_SUMMARY").alias("action"),
+        F.lit(None).cast("string").alias("tool"),
+        template(SUMMARY, parts=F.col("result")).alias("result"),
+        "compacted_count",
     )
     return recent.unionByName(summary)
 
@@ -124,17 +141,21 @@ def step_label(action: Column, tool: Column, result: Column) -> Column:
     return _by_action(LABELS, action, tool, result)
 
 
+def trace_steps(history: DataFrame) -> DataFrame:
+    """H6, row-level: (session_id, n, seq, line) with the line of every step."""
+    label = step_label(F.col("action"), F.col("tool"), F.col("result"))
+    return positions(history).select("session_id", "n", "seq", template(STEP_LINE, n=F.col("n").cast("string"), label=label).alias("line"))
+
+
 def execution_trace(history: DataFrame) -> DataFrame:
     """H6: per session, ``Step n: LABEL`` lines joined by arrows, and the total."""
-    g = history.groupBy("session_id").agg(
-        F.count(F.lit(1)).alias("total_steps"),
-        F.array_sort(F.collect_list(F.struct("seq", step_label(F.col("action"), F.col("tool"), F.col("result")).alias("l")))).alias("_l"),
-    )
-    lines = F.transform("_l", lambda x, i: template(STEP_LINE, n=(i + 1).cast("string"), label=x["l"]))
-    return g.select(
+    lines = trace_steps(history)
+    total = lines.groupBy(F.col("session_id").alias("_s")).agg(F.count(F.lit(1)).alias("total_steps"))
+    text = ordered_text(lines, ["session_id"], "n", "line", ARROW)
+    return text.join(total, F.col("session_id").eqNullSafe(F.col("_s"))).select(
         "session_id",
         "total_steps",
-        F.concat(F.array_join(lines, ARROW), template(TOTAL_LINE, n=F.col("total_steps").cast("string"))).alias("trace"),
+        F.concat("line", template(TOTAL_LINE, n=F.col("total_steps").cast("string"))).alias("trace"),
     )
 
 

@@ -69,6 +69,17 @@ def watch_commands(events: DataFrame, clients: int = 7) -> DataFrame:
     )
 
 
+def live_ticks(events: DataFrame) -> DataFrame:
+    """Ticks of the event log: one per purchase, priced by its ``k``; a price of zero
+    is a failed fetch."""
+    price = F.get_json_object("props", "$.k").cast("long")
+    repo = F.concat(F.lit("repo-"), F.col("user_id").cast("string"))
+    return events.where(F.col("event_type") == "purchase").select(
+        F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("tick_id"), repo.alias("repo"), price.alias("price"),
+        F.when(price == 0, F.concat(F.lit("not found: "), repo)).alias("error"),
+    )
+
+
 def watchlist_state(commands: DataFrame) -> DataFrame:
     """(client, repo) pairs whose last command is a subscribe.
 

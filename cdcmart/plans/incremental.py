@@ -217,6 +217,7 @@ def run_incremental(
     batch_id: int,
     honor_deletes: bool = False,
     ingested_at=None,
+    grain: str = "day",
 ) -> IncrementalWarehouse:
     """One incremental run: route the new messages (``cdc_batches/batch=<id>``), patch
     Silver and Gold, publish. A run that was published before changes nothing; run
@@ -229,7 +230,7 @@ def run_incremental(
         raise ValueError(f"run {batch_id} comes before published run {done[-1]}")
     batch_dir = wh.path(f"cdc_batches/batch={batch_id}")
     routed = cdc.route(messages, ingested_at=ingested_at, tables=list(SILVER_SPECS))
-    routed.write.mode("overwrite").partitionBy("route", "source_table").parquet(batch_dir)
+    cdc.write_log(routed, batch_dir, grain)
     run = _Run(wh, batch_id, honor_deletes)
     if path_exists(spark, f"{batch_dir}/route=bronze"):
         new = _bronze(spark, batch_dir)

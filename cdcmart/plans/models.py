@@ -95,11 +95,14 @@ class Warehouse:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
+    def log(self) -> DataFrame:
+        """The Bronze log with its ``ingest_date`` folders."""
+        path = self.path("cdc/route=bronze")
+        return self.spark.read.option("basePath", path).parquet(path)
+
     def table(self, name: str) -> DataFrame:
         if name == "bronze":
-            return self.spark.read.option("basePath", self.path("cdc/route=bronze")).parquet(
-                self.path("cdc/route=bronze")
-            ).select(*cdc.BRONZE_COLS)
+            return self.log().select(*cdc.BRONZE_COLS)
         if name == "dlq":
             path = self.path("cdc/route=dlq")
             if not path_exists(self.spark, path):  # a clean log rejects nothing
@@ -141,7 +144,7 @@ def run_models(
     routed = cdc.route(msgs, ingested_at=F.col("event_timestamp"), tables=list(SILVER_SPECS))
     # One pass over the messages: Bronze (by table), dead letters and
     # undecodable messages land in sibling folders of one write.
-    routed.write.mode("overwrite").partitionBy("route", "source_table").parquet(wh.path("cdc"))
+    cdc.write_log(routed, wh.path("cdc"), grain="month")  # ingest time is event time here: years of it
     b = wh.table("bronze")
     stg = silver.build_all(b, honor_deletes)
     for name in SILVER_MODELS:

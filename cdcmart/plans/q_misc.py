@@ -71,6 +71,17 @@ def q_history_trace(spark, sf_dir):
     return history.execution_trace(_steps(spark, sf_dir))
 
 
+@register(
+    "history_trace_steps",
+    f"""
+    SELECT session_id, rn AS n, seq, '  Step ' || rn || ': ' || {LABEL} AS line
+    FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS rn FROM {H_STEPS})""",
+)
+def q_history_trace_steps(spark, sf_dir):
+    """H6, row-level: the trace line of every step."""
+    return history.trace_steps(_steps(spark, sf_dir))
+
+
 @register(
     "session_expiry",
     """

@@ -23,7 +23,7 @@ from cdcmart.streaming import watchlist as wl
 
 ROUTED_SCHEMA = (
     "route string, id string, data string, event string, event_timestamp timestamp, source_table string, "
-    "source_schema string, reason string, raw string, ingested_at timestamp"
+    "source_schema string, reason string, raw string, ingested_at timestamp, ingest_date date"
 )
 
 
@@ -46,8 +46,12 @@ def _ingest(spark, sf_dir, files_per_batch: int = 16):
     msgs = adapter.cdc_messages(adapter.source_tables(spark, sf_dir))
     msgs.write.mode("overwrite").parquet(f"{base}/in")
     s = cs.read_cdc(spark, f"{base}/in", fmt="binary", max_files=files_per_batch)
-    q = cs.bronze_sink(s, f"{base}/out", f"{base}/ckpt_bronze", ingested_at=F.col("event_timestamp"))
+    listener = cs.ProgressListener.create()
+    spark.streams.addListener(listener)
+    q = cs.bronze_sink(s, f"{base}/out", f"{base}/ckpt_bronze", ingested_at=F.col("event_timestamp"), grain="year")
     q.awaitTermination()
+    listener.table(spark, q).write.parquet(f"{base}/progress")
+    spark.streams.removeListener(listener)
     _INGESTED[key] = base
     return base
 
@@ -341,3 +345,48 @@ def q_stream_tick_fanout(spark, sf_dir):
     )
     q.awaitTermination()
     return spark.read.parquet(f"{base}/out")
+
+
+@register(
+    "stream_live_fanout",
+    """
+    SELECT t.event_id AS tick_id, t.repo, c.client_id, t.ts AS at, CASE WHEN k = 0 THEN 'error' ELSE 'tick' END AS kind,
+           CASE WHEN k <> 0 THEN k END AS price, CASE WHEN k = 0 THEN 'not found: ' || t.repo END AS message
+    FROM (SELECT event_id, 'repo-' || user_id AS repo, ts, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k
+          FROM events WHERE event_type = 'purchase') t
+    JOIN (SELECT event_id % 7 AS client_id, 'repo-' || user_id AS repo, ts, event_id % 4 <> 0 AS subscribed,
+                 lead(ts) OVER (PARTITION BY event_id % 7, user_id ORDER BY ts) AS until FROM events) c
+      ON t.repo = c.repo AND c.ts <= t.ts AND (c.until IS NULL OR c.until > t.ts) AND c.subscribed""",
+)
+def q_stream_live_fanout(spark, sf_dir):
+    """Ticks against watch state that changes between them; both logs are
+    delivered in time order, in slices, to one stateful stream."""
+    run = cs.scratch(spark, "live")
+    ev = _slices(load(spark, sf_dir, "events"), "ts").withColumnRenamed("slice", "delivered")
+    at = F.col("ts").cast("timestamp").alias("at")
+    commands = ticker.watch_commands(ev).join(ev.select(F.col("event_id").alias("seq"), at, "delivered"), "seq")
+    ticks = ticker.live_ticks(ev).join(ev.select(F.col("event_id").alias("tick_id"), "delivered"), "tick_id")
+    kinds = {"commands": commands, "ticks": ticks}
+    for n in range(len(SLICE_DAYS) + 1):
+        streams = {}
+        for kind, rows in kinds.items():
+            part = rows.where(F.col("delivered") == n).drop("delivered")
+            part.write.parquet(f"{run}/{kind}/slice={n}")
+            streams[kind] = spark.readStream.schema(part.schema).option("basePath", f"{run}/{kind}").parquet(f"{run}/{kind}")
+        _appending(run, lambda _: wl.live_fanout(streams["commands"], streams["ticks"]))(None).awaitTermination()
+    return spark.read.parquet(f"{run}/out")
+
+
+@register(
+    "stream_progress",
+    """
+    SELECT b + d + u AS messages, b AS bronze, d AS dlq, u AS undecodable
+    FROM (SELECT (SELECT count(*) FROM bronze_keys) AS b, (SELECT count(*) FROM dead_letters) AS d,
+                 (SELECT coalesce(sum(if(event_id % 59 = 7, 2, 1)), 0) FROM src_pulls WHERE event_id % 103 = 0) AS u)""",
+)
+def q_stream_progress(spark, sf_dir):
+    """The progress counts of the ingest stream's micro-batches, added up."""
+    key = _input_key(spark, sf_dir)
+    _INGESTED.pop(key, None)
+    progress = spark.read.parquet(f"{_ingest(spark, sf_dir)}/progress")
+    return progress.agg(*[F.sum(c).alias(c) for c in ("messages", "bronze", "dlq", "undecodable")])

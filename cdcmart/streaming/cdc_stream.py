@@ -9,6 +9,7 @@ volume       -> events per table and kind in tumbling event-time windows
 
 from __future__ import annotations
 
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,14 +55,14 @@ def routed(stream: DataFrame, ingested_at: Column | None = None) -> DataFrame:
 
 
 def bronze_sink(stream: DataFrame, out: str, checkpoint: str, trigger: dict | None = None,
-                ingested_at: Column | None = None) -> StreamingQuery:
-    """A3/A4: append every routed message to ``out/route=.../source_table=...``."""
+                ingested_at: Column | None = None, grain: str = "day") -> StreamingQuery:
+    """A3/A4: append every routed message to ``out/route=.../source_table=.../ingest_date=...``."""
     w = (
-        routed(stream, ingested_at)
+        cdc.with_ingest_date(routed(stream, ingested_at), grain)
         .writeStream.format("parquet")
         .option("path", out)
         .option("checkpointLocation", checkpoint)
-        .partitionBy("route", "source_table")
+        .partitionBy(*cdc.LOG_PARTITIONS)
         .outputMode("append")
     )
     w = w.trigger(**(trigger or {"availableNow": True}))
@@ -84,7 +85,7 @@ def read_bronze_stream(spark: SparkSession, out: str) -> DataFrame:
     """Bronze rows of a bronze sink folder, as a stream."""
     schema = (
         "id string, data string, event string, event_timestamp timestamp, source_schema string, "
-        "reason string, raw string, ingested_at timestamp, route string, source_table string"
+        "reason string, raw string, ingested_at timestamp, route string, source_table string, ingest_date date"
     )
     return (
         spark.readStream.schema(schema)
@@ -175,9 +176,12 @@ class ProgressListener:
     """Collects the ``cdc_progress`` metrics of every micro-batch.
 
     Register with ``spark.streams.addListener(ProgressListener.create())``;
-    ``batches`` holds (batch id, metrics dict) in arrival order.
+    ``batches`` holds (batch id, metrics dict) in arrival order; ``table`` makes a
+    table of them (one row per micro-batch) once the query has ended.
     """
 
+    COUNTS = ("messages", "bronze", "dlq", "undecodable")
+
     @staticmethod
     def create():
         from pyspark.sql.streaming import StreamingQueryListener
@@ -185,6 +189,7 @@ class ProgressListener:
         class _L(StreamingQueryListener):
             def __init__(self):
                 self.batches = []
+                self.ended = threading.Event()
 
             def onQueryStarted(self, event):
                 pass
@@ -198,6 +203,12 @@ class ProgressListener:
                 pass
 
             def onQueryTerminated(self, event):
-                pass
+                self.ended.set()
+
+            def table(self, spark: SparkSession, query: StreamingQuery, wait: float = 30.0) -> DataFrame:
+                if not query.isActive:  # progress events come before the end event
+                    self.ended.wait(wait)
+                rows = [(str(query.id), b, *[m[c] for c in ProgressListener.COUNTS]) for b, m in self.batches]
+                return spark.createDataFrame(rows, "query string, batch long, " + ", ".join(f"{c} long" for c in ProgressListener.COUNTS))
 
         return _L()

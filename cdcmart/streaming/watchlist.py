@@ -9,6 +9,7 @@ overrides a newer one.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -72,6 +73,65 @@ def current_state(updates: DataFrame) -> DataFrame:
     return last.where("_s").select("client_id", "repo")
 
 
+LIVE_SCHEMA = "tick_id long, repo string, client_id long, at timestamp, kind string, price long, message string"
+
+
+def _live(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """State of (repo, bucket): the bucket's clients with the number of their last
+    command and whether it subscribed, as JSON."""
+    held = json.loads(state.get[0]) if state.exists else {}
+    rows = pd.concat([b for b in batches if not b.empty], ignore_index=True)
+    rows = rows.sort_values(["at", "is_tick", "seq"], kind="stable")
+    out, changed = [], False
+    for at, is_tick, seq, client, op, price, error in zip(
+        *(rows[c].tolist() for c in ("at", "is_tick", "seq", "client_id", "op", "price", "error")), strict=True
+    ):
+        if not is_tick:
+            last = held.get(str(int(client)))
+            if last is None or seq > last[0]:
+                held[str(int(client))], changed = [int(seq), op == "subscribe"], True
+            continue
+        bad = isinstance(error, str)
+        for c, (_, subscribed) in held.items():
+            if subscribed:
+                out.append((int(seq), key[0], int(c), at, "error" if bad else "tick", 0 if bad or pd.isna(price) else int(price), error if bad else ""))
+    if changed:
+        state.update((json.dumps(held),))
+    if out:
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in LIVE_SCHEMA.split(", ")])
+
+
+def live_fanout(commands: DataFrame, ticks: DataFrame, buckets: int = 16) -> DataFrame:
+    """H13 on two streams: every tick to the clients that watch its repo *then*.
+
+    ``commands``: (at, seq, client_id, repo, op); ``ticks``: (at, tick_id, repo, price,
+    error). Both are dealt by (repo, bucket of the client); the watch state lives in
+    Spark's state store, and within a micro-batch commands and ticks are taken in time
+    order (commands first at the same instant), so a subscribe between two ticks shows
+    from the second on. A command older than the client's last one changes nothing;
+    ticks that were answered are not answered again. A repo's clients are split over
+    ``buckets`` states, each of which gets the tick once.
+    """
+    none = F.lit(None)
+    c = commands.select(
+        "repo", F.pmod(F.xxhash64("client_id"), F.lit(buckets)).cast("int").alias("bucket"), "at", F.lit(False).alias("is_tick"),
+        F.col("seq").cast("long").alias("seq"), F.col("client_id").cast("long").alias("client_id"), "op",
+        none.cast("long").alias("price"), none.cast("string").alias("error"),
+    )
+    t = ticks.select(
+        "repo", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"), "at", F.lit(True).alias("is_tick"),
+        F.col("tick_id").cast("long").alias("seq"), none.cast("long").alias("client_id"), none.cast("string").alias("op"),
+        F.col("price").cast("long").alias("price"), "error",
+    )
+    made = c.unionByName(t).groupBy("repo", "bucket").applyInPandasWithState(
+        _live, LIVE_SCHEMA, "clients string", "append", GroupStateTimeout.NoTimeout
+    )
+    return made.select(
+        "tick_id", "repo", "client_id", "at", "kind", F.when(F.col("kind") == "tick", F.col("price")).alias("price"),
+        F.when(F.col("kind") == "error", F.col("message")).alias("message"),
+    )
+
+
 def fanout_stream(ticks_stream: DataFrame, watch_state: DataFrame) -> DataFrame:
     """Stream-static inner join of ticks with the current watch pairs."""
     return ticker.tick_fanout(ticks_stream, watch_state)
