@@ -15,8 +15,9 @@ training labels, aggregated on Spark.
 Features say that a lower-cased word, or a word's first four or five characters
 (inflected forms share them), occurs once, twice or three times and more in the
 text. Of these the fit keeps those whose document frequencies in P and U differ
-by ``MIN_Z`` standard errors or more, which needs no label but that of P. The
-score is ``sigmoid(bias + sum of the weights of the features present)``.
+by ``MIN_Z`` standard errors or more, which needs no label but that of P. Ids may be
+of any type; of rows that repeat an id with other texts one is read, always the
+same. The score is ``sigmoid(bias + sum of the weights of the features present)``.
 
 Training reads a bounded sample (``max_positive`` and ``max_unlabelled`` rows,
 the smallest hashes of the ids); scoring reads every whole text in Arrow batches.
@@ -41,7 +42,7 @@ from .common import text_of, to_arrow
 DIMENSIONS = 1 << 20
 MAX_POSITIVE = 4_000
 MAX_UNLABELLED = 12_000
-MIN_Z = 4.0
+MIN_Z = 2.0
 LEVELS = 3
 STEPS = 300
 RATE = 0.05
@@ -138,13 +139,12 @@ def _sample(rows: DataFrame, id_col: str, text_col: str, n: int) -> list[np.ndar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [features(t.as_py()).tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(made, pa.binary())], names=["id", "f"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(made, pa.binary())], names=["id", "f"])
 
-    made = chosen.mapInArrow(run, "id long, f binary").collect()  # n rows at most
-    got: dict[int, np.ndarray] = {}
-    for r in made:
-        got.setdefault(r["id"], np.frombuffer(r["f"], np.int32))
-    return [got[k] for k in sorted(got)]
+    made = chosen.select(F.col(id_col).cast("string").alias("key"), "text").mapInArrow(run, "id string, f binary")
+    # of rows that repeat an id, one whatever their order; n rows at most
+    kept = made.groupBy("id").agg(F.min("f").alias("f")).collect()
+    return [np.frombuffer(r["f"], np.int32) for r in sorted(kept, key=lambda r: r["id"])]
 
 
 def train(

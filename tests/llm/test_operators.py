@@ -336,6 +336,41 @@ def test_url_filter_decodes_ampersands(spark):
     assert {r.page_id: r.verdict for r in got} == {0: "block", 1: "block", 2: "block", 3: "allow", 9: "block"}
 
 
+def test_references_resolve_as_rfc_3986(spark):
+    """The normal and abnormal examples of section 5.4 (bases with a host), and more."""
+    base = "http://a/b/c/d;p?q"
+    cases = {
+        "g": "http://a/b/c/g", "./g": "http://a/b/c/g", "g/": "http://a/b/c/g/", "/g": "http://a/g", "//g": "http://g", "?y": "http://a/b/c/d;p?y",
+        "g?y": "http://a/b/c/g?y", "#s": "http://a/b/c/d;p?q#s", "g#s": "http://a/b/c/g#s", "g?y#s": "http://a/b/c/g?y#s", ";x": "http://a/b/c/;x",
+        "": "http://a/b/c/d;p?q", ".": "http://a/b/c/", "./": "http://a/b/c/", "..": "http://a/b/", "../": "http://a/b/", "../g": "http://a/b/g",
+        "../..": "http://a/", "../../": "http://a/", "../../g": "http://a/g", "../../../g": "http://a/g", "../../../../g": "http://a/g",
+        "/./g": "http://a/g", "/../g": "http://a/g", "g.": "http://a/b/c/g.", ".g": "http://a/b/c/.g", "g..": "http://a/b/c/g..", "..g": "http://a/b/c/..g",
+        "./../g": "http://a/b/g", "./g/.": "http://a/b/c/g/", "g/./h": "http://a/b/c/g/h", "g/../h": "http://a/b/c/h", "g;x=1/./y": "http://a/b/c/g;x=1/y",
+        "g;x=1/../y": "http://a/b/c/y", "g?y/../x": "http://a/b/c/g?y/../x", "g#s/../x": "http://a/b/c/g#s/../x", "mailto:x": "mailto:x",
+        "https://h/a/../b?u=1": "https://h/b?u=1", "/go?u=http://x/y": "http://a/go?u=http://x/y",
+    }
+    made = spark.createDataFrame([(r,) for r in cases], "r string").select("r", url_filter.resolve(F.col("r"), F.lit(base)).alias("u")).collect()
+    assert {x.r: x.u for x in made} == cases
+    got = spark.createDataFrame([("x",), ("../x",)], "r string").select(url_filter.resolve(F.col("r"), F.lit("http://h")).alias("u")).collect()
+    assert [x.u for x in got] == ["http://h/x", "http://h/x"]
+
+
+def test_url_filter_links_names_and_ties(spark):
+    canon = '<link rel=canonical href="{}">'
+    pages = [
+        (1, "http://a.net/x/y?b=1", canon.format("?page=2")), (2, "http://a.net/x/y?page=2", canon.format("http://z.com/de/1")), (3, "http://a.net/x/q/r", canon.format("../y?page=2")),
+        (4, "http://a.net/o", '<base href="/deep/er/">' + canon.format("../p")), (5, "http://a.net/deep/p", canon.format("http://z.com/de/2")),
+        (6, "http://m.com/b", canon.format("http://z.com/de/3")), (7, "http://www.com/b", ""), (8, "http://m.co.uk/b", canon.format("http://z.com/de/4")), (9, "http://co.uk/b", ""),
+        (10, "http://m.site.net/b", canon.format("http://z.com/de/5")), (11, "http://www.site.net/b", ""),
+    ]
+    got = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), RULES).collect()
+    blocked = {r.page_id for r in got if r.verdict == "block"}
+    assert blocked == {1, 2, 3, 4, 5, 6, 8, 10, 11}
+    ties = (("allow", "t.net", "/ab"), ("block", "x.t.net", "/"), ("block", "t.net", "/ab"))
+    one = spark.createDataFrame([(1, "http://x.t.net/abc", "")], "page_id long, url string, html string")
+    assert url_filter.judge(one, ties).first().verdict == "allow"
+
+
 def test_connected_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 160)] + [(200, 200), (None, 1), (300, 299), (300, 299)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -415,6 +450,48 @@ def test_toxicity(spark):
     assert all(r.score < 0.5 for r in toxicity.score(docs, none).collect())
 
 
+def test_toxicity_fit_against_plain_risk(spark):
+    """The fit against a dense restatement of feature choice, risk and steps."""
+    import random
+
+    r = random.Random(4)
+    texts = [" ".join(r.choice(["sun", "moon", "tree", "river"]) for _ in range(9)) + (" foulest" * r.randrange(1, 4) if i % 4 == 0 else "") for i in range(60)]
+    made = [toxicity.features(t) for t in texts]
+    positive, unlabelled, prior, steps = made[::4][:8], made, 0.3, 25
+    model = toxicity.fit(positive, unlabelled, prior, steps=steps)
+    every = sorted({int(s) for x in made for s in x})
+    n_p, n_u = len(positive), len(unlabelled)
+    chosen = []
+    for s in every:
+        p, u = sum(s in x for x in positive) / n_p, sum(s in x for x in unlabelled) / n_u
+        if abs(p - u) >= toxicity.MIN_Z * ((u + 1 / n_p) / n_p) ** 0.5:
+            chosen.append(s)
+    x = np.array([[float(s in f) for s in chosen] + [1.0] for f in [*positive, *unlabelled]])
+    w = np.zeros(len(chosen) + 1)
+    w[-1] = np.log(prior / (1 - prior))
+    m = v = np.zeros(len(w))
+    for step in range(1, steps + 1):
+        def risk(w):
+            z = x @ w
+            pos, as_clean = np.logaddexp(0, -z[:n_p]).mean(), np.logaddexp(0, z)
+            rest = as_clean[n_p:].mean() - prior * as_clean[:n_p].mean()
+            return (prior * pos + rest if rest >= 0 else -rest) + toxicity.DECAY / 2 * (w[:-1] ** 2).sum()
+
+        g = np.array([(risk(w + e) - risk(w - e)) / 2e-6 for e in np.eye(len(w)) * 1e-6])
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        w = w - toxicity.RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    assert len(chosen) >= 3 and np.flatnonzero(model.weights).tolist() == chosen
+    assert np.abs(model.weights[chosen] - w[:-1]).max() < 1e-2 and abs(model.bias - w[-1]) < 1e-2
+
+
+def test_toxicity_takes_any_ids(spark):
+    """Text ids, and rows that repeat an id with other texts in any order."""
+    rows = [(f"d{i % 150}", prose(i, 20) + (" scumling" * 2 if i % 150 % 5 == 0 else "")) for i in range(300)]
+    labels = spark.createDataFrame([(f"d{i}", int(i % 5 == 0)) for i in range(150)], "doc_id string, toxic int")
+    models = [toxicity.train(spark.createDataFrame(x, "doc_id string, text string").repartition(n), labels) for n, x in ((1, rows), (7, rows[::-1]))]
+    assert models[0].bias == models[1].bias and (models[0].weights == models[1].weights).all() and models[0].weights.any()
+
+
 def test_toxicity_does_not_read_held_out_labels(spark):
     docs = spark.createDataFrame([(i, prose(i, 20)) for i in range(100)], "doc_id long, text string")
     a = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, toxic int")

@@ -74,6 +74,28 @@ def test_positions_keep_the_mix_over_many_files(spark):
             break
 
 
+def test_positions_of_clashing_and_filtered_tables(spark):
+    """Extra columns of any name pass; rows filtered out since the read leave no gap."""
+    import corpus_pipeline as cp
+    from pyspark.sql import functions as F
+
+    from cdcmart.llm.common import materialize
+
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    docs = spark.createDataFrame([(i, f"text {i}", "en", f"src{i % 3}", None) for i in range(300)], schema)
+    docs = docs.withColumns({c: F.lit("x") for c in ("position", "_path", "_row", "_begin", "path", "at", "row", "n", "ids", "begin", "_toxicity", "last")})
+    clean = cp.reject_toxic(spark, docs, SF)
+    assert clean.columns == docs.columns and {r[0] for r in clean.select("_toxicity").distinct().collect()} == {"x"}
+    mixed = materialize(cp.mix_sources(spark, docs, SF), "mixed")
+    assert mixed.columns == docs.columns
+    order = [r.doc_id for r in cp.encode_bytes(spark, mixed, SF).orderBy("position").collect()]
+    kept = cp.encode_bytes(spark, mixed.where("doc_id % 7 <> 0"), SF).orderBy("position").collect()
+    assert sorted(order) == list(range(300)) and [r.position for r in kept] == list(range(len(kept)))
+    assert [r.doc_id for r in kept] == [i for i in order if i % 7]
+    fresh = cp.encode_bytes(spark, docs.orderBy(F.desc("doc_id")), SF).orderBy("position").collect()
+    assert [r.doc_id for r in fresh] == list(range(299, -1, -1))
+
+
 def test_odd_rows_and_empty_tables(spark):
     import corpus_pipeline as cp
 
@@ -89,5 +111,5 @@ def test_queries_are_registered():
     import __spark_entry__ as e
 
     names = e.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
     assert set(e.oracle_sql()) <= set(names)
