@@ -14,6 +14,7 @@ pass through every stage with the results that the operators state.
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +30,11 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     labelled part of the documents at hand."""
     configure(spark)
     model = toxicity.train(docs.select("doc_id", "text"), load(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    scored = toxicity.score(docs, model, out="_toxicity")
-    return scored.where(F.col("_toxicity") < 0.5).select(*docs.columns)
+    out = "_toxicity"
+    while out in docs.columns:
+        out += "_"
+    scored = toxicity.score(docs, model, out=out)
+    return scored.where(F.col(out) < 0.5).drop(out)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,19 +56,25 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def file_positions(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``position``: the place of each row, gapless from 0, in the
-    order of Spark's part files and of the rows within. How files are packed into
-    tasks does not matter. A table that is not just read from files is written
-    first, which keeps its order."""
-    if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":
-        docs = materialize(docs, "ordered")
-    rows = docs.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_row"))
+    """Every row of ``docs`` as ``row`` (a struct of its columns, so no name can clash)
+    with ``position``: its place, gapless from 0, in the order of Spark's part files and
+    of the rows within. How files are packed into tasks does not matter, and rows may
+    have been filtered out since they were read. A table that comes from no files is
+    written first."""
+    row = F.struct(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row")
+    try:
+        rows = docs.select(row, F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("at"))
+    except AnalysisException:
+        return file_positions(materialize(docs, "ordered"))
     part = r"/part-(\d+)[^/]*?(?:-c(\d+))?(?:\.[^/]*)?$"
-    numbers = [F.regexp_extract("_path", part, i).try_cast("bigint") for i in (1, 2)]
-    files = rows.groupBy("_path").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy(*numbers, "_path").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
-    begins = files.select("_path", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_begin"))
-    return rows.join(F.broadcast(begins), "_path").select(*docs.columns, (F.col("_begin") + F.col("_row")).alias("position"))
+    numbers = [F.regexp_extract("path", part, i).try_cast("bigint") for i in (1, 2)]
+    files = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("last"))
+    if not files.where("n <> last + 1").isEmpty():  # rows are missing: number those that are left
+        inside = F.row_number().over(Window.partitionBy("path").orderBy("at")) - 1  # one file at a time
+        rows = rows.withColumn("at", inside)
+    before = Window.orderBy(*numbers, "path").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    begins = files.select("path", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
+    return rows.join(begins, "path").select("row", (F.col("begin") + F.col("at")).alias("position"))
 
 
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +82,11 @@ def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     ids decode to its text."""
     configure(spark)
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    marked = file_positions(docs).select("doc_id", "lang", "source", "position", "text", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+    row = {c: F.col(f"row.c{docs.columns.index(c)}") for c in ("doc_id", "lang", "source", "text")}
+    marked = file_positions(docs).select(
+        *[row[c].alias(c) for c in ("doc_id", "lang", "source")], "position", row["text"].alias("text"),
+        F.sha2(F.coalesce(row["text"], F.lit("")).cast("binary"), 256).alias("text_sha256"),
+    )
     read = bpe.decode(bpe.encode(marked, ranks, public_tokenizers.PATTERN), ranks, public_tokenizers.PATTERN)
     return read.select(
         "doc_id", "lang", "source", "position", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.sha2("bytes", 256) == F.col("text_sha256")).alias("round_trip")
