@@ -25,6 +25,13 @@ trigger and learn which of them other documents have (one bit each). Only phrase
 of such triggers are sent on, once per chunk, and a mask of windows comes back.
 The documents themselves move as compressed chunks. All matches are decided on
 the bytes, hashes only choose what is compared.
+
+A line that many documents share, with other text around it in each, is a trigger with
+as many distinct phrases. Chunks also say how many more than one phrase a trigger has in
+them; where that makes :data:`HOT_PHRASES` or more in all (and not just copies of one
+phrase in many chunks), every chunk learns so (a second bit) and parses that trigger's
+windows as phrases of their own, dealt by the hash of the window: equal windows still
+meet, but the trigger is split over all buckets.
 """
 
 from __future__ import annotations
@@ -44,6 +51,8 @@ from .common import materialize, text_of, to_arrow
 LENGTH = 50
 CHUNK_BYTES = 2 << 20
 BUCKET_BYTES = 12 << 20
+#: Phrases of one trigger from which on it is split by window.
+HOT_PHRASES = 20_000
 _LAST = np.int64(2**63 - 1)  # order of rows without an id: after all others
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = []
@@ -61,13 +70,17 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
-def _rolling(raw: np.ndarray, k: int) -> np.ndarray:
-    """Mixed 64-bit hash of the k bytes from each position."""
-    up, down = _powers(len(raw))
+def _sums(raw: np.ndarray) -> np.ndarray:
     sums = np.empty(len(raw) + 1, np.uint64)
     sums[0] = 0
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
-    h = (sums[k:] - sums[:-k]) * down[: len(raw) - k + 1]
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(len(raw))[0][: len(raw)], out=sums[1:])
+    return sums
+
+
+def _rolling(raw: np.ndarray, k: int, sums: np.ndarray | None = None) -> np.ndarray:
+    """Mixed 64-bit hash of the k bytes from each position."""
+    sums = _sums(raw) if sums is None else sums
+    h = (sums[k:] - sums[:-k]) * _powers(len(raw))[1][: len(raw) - k + 1]
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
@@ -78,17 +91,18 @@ def _rolling(raw: np.ndarray, k: int) -> np.ndarray:
 
 class Parse:
     """Phrases of a list of texts: ``doc``, ``at`` (first window), ``n``
-    (windows) and ``h`` (hash of the trigger) of each, in text order."""
+    (windows), ``h`` (hash of the trigger) and ``content`` (hash of the phrase) of
+    each, in text order."""
 
     def __init__(self, texts: list[bytes], length: int) -> None:
         self.texts, self.length, self.k = texts, length, length // 2 + 1
-        doc, at, n, h = [], [], [], []
+        doc, at, n, h, content = [], [], [], [], []
         for own in self._segments():
             found = self._segment(own)
-            for held, x in zip((doc, at, n, h), found, strict=True):
+            for held, x in zip((doc, at, n, h, content), found, strict=True):
                 held.append(x)
         self.doc, self.at, self.n = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (doc, at, n))
-        self.h = np.concatenate(h) if h else np.zeros(0, np.uint64)
+        self.h, self.content = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (h, content))
 
     def _segments(self) -> Iterator[list[tuple[int, int, bytes]]]:
         """Groups of ``(text, offset, bytes)`` of about a chunk; a longer text is
@@ -111,7 +125,8 @@ class Parse:
         raw = np.frombuffer(b"".join(p for _, _, p in own), np.uint8)
         sizes = np.array([len(p) for _, _, p in own])
         first = np.cumsum(sizes) - sizes
-        h = _rolling(raw, self.k)
+        sums = _sums(raw)
+        h = _rolling(raw, self.k, sums)
         least = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
         width, wide = 1, self.length - self.k + 1
         while 2 * width <= wide:
@@ -134,12 +149,38 @@ class Parse:
         which = np.searchsorted(first, at, "right") - 1
         docs = np.array([i for i, _, _ in own])[which]
         offset = np.array([o for _, o, _ in own])[which]
-        return docs, at - first[which] + offset, stop - at, h[trigger[at]]
+        content = (sums[stop + self.length - 1] - sums[at]) * _powers(len(raw))[1][at]
+        return docs, at - first[which] + offset, stop - at, h[trigger[at]], content
 
     def triggers(self) -> np.ndarray:
         """Sorted distinct trigger hashes."""
         return np.unique(self.h)
 
+    def more_phrases(self) -> tuple[np.ndarray, np.ndarray]:
+        """The triggers with several distinct phrases here, and how many more than one."""
+        values, counts = np.unique(self.h, return_counts=True)
+        often = np.flatnonzero(np.isin(self.h, values[counts > 1]))
+        order = often[np.lexsort((self.content[often], self.h[often]))]
+        new = np.ones(len(order), bool)
+        new[1:] = (self.h[order[1:]] != self.h[order[:-1]]) | (self.content[order[1:]] != self.content[order[:-1]])
+        values, counts = np.unique(self.h[order[new]], return_counts=True)
+        return values[counts > 1], counts[counts > 1] - 1
+
+    def split(self, hot: np.ndarray) -> np.ndarray:
+        """Replace the phrases of ``hot`` triggers by their windows, each a phrase whose
+        ``h`` is the hash of its bytes; returns these hashes."""
+        those = np.isin(self.h, hot)
+        runs = list(zip(self.doc[those].tolist(), self.at[those].tolist(), self.n[those].tolist(), strict=True))
+        hashes = [_rolling(np.frombuffer(self.texts[d][a : a + n + self.length - 1], np.uint8), self.length) for d, a, n in runs]
+        made = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        n = self.n[those]
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        self.doc, self.at, self.n, self.h = (
+            np.concatenate([self.doc[~those], np.repeat(self.doc[those], n)]), np.concatenate([self.at[~those], np.repeat(self.at[those], n) + inner]),
+            np.concatenate([self.n[~those], np.ones(len(inner), np.int64)]), np.concatenate([self.h[~those], made]),
+        )
+        return np.unique(made)
+
     def shared_here(self) -> np.ndarray:
         """Sorted trigger hashes that two texts or more of this chunk have."""
         order = np.lexsort((self.doc, self.h))
@@ -245,14 +286,48 @@ def _by_bucket(h: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int(own[places[0]]), places
 
 
-def _shared(right: pa.Table, triggers: np.ndarray, buckets: int) -> np.ndarray:
-    """The triggers that the replies mark as those of other chunks too."""
+def _shared(right: pa.Table, triggers: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The triggers that the replies mark as those of other chunks too, and as hot."""
     replies = dict(zip(right.column("bucket").to_pylist(), right.column("data").to_pylist(), strict=True))
-    marked = np.zeros(len(triggers), bool)
+    marked = np.zeros((2, len(triggers)), bool)
     for b, places in _by_bucket(triggers, buckets):
         if reply := replies.get(b):
-            marked[places] = np.unpackbits(np.frombuffer(reply, np.uint8), count=len(places)).astype(bool)
-    return triggers[marked]
+            bits = np.unpackbits(np.frombuffer(reply, np.uint8).reshape(2, -1), axis=1, count=len(places))
+            marked[:, places] = bits.astype(bool)
+    return triggers[marked[0]], triggers[marked[1]]
+
+
+def _question(found: np.ndarray, places: np.ndarray, many: np.ndarray, more: np.ndarray) -> bytes:
+    """What a chunk sends of its triggers ``found[places]`` (ascending): their number,
+    four bytes of each, and the place and further phrases of those with several."""
+    own = found[places]
+    at = np.searchsorted(own, many)
+    at[at == len(own)] = 0
+    here = own[at] == many
+    return b"".join([
+        np.array([len(own)], "<u4").tobytes(), (own >> np.uint64(32)).astype("<u4").tobytes(),
+        at[here].astype("<u4").tobytes(), more[here].astype("<u4").tobytes(),
+    ])
+
+
+def _answers(questions: list[bytes], hot_phrases: int) -> list[bytes]:
+    """Per question two bits for each trigger: others have it; it is hot."""
+    sent, further = [], []
+    for q in questions:
+        n = int(np.frombuffer(q[:4], "<u4")[0])
+        sent.append(np.frombuffer(q[4 : 4 + 4 * n], "<u4"))
+        further.append(np.frombuffer(q[4 + 4 * n :], "<u4").reshape(2, -1))
+    values, counts = np.unique(np.concatenate(sent), return_counts=True)
+    extra = np.zeros(len(values), np.int64)
+    for own, (at, more) in zip(sent, further, strict=True):
+        np.add.at(extra, np.searchsorted(values, own[at]), more)
+    # copies of one phrase in many chunks are no reason to split
+    hot = (counts + extra >= hot_phrases) & (2 * extra >= counts)
+    out = []
+    for own in sent:
+        place = np.searchsorted(values, own)
+        out.append(np.packbits(np.stack([counts[place] > 1, hot[place]]), axis=1).tobytes())
+    return out
 
 
 def sort_windows(phrases: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -359,7 +434,9 @@ def _cut(parse: Parse, entries: Dictionary, masks: np.ndarray, ids: np.ndarray)
         yield list(zip(s[np.concatenate([[0], gap + 1])].tolist(), (s[np.append(gap, len(s) - 1)] + parse.length).tolist(), strict=True))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot_phrases: int = HOT_PHRASES
+) -> DataFrame:
     """One row per input row: ``id_col``, ``n_bytes``, ``n_removed``, ``spans``
     (maximal removed byte ranges ``start`` to ``stop``) and ``kept`` (the
     remaining bytes, which need not be valid UTF-8).
@@ -379,20 +456,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("data"), strict=True):
-                found = Parse(_read_chunk(blob.as_py())[2], length).triggers()
-                rows = [(b, (found[places] >> np.uint64(32)).astype("<u4").tobytes()) for b, places in _by_bucket(found, buckets)]
+                parse = Parse(_read_chunk(blob.as_py())[2], length)
+                found, several = parse.triggers(), parse.more_phrases()
+                rows = [(b, _question(found, places, *several)) for b, places in _by_bucket(found, buckets)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows]), pa.array([chunk] * len(rows)), pa.array([d for _, d in rows], pa.binary())], schema=target)
 
     def count(table: pa.Table) -> pa.Table:
-        sent = [np.frombuffer(x, "<u4") for x in table.column("data").to_pylist()]
-        values, counts = np.unique(np.concatenate(sent), return_counts=True)
-        more = values[counts > 1]
-        replies = []
-        for own in sent:
-            place = np.searchsorted(more, own)
-            place[place == len(more)] = 0
-            replies.append(np.packbits(more[place] == own if len(more) else np.zeros(len(own), bool)).tobytes())
+        replies = _answers(table.column("data").to_pylist(), hot_phrases)
         return pa.table({"bucket": table.column("bucket"), "chunk": table.column("chunk"), "data": pa.array(replies, pa.binary())})
 
     marks = materialize(chunks.mapInArrow(ask, SENT).groupBy("bucket").applyInArrow(count, SENT), "marks")
@@ -400,7 +471,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def parsed(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray, Parse, Dictionary]:
         ids, none, texts = _read_chunk(left.column("data")[0].as_py())
         parse = Parse(texts, length)
-        shared = np.union1d(_shared(right, parse.triggers(), buckets), parse.shared_here())
+        others, hot = _shared(right, parse.triggers(), buckets)
+        shared = np.union1d(others, parse.shared_here())
+        if len(hot):
+            shared = np.union1d(np.setdiff1d(shared, hot), parse.split(hot))
         return ids, none, parse, parse.dictionary(shared, ids)
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -297,6 +297,27 @@ def test_prefix_free_dedup(spark, monkeypatch, length, chunk):
     assert got == brute_repeats([(i, (t or "").encode()) for i, t, *_ in [*odd_rows(), *more]], length)
 
 
+def test_prefix_free_dedup_splits_hot_triggers(spark):
+    """A line of 28 bytes in every document, with other text around it: one trigger with
+    as many phrases as documents, split by window; results stay those of brute force."""
+    line = "-- share this page today! --"
+    rows = [(i, prose(i, 12) + line + prose(1000 + i % 20, 12), "en", "a") for i in range(120)] + [(200 + i, prose(5, 60), "en", "a") for i in range(40)]
+    docs = spark.createDataFrame(rows, odd_docs(spark).schema).repartition(6)
+    texts = [t.encode() for _, t, *_ in rows]
+    parse = substrings.Parse(texts, 50)
+    several, more = parse.more_phrases()
+    assert more.max() >= 100
+    questions = [substrings._question(p.triggers(), np.arange(len(p.triggers())), *p.more_phrases()) for p in (substrings.Parse(texts[i::4], 50) for i in range(4))]
+    bits = [np.unpackbits(np.frombuffer(a, np.uint8).reshape(2, -1), axis=1) for a in substrings._answers(questions, 60)]
+    assert all(1 <= b[1].sum() <= 3 for b in bits)  # the line's triggers; not those of the copies
+    windows = parse.split(several[more >= 60])
+    assert len(windows) > 100 and parse.n[np.isin(parse.h, windows)].max() == 1
+    expected = brute_repeats([(i, t.encode()) for i, t, *_ in rows], 50)
+    for hot in (3, 60, substrings.HOT_PHRASES):
+        got = Counter((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in substrings.remove_repeats(docs, hot_phrases=hot).collect())
+        assert got == expected
+
+
 def test_prefix_free_dedup_empty(spark):
     assert substrings.remove_repeats(empty_docs(spark)).count() == 0
 
