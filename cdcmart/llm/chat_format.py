@@ -51,6 +51,7 @@ class ChatFormat:
     closing: str = "</turn>"
     after: str = "\n"
     generation_prompt: bool = False
+    part_chars: int = PART_CHARS
 
     def controls(self) -> tuple[str, ...]:
         return (self.opening, self.closing)
@@ -142,7 +143,7 @@ class _Formatter:
                     conv, part, index, length, out = conv_id, before, before, total, Output()
                     env = template.head(out if before == 0 else Output(), context)
                     continue
-                if out.size >= PART_CHARS:
+                if out.size >= self.fmt.part_chars:
                     yield done()
                     part, out = index, Output()
                 template.turn(out, env, {"role": role, "text": text}, index, length)

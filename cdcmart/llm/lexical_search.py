@@ -248,6 +248,8 @@ class _Search:
     n_docs: int
     n_terms: int
     k: int
+    leaf: int
+    tree_docs: int
     schema: T.StructType
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,7 +274,7 @@ class _Search:
                 held.append(part)
                 docs += len(part)
                 counts += len(part.column("terms").flatten())
-                if docs >= TREE_DOCS or counts >= TREE_COUNTS:
+                if docs >= self.tree_docs or counts >= TREE_COUNTS:
                     yield self.rows(held)
                     held, docs, counts = [], 0, 0
         if held:
@@ -297,7 +299,7 @@ class _Search:
     def answer(self, ids: list, rows: _Rows, best: list[list[tuple]]) -> None:
         if not len(rows):
             return
-        tree = BallTree(rows, len(self.weights))
+        tree = BallTree(rows, len(self.weights), self.leaf)
         dense = np.zeros(len(self.weights), np.int64)
         for i, terms in enumerate(self.items.terms):
             terms = terms[self.weights[terms] > 0]
@@ -321,15 +323,16 @@ def _order(row: tuple) -> tuple:
     return row[:2] if row[1] else row
 
 
-def search(docs: DataFrame, items: DataFrame, k: int = K) -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, k: int = K, leaf: int = LEAF_DOCS, tree_docs: int = TREE_DOCS) -> DataFrame:
     """The ``k`` best documents of every item: ``item_id``, ``rank`` (from 1),
-    ``doc_id``, ``score``, best first, equal scores by ascending ``doc_id``."""
+    ``doc_id``, ``score``, best first, equal scores by ascending ``doc_id``. ``leaf`` and ``tree_docs``: documents
+    of a leaf and of a tree."""
     schema = T.StructType([T.StructField("item", T.LongType()), items.schema["item_id"], docs.schema["doc_id"], T.StructField("score", T.LongType())])
-    answers = [a for block in _item_blocks(items) if (a := _answer_block(docs, block, k, schema)) is not None]
+    answers = [a for block in _item_blocks(items) if (a := _answer_block(docs, block, k, leaf, tree_docs, schema)) is not None]
     return reduce(DataFrame.unionByName, answers or [_ranked(docs.sparkSession.createDataFrame([], schema), k)])
 
 
-def _answer_block(docs: DataFrame, items: Items, k: int, schema: T.StructType) -> DataFrame | None:
+def _answer_block(docs: DataFrame, items: Items, k: int, leaf: int, tree_docs: int, schema: T.StructType) -> DataFrame | None:
     if not items.vocabulary:
         return None
     vectors = materialize(_vectors(docs, items.vocabulary), "term-counts")
@@ -342,7 +345,7 @@ def _answer_block(docs: DataFrame, items: Items, k: int, schema: T.StructType) -
     for row in dfs:
         weights[row["term"]] = max(0, term_weight(size["docs"], row["count"]))
     tasks = max(1, -(-size["counts"] // TASK_COUNTS))
-    run = _Search(items, weights, size["docs"], size["terms"], k, schema)
+    run = _Search(items, weights, size["docs"], size["terms"], k, leaf, tree_docs, schema)
     touched = vectors.where(F.size("terms") > 0).repartition(tasks)
     return _ranked(touched.mapInArrow(run, schema), k)
 

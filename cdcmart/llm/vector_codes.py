@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -46,10 +46,12 @@ BLOCK_CELLS = 1 << 19
 
 @dataclass(frozen=True)
 class Codebooks:
-    """``entries``: integers of shape (parts, entries, width)."""
+    """``entries``: integers of shape (parts, entries, width); ``cells``: distances that
+    a task holds at once."""
 
     length: int
     entries: np.ndarray
+    cells: int = BLOCK_CELLS
 
     def sha256(self) -> str:
         return hashlib.sha256(",".join(map(str, self.entries.reshape(-1).tolist())).encode()).hexdigest()
@@ -63,7 +65,7 @@ def integers(vectors: DataFrame) -> DataFrame:
     return kept.select("vec_id", "label", F.transform(x, lambda e: F.floor(e * SCALE)).alias("v"))
 
 
-def _first_entries(rows: DataFrame, parts: int, entries: int) -> Codebooks | None:
+def _first_entries(rows: DataFrame, parts: int, entries: int, cells: int) -> Codebooks | None:
     lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
     if not lengths:
         return None
@@ -73,7 +75,7 @@ def _first_entries(rows: DataFrame, parts: int, entries: int) -> Codebooks | Non
     first = np.zeros((len(chosen), parts * width), np.int64)
     for i, row in enumerate(chosen):
         first[i, :length] = row["v"]
-    return Codebooks(length, np.ascontiguousarray(first.reshape(len(chosen), parts, width).transpose(1, 0, 2)))
+    return Codebooks(length, np.ascontiguousarray(first.reshape(len(chosen), parts, width).transpose(1, 0, 2)), cells)
 
 
 def _blocks(batch: pa.RecordBatch, books: Codebooks) -> Iterator[tuple[int, np.ndarray]]:
@@ -81,7 +83,7 @@ def _blocks(batch: pa.RecordBatch, books: Codebooks) -> Iterator[tuple[int, np.n
     parts, entries, width = books.entries.shape
     column = batch.column("v")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False).reshape(-1, books.length)
-    step = max(1, BLOCK_CELLS // entries)
+    step = max(1, books.cells // entries)
     for at in range(0, len(flat), step):
         block = np.zeros((min(step, len(flat) - at), parts * width), np.int64)
         block[:, : books.length] = flat[at : at + step]
@@ -131,17 +133,17 @@ def _sums(rows: DataFrame, books: Codebooks) -> DataFrame:
     return rows.select("v").mapInArrow(partial, schema).groupBy("part", "entry", "place").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
-def train(rows: DataFrame, parts: int = 16, entries: int = 64, rounds: int = 2) -> Codebooks | None:
+def train(rows: DataFrame, parts: int = 16, entries: int = 64, rounds: int = 2, cells: int = BLOCK_CELLS) -> Codebooks | None:
     """Codebooks of integer vectors (:func:`integers`): the first are the parts of
     the rows of the smallest ids; each round assigns every part to its nearest
     entry and moves every used entry to the floor of its parts' mean. None without
     rows."""
-    books = _first_entries(rows, parts, entries)
+    books = _first_entries(rows, parts, entries, cells)
     for _ in range(rounds if books else 0):
         moved = books.entries.copy()
         for r in _sums(rows.where(F.size("v") == books.length), books).collect():  # parts x entries x width rows
             moved[r["part"], r["entry"], r["place"]] = r["total"] // r["n"]
-        books = Codebooks(books.length, moved)
+        books = replace(books, entries=moved)
     return books
 
 
@@ -184,12 +186,12 @@ def with_label_error(codes: DataFrame) -> DataFrame:
     return salted.join(other, F.col("label").eqNullSafe(F.col("_label")) & (F.col("_salt") == F.col("_of"))).drop("_label", "_salt", "_of")
 
 
-def code_vectors(vectors: DataFrame, parts: int = 16, entries: int = 64, rounds: int = 2) -> tuple[DataFrame, Codebooks | None]:
+def code_vectors(vectors: DataFrame, parts: int = 16, entries: int = 64, rounds: int = 2, cells: int = BLOCK_CELLS) -> tuple[DataFrame, Codebooks | None]:
     """Codes of all usable rows with label errors, and the final codebooks."""
     if entries > 256:
         raise ValueError("a code has one byte per part")
     rows = integers(vectors)
-    books = train(rows, parts, entries, rounds)
+    books = train(rows, parts, entries, rounds, cells)
     if books is None:
         empty = rows.select("vec_id", "label", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("long").alias("error"), F.lit(None).cast("long").alias("label_error"))
         return empty.where(F.lit(False)), None
