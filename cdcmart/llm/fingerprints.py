@@ -131,7 +131,9 @@ def neighbour_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         found = rows.agg(F.percentile_approx("key", F.array(*cuts), 10 * ranges).alias("b")).first()["b"]
         bounds = sorted({int(b) for b in found} - {size["top"]})
     own = _range_of(F.col("key"), bounds)
-    at_bound = F.array_contains(F.array(*[F.lit(b).cast("long") for b in bounds]), F.col("key")) if bounds else F.lit(False)
+    # the bound after those smaller than the key is the only one that can equal it
+    following = F.try_element_at(F.array(*[F.lit(b).cast("long") for b in bounds]), F.col("own") + 1) if bounds else F.lit(None).cast("long")
+    at_bound = following.eqNullSafe(F.col("key"))
     is_top = F.col("key") == F.lit(size["top"])
     ghost = F.when(is_top, F.lit(0)).when(at_bound, F.col("own") + 1)
     dealt = (

@@ -140,6 +140,23 @@ def test_likeness_estimates_shared_sentences(spark):
     assert got[0] == 1.0 and all(abs(got[i] - (40 - i) / 40) < 0.3 for i in got)
 
 
+def test_likeness_of_all_documents(spark):
+    """Likeness columns against exact multisets of sentences."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda x: (-x[0], x[1]))
+
+    def exact(a, b):
+        x, y = (Counter(re.split("\n|(?<=[.!?]) +", t)) for t in (a, b))
+        return 1.0 if Counter(a.split("\n")) == Counter(b.split("\n")) else 2 * sum(x[k] * y[k] for k in x) / (sum(v * v for v in x.values()) + sum(v * v for v in y.values()))
+
+    want = {}
+    for (i, t), (_, nxt) in zip(texts, [*texts[1:], texts[0]], strict=True):
+        want[i] = exact(t, t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]), exact(t, nxt)
+    rows = fingerprints.neighbour_likeness(docs).collect()
+    errors = sorted(abs(got - w) for r in rows for got, w in zip((r.near_edited, r.near_next), want[r.doc_id], strict=True))
+    assert len(rows) == len(texts) and errors[-1] < 0.25 and errors[int(len(errors) * 0.99)] < 0.15
+
+
 def test_sharding(spark):
     rows = [(i, f"copy {i % 7}" if i % 3 == 0 else f"text {i}") for i in range(700)] + [(1, "text 1"), (None, None), (None, "")]
     made = sharding.shard_documents(with_clashes(spark.createDataFrame(rows, "doc_id long, text string")), shards=5).collect()
