@@ -15,7 +15,8 @@ training labels, aggregated on Spark.
 Features say that a lower-cased word, or a word's first four or five characters
 (inflected forms share them), occurs once, twice or three times and more in the
 text. Of these the fit keeps those whose document frequencies in P and U differ
-by ``MIN_Z`` standard errors or more, which needs no label but that of P. Ids may be
+by ``MIN_Z`` standard errors and by ``MIN_EFFECT`` or more, which needs no label but
+that of P: with few positives the errors decide, with many the effect does. Ids may be
 of any type; of rows that repeat an id with other texts one is read, always the
 same. The score is ``sigmoid(bias + sum of the weights of the features present)``.
 
@@ -43,6 +44,7 @@ DIMENSIONS = 1 << 20
 MAX_POSITIVE = 4_000
 MAX_UNLABELLED = 12_000
 MIN_Z = 2.0
+MIN_EFFECT = 0.02
 LEVELS = 3
 STEPS = 300
 RATE = 0.05
@@ -96,7 +98,8 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         return Model(weights, bias)
     n_p, n_u = len(positive), len(unlabelled)
     in_p, in_u = _frequency(positive), _frequency(unlabelled)
-    telling = np.abs(in_p - in_u) >= MIN_Z * np.sqrt((in_u + 1 / n_p) / n_p)
+    effect = np.abs(in_p - in_u)
+    telling = (effect >= MIN_Z * np.sqrt((in_u + 1 / n_p) / n_p)) & (effect >= MIN_EFFECT)
     used = np.flatnonzero(telling)
     if not len(used):
         return Model(weights, bias)

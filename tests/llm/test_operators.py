@@ -502,7 +502,7 @@ def test_toxicity_fit_against_plain_risk(spark):
     chosen = []
     for s in every:
         p, u = sum(s in x for x in positive) / n_p, sum(s in x for x in unlabelled) / n_u
-        if abs(p - u) >= toxicity.MIN_Z * ((u + 1 / n_p) / n_p) ** 0.5:
+        if abs(p - u) >= max(toxicity.MIN_EFFECT, toxicity.MIN_Z * ((u + 1 / n_p) / n_p) ** 0.5):
             chosen.append(s)
     x = np.array([[float(s in f) for s in chosen] + [1.0] for f in [*positive, *unlabelled]])
     w = np.zeros(len(chosen) + 1)
