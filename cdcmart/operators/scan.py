@@ -11,7 +11,8 @@ across many partitions in order, and each scan is computed in two levels:
 
 Only chunks at partition boundaries can have a carry (a key that continues
 from an earlier partition is the first key of its partition), so the carry
-table has at most two rows per partition and is broadcast.
+table has at most two rows per partition; it is broadcast up to
+:data:`BROADCAST_PARTITIONS` partitions and joined by shuffle beyond.
 
 Supported kinds (frame = all earlier rows, plus the current one when
 ``inclusive``): ``count``, ``sum``, ``max``, ``last`` (last non-null value)
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 
 from cdcmart.session import range_partitions
 
+BROADCAST_PARTITIONS = 50_000
+
 KINDS = ("count", "sum", "max", "last", "lastpos")
 
 
@@ -66,6 +69,8 @@ def segmented_scan(
     column, so callers select the columns they need first.
     """
     n = partitions or range_partitions(df)
+    # tables of at most two rows per range partition: broadcast while that is little
+    small = F.broadcast if n <= BROADCAST_PARTITIONS else (lambda t: t)
     names = list(specs)
     base = df
     for name in names:
@@ -103,7 +108,7 @@ def segmented_scan(
     bkeys = bounds.select("_pid", F.explode(F.array("lo", "hi")).alias("_k")).select("_pid", "_k.*").distinct()
     summary = (
         local.alias("l")
-        .join(F.broadcast(bkeys).alias("r"), _same(["_pid", *keys]), "left_semi")
+        .join(small(bkeys).alias("r"), _same(["_pid", *keys]), "left_semi")
         .groupBy(*keys, "_pid")
         .agg(F.first("_sc_rows").alias("_sc_rows"), *[F.first(f"_sct_{name}").alias(f"_sct_{name}") for name in names])
     )
@@ -121,7 +126,7 @@ def segmented_scan(
             c = _agg(kind, t).over(prev)
         carry = carry.withColumn(f"_scc_{name}", c)
     carry = carry.select(*keys, "_pid", "_sc_off", *[f"_scc_{name}" for name in names])
-    out = local.alias("l").join(F.broadcast(carry).alias("r"), _same([*keys, "_pid"]), "left")
+    out = local.alias("l").join(small(carry).alias("r"), _same([*keys, "_pid"]), "left")
     out = out.select("l.*", "r._sc_off", *[f"r._scc_{name}" for name in names])
     for name in names:
         kind = specs[name][0]

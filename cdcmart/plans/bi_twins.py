@@ -8,12 +8,16 @@ whole way from the message stream to the answer.
 
 from __future__ import annotations
 
-from cdcmart.plans.bi import COLLECTION, FIFTY_FIFTY, PITY_BUCKETS, TIERS
+# FIXED VALUES: bounds and labels, stated here again so that a wrong one on either side shows
+_PITY = [(1, "1-10 (early)"), (11, "11-30"), (31, "31-50"), (51, "51-73"), (74, "74-89 (soft pity)"), (90, "90 (hard pity)")]
+_FIGURES = [(0, "1-4"), (5, "5-9"), (10, "10-14"), (15, "15-20"), (21, "Complete (21/21)")]
+_WON, _LOST = "Won 50/50", "Lost 50/50 (guaranteed)"
 
 _VIEWS = """
 WITH draw AS (
     -- a pull without its create message stays if an update (every fifth) repairs it
-    SELECT event_id, if(event_id % 23 = 11, 'guest', CAST(user_id AS VARCHAR)) AS who, event_type AS banner, grade,
+    SELECT event_id, if(event_id % 23 = 11, 'guest', CAST(user_id AS VARCHAR)) AS who,
+           if(event_id % 89 = 60, 'retired', event_type) AS banner, grade,
            printf('%s-%03d', lower(grade), 1 + if(event_id % 97 = 13, figures, event_id % figures)) AS figure,
            CAST(1 + event_id % 90 AS INTEGER) AS pity, CASE WHEN event_id % 5 = 0 THEN 320 ELSE 160 END AS crystals
     FROM (SELECT *, ['SSR', 'SR', 'R'][1 + (k >= 2)::INT + (k >= 12)::INT] AS grade, if(k < 2, 5, 8) AS figures
@@ -61,9 +65,7 @@ SELECT who AS player_id, c_name AS username, r_name AS region, pulls AS total_pu
        round(mean_pity, 1) AS avg_pity, {_share("tops", "pulls")} AS ssr_rate
 FROM account JOIN person USING (who) WHERE tops > 0
 QUALIFY row_number() OVER (ORDER BY mean_pity {{way}}, who) <= 20"""
-_TIER = " ".join(
-    [f"WHEN usd = 0 THEN '{TIERS[0][1]}'"] + [f"WHEN usd < {bound} THEN '{label}'" for bound, label in TIERS[1:-1]]
-)
+_TIER = "CASE WHEN usd = 0 THEN 'F2P' WHEN usd < 50 THEN 'Minnow (<$50)' WHEN usd < 200 THEN 'Dolphin ($50-200)' ELSE 'Whale ($200+)' END"
 
 _FINAL = {
     "overview": f"""
@@ -81,21 +83,21 @@ FROM payment WHERE state = 'success' GROUP BY ALL""",
     "luckiest": _LUCK.format(way="ASC"),
     "unluckiest": _LUCK.format(way="DESC"),
     "pity_histogram": f"""
-SELECT {_ranges(PITY_BUCKETS, "pity")} AS pity_range, sum(n)::BIGINT AS ssr_pulls
+SELECT {_ranges(_PITY, "pity")} AS pity_range, sum(n)::BIGINT AS ssr_pulls
 FROM (SELECT pity, count(*) AS n FROM draw WHERE grade = 'SSR' GROUP BY pity) GROUP BY ALL""",
     "high_pity_players": """
 SELECT who AS player_id, c_name AS username, pity AS pity_count, p_name AS character_name
 FROM draw JOIN person USING (who) JOIN figure USING (figure) WHERE draw.grade = 'SSR' AND pity >= 75
 QUALIFY row_number() OVER (ORDER BY pity DESC, CAST(event_id AS VARCHAR)) <= 20""",
     "fifty_fifty": f"""
-SELECT if(event_id % 3 = 0, '{FIFTY_FIFTY[True]}', '{FIFTY_FIFTY[False]}') AS outcome, count(*) AS ssr_pulls
+SELECT if(event_id % 3 = 0, '{_WON}', '{_LOST}') AS outcome, count(*) AS ssr_pulls
 FROM draw WHERE grade = 'SSR' GROUP BY ALL""",
     "whales": """
 SELECT who AS player_id, c_name AS username, r_name AS region, pulls AS total_pulls, tops AS ssr_count,
        crystals AS total_crystals_spent, round(usd, 2) AS total_usd_spent
 FROM account JOIN person USING (who) QUALIFY row_number() OVER (ORDER BY usd DESC, who) <= 20""",
     "spender_tiers": f"""
-SELECT CASE {_TIER} ELSE '{TIERS[-1][1]}' END AS tier, count(*) AS players, round(sum(usd), 2) AS total_revenue,
+SELECT {_TIER} AS tier, count(*) AS players, round(sum(usd), 2) AS total_revenue,
        round(avg(pulls), 0) AS avg_pulls FROM account GROUP BY ALL""",
     "tx_status": """
 SELECT state AS payment_status, count(*) AS transactions, round(sum(usd), 2) AS total_usd FROM payment GROUP BY ALL""",
@@ -116,12 +118,17 @@ SELECT p_name AS name, p_type AS archetype, p_brand AS element, count(*) AS time
 FROM draw SEMI JOIN (SELECT figure FROM figure WHERE grade = 'SSR') s USING (figure) JOIN figure USING (figure)
 GROUP BY ALL""",
     "collection": f"""
-SELECT {_ranges(COLLECTION, "figures")} AS collection_range, sum(n)::BIGINT AS players
+SELECT {_ranges(_FIGURES, "figures")} AS collection_range, sum(n)::BIGINT AS players
 FROM (SELECT figures, count(*) AS n FROM account GROUP BY figures) GROUP BY ALL""",
     "banners": f"""
 SELECT banner AS banner_id, 'Banner ' || banner AS name, if(banner = 'view', 'permanent', 'limited') AS type,
        count(*) AS total_pulls, {_TOP} AS ssr_pulls, count(DISTINCT who) AS players_pulled, {_share(_TOP)} AS ssr_rate
-FROM draw GROUP BY ALL""",
+FROM draw WHERE banner <> 'retired' GROUP BY ALL""", # not listed
 }
 
 BI_SQL = {name: _VIEWS + final for name, final in _FINAL.items()}
+
+#: Twin of the banner aggregate.
+BANNER_PERFORMANCE = _VIEWS + f"""
+SELECT banner AS banner_id, count(*) AS total_pulls, {_TOP} AS ssr_pulls, count(DISTINCT who) AS players_pulled,
+       sum(crystals)::BIGINT AS crystals_spent, {_share(_TOP)} AS ssr_rate FROM draw GROUP BY ALL"""

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cdcmart.operators import cdc, gold, merge, quality, silver
-from cdcmart.plans import bi, incremental, models
-from cdcmart.plans.bi_twins import BI_SQL
+from cdcmart.plans import bi, dq_twins, incremental, models
+from cdcmart.plans.bi_twins import BANNER_PERFORMANCE, BI_SQL
 from cdcmart.plans.oracle import sql
 from cdcmart.schemas import SILVER_SPECS
 
@@ -188,19 +188,15 @@ def q_gold_agg(spark, sf_dir):
     )
 
 
-@register(
-    "gold_agg_banner_performance",
-    """
-    SELECT banner_id, count(*) AS total_pulls, count(CASE WHEN rarity = 'SSR' THEN 1 END) AS ssr_pulls,
-           count(DISTINCT player_id) AS players_pulled, CAST(sum(crystals_spent) AS BIGINT) AS crystals_spent,
-           round(count(CASE WHEN rarity = 'SSR' THEN 1 END) * 100.0 / count(*), 2) AS ssr_rate
-    FROM fact_pulls GROUP BY banner_id""",
-)
+@register("gold_agg_banner_performance")
 def q_gold_banner_perf(spark, sf_dir):
     """Banner aggregate."""
     return gold.agg_banner_performance(wh(spark, sf_dir).table("fact_pulls"))
 
 
+ORACLE["gold_agg_banner_performance"] = BANNER_PERFORMANCE
+
+
 @register(
     "gold_dim_date",
     """
@@ -246,36 +242,7 @@ for _name, _fn in bi.ALL.items():
 # ---------------------------------------------------------------------------
 
 
-def _dq_sql(spec: dict, tables: dict[str, str] | None = None) -> str:
-    """The declared tests as SQL; ``tables`` names the CTE of a model where it differs."""
-    parts = []
-    for label, tests in spec.items():
-        model = (tables or {}).get(label, label)
-        for t in tests:
-            col, kind = t[0], t[1]
-            if kind == "not_null":
-                q = f"SELECT count(*) AS f FROM {model} WHERE {col} IS NULL"
-            elif kind == "unique":
-                q = (
-                    f"SELECT count(*) AS f FROM (SELECT {col} FROM {model} WHERE {col} IS NOT NULL "
-                    f"GROUP BY {col} HAVING count(*) > 1)"
-                )
-            elif kind == "accepted_values":
-                vals = ", ".join(f"'{v}'" for v in t[2])
-                q = f"SELECT count(DISTINCT {col}) AS f FROM {model} WHERE {col} NOT IN ({vals})"
-            else:  # relationships
-                q = (
-                    f"SELECT count(*) AS f FROM {model} c WHERE c.{col} IS NOT NULL AND c.{col} NOT IN "
-                    f"(SELECT {t[3]} FROM {t[2]} WHERE {t[3]} IS NOT NULL)"
-                )
-            parts.append(
-                f"SELECT '{label}' AS model, '{col}' AS \"column\", '{kind}' AS test, "
-                f"CAST(f AS BIGINT) AS failures, f = 0 AS passed FROM ({q})"
-            )
-    return "\nUNION ALL\n".join(parts)
-
-
-@register("dq_run_checks", _dq_sql(quality.CHECK_SPEC))
+@register("dq_run_checks", dq_twins.twin(dq_twins.DECLARED))
 def q_dq_run_checks(spark, sf_dir):
     """Every declared model test with its failure count."""
     return quality.run_checks(wh(spark, sf_dir).table)
@@ -290,7 +257,7 @@ _BRONZE_SPEC = {
 }
 
 
-@register("dq_bronze_checks", _dq_sql(_BRONZE_SPEC, {"bronze": "bronze_keys"}))
+@register("dq_bronze_checks", dq_twins.twin(dq_twins.BRONZE, {"bronze_keys": "bronze"}))
 def q_dq_bronze_checks(spark, sf_dir):
     """F1-F5 over the message log, where the tests of each kind find failures."""
     return quality.run_checks(wh(spark, sf_dir).table, _BRONZE_SPEC)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +37,21 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def fingerprint(spark: SparkSession, sf_dir: str) -> str:
     """Digest of the paths, sizes and times of all table files under ``sf_dir``
-    (listed, not read): another input under the same path gives another one."""
+    (listed, not read): another input under the same path gives another one. A
+    listing holds for :data:`LISTED_SECONDS` within an application."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    listed = _LISTED.get(at)
+    if listed is None or time.monotonic() - listed[0] > LISTED_SECONDS:
+        listed = _LISTED[at] = (time.monotonic(), _list(spark, sf_dir))
+    return listed[1]
+
+
+#: So many seconds one listing of a folder serves the queries that follow each other.
+LISTED_SECONDS = 10.0
+_LISTED: dict[tuple[str, str], tuple[float, str]] = {}
+
+
+def _list(spark: SparkSession, sf_dir: str) -> str:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(sf_dir)
     one = F.xxhash64("path", "length", F.unix_micros("modificationTime"))
     n, mix = files.agg(F.count(F.lit(1)), F.bit_xor(one)).first()

@@ -96,9 +96,12 @@ def test_bronze_sink_progress_metrics(spark):
     assert routes == {"bronze", "dlq", "undecodable"}
 
 
-def test_fingerprint_follows_the_files(spark, tmp_path):
+def test_fingerprint_follows_the_files(spark, tmp_path, monkeypatch):
+    from cdcmart.sources import tables
     from cdcmart.sources.tables import fingerprint
 
+    monkeypatch.setattr(tables, "LISTED_SECONDS", 0.0)
+
     spark.range(3).write.parquet(str(tmp_path / "events.parquet"))
     before = fingerprint(spark, str(tmp_path))
     assert fingerprint(spark, str(tmp_path)) == before
