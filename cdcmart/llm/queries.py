@@ -168,6 +168,59 @@ QUERIES = {
     "op13_lexical_search": op13_lexical_search,
 }
 
+def _page_sql() -> str:
+    """Statement of the URL filter: rules, edges and, by a recursive CTE, components.
+    Targets with a scheme and those from the root are resolved; other references (none
+    in the given pages, which declare no targets at all) are not."""
+
+    def host(url: str) -> str:
+        return f"translate(coalesce(regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+    def path(url: str) -> str:
+        return f"coalesce(regexp_extract({url}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
+
+    def rule(field: str, url: str) -> str:
+        rows = ", ".join(f"({n}, '{v}', '{h}', '{p}')" for n, (v, h, p) in enumerate(URL_RULES))
+        fits = f"({host(url)} = h OR ends_with({host(url)}, '.' || h)) AND starts_with({path(url)}, p)"
+        return f"(SELECT arg_max({field}, length(h || p) * 100 - n) FROM (VALUES {rows}) AS r(n, v, h, p) WHERE {fits})"
+
+    def plain(url: str) -> str:
+        h = host(url)
+        alias = rf"regexp_matches({h}, '^(www|m)\.[^.]+\.[^.]') AND NOT regexp_matches({h}, '^(www|m)\.(ac|co|com|edu|gov|net|org)\.[a-z]{{2}}(:\d+)?$')"
+        parts = rf"string_split(regexp_extract({url}, '(?s)^[^#?]*\?([^#]*)', 1), '&')"
+        kept = f"array_to_string(list_filter({parts}, lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref)(=|$)')), '&')"
+        short = rf"CASE WHEN {alias} THEN regexp_replace({h}, '^(www|m)\.', '') ELSE {h} END"
+        return f"'//' || {short} || regexp_replace({path(url)}, '/+$', '') || CASE WHEN {kept} <> '' THEN '?' || {kept} ELSE '' END"
+
+    attribute = r"""\s*=\s*["'']?([^"''\s>]+)"""
+    return rf"""
+        WITH RECURSIVE tags AS (
+            SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM pages WHERE contains(url, '://')
+        ), targets AS (
+            SELECT url, regexp_replace(CASE WHEN regexp_matches(tag, '(?i)^<link') AND regexp_matches(tag, '(?i)\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(tag, '(?is)\bhref{attribute}', 1)
+                        WHEN regexp_matches(tag, '(?i)\bproperty\s*=\s*["'']?og:url\b') THEN regexp_extract(tag, '(?is)\bcontent{attribute}', 1)
+                        WHEN regexp_matches(tag, '(?i)\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?is)\burl{attribute}', 1) END, '(?i)&(?:amp|#0*38|#x0*26);', '&', 'g') AS ref
+            FROM tags
+        ), links AS (
+            SELECT url, CASE WHEN contains(ref, '://') THEN ref ELSE regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || ref END AS target
+            FROM targets WHERE contains(ref, '://') OR (starts_with(ref, '/') AND NOT starts_with(ref, '//'))
+        ), edges AS (
+            SELECT url AS a, {plain("url")} AS b FROM pages WHERE contains(url, '://')
+            UNION SELECT url, target FROM links UNION SELECT target, {plain("target")} FROM links
+        ), ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+        reached AS (SELECT a AS node, a AS label FROM ways UNION SELECT ways.b, reached.label FROM reached JOIN ways ON reached.node = ways.a),
+        component AS (SELECT node, min(label) AS label FROM reached GROUP BY node),
+        decided AS (
+            SELECT label, bool_or(own = 'block') AND NOT coalesce(bool_or(own = 'allow'), false) AS blocked
+            FROM (SELECT label, {rule("v", "u")} AS own FROM (SELECT label, CASE WHEN starts_with(node, '//') THEN 'http:' || node ELSE node END AS u FROM component))
+            GROUP BY label
+        )
+        SELECT page_id, {host("url")} AS host, {path("url")} AS path, {rule("h || p", "url")} AS rule,
+               coalesce({rule("v", "url")}, CASE WHEN blocked THEN 'block' END, 'allow') AS verdict
+        FROM pages LEFT JOIN component ON node = url LEFT JOIN decided USING (label)
+    """
+
+
 def _codes_sql(rounds: int) -> str:
     """Statement of the vector codes: one assignment and one move a round."""
     steps = []
@@ -212,6 +265,7 @@ ORACLE = {
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents
     """,
+    "op7_url_filter": _page_sql(),
     "op11_chat_format": r"""
         WITH said AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

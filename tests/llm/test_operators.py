@@ -374,6 +374,35 @@ def test_url_filter_decodes_ampersands(spark):
     assert {r.page_id: r.verdict for r in got} == {0: "block", 1: "block", 2: "block", 3: "allow", 9: "block"}
 
 
+def test_url_filter_against_sql(spark):
+    """Random pages that link, redirect and vary in spelling, against the SQL statement."""
+    import random
+
+    import duckdb
+
+    from cdcmart.llm.queries import ORACLE, URL_RULES
+
+    r = random.Random(11)
+    hosts = ["a.com", "www.a.com", "m.b.net", "b.net", "c.org", "example.org", "m.co.uk", "d.net", "www.com"]
+
+    def url():
+        return r.choice(["http://", "https://"]) + r.choice(hosts) + r.choice(["", "/", "/de/1", "/fr/2", "/es/3", "/x/y", "/x/y/"]) + r.choice(["", "", "?p=1", "?utm_a=2&p=1", "#t", "?ref=x"])
+
+    def tag():
+        to = r.choice([url(), "/" + r.choice(["de/1", "x/y", "q?p=1&amp;r=2"])])
+        return r.choice(['<link rel="canonical" href="{}">', "<LINK href={} rel=canonical>", "<meta property='og:url' content='{}'>", '<meta http-equiv="refresh" content="0; url={}">', '<a href="{}">']).format(to)
+
+    pages = [(i, r.choice([None, "none", *[url() for _ in range(20)]]), r.choice([None, "", tag(), tag(), tag() + "x" + tag()])) for i in range(300)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", pages)
+    want = {tuple(x) for x in con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({ORACLE['op7_url_filter']})").fetchall()}
+    rows = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), URL_RULES).select("page_id", "host", "path", "rule", "verdict").collect()
+    assert {tuple(x) for x in rows} == want and len(rows) == len(pages)
+    by_alias = [x for x in rows if x.rule is None and x.verdict == "block"]
+    assert len(by_alias) > 20
+
+
 def test_references_resolve_as_rfc_3986(spark):
     """The normal and abnormal examples of section 5.4 (bases with a host), and more."""
     base = "http://a/b/c/d;p?q"
