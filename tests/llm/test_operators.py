@@ -383,7 +383,7 @@ def test_url_filter_against_sql(spark):
     from cdcmart.llm.queries import ORACLE, URL_RULES
 
     r = random.Random(11)
-    hosts = ["a.com", "www.a.com", "m.b.net", "b.net", "c.org", "example.org", "m.co.uk", "d.net", "www.com"]
+    hosts = [f"{lead}s{i}.{end}" for i in range(80) for lead in ("", "www.", "m.") for end in ("com", "net", "net", "info")] + ["example.org", "m.co.uk", "www.com"]
 
     def url():
         return r.choice(["http://", "https://"]) + r.choice(hosts) + r.choice(["", "/", "/de/1", "/fr/2", "/es/3", "/x/y", "/x/y/"]) + r.choice(["", "", "?p=1", "?utm_a=2&p=1", "#t", "?ref=x"])
