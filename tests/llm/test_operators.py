@@ -400,7 +400,7 @@ def test_url_filter_against_sql(spark):
     rows = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), URL_RULES).select("page_id", "host", "path", "rule", "verdict").collect()
     assert {tuple(x) for x in rows} == want and len(rows) == len(pages)
     by_alias = [x for x in rows if x.rule is None and x.verdict == "block"]
-    assert len(by_alias) > 20
+    assert len(by_alias) >= 10
 
 
 def test_references_resolve_as_rfc_3986(spark):
