@@ -12,6 +12,8 @@ text, like a JSON-path extract).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,18 +50,13 @@ def latest_per_key(df: DataFrame, keys: list[str], order=DEFAULT_ORDER) -> DataF
     return kept.select(*[F.col(c) if c in keys else F.col(f"_best.{c}").alias(c) for c in df.columns])
 
 
-def key_fields(spec: SilverSpec) -> list[Column]:
-    """The key fields of a Bronze row, as the JSON text of ``data`` has them."""
-    schema = T.StructType([T.StructField(k, T.StringType(), True) for k in spec.keys])
-    parsed = F.from_json("data", schema)
-    return [parsed[k] for k in spec.keys]
-
-
-def typed_columns(spec: SilverSpec, data: Column | str = "data") -> list[Column]:
-    """The Silver columns of a JSON row."""
-    parsed = F.from_json(data, json_fields(spec))
-    cols = [composite_key(*[parsed[k] for k in spec.keys]).alias("id")] if spec.synthetic_id else []
-    return cols + [typed(parsed[name], kind).alias(name) for name, kind in spec.columns]
+def typed_rows(rows: DataFrame, spec: SilverSpec, data: Column | str = "data", keep: Sequence[str] = ()) -> DataFrame:
+    """The Silver columns of JSON rows, after the columns ``keep``. The text is parsed in
+    a projection of its own: taken apart in the same one, it would be parsed per column."""
+    text = F.col(data) if isinstance(data, str) else data
+    parsed = rows.select(*keep, F.from_json(text, json_fields(spec)).alias("_j"))
+    cols = [composite_key(*[F.col(f"_j.{k}") for k in spec.keys]).alias("id")] if spec.synthetic_id else []
+    return parsed.select(*keep, *cols, *[typed(F.col(f"_j.{name}"), kind).alias(name) for name, kind in spec.columns])
 
 
 def latest_changes(bronze: DataFrame, spec: SilverSpec | str, honor_deletes: bool = False) -> DataFrame:
@@ -67,8 +64,10 @@ def latest_changes(bronze: DataFrame, spec: SilverSpec | str, honor_deletes: boo
     :data:`DEFAULT_ORDER` (``data`` still as JSON)."""
     spec = SILVER_SPECS[spec] if isinstance(spec, str) else spec
     src = keep_upserts(bronze.where(F.col("source_table") == spec.table), honor_deletes)
-    keys = [k.alias(f"_k{i}") for i, k in enumerate(key_fields(spec))]
-    return latest_per_key(src.select(*keys, *DEFAULT_ORDER), [f"_k{i}" for i in range(len(keys))])
+    schema = T.StructType([T.StructField(k, T.StringType(), True) for k in spec.keys])
+    parsed = src.select(F.from_json("data", schema).alias("_j"), *DEFAULT_ORDER)
+    keys = [F.col(f"_j.{k}").alias(f"_k{i}") for i, k in enumerate(spec.keys)]
+    return latest_per_key(parsed.select(*keys, *DEFAULT_ORDER), [f"_k{i}" for i in range(len(keys))])
 
 
 def build_silver(bronze: DataFrame, spec: SilverSpec | str, honor_deletes: bool = False) -> DataFrame:
@@ -77,7 +76,7 @@ def build_silver(bronze: DataFrame, spec: SilverSpec | str, honor_deletes: bool
     latest = latest_changes(bronze, spec, honor_deletes)
     if honor_deletes:
         latest = latest.where(F.col("event") != "delete")
-    return latest.select(*typed_columns(spec))
+    return typed_rows(latest, spec)
 
 
 def build_all(bronze: DataFrame, honor_deletes: bool = False) -> dict[str, DataFrame]:

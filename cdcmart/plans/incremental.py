@@ -97,7 +97,7 @@ def empty_silver(spark: SparkSession, name: str) -> DataFrame:
 def typed(changes: DataFrame, name: str, side: str = "row") -> DataFrame:
     """Silver rows of one side of Silver changes; deleted rows are gone."""
     there = changes.where(F.col(side).isNotNull() & (F.col(f"{side}.event") != "delete"))
-    return there.select(*silver.typed_columns(SILVER_SPECS[name.removeprefix("stg_")], F.col(f"{side}.data")))
+    return silver.typed_rows(there, SILVER_SPECS[name.removeprefix("stg_")], f"{side}.data")
 
 
 def spending(totals: DataFrame) -> DataFrame:

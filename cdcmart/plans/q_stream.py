@@ -108,9 +108,7 @@ def q_stream_merge_tables(spark, sf_dir):
             q.awaitTermination(0.2)
         q.stop() if files == 64 else q.awaitTermination()
     held = ss.state(spark, f"{run}/ckpt")
-    parts = [
-        held.where(F.col("source_table") == t).select(F.lit(t).alias("table"), *silver.typed_columns(SILVER_SPECS[t])) for t in MERGED
-    ]
+    parts = [silver.typed_rows(held.where(F.col("source_table") == t), SILVER_SPECS[t]).select(F.lit(t).alias("table"), "*") for t in MERGED]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 

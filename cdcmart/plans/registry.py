@@ -117,9 +117,9 @@ def q_silver_latest_composite(spark, sf_dir):
     parts = []
     for table, other, amount in (("player_pity", "banner_type", "pity_count"), ("player_inventory", "character_id", "constellation")):
         latest = silver.latest_changes(bronze, table).select(F.col("_k0").alias("_a"), F.col("_k1").alias("_b"), "data")
-        typed = latest.select("_a", "_b", *silver.typed_columns(SILVER_SPECS[table]))
+        typed = silver.typed_rows(latest, SILVER_SPECS[table], keep=["_a", "_b"])
         parts.append(typed.select(
-            F.lit(table).alias("table"), F.concat_ws(":", "_a", "_b").alias("id"), "player_id", F.col(other).alias("other"),
+            F.lit(table).alias("table"), F.concat("_a", F.lit(":"), "_b").alias("id"), "player_id", F.col(other).alias("other"),
             "updated_at", F.col(amount).alias("amount"),
         ))
     return reduce(DataFrame.unionByName, parts)

@@ -139,4 +139,4 @@ def silver_table(spark: SparkSession, checkpoint: str, table: str, honor_deletes
     """The Silver table ``table`` as the stream of ``checkpoint`` holds it, without
     tombstones."""
     rows = state(spark, checkpoint, honor_deletes).where(F.col("source_table") == table)
-    return rows.where(F.col("event") != "delete").select(*silver.typed_columns(SILVER_SPECS[table]))
+    return silver.typed_rows(rows.where(F.col("event") != "delete"), SILVER_SPECS[table])
