@@ -25,6 +25,10 @@ from cdcmart.session import configure
 from cdcmart.sources.tables import load
 
 
+#: Offsets of up to this many part files are broadcast (about 20 MB).
+BROADCAST_FILES = 100_000
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.5. The model is trained on the
     labelled part of the documents at hand."""
@@ -74,6 +78,8 @@ def file_positions(docs: DataFrame) -> DataFrame:
         rows = rows.withColumn("at", inside)
     before = Window.orderBy(*numbers, "path").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     begins = files.select("path", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
+    if len(docs.inputFiles()) <= BROADCAST_FILES:  # one row per file
+        begins = F.broadcast(begins)
     return rows.join(begins, "path").select("row", (F.col("begin") + F.col("at")).alias("position"))
 
 
