@@ -3,12 +3,13 @@
 The latest change of every key of every table lives in Spark's own state store:
 partitioned by key, checkpointed with the stream, restored on restart. Two forms:
 
-upserts   a streaming aggregate, ``max`` over (ingest time, event time, kind, row) per
-          (table, key), JVM-side; deletes are left out before ranking (C1), so there is
-          nothing to expire
-deletes   ``applyInPandasWithState``: the same latest change, deletes ranked too; a
-          tombstone (a key whose latest change is a delete) leaves the state a
-          ``retention`` of ingest time after its delete, by an event-time timer
+latest    a streaming aggregate, ``max`` over (ingest time, event time, kind, row) per
+          (table, key), JVM-side; deletes are left out before ranking (C1), or ranked too,
+          then a key whose latest change is a delete stays as a tombstone
+expiring  ``applyInPandasWithState``: the same latest change, deletes ranked too; a
+          tombstone leaves the state a ``retention`` of ingest time after its delete, by an
+          event-time timer. A Python call per key and micro-batch: for logs in which
+          tombstones would pile up
 
 Change order travels with the state, so micro-batches out of order keep the latest row.
 :func:`silver_table` reads a Silver table out of the committed state with Spark's state
@@ -57,9 +58,10 @@ def _known(bronze: DataFrame, tables: Sequence[str] | None) -> DataFrame:
     return bronze.where(F.col("source_table").isin(*(tables or SILVER_SPECS))).withColumn("key", state_key(tables))
 
 
-def upserts(bronze: DataFrame, tables: Sequence[str] | None = None) -> DataFrame:
-    """The latest insert or update per (table, key); a stream keeps it as state."""
-    rows = silver.keep_upserts(_known(bronze, tables))
+def latest(bronze: DataFrame, tables: Sequence[str] | None = None, honor_deletes: bool = False) -> DataFrame:
+    """The latest insert or update (or delete) per (table, key); a stream keeps it
+    as state."""
+    rows = silver.keep_upserts(_known(bronze, tables), honor_deletes)
     return rows.groupBy("source_table", "key").agg(F.max(F.struct(*silver.DEFAULT_ORDER)).alias("latest"))
 
 
@@ -83,9 +85,9 @@ def _keep_latest(retention_ms: int) -> Callable:
     return run
 
 
-def changes_with_deletes(bronze: DataFrame, tables: Sequence[str] | None = None, delay: str = "1 hour",
-                         retention_ms: int = 30 * 86_400_000) -> DataFrame:
-    """B9 on a stream: changes that became the latest of their key, deletes among them.
+def expiring(bronze: DataFrame, retention_ms: int, tables: Sequence[str] | None = None, delay: str = "1 hour") -> DataFrame:
+    """B9 on a stream with tombstones that end: changes that became the latest of their
+    key, deletes among them.
 
     ``delay`` is how far ``ingested_at`` may fall behind the newest seen (rows beyond
     it are dropped: set it to what the log's disorder needs); a tombstone is forgotten
@@ -108,25 +110,26 @@ def _append_changes(folder: str) -> Callable[[DataFrame, int], None]:
 
 
 def merge_sink(bronze: DataFrame, checkpoint: str, every: str | None = MERGE_EVERY, tables: Sequence[str] | None = None,
-               honor_deletes: bool = False, changes: str | None = None, **with_deletes) -> StreamingQuery:
+               honor_deletes: bool = False, changes: str | None = None, retention_ms: int | None = None, delay: str = "1 hour") -> StreamingQuery:
     """Keep Silver as the state of a stream that runs every ``every`` (processing
     time); ``every=None`` drains what is available and stops. The checkpoint is the
     table: a restart with it goes on where it was. ``changes`` (a folder) also gets the
-    touched keys of each micro-batch."""
+    touched keys of each micro-batch. ``retention_ms`` (with ``delay``): deletes count and
+    their tombstones end, see :func:`expiring`."""
     spark = bronze.sparkSession
     if spark.conf.get(_PROVIDER, None) in (None, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"):
         spark.conf.set(_PROVIDER, _ROCKSDB)
-    rows = changes_with_deletes(bronze, tables, **with_deletes) if honor_deletes else upserts(bronze, tables)
+    rows = latest(bronze, tables, honor_deletes) if retention_ms is None else expiring(bronze, retention_ms, tables, delay)
     w = rows.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
     w = w.foreachBatch(_append_changes(changes)) if changes else w.format("noop")
     w = w.trigger(processingTime=every) if every else w.trigger(availableNow=True)
     return w.start()
 
 
-def state(spark: SparkSession, checkpoint: str, honor_deletes: bool = False) -> DataFrame:
+def state(spark: SparkSession, checkpoint: str) -> DataFrame:
     """The committed state: ``source_table``, ``key`` and the latest change's columns."""
     rows = spark.read.format("statestore").load(checkpoint)
-    if honor_deletes:
+    if "groupState" in rows.schema["value"].dataType.names:
         held = F.col("value.groupState")
         order = [F.timestamp_micros(held["ingested_us"]).alias("ingested_at"), F.timestamp_micros(held["event_us"]).alias("event_timestamp"),
                  held["event"].alias("event"), held["data"].alias("data")]
@@ -135,8 +138,8 @@ def state(spark: SparkSession, checkpoint: str, honor_deletes: bool = False) ->
     return rows.select("key.source_table", "key.key", *order)
 
 
-def silver_table(spark: SparkSession, checkpoint: str, table: str, honor_deletes: bool = False) -> DataFrame:
+def silver_table(spark: SparkSession, checkpoint: str, table: str) -> DataFrame:
     """The Silver table ``table`` as the stream of ``checkpoint`` holds it, without
     tombstones."""
-    rows = state(spark, checkpoint, honor_deletes).where(F.col("source_table") == table)
+    rows = state(spark, checkpoint).where(F.col("source_table") == table)
     return silver.typed_rows(rows.where(F.col("event") != "delete"), SILVER_SPECS[table])

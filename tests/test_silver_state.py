@@ -32,27 +32,31 @@ def feed(spark, base, n, *items):
     return spark.readStream.schema(BRONZE).option("maxFilesPerTrigger", "1").parquet(f"{base}/in/*")
 
 
-@pytest.mark.parametrize(("honor", "want"), [(False, {"1": "SR", "2": "R", "3": "R"}), (True, {"2": "R", "3": "R"})])
-def test_out_of_order_batches_and_restart(spark, tmp_path, honor, want):
+#: Ways to run: deletes left out, ranked, and ranked with tombstones that end.
+WAYS = [{}, {"honor_deletes": True}, {"retention_ms": 90 * 86_400_000, "delay": "30 days"}]
+
+
+@pytest.mark.parametrize("args", WAYS)
+def test_out_of_order_batches_and_restart(spark, tmp_path, args):
     """Later micro-batches may carry older changes; every batch is a new run of the
     stream with the same checkpoint."""
-    args = {"delay": "30 days"} if honor else {}
+    want = {"2": "R", "3": "R"} if args else {"1": "SR", "2": "R", "3": "R"}
     for n, items in enumerate((
         [pull("1", "update", 2, "SR"), pull("1", "delete", 3, "SR"), pull("2", "insert", 5, "R")],
         [pull("1", "insert", 1, "R"), pull("2", "update", 4, "SSR"), pull("3", "insert", 6, "R")],
         [pull("1", "insert", 1, "R"), ("invented", {"id": "1"}, "insert", 9)],
     )):
         stream = feed(spark, tmp_path, n, *items)
-        q = ss.merge_sink(stream, f"{tmp_path}/ck", every=None, honor_deletes=honor, changes=f"{tmp_path}/changes", **args)
+        q = ss.merge_sink(stream, f"{tmp_path}/ck", every=None, changes=f"{tmp_path}/changes", **args)
         q.awaitTermination()
-    got = {r["id"]: r["rarity"] for r in ss.silver_table(spark, f"{tmp_path}/ck", "pulls", honor).collect()}
+    got = {r["id"]: r["rarity"] for r in ss.silver_table(spark, f"{tmp_path}/ck", "pulls").collect()}
     assert got == want
     assert spark.read.parquet(f"{tmp_path}/changes").count() >= 3
-    assert {r[0] for r in ss.state(spark, f"{tmp_path}/ck", honor).select("source_table").distinct().collect()} == {"pulls"}
+    assert {r[0] for r in ss.state(spark, f"{tmp_path}/ck").select("source_table").distinct().collect()} == {"pulls"}
 
 
-@pytest.mark.parametrize("honor", [False, True])
-def test_state_equals_the_batch_build(spark, tmp_path, honor):
+@pytest.mark.parametrize("args", WAYS)
+def test_state_equals_the_batch_build(spark, tmp_path, args):
     r = random.Random(5)
     items = []
     for n in range(300):
@@ -64,12 +68,12 @@ def test_state_equals_the_batch_build(spark, tmp_path, honor):
         items.append((table, data, event, r.randrange(200)))
     for n in range(3):
         stream = feed(spark, tmp_path, n, *items[n::3])
-    q = ss.merge_sink(stream, f"{tmp_path}/ck", every=None, honor_deletes=honor, **({"delay": "30 days"} if honor else {}))
+    q = ss.merge_sink(stream, f"{tmp_path}/ck", every=None, **args)
     q.awaitTermination()
     bronze = rows(spark, *items)
     for table in ("pulls", "players", "player_pity", "banners"):
-        full = silver.build_silver(bronze, table, honor_deletes=honor)
-        held = ss.silver_table(spark, f"{tmp_path}/ck", table, honor)
+        full = silver.build_silver(bronze, table, honor_deletes=bool(args))
+        held = ss.silver_table(spark, f"{tmp_path}/ck", table)
         assert held.columns == full.columns
         assert sorted(map(str, held.collect())) == sorted(map(str, full.collect())), table
 
@@ -77,7 +81,7 @@ def test_state_equals_the_batch_build(spark, tmp_path, honor):
 def test_tombstones_leave_the_state(spark, tmp_path):
     """A tombstone goes when the watermark passes its retention; a key that came back
     keeps its row."""
-    hour, args = 60, {"every": None, "honor_deletes": True, "delay": "1 minute", "retention_ms": 3_600_000}
+    hour, args = 60, {"every": None, "delay": "1 minute", "retention_ms": 3_600_000}
     batches = [
         [pull("1", "insert", 0, "R"), pull("2", "insert", 0, "R"), pull("2", "delete", 1, "R"), pull("3", "delete", 1, "R")],
         [pull("3", "insert", 2, "SR"), pull("4", "insert", hour + 30, "R")],
@@ -86,7 +90,7 @@ def test_tombstones_leave_the_state(spark, tmp_path):
     held = []
     for n, items in enumerate(batches):
         ss.merge_sink(feed(spark, tmp_path, n, *items), f"{tmp_path}/ck", **args).awaitTermination()
-        held.append({json.loads(r.key)[0]: r.event for r in ss.state(spark, f"{tmp_path}/ck", True).collect()})
+        held.append({json.loads(r.key)[0]: r.event for r in ss.state(spark, f"{tmp_path}/ck").collect()})
     assert held[0] == {"1": "insert", "2": "delete", "3": "delete"}
     assert held[-1] == {"1": "insert", "3": "insert", "4": "update"}
 
