@@ -176,6 +176,8 @@ RANGE_BITS = 12
 #: Differing ranges of the second level up to this many go to the key scan by broadcast
 #: (16 bytes each); beyond, the scan is narrowed by the first level alone.
 MAX_LEAVES = 500_000
+#: Rows per second-level range from which on its digests are fewer than its keys.
+LEAF_ROWS = 16
 
 
 def keyed_sides(sides: Sequence[Sides]) -> DataFrame:
@@ -196,27 +198,30 @@ def _range(level: int) -> Column:
 
 
 def differing_ranges(keyed: DataFrame, level: int) -> DataFrame:
-    """Per (table, range): the ranges whose digests differ between the sides. A digest
+    """Per (table, range): the ranges whose digests differ between the sides, and the
+    rows of both in them. A digest
     is the number of rows and the sums of both halves of a second hash, which do not
     depend on order and see repeats; every task sends one row per range it met."""
     h = F.xxhash64("key", F.lit(level))
     low, high = h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32)
     sign = F.when(F.col("in_source"), 1).otherwise(-1)
-    digest = [F.sum(sign).alias("_n"), F.sum(sign * low).alias("_low"), F.sum(sign * high).alias("_high")]
+    digest = [F.count(F.lit(1)).alias("rows"), F.sum(sign).alias("_n"), F.sum(sign * low).alias("_low"), F.sum(sign * high).alias("_high")]
     sums = keyed.groupBy("table", _range(level).alias("range")).agg(*digest)
-    return sums.where((F.col("_n") != 0) | (F.col("_low") != 0) | (F.col("_high") != 0)).select("table", "range")
+    return sums.where((F.col("_n") != 0) | (F.col("_low") != 0) | (F.col("_high") != 0)).select("table", "range", "rows")
 
 
 def _within(keyed: DataFrame, ranges: DataFrame, level: int) -> DataFrame:
-    return keyed.withColumn("range", _range(level)).join(F.broadcast(ranges), ["table", "range"], "left_semi").drop("range")
+    named = F.broadcast(ranges.select("table", "range"))
+    return keyed.withColumn("range", _range(level)).join(named, ["table", "range"], "left_semi").drop("range")
 
 
 def reconcile_tables(sides: Sequence[Sides], sample: int | None = None) -> DataFrame:
     """F8: key differences both ways of all tables, through a tree of range digests.
 
-    The first level compares 4,096 hash ranges per table, the second those that differ
-    again 4,096-fold; only the keys of ranges that still differ are shuffled and compared.
-    Where source and target agree nothing but digests moves. Repeats on one side make a
+    The first level compares 4,096 hash ranges per table, the second, where that leaves
+    :data:`LEAF_ROWS` rows or more per range, those that differ again 4,096-fold; only the
+    keys of ranges that still differ are shuffled and compared. Where source and target
+    agree nothing but digests moves. Repeats on one side make a
     range differ, not a key: the keys themselves are compared as sets. One row per
     differing key: (table, key, side) with side 'missing_in_target' or
     'extra_in_target'. ``sample`` keeps the first n keys per table and side in key order
@@ -225,9 +230,11 @@ def reconcile_tables(sides: Sequence[Sides], sample: int | None = None) -> DataF
     keyed = keyed_sides(sides)
     first = differing_ranges(keyed, 1).checkpoint()  # at most 4,096 rows a table
     narrowed = _within(keyed, first, 1)
-    leaves = differing_ranges(narrowed, 2).checkpoint()
-    if leaves.count() <= MAX_LEAVES:
-        narrowed = _within(narrowed, leaves, 2)
+    left = first.agg(F.count(F.lit(1)).alias("ranges"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first()
+    if left["rows"] >= LEAF_ROWS * left["ranges"] << RANGE_BITS:
+        leaves = differing_ranges(narrowed, 2).checkpoint()
+        if leaves.count() <= MAX_LEAVES:
+            narrowed = _within(narrowed, leaves, 2)
     both = narrowed.groupBy("table", "key").agg(F.bool_or("in_source").alias("_s"), F.bool_and("in_source").alias("_only"))
     diff = both.where(F.col("_only") | ~F.col("_s")).select(
         "table", "key", F.when(F.col("_s"), "missing_in_target").otherwise("extra_in_target").alias("side")

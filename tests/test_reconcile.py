@@ -19,7 +19,8 @@ def test_digests_find_every_difference(spark, monkeypatch):
     joined = {(p or "") + ":" + (t or "") for p, t in pairs}, {(p or "") + ":" + (t or "") for p, t in [*pairs[:-3], ("z", None)]}
     sets = {"one": (set(a), set(b)), "same": (set(a), set(a)), "pairs": joined, "empty": (set(), set())}
     want = {(t, k, "missing_in_target") for t, (s, g) in sets.items() for k in s - g} | {(t, k, "extra_in_target") for t, (s, g) in sets.items() for k in g - s}
-    for leaves in (quality.MAX_LEAVES, 0):  # also without the second level
+    for rows, leaves in ((16, 0), (0, quality.MAX_LEAVES), (0, 0)):  # one level, two, and too many leaves
+        monkeypatch.setattr(quality, "LEAF_ROWS", rows)
         monkeypatch.setattr(quality, "MAX_LEAVES", leaves)
         got = quality.reconcile_tables(sides).collect()
         assert len(got) == len(want) and {tuple(g) for g in got} == want
