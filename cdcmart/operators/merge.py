@@ -8,6 +8,9 @@ to one row per key before the join, so the join never fans out.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +19,13 @@ from cdcmart.operators.silver import latest_per_key
 from cdcmart.schemas import MAX_CONSTELLATION
 
 
+def _without(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose key is not in ``gone``; a null in a key equals a null."""
+    named = gone.select(*[F.col(k).alias(f"_gone{i}") for i, k in enumerate(keys)]).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"_gone{i}")) for i, k in enumerate(keys)]
+    return rows.join(named, reduce(and_, same), "left_anti")
+
+
 def merge_upserts(target: DataFrame, changes: DataFrame, keys, order=None) -> DataFrame:
     """Update every column on key match, insert otherwise.
 
@@ -27,7 +37,7 @@ def merge_upserts(target: DataFrame, changes: DataFrame, keys, order=None) -> Da
     if order is not None:
         changes = latest_per_key(changes, keys, order)
     changes = changes.select(*target.columns)
-    return target.join(changes.select(*keys), keys, "left_anti").unionByName(changes)
+    return _without(target, changes, keys).unionByName(changes)
 
 
 def apply_deletes(target: DataFrame, log: DataFrame, keys, order_free: bool = False) -> DataFrame:
@@ -46,7 +56,7 @@ def apply_deletes(target: DataFrame, log: DataFrame, keys, order_free: bool = Fa
     else:
         last = F.max_by(F.col("event"), F.struct("ingested_at", "event_timestamp", "event"))
         dels = k.groupBy(*keys).agg(last.alias("_last")).where(F.col("_last") == "delete").select(*keys)
-    return target.join(dels, keys, "left_anti")
+    return _without(target, dels, keys)
 
 
 def insert_if_absent(target: DataFrame, rows: DataFrame, keys, order=None) -> DataFrame:
@@ -61,7 +71,7 @@ def insert_if_absent(target: DataFrame, rows: DataFrame, keys, order=None) -> Da
         rows = rows.groupBy(*keys).agg(first.alias("_r")).select("_r.*")
     else:
         rows = rows.dropDuplicates(keys)
-    new = rows.select(*target.columns).join(target.select(*keys), keys, "left_anti")
+    new = _without(rows.select(*target.columns), target, keys)
     return target.unionByName(new)
 
 

@@ -17,13 +17,13 @@ get no files.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cdcmart.operators import cdc, delta, gold, silver
-from cdcmart.plans.models import GOLD_MODELS, SILVER_MODELS, Warehouse, gold_from
+from cdcmart.plans.models import GOLD_MODELS, SILVER_MODELS, Warehouse, gold_from, in_parallel
 from cdcmart.schemas import BRONZE_SCHEMA, SILVER_SPECS
 from cdcmart.session import path_exists
 
@@ -235,17 +235,15 @@ def run_incremental(
     if path_exists(spark, f"{batch_dir}/route=bronze"):
         new = _bronze(spark, batch_dir)
         present = {r[0] for r in new.select("source_table").distinct().collect()}  # one row per table
-        for name in SILVER_MODELS:
-            if name.removeprefix("stg_") in present:
-                run.merge_silver(new, name)
-        for name in PROJECTIONS:
-            run.project(name)
-        run.fact_pulls()
-        run.spending()
+        touched = [n for n in SILVER_MODELS if n.removeprefix("stg_") in present]
+        in_parallel([partial(run.merge_silver, new, n) for n in touched])
+        jobs = [partial(run.project, n) for n in PROJECTIONS] + [run.fact_pulls]
         if "players" in present:
             folders = [wh.path(f"cdc_batches/batch={n}") for n in [*done, batch_id]]
             logs = [_bronze(spark, f) for f in folders if path_exists(spark, f"{f}/route=bronze/source_table=players")]
-            run.history(reduce(DataFrame.unionByName, logs), new)
+            jobs.append(partial(run.history, reduce(DataFrame.unionByName, logs), new))
+        in_parallel(jobs)
+        run.spending()
     wh.publish(batch_id)
     return wh
 

@@ -13,7 +13,10 @@ import hashlib
 import os
 import threading
 import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,10 +137,22 @@ class Warehouse:
         )
 
 
+#: Models built at once (jobs of independent tables share the cluster).
+THREADS = 4
+
+
+def in_parallel(tasks: Sequence[Callable[[], object]], threads: int = THREADS) -> None:
+    """Run independent jobs from a few driver threads; the first failure is raised
+    after all have ended."""
+    with ThreadPoolExecutor(max_workers=threads) as pool:
+        for done in [pool.submit(inheritable_thread_target(t)) for t in tasks]:
+            done.result()
+
+
 def run_models(
     spark: SparkSession, sf_dir: str, root: str, honor_deletes: bool = False, targets=None
 ) -> Warehouse:
-    """Full refresh of every model, in order."""
+    """Full refresh of every model, layer by layer."""
     wh = Warehouse(spark, root)
     src = adapter.source_tables(spark, sf_dir)
     msgs = adapter.cdc_messages(src)
@@ -146,14 +161,13 @@ def run_models(
     # undecodable messages land in sibling folders of one write.
     cdc.write_log(routed, wh.path("cdc"), grain="month")  # ingest time is event time here: years of it
     b = wh.table("bronze")
+    def write(name: str, rows: DataFrame) -> Callable[[], object]:
+        return lambda: rows.write.mode("overwrite").parquet(wh.path(name))
+
     stg = silver.build_all(b, honor_deletes)
-    for name in SILVER_MODELS:
-        if targets is None or name in targets:
-            stg[name].write.mode("overwrite").parquet(wh.path(name))
+    in_parallel([write(n, stg[n]) for n in SILVER_MODELS if targets is None or n in targets])
     g = gold_from(wh.table)
-    for name in GOLD_MODELS:
-        if targets is None or name in targets:
-            g[name].write.mode("overwrite").parquet(wh.path(name))
+    in_parallel([write(n, g[n]) for n in GOLD_MODELS if targets is None or n in targets])
     if targets is None:
         wh.mark_complete()
     return wh

@@ -112,10 +112,7 @@ def q_stream_merge_tables(spark, sf_dir):
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-@register(
-    "stream_merge_deletes",
-    "SELECT * FROM stg_pulls WHERE CAST(id AS BIGINT) % 17 <> 0",
-)
+@register("stream_merge_deletes", "SELECT * FROM stg_pulls WHERE CAST(id AS BIGINT) % 17 <> 0")
 def q_stream_merge_deletes(spark, sf_dir):
     """B9 in streaming: deletes kept as tombstones, hidden from the table."""
     base = _ingest(spark, sf_dir)

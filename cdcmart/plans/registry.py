@@ -125,10 +125,26 @@ def q_silver_latest_composite(spark, sf_dir):
     return reduce(DataFrame.unionByName, parts)
 
 
-@register("silver_honor_deletes", "SELECT * FROM stg_pulls WHERE CAST(id AS BIGINT) % 17 <> 0")
+def _one_table(tables: dict[str, DataFrame]) -> DataFrame:
+    """The rows of several tables as one, with the table's name."""
+    parts = [t.select(F.lit(name).alias("table"), "*") for name, t in tables.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _one_table_sql(names: list[str], select: dict[str, str] | None = None, where: dict[str, str] | None = None) -> str:
+    return "\nUNION ALL BY NAME ".join(
+        f"SELECT '{n}' AS \"table\", {(select or {}).get(n, '*')} FROM {n} WHERE {(where or {}).get(n, 'true')}" for n in names
+    )
+
+
+# deletes come for every 17th pull
+_ALIVE = _one_table_sql(models.SILVER_MODELS, where={"stg_pulls": "CAST(id AS BIGINT) % 17 <> 0"})
+
+
+@register("silver_honor_deletes", _ALIVE)
 def q_silver_honor_deletes(spark, sf_dir):
-    """C1 option: rank deletes too, so a row whose latest event is a delete is gone."""
-    return silver.build_silver(wh(spark, sf_dir).table("bronze"), "pulls", honor_deletes=True)
+    """C1 option, all tables: rank deletes too, so a row whose latest event is a delete is gone."""
+    return _one_table(silver.build_all(wh(spark, sf_dir).table("bronze"), honor_deletes=True))
 
 
 # ---------------------------------------------------------------------------
@@ -138,23 +154,26 @@ def q_silver_honor_deletes(spark, sf_dir):
 _CUTOFF = "2024-01-15 00:00:00"
 
 
-@register("merge_upserts", "SELECT * FROM stg_pulls")
+@register("merge_upserts", _one_table_sql(models.SILVER_MODELS))
 def q_merge_upserts(spark, sf_dir):
-    """Silver of the first half of the log, merged with the second half."""
-    b = wh(spark, sf_dir).table("bronze").where(F.col("source_table") == "pulls")
-    early = b.where(F.col("ingested_at") < F.lit(_CUTOFF).cast("timestamp"))
-    late = b.where(F.col("ingested_at") >= F.lit(_CUTOFF).cast("timestamp"))
-    target = silver.build_silver(early, "pulls")
-    changes = silver.build_silver(late, "pulls")
-    return merge.merge_upserts(target, changes, ["id"])
+    """Silver of the first half of the log, merged with the second half, all tables."""
+    b = wh(spark, sf_dir).table("bronze")
+    early = silver.build_all(b.where(F.col("ingested_at") < F.lit(_CUTOFF).cast("timestamp")))
+    late = silver.build_all(b.where(F.col("ingested_at") >= F.lit(_CUTOFF).cast("timestamp")))
+    keys = {f"stg_{t}": spec.keys for t, spec in SILVER_SPECS.items()}
+    return _one_table({n: merge.merge_upserts(early[n], late[n], keys[n]) for n in models.SILVER_MODELS})
 
 
-@register("apply_deletes", "SELECT * FROM stg_pulls WHERE CAST(id AS BIGINT) % 17 <> 0")
+@register("apply_deletes", _ALIVE)
 def q_apply_deletes(spark, sf_dir):
-    """Deletes from the log applied to Silver (order-aware)."""
+    """Deletes from the log applied to Silver (order-aware), all tables."""
     w = wh(spark, sf_dir)
-    b = w.table("bronze").where(F.col("source_table") == "pulls")
-    return merge.apply_deletes(w.table("stg_pulls"), b, ["id"])
+    log = w.table("bronze")
+    out = {}
+    for table, spec in SILVER_SPECS.items():
+        mine = log.where(F.col("source_table") == table)
+        out[f"stg_{table}"] = merge.apply_deletes(w.table(f"stg_{table}"), mine, spec.keys)
+    return _one_table(out)
 
 
 # ---------------------------------------------------------------------------
@@ -447,16 +466,6 @@ def _incremental(spark, sf_dir):
     return wh
 
 
-def _one_table(tables: dict[str, DataFrame]) -> DataFrame:
-    """The rows of several tables as one, with the table's name."""
-    parts = [t.select(F.lit(name).alias("table"), "*") for name, t in tables.items()]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-
-
-def _one_table_sql(names: list[str], select: dict[str, str] | None = None) -> str:
-    return "\nUNION ALL BY NAME ".join(f"SELECT '{n}' AS \"table\", {(select or {}).get(n, '*')} FROM {n}" for n in names)
-
-
 @register("incremental_silver", _one_table_sql(models.SILVER_MODELS))
 def q_incremental_silver(spark, sf_dir):
     """The seven Silver tables after two incremental runs equal the full build."""
