@@ -16,7 +16,6 @@ import uuid
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -145,7 +144,7 @@ def in_parallel(tasks: Sequence[Callable[[], object]], threads: int = THREADS) -
     """Run independent jobs from a few driver threads; the first failure is raised
     after all have ended."""
     with ThreadPoolExecutor(max_workers=threads) as pool:
-        for done in [pool.submit(inheritable_thread_target(t)) for t in tasks]:
+        for done in [pool.submit(t) for t in tasks]:
             done.result()
 
 
