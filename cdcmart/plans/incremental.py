@@ -40,6 +40,9 @@ HISTORY = "dim_players_history"
 class IncrementalWarehouse(Warehouse):
     """The published result of incremental runs under one root folder."""
 
+    #: The runs published when the run at work began, listed once.
+    pinned: list[int] | None = None
+
     def runs(self) -> list[int]:
         """Published runs."""
         if not path_exists(self.spark, self.path("_runs")):
@@ -50,25 +53,26 @@ class IncrementalWarehouse(Warehouse):
         marker = self.spark.createDataFrame([(str(run),)], "value string").coalesce(1)
         marker.write.mode("overwrite").text(self.path(f"_runs/run={run}"))
 
-    def versions(self, name: str, upto: int | None = None) -> DataFrame | None:
-        """(key, row, was, run) of the runs up to ``upto`` (default: those published);
-        None where no run touched the table."""
+    def versions(self, name: str, also: int | None = None) -> DataFrame | None:
+        """(key, row, was, run) of the published runs, and of ``also``, the run at work;
+        None where no run touched the table. What a run that was never published left
+        behind is not read."""
         if not path_exists(self.spark, self.path(name)):
             return None
-        last = max(self.runs(), default=-1) if upto is None else upto
-        return self.spark.read.parquet(self.path(name)).where(F.col("run") <= last)
+        seen = [*(self.runs() if self.pinned is None else self.pinned), *([] if also is None else [also])]
+        return self.spark.read.parquet(self.path(name)).where(F.col("run").isin(seen))
 
-    def rows(self, name: str, upto: int | None = None) -> DataFrame | None:
-        held = self.versions(name, upto)
+    def rows(self, name: str, also: int | None = None) -> DataFrame | None:
+        held = self.versions(name, also)
         return None if held is None else delta.newest(held).where(F.col("row").isNotNull())
 
     def changes(self, name: str, run: int) -> DataFrame | None:
         path = self.path(f"{name}/run={run}")
         return self.spark.read.parquet(path) if path_exists(self.spark, path) else None
 
-    def silver(self, name: str, upto: int | None = None, of: DataFrame | None = None) -> DataFrame:
+    def silver(self, name: str, also: int | None = None, of: DataFrame | None = None) -> DataFrame:
         """A Silver table; ``of``: of these keys only."""
-        held = self.versions(name, upto)
+        held = self.versions(name, also)
         if held is None:
             return empty_silver(self.spark, name)
         return typed(delta.newest(held if of is None else delta.of_keys(held, of)), name)
@@ -118,7 +122,7 @@ class _Run:
 
     def before(self, name: str, keys: DataFrame) -> DataFrame | None:
         """(key, row) of the given keys after the last run."""
-        held = self.wh.versions(name, self.run - 1)
+        held = self.wh.versions(name)
         return None if held is None else delta.newest(delta.of_keys(held, keys))
 
     def write(self, name: str, changes: DataFrame) -> DataFrame:
@@ -143,7 +147,7 @@ class _Run:
         pulls, players = self.wh.changes("stg_pulls", self.run), self.wh.changes("stg_players", self.run)
         if pulls is None and players is None:
             return
-        held = self.wh.versions("fact_pulls", self.run - 1)
+        held = self.wh.versions("fact_pulls")
         if pulls is None and held is None:
             return
         touched, rows = [], []
@@ -206,7 +210,7 @@ class _Run:
 
     def history(self, log: DataFrame, batch: DataFrame) -> None:
         changed = gold.player_changes(batch)
-        made = gold.merge_history(self.wh.rows(HISTORY, self.run - 1), gold.player_changes(log), changed)
+        made = gold.merge_history(self.wh.rows(HISTORY), gold.player_changes(log), changed)
         self.write(HISTORY, made)
 
 
@@ -231,6 +235,7 @@ def run_incremental(
     batch_dir = wh.path(f"cdc_batches/batch={batch_id}")
     routed = cdc.route(messages, ingested_at=ingested_at, tables=list(SILVER_SPECS))
     cdc.write_log(routed, batch_dir, grain)
+    wh.pinned = done
     run = _Run(wh, batch_id, honor_deletes)
     if path_exists(spark, f"{batch_dir}/route=bronze"):
         new = _bronze(spark, batch_dir)
@@ -245,6 +250,7 @@ def run_incremental(
         in_parallel(jobs)
         run.spending()
     wh.publish(batch_id)
+    wh.pinned = None
     return wh
 
 

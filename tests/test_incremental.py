@@ -98,9 +98,10 @@ def test_runs_are_published_whole_and_once(spark, tmp_path, monkeypatch):
         with pytest.raises(TypeError):
             incremental.run_incremental(spark, frame(spark, one_pull("p2")), root, 1)
     assert wh.table("stg_pulls").count() == wh.table("fact_pulls").count() == 1
-    for _ in range(2):  # the second is a run that was published
-        wh = incremental.run_incremental(spark, frame(spark, one_pull("p2")), root, 1)
-    assert wh.table("stg_pulls").count() == wh.table("agg_player_spending").first().total_pulls == 2
+    # the next number: what the failed run wrote is not seen
+    wh = incremental.run_incremental(spark, frame(spark, one_pull("p3")), root, 2)
+    assert {r.id for r in wh.table("stg_pulls").collect()} == {"p1", "p3"} and wh.table("agg_player_spending").first().total_pulls == 2
+    assert incremental.run_incremental(spark, frame(spark, one_pull("p4")), root, 2).table("stg_pulls").count() == 2  # published before
     with pytest.raises(ValueError, match="before published"):
         incremental.run_incremental(spark, frame(spark, one_pull("p3")), root, -1)
 
