@@ -11,10 +11,10 @@ Items are taken in blocks of bounded text. For a block, every document is read
 once where it lies and reduced to the term counts that the block's items can
 touch. Each task then builds ball trees over blocks of its documents and answers
 all items of the block best-first: a ball with centre c and radius r holds no
-inner product above <q, c> + |q| r, so subtrees whose bound (rounded up by more
-than the floating error) lies below the k-th score found so far are pruned; leaves
-are scored in integers. Dimensions are scaled by the square root of their weight
-first, which leaves inner products as they are and tightens the balls.
+inner product above <q, c> + |q| r, where |q| counts only the item's terms that some
+document of the ball has (the others add nothing to any product). Subtrees whose
+bound, rounded up by more than the floating error, lies below the k-th score found so
+far are pruned; leaves are scored in integers.
 
 Tasks return at most k rows an item; Spark ranks them. No document is left out and
 no text cut.
@@ -49,7 +49,7 @@ BLOCK_ITEMS = 4_096
 #: Documents and term counts of one tree; documents of a leaf; term counts of one task.
 TREE_DOCS = 16_384
 TREE_COUNTS = 1 << 22
-LEAF_DOCS = 64
+LEAF_DOCS = 128
 TASK_COUNTS = 1 << 22
 CHUNK = 4 << 20
 #: Relative allowance over any floating error of a bound (sums of at most 10^6 doubles).
@@ -224,8 +224,10 @@ class BallTree:
         sizes = self._at[terms + 1] - self._at[terms]
         ends = np.cumsum(sizes)
         pick = np.repeat(self._at[terms] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
-        near = np.bincount(self._ball_of[pick], weights=np.repeat(weights, sizes) * self._centre[pick], minlength=len(self._radii))
-        return (near + math.sqrt(float(weights @ weights)) * self._radii) * (1 + SAFE) + 1
+        ball, weight = self._ball_of[pick], np.repeat(weights, sizes)
+        near = np.bincount(ball, weights=weight * self._centre[pick], minlength=len(self._radii))
+        inside = np.bincount(ball, weights=weight * weight, minlength=len(self._radii))  # terms that the ball has
+        return (near + np.sqrt(inside) * self._radii) * (1 + SAFE) + 1
 
     def best_first(self, bounds: np.ndarray) -> Iterator[tuple[float, _Rows]]:
         """Leaves by falling bound; a ball is opened when its bound is the highest."""
@@ -293,7 +295,7 @@ class _Search:
         used = (self.weights[term] > 0) & (whole > 0)
         term, whole, doc = term[used], whole[used], doc[used]
         docs, first = np.unique(doc, return_index=True)
-        value = whole * np.sqrt(self.weights[term].astype(np.float64))
+        value = whole.astype(np.float64)
         return ids, _Rows(np.append(first, len(doc)), term, value, whole, docs)
 
     def answer(self, ids: list, rows: _Rows, best: list[list[tuple]]) -> None:
@@ -307,7 +309,7 @@ class _Search:
                 continue
             found = best[i]
             dense[terms] = self.weights[terms]
-            for bound, leaf in tree.best_first(tree.bounds(terms, np.sqrt(self.weights[terms].astype(np.float64)))):
+            for bound, leaf in tree.best_first(tree.bounds(terms, self.weights[terms].astype(np.float64))):
                 least = -found[-1][0] if len(found) == self.k else 1
                 if bound < least:
                     break
