@@ -375,7 +375,7 @@ def q_stream_live_fanout(spark, sf_dir):
     """
     SELECT b + d + u AS messages, b AS bronze, d AS dlq, u AS undecodable
     FROM (SELECT (SELECT count(*) FROM bronze_keys) AS b, (SELECT count(*) FROM dead_letters) AS d,
-                 (SELECT coalesce(sum(if(event_id % 59 = 7, 2, 1)), 0) FROM src_pulls WHERE event_id % 103 = 0) AS u)""",
+                 (SELECT CAST(coalesce(sum(if(event_id % 59 = 7, 2, 1)), 0) AS BIGINT) FROM src_pulls WHERE event_id % 103 = 0) AS u)""",
 )
 def q_stream_progress(spark, sf_dir):
     """The progress counts of the ingest stream's micro-batches, added up."""
