@@ -88,3 +88,20 @@ def test_normalise(spark):
 def test_dead_letter_carries_raw(spark):
     r = run(spark, [env(after={})])[0]
     assert r["route"] == "dlq" and json.loads(r["raw"])["payload"]["op"] == "c"
+
+
+def test_rows_stay_in_their_message(spark):
+    """Only small parts are taken out of the parsed message: not the payload, not the row."""
+    fields = cdc.extract(cdc.decode(spark.createDataFrame([("{}",)], "value string"))).schema
+    assert {f.name for f in fields if f.dataType.typeName() == "variant"} == {"msg", "_op", "_source", "_ts", "_id"}
+
+
+def test_row_text_of_any_shape(spark):
+    rows = {'{"b":1,"id":"q\\"é"}': "q\"é", '{"id":7.50,"a":[1,{"z":null}]}': "7.5", '{"id":null,"a":"{"}': "None",
+            '{"player_id":"1"}': '{"player_id":"1"}', '"{x"': '"{x"', '[{"id":1}]': '[{"id":1}]', "true": "true"}
+    source = '"source":{"table":"pulls","schema":"s"},"ts_ms":5'
+    got = run(spark, [f'{{"payload":{{"before":null,"after":{row},"op":"c",{source}}}}}' for row in rows])
+    got += run(spark, [f'{{"payload":{{"before":{row},"after":{{"id":"no"}},"op":"d",{source}}}}}' for row in rows])
+    assert [(r["route"], r["id"]) for r in got] == [("bronze", v) for v in rows.values()] * 2
+    sorted_text = ['{"b":1,"id":"q\\"é"}', '{"a":[1,{"z":null}],"id":7.5}', '{"a":"{","id":null}', *list(rows)[3:]]
+    assert [r["data"] for r in got] == sorted_text * 2
