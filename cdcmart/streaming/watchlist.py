@@ -76,43 +76,58 @@ def current_state(updates: DataFrame) -> DataFrame:
 LIVE_SCHEMA = "tick_id long, repo string, client_id long, at timestamp, kind string, price long, message string"
 
 
+#: Groups of the fan-out's state; each holds the clients of many (repo, bucket).
+SLOTS = 1024
+
+
 def _live(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State of (repo, bucket): the bucket's clients with the number of their last
+    """State of a slot: the clients of its (repo, bucket) with the number of their last
     command and whether it subscribed, as JSON."""
-    held = json.loads(state.get[0]) if state.exists else {}
+    held = {(r, b): clients for r, b, clients in json.loads(state.get[0])} if state.exists else {}
     rows = pd.concat([b for b in batches if not b.empty], ignore_index=True)
-    rows = rows.sort_values(["at", "is_tick", "seq"], kind="stable")
-    out, changed = [], False
-    for at, is_tick, seq, client, op, price, error in zip(
-        *(rows[c].tolist() for c in ("at", "is_tick", "seq", "client_id", "op", "price", "error")), strict=True
+    rows = rows.sort_values(["at", "is_tick", "seq"], kind="stable", ignore_index=True)
+    at, to, changed = [], [], False
+    for n, (is_tick, seq, client, op, repo, bucket) in enumerate(
+        zip(*(rows[c].tolist() for c in ("is_tick", "seq", "client_id", "op", "repo", "bucket")), strict=True)
     ):
-        if not is_tick:
-            last = held.get(str(int(client)))
-            if last is None or seq > last[0]:
-                held[str(int(client))], changed = [int(seq), op == "subscribe"], True
+        clients = held.get((repo, bucket))
+        if is_tick:
+            for c, (_, subscribed) in (clients or {}).items():
+                if subscribed:
+                    at.append(n)
+                    to.append(int(c))
             continue
-        bad = isinstance(error, str)
-        for c, (_, subscribed) in held.items():
-            if subscribed:
-                out.append((int(seq), key[0], int(c), at, "error" if bad else "tick", 0 if bad or pd.isna(price) else int(price), error if bad else ""))
+        if clients is None:
+            clients = held[repo, bucket] = {}
+        last = clients.get(str(int(client)))
+        if last is None or seq > last[0]:
+            clients[str(int(client))], changed = [int(seq), op == "subscribe"], True
     if changed:
-        state.update((json.dumps(held),))
-    if out:
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in LIVE_SCHEMA.split(", ")])
-
-
-def live_fanout(commands: DataFrame, ticks: DataFrame, buckets: int = 16) -> DataFrame:
+        state.update((json.dumps([[r, b, clients] for (r, b), clients in held.items()]),))
+    if at:
+        ticks = rows.iloc[at]
+        bad = ticks["error"].notna()
+        yield pd.DataFrame({
+            "tick_id": ticks["seq"].astype("int64"), "repo": ticks["repo"], "client_id": to, "at": ticks["at"],
+            "kind": bad.map({True: "error", False: "tick"}),
+            "price": ticks["price"].where(~bad).fillna(0).astype("int64"), "message": ticks["error"].where(bad, ""),
+        })
+
+
+def live_fanout(commands: DataFrame, ticks: DataFrame, buckets: int = 16, slots: int = SLOTS) -> DataFrame:
     """H13 on two streams: every tick to the clients that watch its repo *then*.
 
     ``commands``: (at, seq, client_id, repo, op); ``ticks``: (at, tick_id, repo, price,
-    error). Both are dealt by (repo, bucket of the client); the watch state lives in
+    error). Both are dealt by hash of (repo, bucket of the client); the watch state lives in
     Spark's state store, and within a micro-batch commands and ticks are taken in time
     order (commands first at the same instant), so a subscribe between two ticks shows
     from the second on. A command older than the client's last one changes nothing;
     ticks that were answered are not answered again. A repo's clients are split over
-    ``buckets`` states, each of which gets the tick once.
+    ``buckets`` states, each of which gets the tick once. States share ``slots`` groups
+    by hash, so the Python calls of a micro-batch are that many at most, not one per repo.
     """
     none = F.lit(None)
+    slot = F.pmod(F.xxhash64("repo", "bucket"), F.lit(slots)).cast("int")
     c = commands.select(
         "repo", F.pmod(F.xxhash64("client_id"), F.lit(buckets)).cast("int").alias("bucket"), "at", F.lit(False).alias("is_tick"),
         F.col("seq").cast("long").alias("seq"), F.col("client_id").cast("long").alias("client_id"), "op",
@@ -123,7 +138,7 @@ def live_fanout(commands: DataFrame, ticks: DataFrame, buckets: int = 16) -> Dat
         F.col("tick_id").cast("long").alias("seq"), none.cast("long").alias("client_id"), none.cast("string").alias("op"),
         F.col("price").cast("long").alias("price"), "error",
     )
-    made = c.unionByName(t).groupBy("repo", "bucket").applyInPandasWithState(
+    made = c.unionByName(t).withColumn("slot", slot).groupBy("slot").applyInPandasWithState(
         _live, LIVE_SCHEMA, "clients string", "append", GroupStateTimeout.NoTimeout
     )
     return made.select(
