@@ -160,11 +160,14 @@ def _deliveries(spark, base) -> DataFrame:
 
 
 def _replay(deliveries: DataFrame, run: str, start) -> None:
-    """Write the slices one after another; drain each with a stream of its own start."""
+    """Write the slices one after another; drain each with a stream of its own start. The
+    deliveries are made once, dealt into a folder per slice, and handed out from there."""
     columns = [c for c in deliveries.columns if c != "delivered"]
     spark, schema = deliveries.sparkSession, deliveries.select(*columns).schema
+    deliveries.write.partitionBy("delivered").parquet(f"{run}/all")
+    made = spark.read.schema(deliveries.schema).parquet(f"{run}/all")
     for n in range(len(SLICE_DAYS) + 1):
-        deliveries.where(F.col("delivered") == n).select(*columns).write.parquet(f"{run}/in/slice={n}")
+        made.where(F.col("delivered") == n).select(*columns).write.parquet(f"{run}/in/slice={n}")
         stream = spark.readStream.schema(schema).option("basePath", f"{run}/in").parquet(f"{run}/in")
         start(stream.select(*columns)).awaitTermination()
 
