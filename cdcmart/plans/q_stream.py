@@ -34,6 +34,16 @@ def _input_key(spark, sf_dir) -> tuple:
     return os.path.realpath(sf_dir), fingerprint(spark, sf_dir), cs.work_dir(spark)
 
 
+#: A replay takes about so many micro-batches at most, however many files its input has.
+MAX_BATCHES = 8
+
+
+def _per_batch(spark, path: str, schema: str, files: int) -> int:
+    """Files of a micro-batch: ``files``, more where the input would make over
+    :data:`MAX_BATCHES` batches of them."""
+    return max(files, -(-len(spark.read.schema(schema).parquet(path).inputFiles()) // MAX_BATCHES))
+
+
 def _ingest(spark, sf_dir, files_per_batch: int = 16):
     """Message log -> files -> streaming Bronze sink. Returns the base folder.
 
@@ -44,8 +54,8 @@ def _ingest(spark, sf_dir, files_per_batch: int = 16):
         return _INGESTED[key]
     base = cs.scratch(spark, "stream")
     msgs = adapter.cdc_messages(adapter.source_tables(spark, sf_dir))
-    msgs.write.mode("overwrite").parquet(f"{base}/in")
-    s = cs.read_cdc(spark, f"{base}/in", fmt="binary", max_files=files_per_batch)
+    adapter.write_messages(msgs, f"{base}/in")
+    s = cs.read_cdc(spark, f"{base}/in", fmt="binary", max_files=_per_batch(spark, f"{base}/in", "value binary", files_per_batch))
     listener = cs.ProgressListener.create()
     spark.streams.addListener(listener)
     q = cs.bronze_sink(s, f"{base}/out", f"{base}/ckpt_bronze", ingested_at=F.col("event_timestamp"), grain="year")
@@ -64,7 +74,8 @@ def _fresh(base: str, name: str) -> str:
 
 def _routed_stream(spark, base, files_per_batch: int = 16):
     """The routed log as a stream."""
-    return spark.readStream.schema(ROUTED_SCHEMA).option("maxFilesPerTrigger", str(files_per_batch)).parquet(f"{base}/out")
+    files = _per_batch(spark, f"{base}/out", ROUTED_SCHEMA, files_per_batch)
+    return spark.readStream.schema(ROUTED_SCHEMA).option("maxFilesPerTrigger", str(files)).parquet(f"{base}/out")
 
 
 def _bronze_stream(spark, base, files_per_batch: int = 16):

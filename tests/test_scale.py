@@ -72,3 +72,15 @@ def test_message_log_splits_and_lies_by_run(spark, tmp_path, monkeypatch):
     read = spark.read.schema(rows.schema).parquet(f"{tmp_path}/m")
     assert len({r[0] for r in read.where("batch = 1").select(F.input_file_name()).distinct().collect()}) == 1
     assert read.exceptAll(rows).count() == 0 and read.count() == 12_000
+
+
+def test_micro_batches_do_not_grow_with_files(spark, tmp_path):
+    """An input of many small files is taken in a bounded number of micro-batches."""
+    from cdcmart.plans import q_stream as qs
+
+    spark.range(0, 60, 1, 60).select(F.col("id").cast("string").alias("id"), F.lit("bronze").alias("route")).write.parquet(f"{tmp_path}/out")
+    stream = qs._bronze_stream(spark, str(tmp_path), 2).select("id")
+    seen = []
+    q = stream.writeStream.foreachBatch(lambda rows, n: seen.append(rows.count())).option("checkpointLocation", f"{tmp_path}/ck")
+    q.trigger(availableNow=True).start().awaitTermination()
+    assert sum(seen) == 60 and 1 < len(seen) <= qs.MAX_BATCHES
